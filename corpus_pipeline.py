@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import table
 from tallyforge.llm.decontaminate import overlap
 from tallyforge.llm.mixing import mix_to_weights
+from tallyforge.llm.near_dedup import one_of_each
+from tallyforge.llm.pii import find_personal_data
+from tallyforge.llm.quality import score_quality, training_rows
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(spark, docs, training_rows(labels)).filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    return one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +30,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return overlap(spark, docs, items).filter(~F.col("contaminated")).select(*docs.columns)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind; n_chars follows the new text."""
+    found = find_personal_data(spark, docs, redact=True)
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the words to take of each document; documents that the mix doesn't take go."""
     return mix_to_weights(spark, docs).filter(F.col("taken") > 0)
 
 
 STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("personal_data", personal_data),
     ("mixing", mixing),
 ]
 

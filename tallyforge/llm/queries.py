@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, mixing
+import corpus_pipeline
+from tallyforge.llm import decontaminate, mixing, near_dedup, pii, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_near_duplicates": near_dedup.op3_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_personal_data": pii.op6_personal_data,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
