@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +75,11 @@ class Words:
     """Word hashes of a chunk of texts.
 
     ``doc`` is the row of each word, ``hash`` its 64-bit hash; ``data``, ``start`` and ``end`` give its bytes.
-    A word is a run of bytes other than ASCII white space.
+    A word is a run of bytes other than ASCII white space; with ``letters``, of ASCII letters and digits and bytes
+    beyond ASCII.
     """
 
-    def __init__(self, texts) -> None:
+    def __init__(self, texts, letters: bool = False) -> None:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -90,7 +92,7 @@ class Words:
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         self.data, self.at = raw, at - at[0]
-        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        inside = self.letters()[raw] if letters else ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
         first = np.zeros(len(raw) + 1, bool)  # words never run across two texts
         first[self.at] = True
         before = np.concatenate(([False], inside[:-1])) if len(raw) else inside
@@ -98,7 +100,18 @@ class Words:
         after = np.concatenate((inside[1:], [False])) if len(raw) else inside
         self.end = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.doc = np.searchsorted(self.at, self.start, side="right") - 1
-        self.hash = span_hashes(raw, self.start, self.end)
+
+    @cached_property
+    def hash(self):
+        return span_hashes(self.data, self.start, self.end)
+
+    @staticmethod
+    def letters():
+        """Which of the 256 bytes belong to words of letters."""
+        import numpy as np
+
+        b = np.arange(256)
+        return ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | (b >= 128)
 
     def ngrams(self, k: int):
         """(doc, hash) of each run of k words; a text of fewer words, but not none, has one run of all of them."""

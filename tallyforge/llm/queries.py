@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyforge.llm import decontaminate, mixing, near_dedup, pii, quality
+from tallyforge.llm import decontaminate, html_text, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_html_text": html_text.op2_html_text,
     "op3_near_duplicates": near_dedup.op3_near_duplicates,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_media_columns": media.op8_media_columns,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
