@@ -6,7 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.fixtures import Views, with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
+    """Registers a function of the views as a query; ``sql`` over the same views is its oracle."""
+
+    def register(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = with_views(views, sql)
+        return build
+
+    return register
+
+
+from tallyforge import catalog  # noqa: E402, F401  (registers the queries)
