@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.aggregates import balanced_groups, basket_check, matchable, rows, total
 from tallyforge.operators.merge import settle
+from tallyforge.session import shared_folder
 
 
 def group_id(run: str) -> Column:
@@ -91,6 +92,7 @@ def merge_chains(spark: SparkSession, merges: DataFrame, most: int = 60) -> Data
 
     Labels spread over links and jump to their label's label; each round ends in the shared checkpoint folder.
     """
+    shared_folder(spark, "chains")  # a checkpoint folder is set from here on
     both = merges.select(F.col("old").alias("a"), F.col("new").alias("b")).unionByName(merges.select(F.col("new").alias("a"), F.col("old").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("root")).checkpoint()
     for _ in range(most):

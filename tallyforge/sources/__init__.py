@@ -1,0 +1,24 @@
+"""Readers of bank and ledger feeds; each gives a DataFrame whose ``_error`` says what is wrong with a row."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.sources.delimited import read_cash_feed
+from tallyforge.sources.fixed_width import read_fixed_width
+from tallyforge.sources.statement import read_statements
+from tallyforge.sources.workbook import read_workbooks
+from tallyforge.sources.xml_feed import read_xml
+
+Reader = Callable[[SparkSession, str, dict], DataFrame]
+
+READERS: dict[str, Reader] = {"csv": read_cash_feed, "excel": read_workbooks, "xml": read_xml, "fixed_width": read_fixed_width, "mt940": read_statements}
+
+
+def reader(kind: str) -> Reader:
+    """The reader of a kind of feed."""
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind!r}; there are {', '.join(sorted(READERS))}")
+    return READERS[kind]
