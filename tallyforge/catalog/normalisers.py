@@ -62,12 +62,17 @@ query("map_from_cents", "", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CA
     lambda v: v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", N.from_cents(F.round("l_extendedprice").cast("long")).alias("amount"))
 )
 TEXT_AMOUNT = "CASE o_orderkey % 4 WHEN 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR), '.', ',') WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) WHEN 2 THEN ' ' || CAST(CAST(o_totalprice AS DECIMAL(20,0)) AS VARCHAR) || ',50 ' ELSE 'n/a' END"
-SPARK_TEXT_AMOUNT = F.expr(TEXT_AMOUNT.replace("VARCHAR", "STRING"))
-query("map_tolerant_decimal", "", f"SELECT o_orderkey, try_cast(replace(replace(x, ' ', ''), ',', '.') AS {DEC}) AS amount FROM (SELECT o_orderkey, {TEXT_AMOUNT} AS x FROM orders)")(lambda v: v.orders.select("o_orderkey", N.tolerant_decimal(SPARK_TEXT_AMOUNT).alias("amount")))
+
+
+def text_amount():
+    return F.expr(TEXT_AMOUNT.replace("VARCHAR", "STRING"))
+
+
+query("map_tolerant_decimal", "", f"SELECT o_orderkey, try_cast(replace(replace(x, ' ', ''), ',', '.') AS {DEC}) AS amount FROM (SELECT o_orderkey, {TEXT_AMOUNT} AS x FROM orders)")(lambda v: v.orders.select("o_orderkey", N.tolerant_decimal(text_amount()).alias("amount")))
 query("map_strict_amount", "", f"SELECT o_orderkey, try_cast(x AS {DEC}) AS amount, CASE WHEN try_cast(x AS {DEC}) IS NULL THEN 'unreadable amount' END AS error FROM (SELECT o_orderkey, {TEXT_AMOUNT} AS x FROM orders)")(
-    lambda v: v.orders.select("o_orderkey", *[x.alias(n) for x, n in zip(N.strict_amount(SPARK_TEXT_AMOUNT), ("amount", "error"), strict=True)])
+    lambda v: v.orders.select("o_orderkey", *[x.alias(n) for x, n in zip(N.strict_amount(text_amount()), ("amount", "error"), strict=True)])
 )
-query("map_lenient_amount", "", f"SELECT o_orderkey, CAST(coalesce(try_cast(x AS {DEC}), 0) AS {DEC}) AS amount FROM (SELECT o_orderkey, {TEXT_AMOUNT} AS x FROM orders)")(lambda v: v.orders.select("o_orderkey", N.lenient_amount(SPARK_TEXT_AMOUNT).alias("amount")))
+query("map_lenient_amount", "", f"SELECT o_orderkey, CAST(coalesce(try_cast(x AS {DEC}), 0) AS {DEC}) AS amount FROM (SELECT o_orderkey, {TEXT_AMOUNT} AS x FROM orders)")(lambda v: v.orders.select("o_orderkey", N.lenient_amount(text_amount()).alias("amount")))
 query("map_int_date", "", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")(lambda v: v.orders.select("o_orderkey", N.int_date(F.date_format("o_orderdate", "yyyyMMdd").cast("int")).alias("day")))
 query("map_short_date", "", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) AS day FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")(
     lambda v: v.orders.filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select("o_orderkey", N.short_date(F.date_format(c("o_orderdate") + F.expr("INTERVAL 20 YEAR"), "yyMMdd")).alias("day"))

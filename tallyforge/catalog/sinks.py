@@ -9,10 +9,13 @@ from tallyforge.queries import query
 
 DEC = "DECIMAL(20,4)"
 c = F.col
-ORDER = [c("file_no"), c("line_no"), c("amount")]
 LASTROW = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY file_no DESC, line_no DESC, amount DESC) = 1"
 
 
+def arrival():
+    return [c("file_no"), c("line_no"), c("amount")]
+
+
 def staged(v):
     return v.export_rows.filter("file_no >= 2")
 
@@ -25,7 +28,7 @@ TARGET = "SELECT srl, arg_max(amount, (line_no, amount)) AS amount, arg_max(pmsg
 STAGED = f"SELECT * FROM export_rows WHERE file_no >= 2 {LASTROW.format(k='srl')}"
 
 query("sink_insert_new", "export_rows", "SELECT srl, file_no, amount FROM export_rows WHERE file_no >= 2 AND srl NOT IN (SELECT srl FROM export_rows WHERE file_no = 1) QUALIFY row_number() OVER (PARTITION BY srl ORDER BY file_no, line_no, amount) = 1")(
-    lambda v: G.insert_new(target(v), staged(v), "srl", ORDER).select("srl", "file_no", "amount")
+    lambda v: G.insert_new(target(v), staged(v), "srl", arrival()).select("srl", "file_no", "amount")
 )
 UPSERT = f"""SELECT coalesce(t.srl, s.srl) AS srl, CASE WHEN t.srl IS NULL THEN s.amount WHEN s.srl IS NOT NULL AND t.line_no % 2 = 0 THEN s.amount ELSE t.amount END AS amount, CASE WHEN t.srl IS NULL THEN s.pmsgid WHEN s.srl IS NOT NULL AND t.line_no % 2 = 0 THEN coalesce(nullif(s.pmsgid, ''), t.pmsgid) ELSE t.pmsgid END AS pmsgid,
   CASE WHEN t.srl IS NULL THEN 'INSERTED' WHEN s.srl IS NULL THEN 'KEPT' WHEN t.line_no % 2 = 0 AND (s.amount IS DISTINCT FROM t.amount OR coalesce(nullif(s.pmsgid, ''), t.pmsgid) IS DISTINCT FROM t.pmsgid) THEN 'UPDATED' ELSE 'UNCHANGED' END AS change FROM ({TARGET}) t FULL JOIN ({STAGED}) s ON s.srl = t.srl"""
@@ -33,7 +36,7 @@ UPSERT = f"""SELECT coalesce(t.srl, s.srl) AS srl, CASE WHEN t.srl IS NULL THEN
 
 def merged(v):
     policy = {"amount": "new", "pmsgid": F.coalesce(F.nullif(c("new_pmsgid"), F.lit("")), c("old_pmsgid"))}
-    return G.upsert(target(v), staged(v), "srl", policy, ORDER, guard=c("old_line_no") % 2 == 0)
+    return G.upsert(target(v), staged(v), "srl", policy, arrival(), guard=c("old_line_no") % 2 == 0)
 
 
 query("sink_upsert", "export_rows", UPSERT)(lambda v: merged(v).select("srl", "amount", "pmsgid", "change"))
