@@ -1,3 +1,3 @@
 """Queries over the given tables, one for each operator, with the SQL each is checked against."""
 
-from tallyforge.catalog import aggregates, joins, normalisers, plans, sinks, sources, windows  # noqa: F401
+from tallyforge.catalog import aggregates, ingestion, joins, normalisers, plans, sinks, sources, windows  # noqa: F401

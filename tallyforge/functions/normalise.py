@@ -143,13 +143,24 @@ def segment_shape(c: Column) -> Column:
 
 def subfields(text: Column) -> Column:
     """Map of ``+NN`` subfields of a statement's detail; a later value of a code wins; ``_gvc`` has what stands before."""
-    joined = F.regexp_replace(text, "\r?\n", "")
-    pairs = F.transform(F.regexp_extract_all(joined, F.lit("\\+([0-9]{2}[^+]*(?:\\+(?![0-9]{2})[^+]*)*)"), F.lit(1)), lambda x: F.struct(F.left(x, F.lit(2)).alias("code"), F.substr(x, F.lit(3)).alias("value")))
+    joined = detail_line(text)
+    return subfield_map(joined, subfield_pairs(joined))
+
+
+def detail_line(text: Column) -> Column:
+    return F.regexp_replace(text, "\r?\n", "")
+
+
+def subfield_pairs(line: Column) -> Column:
+    found = F.regexp_extract_all(line, F.lit("\\+([0-9]{2}[^+]*(?:\\+(?![0-9]{2})[^+]*)*)"), F.lit(1))
+    return F.transform(found, lambda x: F.struct(F.left(x, F.lit(2)).alias("code"), F.substr(x, F.lit(3)).alias("value")))
+
+
+def subfield_map(line: Column, pairs: Column) -> Column:
     codes = F.array_distinct(F.transform(pairs, lambda p: p["code"]))
     last = F.transform(codes, lambda c: F.struct(c.alias("key"), F.element_at(F.filter(pairs, lambda p: p["code"] == c), -1)["value"].alias("value")))
-    head = F.regexp_extract(joined, "^([^+]*(?:\\+(?![0-9]{2})[^+]*)*)", 1)
-    none = F.size(codes) == 0
-    lead = F.array(F.struct(F.when(none, "_raw").otherwise("_gvc").alias("key"), head.alias("value")))
+    head = F.regexp_extract(line, "^([^+]*(?:\\+(?![0-9]{2})[^+]*)*)", 1)
+    lead = F.array(F.struct(F.when(F.size(pairs) == 0, "_raw").otherwise("_gvc").alias("key"), head.alias("value")))
     return F.map_from_entries(F.concat(lead, last))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import MONEY, entry_date, short_date, signed, subfields
+from tallyforge.functions.normalise import MONEY, detail_line, entry_date, short_date, signed, subfield_map, subfield_pairs
 
 #: Fixed value of the format: date, entry date, mark, funds code, amount, type, owner's reference, bank's reference.
 LINE = r"^(\d{6})(\d{4})?(RC|RD|C|D)([A-Z])?(\d+,\d*)([A-Z][A-Z0-9]{3})((?:(?!//)[^\n])*)(?://([^\n]*))?"
@@ -36,8 +36,10 @@ def statement_rows(messages: DataFrame) -> DataFrame:
     paired = tags.select("message_id", "place", "tag", "value", F.when(F.lead("tag").over(w) == "86", F.lead("value").over(w)).otherwise("").alias("detail"), F.max(F.when(F.col("tag") == "25", F.trim("value"))).over(head).alias("account"), balance.alias("currency"))
     part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
     day = short_date(part(1))
-    sub = subfields(F.col("detail"))
-    return paired.filter("tag = '61'").select(
+    # column by column, so that no step is repeated in the next one's expression
+    cut_up = paired.filter("tag = '61'").withColumn("__line", detail_line(F.col("detail"))).withColumn("__pairs", subfield_pairs(F.col("__line"))).withColumn("__sub", subfield_map(F.col("__line"), F.col("__pairs")))
+    sub = F.col("__sub")
+    return cut_up.select(
         "message_id",
         "place",
         "account",
