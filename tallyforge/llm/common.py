@@ -27,9 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+def table(spark: SparkSession, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
+
+    With ``rows``, a bound of its rows, the write has a task for every 10,000 of them, but one per core at least,
+    instead of one for every shuffle partition.
+    """
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 10_000))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
