@@ -159,8 +159,8 @@ def score_quality(
 ) -> DataFrame:
     """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 from ``cut`` on).
 
-    ``labels`` has the rows to learn from; ids, sources and labels are never features. Whole texts are scored; an empty,
-    blank or null text has no features and gets the bias alone. Null ids match no label; repeated rows are scored
+    ``labels`` has the rows to learn from; ids, sources and labels are never features. Whole texts are scored; an empty
+    or null text has no features and gets the bias alone. Null ids match no label; repeated rows are scored
     alike; an id that is labelled twice counts once. Input columns named like an output column are replaced. ``keep``
     names the columns to return besides (default: all).
     """
