@@ -9,8 +9,10 @@ from tallyforge.llm.common import Words, chunks, mix64, table, without
 from tallyforge.llm.decontaminate import joined
 
 OUT = ("class_id", "class_key")
-#: Rounds that bring no new link before the search ends; the first round has one order for all buckets, so it never ends there.
+#: Rounds that bring no new link before all pairs that are left are compared; the first round never counts as one.
 QUIET_ROUNDS = 1
+#: Members of a block, about; two blocks of a bucket are compared in one group.
+BLOCK = 512
 
 
 def bag(doc, shingle):
@@ -151,6 +153,131 @@ def overlaps(k: int):
     return run
 
 
+GROUP = ("g", "x", "y")
+
+
+def block_alike(least: float):
+    """An applyInArrow function: all pairs of a group whose components differ and whose sketches agree in ``least``.
+
+    A group has two blocks of a bucket (sides 0 and 1, each member of one meets each of the other), or one side of
+    whole blocks, whose members meet each other within their bucket.
+    """
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        bucket, side, v, comp = (rows.column(c).to_numpy() for c in ("bucket", "side", "v", "comp"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(v), -1)
+        order = np.lexsort((side, bucket))
+        bucket, side, v, comp, sketch = bucket[order], side[order], v[order], comp[order], sketch[order]
+        here = np.arange(len(v))
+        end = np.searchsorted(bucket, bucket, side="right")
+        if side.any():
+            first = np.full(len(v), int((side == 0).sum()))
+            end = np.where(side == 0, end, first)
+        else:
+            first = here + 1
+        ends = np.cumsum(np.maximum(end - first, 0))
+        found, at = [], 0
+        while at < len(v):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, side="right")))
+            n = np.maximum(end[at:upto] - first[at:upto], 0)
+            i = np.repeat(here[at:upto], n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:upto], n)
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+            same = np.bitwise_count(np.packbits(sketch[i] == sketch[j], axis=1)).sum(axis=1)
+            near = same >= least * sketch.shape[1]
+            found.append(np.stack((v[i[near]], v[j[near]])))
+            at = upto
+        a, b = np.concatenate(found, axis=1)
+        keys = [pa.array(np.full(len(a), rows.column(c)[0].as_py(), np.int64)) for c in GROUP]
+        return pa.Table.from_arrays([*keys, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], [*GROUP, "a", "b"])
+
+    return run
+
+
+def block_overlaps(k: int, threshold: float):
+    """An applyInArrow function: the pairs (a, b) of a group whose weighted Jaccard is at least ``threshold``.
+
+    Rows with b are pairs, those without are the texts of their ends. Each text is cut into shingles once; the nth
+    occurrence of a shingle is a token of its own, so multisets are sets, and what two share is counted in bit rows.
+    """
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pair = rows.column("b").is_valid()
+        pairs, texts = rows.filter(pair), rows.filter(pc.invert(pair)).combine_chunks()
+        vs = texts.column("a").to_numpy()
+        column = lowered(texts.column("text").combine_chunks())
+        docs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for start, stop in chunks(column):
+            doc, shingle, count = bag(*Words(column.slice(start, stop - start)).ngrams(k))
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            with np.errstate(over="ignore"):
+                tokens.append(mix64(np.repeat(shingle, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            docs.append(np.repeat(doc, count) + start)
+        doc, token = np.concatenate(docs), np.concatenate(tokens)
+        size = np.bincount(doc, minlength=len(vs))
+        _, token, often = np.unique(token, return_inverse=True, return_counts=True)
+        shared = often > 1
+        doc, token = doc[shared[token]], (np.cumsum(shared) - 1)[token[shared[token]]]
+        order = np.argsort(token, kind="stable")
+        doc, token = doc[order], token[order]
+        place = np.argsort(vs)
+        a, b = (place[np.searchsorted(vs[place], pairs.column(c).to_numpy())] for c in ("a", "b"))
+        both, wide = np.zeros(len(a), np.int64), 1 << 13
+        for low in range(0, int(shared.sum()), wide):
+            lo, hi = np.searchsorted(token, (low, low + wide))
+            held = np.zeros((len(vs), wide), bool)
+            held[doc[lo:hi], token[lo:hi] - low] = True
+            bits = np.packbits(held, axis=1).view(np.uint64)
+            for at in range(0, len(a), 8192):
+                both[at : at + 8192] += np.bitwise_count(bits[a[at : at + 8192]] & bits[b[at : at + 8192]]).sum(axis=1, dtype=np.int64)
+        keep = both / np.maximum(size[a] + size[b] - both, 1) >= threshold
+        return pa.Table.from_arrays([pa.array(vs[a[keep]]), pa.array(vs[b[keep]])], ["a", "b"])
+
+    return run
+
+
+def all_links(spark: SparkSession, placed: DataFrame, sketches: DataFrame, texts: DataFrame, *, k: int, threshold: float) -> DataFrame:
+    """The links (a, b) among all pairs of members (bucket, v, comp) of one bucket that lie in different components.
+
+    A bucket of more than ``BLOCK`` members is dealt over blocks, by hash: large components over blocks of their own,
+    the others together. Each two blocks of a bucket meet in one group, except those of the same component; small
+    buckets share groups. Pairs whose sketches are alike go on, each in one of its groups, where they are verified.
+    """
+    ceil = lambda n: F.ceil(n / F.lit(BLOCK))
+    live = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    open_ = table(spark, placed.join(live, "bucket").select("bucket", "v", "comp"), "left")
+    bins = open_.count() // 2048 + 1
+    parts = open_.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    rest = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("rest"))
+    parts = table(spark, parts.join(rest, "bucket"), "parts")
+    large = F.col("m") >= BLOCK
+    salt = F.when(F.col("n") <= BLOCK, 0).when(large, F.pmod(F.xxhash64("v"), ceil(F.col("m")))).otherwise(F.pmod(F.xxhash64("comp"), ceil(F.col("rest"))))
+    own = F.when(large & (F.col("n") > BLOCK), F.col("comp"))
+    block = F.when(own.isNotNull(), F.xxhash64("comp", salt)).otherwise(salt.cast("long"))
+    spread = open_.join(parts, ["bucket", "comp"]).join(sketches, "v").select("bucket", "v", "comp", "sketch", "n", own.alias("own"), block.alias("block"))
+    small = spread.filter(F.col("n") <= BLOCK).select(F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("g"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "bucket", F.lit(0).alias("side"), "v", "comp", "sketch")
+    hot = table(spark, spread.filter(F.col("n") > BLOCK), "hot")
+    blocks = table(spark, hot.select("bucket", "block", "own").distinct(), "blocks")
+    one, two = (blocks.select("bucket", F.col("block").alias(b), F.col("own").alias(o)) for b, o in (("x", "own_x"), ("y", "own_y")))
+    meet = one.join(two, "bucket").filter("x <= y AND NOT coalesce(own_x = own_y, false)").select("bucket", "x", "y")
+    sides = [hot.join(meet.withColumn("block", F.col(c)), ["bucket", "block"]).filter(w).select(F.col("bucket").alias("g"), "x", "y", "bucket", F.lit(i).alias("side"), "v", "comp", "sketch") for i, (c, w) in enumerate((("x", "true"), ("y", "x <> y")))]
+    rows = small.unionByName(sides[0]).unionByName(sides[1])
+    near = rows.groupBy(*GROUP).applyInArrow(block_alike(threshold - 0.18), "g long, x long, y long, a long, b long")
+    near = table(spark, near.groupBy("a", "b").agg(F.min(F.struct(*GROUP)).alias("at")).select("at.*", "a", "b"), "near")
+    ends = near.select(*GROUP, "a").unionByName(near.select(*GROUP, F.col("b").alias("a"))).distinct()
+    ends = ends.join(texts.select(F.col("v").alias("a"), "text"), "a").select(*GROUP, "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = near.select(*GROUP, "a", "b", F.lit(None).cast("string").alias("text")).unionByName(ends)
+    return rows.groupBy(*GROUP).applyInArrow(block_overlaps(k, threshold), "a long, b long")
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(v, comp) of every end of the links (a, b): comp is the least v of the connected component.
 
@@ -189,14 +316,14 @@ def near_duplicates(
     is at least ``threshold``; classes are the connected components. Equal texts are one vertex from the start, so a
     group of copies costs one row. With 32 bands of 4 registers a pair at 0.8 misses all bands with probability 5e-8.
 
-    Within a bucket no pairs are written out; members are compared with centres, in rounds. The first round has one
+    Rounds join what is easily joined: members of a bucket are compared with centres. The first round has one
     centre, the member whose buckets hold the most: what copies of a text have in common they have through it. Each further round has ``growth`` times as many, drawn anew, for members outside the
-    centre's component; of two components, the members of the smaller meet centres of the larger. A bucket is done once it is one component, or once all of its members have been centres; the
-    search ends when no bucket is left or when a round brings no new link (a linked pair shares about 13 of the 32
-    buckets, each with centres of its own). A comparison looks at the registers' sketches first: pairs that agree in less
+    centre's component; of two components, the members of the smaller meet centres of the larger, and of many pairs
+    between the same two the sixteen most alike go on. Rounds end when one brings no new link. Then, in every bucket
+    that isn't one component, each two members of different components are compared (``all_links``), so which pairs
+    the rounds chose decides the time only. A comparison looks at the registers' sketches first: pairs that agree in less
     than ``threshold`` - 0.18 of 128 registers (five standard deviations; 2e-6 of the pairs at the threshold) are not
-    links. As one link joins two components, of many pairs between the same two the sixteen most alike go on in a round.
-    All of those are verified on the whole texts; shingles are compared as 64-bit hashes.
+    links. All others are verified on the whole texts; shingles are compared as 64-bit hashes.
 
     A null text is a class of its own, empty texts are copies of each other, a text of fewer than k words has one
     shingle. Vertices are 64-bit text hashes. Null ids are never the least; a class of null ids has a null class_id.
@@ -222,6 +349,7 @@ def vertex_classes(spark: SparkSession, docs: DataFrame, *, k: int, threshold: f
     entries = one.select("v", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
     members = table(spark, entries.join(shared, "bucket").select("bucket", "v", "met"), "members")
+    everyone = members
     known = members.groupBy("v").agg(F.sum("met").alias("met"))
     bound = members.count()
     needed = table(spark, members.select("v").distinct().join(one.select("v", "rep", "sketch"), "v"), "needed", bound)
@@ -234,6 +362,11 @@ def vertex_classes(spark: SparkSession, docs: DataFrame, *, k: int, threshold: f
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return full.mapInArrow(overlaps(k), "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(spark, links)
+        sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
+        return table(spark, found.join(sizes, "comp").select("v", "comp", "size"), "sized", 2 * links.count())
+
     links, labels, quiet, step = None, None, 0, 0
     while quiet < QUIET_ROUNDS and bound:
         if step == 0:
@@ -271,11 +404,14 @@ def vertex_classes(spark: SparkSession, docs: DataFrame, *, k: int, threshold: f
             quiet += 1 if step else 0
         else:
             quiet, links = 0, new if links is None else links.unionByName(new)
-            found = components(spark, links)
-            sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
-            labels = table(spark, found.join(sizes, "comp").select("v", "comp", "size"), "sized", 2 * links.count())
+            labels = labelled(links)
         step += 1
 
+    placed = everyone.select("bucket", "v", F.col("v").alias("comp")) if labels is None else joined(spark, everyone, labels, "v", "left").select("bucket", "v", F.coalesce("comp", "v").alias("comp"))
+    new = table(spark, all_links(spark, placed, needed.select("v", "sketch"), texts, k=k, threshold=threshold), "links")
+    if not new.isEmpty():
+        labels = labelled(new if links is None else links.unionByName(new))
+
     if labels is None:
         return one.select("v", "copies", "rep", F.col("v").alias("class_key"), F.col("rep").alias("class_id"))
     keyed = one.select("v", "copies", "rep").join(labels.select("v", "comp"), "v", "left").select("v", "copies", "rep", F.coalesce("comp", "v").alias("class_key"))
