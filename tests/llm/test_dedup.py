@@ -86,6 +86,23 @@ def test_two_large_families_with_one_link_between_them(spark):
     assert {r["class_id"] for r in D.near_duplicates(spark, docs).collect()} == {0}
 
 
+def test_recall_in_a_large_family_just_below_the_threshold(spark):
+    """300 texts that share a template (0.76 each two) hide 6 real pairs; all are found, nothing else is."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(2004)]
+    slots = {i: rng.sample(range(400), 28) for i in range(300)}
+    texts = {i: changed(base, s, f"t{i}") for i, s in slots.items()}
+    for i in range(6):  # the twin keeps 9 of the changes and has 19 of its own
+        own = rng.sample([x for x in range(400) if x not in slots[i]], 19)
+        texts[150 + i] = changed(base, [*slots[i][:9], *own], {**{x: f"t{i}-{x}" for x in slots[i]}, **{x: f"t{150 + i}-{x}" for x in own}})
+    sets = {i: set(t.split()) for i, t in texts.items()}  # 2004 words; each changed word takes five shingles with it
+    real = {(a, b) for a, b in combinations(range(300), 2) if len(sets[a] & sets[b]) >= 1956 and sum((shingles(texts[a]) & shingles(texts[b])).values()) >= 0.8 * sum((shingles(texts[a]) | shingles(texts[b])).values())}
+    assert real == {(i, 150 + i) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(spark, docs).collect()}
+    assert got == {i: i - 150 if 150 <= i < 156 else i for i in range(300)}
+
+
 def test_registers_agree_as_often_as_multisets_overlap():
     rng = random.Random(1)
     a = [f"s{rng.randint(0, 60)}" for _ in range(300)]
