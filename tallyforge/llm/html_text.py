@@ -44,6 +44,11 @@ SCOPE = {
     "optgroup": frozenset(("select", "body")),
 }
 TABLE_SCOPE = frozenset(("table", "body"))
+#: Elements that hold nothing but parts of a table, and the parts, each with those it may stand in.
+TABLE_PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
+PART_OF = {"tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr", "table", "thead", "tbody", "tfoot"), "col": ("colgroup", "table")}
+PART_OF |= {"th": PART_OF["td"], **dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",))}
+IN_HEAD = frozenset("title meta link style script noscript base template basefont bgsound noframes".split())
 P_SCOPE = frozenset(("td", "th", "caption", "table", "button", "body", "object"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -67,7 +72,10 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def build(source: str) -> Node:
-    """The element tree: start tags imply the end tags that the standard names, end tags without a start are ignored."""
+    """The element tree: start tags imply the end tags that the standard names, end tags without a start are ignored.
+
+    A head ends at what can't stand in it, a cell outside a row gets one, and what can't stand in a table goes before it.
+    """
     root = Node("body", {})
     stack = [root]
 
@@ -79,12 +87,28 @@ def build(source: str) -> Node:
             if stack[i].tag in scope:
                 return
 
+    def table_at() -> int:
+        """The place of the innermost open table in the stack, or 0."""
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+
+    def add(child: Node | str) -> None:
+        i = table_at() if stack[-1].tag in TABLE_PARTS and (child.strip(" \t\r\n\f") if isinstance(child, str) else child.tag not in PART_OF) else 0
+        if not i:
+            stack[-1].children.append(child)
+            return
+        above = stack[i - 1].children
+        j = next(j for j in range(len(above) - 1, -1, -1) if above[j] is stack[i])
+        above.insert(j, child)
+
     at, size = 0, len(source)
     while at < size:
         m = TOKEN.search(source, at)
         begin = m.start() if m else size
         if begin > at:
-            stack[-1].children.append(html.unescape(source[at:begin]))
+            text = html.unescape(source[at:begin])
+            if stack[-1].tag == "head" and text.strip(" \t\r\n\f"):
+                stack.pop()
+            add(text)
         if not m:
             break
         at = m.end()
@@ -93,7 +117,7 @@ def build(source: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+                add(Node("p", {}))
             elif tag not in ("html", "body"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -102,8 +126,12 @@ def build(source: str) -> Node:
                     if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                         break
             continue
-        if tag in ("html", "body"):
+        if tag == "body":
+            close(("head",), frozenset())
+        if tag in ("html", "body") or tag == "head" and (len(stack) > 1 or any(not isinstance(c, str) or c.strip() for c in root.children)):
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             close(("p",), P_SCOPE)
         if tag in CLOSES:
@@ -111,8 +139,15 @@ def build(source: str) -> Node:
                 close((implied,), SCOPE.get(tag, TABLE_SCOPE))
         if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
+        if tag in PART_OF and (i := table_at()):
+            while len(stack) > i + 1 and stack[-1].tag not in PART_OF[tag]:
+                stack.pop()
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr", {})
+                add(row)
+                stack.append(row)
         node = Node(tag, attributes(m[3]) if m[3].strip(" \t\r\n/") else {})
-        stack[-1].children.append(node)
+        add(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else size]
@@ -222,9 +257,6 @@ def render_table(node: Node, out: Lines) -> None:
     widths = [max((width(r[j]) for r in rows if j < len(r)), default=0) for j in range(columns)]
     out.whole(["  ".join(c + " " * (widths[j] - width(c)) for j, c in enumerate(r)).rstrip() for r in rows if any(r)])
     out.gap(2)
-    loose = [c for c in node.children if isinstance(c, str) and c.strip()]
-    for text in loose:
-        out.text(text)
 
 
 def render(node, out: Lines, as_block: bool = False, marker: str | None = None) -> None:

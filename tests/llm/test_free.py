@@ -184,6 +184,24 @@ def test_pages(page, text):
     assert H.page_text(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title><body><p>text", "text"),
+        ("<html><head><meta charset=x><title>t</title><p>text", "text"),
+        ("<head><title>t</title>text", "text"),
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><tbody><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><div>note</div><tr><td>a</table>x", "note\n\na\n\nx"),
+        ("<table><tr>one<td>a<tbody>two<b>three</b></tbody></table>", "onetwothree\n\na"),
+        ("<table><tr><td>a<table><td>in</table>b<td>c</table>", "a in b  c"),
+        ("<table><caption>cap<tr><td>a</table>", "cap\na"),
+    ],
+)
+def test_tags_that_a_page_leaves_out(page, text):
+    assert H.page_text(page)[0] == text
+
+
 def test_pages_as_a_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("rendered", F.lit("clash"))
     got = H.extract_text(pages).collect()
