@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Tokens that may belong to personal data of these kinds hold a digit, an @ or a spelled-out one.
-MARKED = re.compile(r"\S*(?:[0-9@]|\bat\b[)\]])\S*")
+MARKED = re.compile(r"\S*[0-9@]\S*")
+SPELLED = re.compile(r"[(\[]\s*(?:at|dot)\s*[)\]]", re.I)
+#: Tokens; a spelled-out sign is in one, with the spaces within its brackets.
+WHOLE = re.compile(rf"(?:{SPELLED.pattern}|\S)+", re.I)
 TOKEN = re.compile(r"\S+")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 DIM = 1 << 12
@@ -243,30 +247,35 @@ def viterbi(model, sequences: list[list[str]]) -> list[list[int]]:
 
 
 def windows(text: str, around: int = 2) -> list[list[tuple[int, int]]]:
-    """Token runs (start, end) to decode: tokens with a digit or @, with up to ``around`` tokens at either side.
+    """Token runs (start, end) to decode: tokens with a digit, @ or a spelled-out (at) or (dot), and ``around`` at either side.
 
-    Labels other than O begin and end within such runs, since every kind has those characters.
+    A run goes on as long as the next such token is near, so an address with many dots is in one run to its end.
     """
-    runs: list[list[tuple[int, int]]] = []
-    if "@" not in text and not DIGIT.search(text) and "(at)" not in text and "[at]" not in text:
-        return runs
-    for m in MARKED.finditer(text):
-        left = [(m.start() - len(tail) + x.start(), m.start() - len(tail) + x.end()) for tail in [text[max(0, m.start() - 60) : m.start()]] for x in TOKEN.finditer(tail)][-around:]
-        right = [(m.end() + x.start(), m.end() + x.end()) for x in TOKEN.finditer(text[m.end() : m.end() + 60])][:around]
-        own = [*left, (m.start(), m.end()), *right]
-        if runs and own[0][0] <= runs[-1][-1][1]:
-            upto = m.start()  # what the last run took as its right side is decoded anew from here on
-            runs[-1] = [x for x in runs[-1] if x[1] <= upto]
-            runs[-1] += [x for x in own if not runs[-1] or x[0] >= runs[-1][-1][1]]
+    spelled = SPELLED.search(text) is not None
+    if not spelled and "@" not in text and not DIGIT.search(text):
+        return []
+    tokens = [m.span() for m in (WHOLE if spelled else TOKEN).finditer(text)]
+    starts = [a for a, _ in tokens]
+    marks = sorted({bisect_right(starts, m.start()) - 1 for p in ((MARKED, SPELLED) if spelled else (MARKED,)) for m in p.finditer(text)})
+    runs: list[list[int]] = []
+    for i in marks:
+        low, high = max(0, i - around), min(len(tokens), i + around + 1)
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = high
         else:
-            runs.append(own)
-    return runs
+            runs.append([low, high])
+    return [tokens[low:high] for low, high in runs]
+
+
+def read(token: str) -> str:
+    """The token as the random field sees it: spelled-out signs without spaces, in lower case."""
+    return SPELLED.sub(lambda m: "".join(m[0].split()).lower(), token) if token[-1] in ")]" or "(" in token or "[" in token else token
 
 
 def decoded_spans(model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the random field finds in each text."""
     runs = [(i, run) for i, text in enumerate(texts) for run in windows(text)]
-    paths = viterbi(model, [[texts[i][a:b] for a, b in run] for i, run in runs])
+    paths = viterbi(model, [[read(texts[i][a:b]) for a, b in run] for i, run in runs])
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, run), path in zip(runs, paths, strict=True):
         open_at = None

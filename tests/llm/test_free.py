@@ -119,6 +119,18 @@ def test_the_field_adds_spans_and_leaves_clean_texts():
         assert found(clean) == []
 
 
+@pytest.mark.parametrize("address", ["jane (at) mail (dot) com", "jane (at) mail (dot) co (dot) uk", "jane ( at ) mail ( dot ) com", "jane (AT) mail (DOT) com", "jane [AT] mail [dot] com"])
+def test_spelled_out_addresses_are_redacted_whole(address):
+    text = f"please write to {address} today"
+    (_, spans), = pii.all_spans(pii.train_crf(), [text])
+    assert pii.redacted(text, spans) == "please write to <EMAIL> today"
+
+
+def test_runs_have_whole_tokens():
+    text = "x" * 90 + " 1 " + "y" * 90
+    assert pii.windows(text) == [[(0, 90), (91, 92), (93, 183)]]
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
