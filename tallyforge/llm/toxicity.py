@@ -17,11 +17,10 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Tokens with more than one path through the lattice. A disguised word holds a letter and a sign, or is spelled out
 #: with separators, or repeats a letter three times or more.
 SPACED = r"(?<![^\W_])(?:[a-z0-9@$!|+](?:[ ._\-*]{1,2})){2,}[a-z0-9@$!|+](?![^\W_])"
-SIGNED = r"(?:[a-z]+[0-9@$!|+(€*]+|[0-9@$!|+(€]+)[a-z](?:[a-z0-9@$!|+(€*]*[a-z0-9@$€])?"
+SIGNED = r"(?:[a-z]+[0-9@$!|+(€*]+|[0-9@$!|+(€]+)[a-z][a-z0-9@$!|+(€*]*|[a-z]+[0-9@$!|+(€*]+"
 REPEATED = r"[^\W\d_]*([a-z])\1\1[^\W\d_]*"
 DISGUISED = re.compile(f"{SPACED}|{SIGNED}|{REPEATED}")
-#: Most characters of one decoded token; a longer one is no word and stays as it is.
-LONGEST = 64
+ENDS = "0123456789@$!|+(€*"
 ALPHABET = 30  # 0: anything but letters; 1-26: a-z; 27: letters beyond ASCII; 28: digits
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 64)
@@ -86,22 +85,29 @@ class Decoder:
         self.model, self.seen = model.tolist(), {}
 
     def __call__(self, token: str) -> str:
-        if len(token) > LONGEST:
-            return token
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            got = self.seen[token] = self.decode(token)
+            if re.fullmatch(SPACED, token):
+                got = " ".join(self.decode(x, True) for x in self.words(token))
+            else:
+                got = self.decode(token, False)
+            self.seen[token] = got
         return got
 
+    @staticmethod
+    def words(token: str) -> list[str]:
+        """The words of a spelled-out run: it is split at double spaces, unless all its gaps are such."""
+        return token.split("  ") if re.search(r"[^\W_][ ._\-*][^\W_]", token) else [token]
+
     @staticmethod
     def symbol(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 28 if c.isdigit() else 27 if c.isalpha() else 0
 
-    def decode(self, token: str) -> str:
-        spelled = re.fullmatch(SPACED, token) is not None
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def decode(self, token: str, spelled: bool) -> str:
+        # a state has its score and what came out, as the last character and a pointer to those before
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, c in enumerate(token):
             options: list[tuple[str, float]] = []
             if spelled and c in " ._-*" and i % 2 + (i > 1) and not (c == "*" and token[i - 1] in " ._-"):
@@ -110,11 +116,11 @@ class Decoder:
                 letter = c.isalpha()
                 options.append((c, 0.0 if letter else self.KEEP))
                 options += [(x, self.SWAP) for x in SIGNS.get(c, "")]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, text) in states.items():
                 for out, price in options:
                     moves = [(out, price)]
-                    if out and text and text[-1] == out:
+                    if out and text and text[0] == out:
                         moves = [("", 0.0), (out, price + (self.AGAIN if i > 1 and token[i - 1] == token[i - 2] else 0.0))]
                     for o, p in moves:
                         if o:
@@ -123,15 +129,20 @@ class Decoder:
                         else:
                             key, value = (a, b), score + p
                         if key not in new or value > new[key][0]:
-                            new[key] = (value, text + o)
+                            new[key] = (value, (o, text) if o else text)
             states = new
-        return max(((score + self.model[a][b][0], text) for (a, b), (score, text) in states.items()))[1]
+        _, last = max(((score + self.model[a][b][0], text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])
+        out = []
+        while last:
+            out.append(last[0])
+            last = last[1]
+        return "".join(reversed(out))
 
 
 def suspects(column) -> dict[int, set[int]]:
     """Lines (by number) of each lower-case text that may hold a disguised token.
 
-    Each such token has a sign before a letter, a letter three times in a row, or two single characters with
+    Each such token has a sign beside a letter, a letter three times in a row, or two single characters with
     separators around them.
     """
     import numpy as np
@@ -144,7 +155,8 @@ def suspects(column) -> dict[int, set[int]]:
     sign = np.isin(raw, np.frombuffer(b"0123456789@$!|+(*\xac", np.uint8))  # the last byte of the euro sign
     gap = np.isin(raw, np.frombuffer(b" ._-*", np.uint8))
     flag = np.zeros(len(raw), bool)
-    flag[:-1] |= sign[:-1] & letter[1:]
+    flag[:-1] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
+    flag[:-2] |= letter[:-2] & (raw[1:-1] == 0xE2) & (raw[2:] == 0x82)  # a euro sign after a letter
     flag[:-2] |= letter[:-2] & (raw[1:-1] == raw[:-2]) & (raw[2:] == raw[:-2])
     lone = np.zeros(len(raw), bool)
     lone[1:-1] = (letter | sign)[1:-1] & gap[2:] & ~((raw[:-2] >= 128) | letter[:-2])
@@ -169,8 +181,15 @@ def restored(decoder: Decoder, texts) -> list[str]:
     import pyarrow.compute as pc
 
     def swap(m: re.Match) -> str:
-        got = decoder(m[0])
-        return m[0] if got == m[0] else f"{m[0]} {got} "
+        token, got = m[0], []
+        core, letters = token.rstrip("!|+(*"), token.rstrip(ENDS)
+        if core != token and DISGUISED.fullmatch(core):  # the signs at the end may be punctuation
+            got.append(decoder(core))
+        whole = decoder(token)
+        if letters == token or not whole.endswith(token[len(letters) :]) or DISGUISED.fullmatch(letters):
+            got.append(whole)
+        got = [x for x in dict.fromkeys(got) if x != token]
+        return " ".join([token, *got, ""]) if got else token
 
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
     out = lower.to_pylist()

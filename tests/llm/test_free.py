@@ -69,6 +69,14 @@ def test_disguised_words_are_restored(text, word):
     assert word in toxicity.restored(decoder(), pa.array([text]))[0].split()
 
 
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [("  ".join(" ".join(w) for w in "you are an idiot and a stupid loser but worthless people".split()), "worthless"), ("st" + "u" * 80 + "pid", "stupid"), ("a worthle$$ one", "worthless"), ("you are an id!0+", "idiot"), ("the 1o$3r a l0$3", "lose")],
+)
+def test_long_and_sign_ended_words_are_restored(text, word):
+    assert word in toxicity.restored(decoder(), pa.array([text]))[0].split()
+
+
 def test_plain_texts_stay():
     texts = ["Nothing to see, 42 times.", "", None, "a b", "é ünïcode"]
     assert toxicity.restored(decoder(), pa.array(texts)) == [(t or "").lower() for t in texts]
