@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A side of at most so many bytes, by its counted rows, is broadcast; beyond it is shuffled.
+BROADCAST_BYTES = 32_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    A local session without that setting (a test) gets a folder of its own; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -40,6 +46,23 @@ def table(spark: SparkSession, df: DataFrame, name: str, rows: int | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(spark: SparkSession, left: DataFrame, right: DataFrame, on, how: str, width: int = 64) -> DataFrame:
+    """Join with ``right``, a stored table of about ``width`` bytes a row, which is broadcast if its counted rows allow it."""
+    return left.join(F.broadcast(right) if right.count() * width <= BROADCAST_BYTES else right, on, how)
+
+
+def text_rows(docs: DataFrame, names: Sequence[str], text_col: str) -> tuple[DataFrame, int, str]:
+    """(rows, place, schema): ``names`` of ``docs`` with the text once, its place, and the DDL of ``names``.
+
+    A text that isn't among ``names`` comes last, as __text; functions over these rows return the first len(names) columns.
+    """
+    rows = docs.select(*[F.col(f"`{n}`") for n in names])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    if text_col in names:
+        return rows, list(names).index(text_col), schema
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).alias("__text")), len(names), schema
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop input columns whose names an operator is about to write."""
     taken = {n.lower() for n in names}
@@ -62,7 +85,7 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(column, most_bytes: int = 4_000_000):
+def chunks(column, most_bytes: int = 1_000_000):
     """Slices (start, stop) of an Arrow string column of about ``most_bytes`` of text each; a longer text is alone."""
     import pyarrow.compute as pc
 

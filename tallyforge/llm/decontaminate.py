@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, without
+from tallyforge.llm.common import joined, table, without
 
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z counts as a-z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: Below this many rows (16 bytes each) the benchmark's fingerprints are broadcast; beyond it they are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -66,11 +64,6 @@ def fingerprints(df: DataFrame, k: int, span: int) -> DataFrame:
     return window_min(runs_of(df, k), "g", "__m", span - k + 1).withColumn("fp", F.array_distinct("__m")).drop("g", "__m")
 
 
-def joined(spark: SparkSession, left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """Join with ``right`` (a table in the shared folder), which is broadcast if its counted rows allow it."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
-
-
 def overlap(
     spark: SparkSession,
     docs: DataFrame,

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, without
-from tallyforge.llm.decontaminate import joined, spans
+from tallyforge.llm.common import joined, table, without
+from tallyforge.llm.decontaminate import spans
 
 OUT = ("n_licenses", "licenses", "matches")
 

@@ -1,43 +1,52 @@
-"""Quality classifier: learned hashed vectors of words and character n-grams, averaged per document, with a softmax."""
+"""Quality classifier: learned hashed vectors of word and character n-grams, averaged per document, with a softmax."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, chunks, held_in, mix64, without
+from tallyforge.llm.common import Words, chunks, held_in, mix64, text_rows, without
 
 OUT = ("score", "predicted")
 #: Rows that training looks at, at most: those of least hash of their id.
 SAMPLE = 4000
 BUCKETS = 1 << 15
 CHARS = (3, 4)
+#: Bytes of text that are worked on at once, about; a longer text is alone.
+CHUNK = 250_000
 
 
 def text_features(texts):
-    """(doc, bucket) of all features of a chunk of texts: words, equal neighbours, character n-grams over word ends.
+    """(doc, bucket) of all features of a chunk of texts: words, runs of two words, character n-grams of single words.
 
-    A text without words has none.
+    A character n-gram lies within a word and the space at either end of it, so it is a subword. A word that comes again
+    right after itself makes the same pair whatever the word. A text without words has no features.
     """
     import numpy as np
 
     words = Words(texts)
     with np.errstate(over="ignore"):
-        same = np.flatnonzero((words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])) + 1
-        again = np.full(len(same), mix64(np.array([77], np.uint64))[0])  # one feature: the word before comes again
-        docs = [words.doc, words.doc[same]]
-        hashes = [words.hash, again]
-        codes = mix64(np.arange(1000, 1256, dtype=np.uint64))[words.data]
-        owner = np.repeat(np.arange(words.n), np.diff(words.at))
+        docs, hashes = [words.doc], [words.hash]
+        near = words.doc[1:] == words.doc[:-1]
+        one, two = words.hash[:-1][near], words.hash[1:][near]
+        docs.append(words.doc[1:][near])
+        hashes.append(np.where(one == two, np.uint64(77), mix64(one * np.uint64(3) + two)))
+        codes = mix64(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)[words.data]
+        owner = np.repeat(np.arange(words.n, dtype=np.int32), np.diff(words.at))
+        word = ~((words.data == 32) | ((words.data >= 9) & (words.data <= 13)))
         for n in CHARS:
             if len(codes) >= n:
-                h = np.zeros(len(codes) - n + 1, np.uint64)
+                last = len(codes) - n + 1
+                at = owner[:last] == owner[n - 1 :]
+                for j in range(1, n - 1):
+                    at &= word[j : last + j]
+                at = np.flatnonzero(at)
+                h = np.zeros(len(at), np.uint32)
                 for j in range(n):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - n + 1 + j]
-                inside = owner[: len(owner) - n + 1] == owner[n - 1 :]
-                docs.append(owner[: len(owner) - n + 1][inside])
-                hashes.append(h[inside] ^ (h[inside] >> np.uint64(29)))
-    return docs, [(h % np.uint64(BUCKETS)).astype(np.int64) for h in hashes]
+                    h = h * np.uint32(0x9E3779B1) + codes[at + j]
+                docs.append(owner[at])
+                hashes.append(h ^ (h >> np.uint32(15)))
+    return docs, [(h % h.dtype.type(BUCKETS)).astype(np.int32) for h in hashes]
 
 
 def counted(batches):
@@ -46,10 +55,10 @@ def counted(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for start, stop in chunks(batch.column(1), 1_000_000):
+        for start, stop in chunks(batch.column(1), CHUNK):
             part = batch.slice(start, stop - start)
             docs, ids = text_features(part.column(1))
-            key, count = np.unique(np.concatenate(docs) * BUCKETS + np.concatenate(ids), return_counts=True)
+            key, count = np.unique(np.concatenate(docs).astype(np.int64) * BUCKETS + np.concatenate(ids), return_counts=True)
             doc = key // BUCKETS
             total = np.bincount(doc, count, minlength=len(part))
             offsets = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32))
@@ -108,10 +117,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     """
     import numpy as np
 
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("h"))
-    known = known.dropDuplicates(["__lid"]).orderBy("h", "__lid").limit(sample).select("__lid", "label")
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid"))
+    known = known.agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    known = known.orderBy(F.xxhash64("__lid"), "__lid").limit(sample)
     rows = docs.select(F.col(id_col).alias("__did"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("__did") == F.col("__lid"))
-    got = rows.select("label", "text").mapInArrow(counted, "label int, buckets array<int>, shares array<float>").toArrow()
+    # of rows that share an id one is learned, the one of greatest text, so that the sample bounds what the driver receives
+    one = rows.groupBy("__lid").agg(F.max(F.struct("text", "label")).alias("r")).select("r.label", "r.text")
+    got = one.mapInArrow(counted, "label int, buckets array<int>, shares array<float>").toArrow()
     if not got.num_rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     lists = [got.column(c).combine_chunks() for c in (1, 2)]
@@ -124,8 +136,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     return train([int(label[i]) for i in order], [parts[0][i] for i in order], [parts[1][i] for i in order])
 
 
-def scorer(model):
-    """A mapInArrow function over (..., text): the text column becomes the score."""
+def scorer(model, at: int, n: int):
+    """A mapInArrow function: the first ``n`` columns and the score of the text in column ``at``."""
 
     def run(batches):
         import numpy as np
@@ -133,15 +145,15 @@ def scorer(model):
 
         weights, bias = model.value
         for batch in batches:
-            for start, stop in chunks(batch.column(batch.num_columns - 1), 2_000_000):
+            for start, stop in chunks(batch.column(at), CHUNK):
                 part = batch.slice(start, stop - start)
-                docs, ids = text_features(part.column(part.num_columns - 1))
+                docs, ids = text_features(part.column(at))
                 total, count = np.zeros(len(part)), np.zeros(len(part))
                 for doc, bucket in zip(docs, ids, strict=True):
                     total += np.bincount(doc, weights[bucket], minlength=len(part))
                     count += np.bincount(doc, minlength=len(part))
                 score = 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(score)], [*part.schema.names[:n], "score"])
 
     return run
 
@@ -161,15 +173,14 @@ def score_quality(
 
     ``labels`` has the rows to learn from; ids, sources and labels are never features. Whole texts are scored; an empty
     or null text has no features and gets the bias alone. Null ids match no label; repeated rows are scored
-    alike; an id that is labelled twice counts once. Input columns named like an output column are replaced. ``keep``
+    alike; an id that is labelled twice counts once, as 1 if either label is. Input columns named like an output column are replaced. ``keep``
     names the columns to return besides (default: all).
     """
     docs = without(docs, OUT)
     model = spark.sparkContext.broadcast(fit(spark, docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     names = docs.columns if keep is None else keep
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
-    scored = rows.mapInArrow(scorer(model), schema)
+    rows, at, schema = text_rows(docs, names, text_col)
+    scored = rows.mapInArrow(scorer(model, at, len(names)), f"{schema}, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 

@@ -8,8 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, chunks, held_in, span_hashes, without
-from tallyforge.llm.decontaminate import joined
+from tallyforge.llm.common import Words, chunks, held_in, joined, span_hashes, table, text_rows, without
 
 OUT = ("score", "predicted")
 #: What a sign may stand for, besides itself.
@@ -25,6 +24,8 @@ ALPHABET = 30  # 0: anything but letters; 1-26: a-z; 27: letters beyond ASCII; 2
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 64)
 FEATURES = 7
+#: Bytes of text that are worked on at once, about; a longer text is alone.
+CHUNK = 500_000
 #: Labelled rows that calibrate the score, at most.
 SAMPLE = 20_000
 #: Weight of the prior in a feature's log odds, in words.
@@ -235,7 +236,7 @@ def feature_counts(model):
 
         decoder, total = Decoder(model.value), np.zeros((BUCKETS + 1, 4), np.int64)
         for batch in batches:
-            for start, stop in chunks(batch.column(2), 2_000_000):
+            for start, stop in chunks(batch.column(2), CHUNK):
                 part = batch.slice(start, stop - start)
                 cell = np.asarray(part.column(1)) * 2 + np.asarray(part.column(0))
                 _, doc, buckets = word_buckets(restored(decoder, part.column(2)))
@@ -280,7 +281,7 @@ def half_evidence(model, halves):
 
         decoder = Decoder(model.value)
         for batch in batches:
-            for start, stop in chunks(batch.column(2), 2_000_000):
+            for start, stop in chunks(batch.column(2), CHUNK):
                 part = batch.slice(start, stop - start)
                 half = np.asarray(part.column(1))[:, None]
                 first, second = (evidence(w, decoder, part.column(2)) for w in halves.value)
@@ -329,20 +330,24 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     model = character_model(docs, text_col)
     shared = spark.sparkContext.broadcast(model)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).alias("__lid"), (F.col(label_col) > 0).cast("int").alias("label"), F.xxhash64(id_col).alias("h")).dropDuplicates(["__lid"])
+    known = known.groupBy(F.col(id_col).alias("__lid")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    known = table(spark, known.withColumn("h", F.xxhash64("__lid")), "labels")
+    chosen = table(spark, known.orderBy("h", "__lid").limit(sample), "label-sample")
 
     def labelled(which: DataFrame) -> DataFrame:
         rows = joined(spark, docs.select(F.col(id_col).alias("__did"), F.col(text_col).alias("text")), which, F.col("__did") == F.col("__lid"), "inner")
-        return rows.select("label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), F.coalesce("text", F.lit("")).alias("text"))
+        return rows.select("__lid", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), F.coalesce("text", F.lit("")).alias("text"))
 
     parts = [f"n{h}{y}" for h in (0, 1) for y in (0, 1)]
-    sums = labelled(known).mapInArrow(feature_counts(shared), f"bucket int, {', '.join(f'{c} long' for c in parts)}").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in parts]).toArrow()
+    sums = labelled(known).drop("__lid").mapInArrow(feature_counts(shared), f"bucket int, {', '.join(f'{c} long' for c in parts)}").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in parts]).toArrow()
     counts = np.zeros((BUCKETS + 1, 4))
     counts[np.asarray(sums.column(0))] = np.stack([np.asarray(sums.column(j)) for j in range(1, 5)], axis=1)
     counts, words = counts[:BUCKETS], counts[BUCKETS]
     whole = log_odds(counts[:, :2] + counts[:, 2:], words[:2] + words[2:]).astype(np.float32)
     halves = spark.sparkContext.broadcast([log_odds(counts[:, 2 * h : 2 * h + 2], words[2 * h : 2 * h + 2]).astype(np.float32) for h in (0, 1)])
-    tried = labelled(known.orderBy("h", "__lid").limit(sample)).mapInArrow(half_evidence(shared, halves), "label int, x array<double>").toArrow()
+    # of rows that share an id one is tried, the one of greatest text, so that the sample bounds what the driver receives
+    one = labelled(chosen).groupBy("__lid").agg(F.max(F.struct("text", "half", "label")).alias("r")).select("r.label", "r.half", "r.text")
+    tried = one.mapInArrow(half_evidence(shared, halves), "label int, x array<double>").toArrow()
     y = np.asarray(tried.column(0))
     if not len(y) or y.min() == y.max():
         return model, whole, np.append(np.zeros(FEATURES), 3.0 if len(y) and y.min() else -3.0)
@@ -351,7 +356,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     return model, whole, logistic(x[order], y[order])
 
 
-def scorer(fitted):
+def scorer(fitted, at: int, n: int):
+    """A mapInArrow function: the first ``n`` columns and the score of the text in column ``at``."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -359,11 +366,11 @@ def scorer(fitted):
         model, weights, final = fitted.value
         decoder = Decoder(model)
         for batch in batches:
-            for start, stop in chunks(batch.column(batch.num_columns - 1), 2_000_000):
+            for start, stop in chunks(batch.column(at), CHUNK):
                 part = batch.slice(start, stop - start)
-                x = evidence(weights, decoder, part.column(part.num_columns - 1))
+                x = evidence(weights, decoder, part.column(at))
                 score = 1 / (1 + np.exp(-np.clip(x @ final[:-1] + final[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(score)], [*part.schema.names[:n], "score"])
 
     return run
 
@@ -391,9 +398,8 @@ def score_toxicity(
     docs = without(docs, OUT)
     names = docs.columns if keep is None else keep
     fitted = spark.sparkContext.broadcast(fit(spark, docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
-    return rows.mapInArrow(scorer(fitted), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    rows, at, schema = text_rows(docs, names, text_col)
+    return rows.mapInArrow(scorer(fitted, at, len(names)), f"{schema}, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
