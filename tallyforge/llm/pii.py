@@ -10,16 +10,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import without
+from tallyforge.llm.common import chunks, text_rows, without
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address, or a run of its first part's characters that begins none, so that a long run is read once.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)?")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Tokens that may belong to personal data of these kinds hold a digit, an @ or a spelled-out one.
-MARKED = re.compile(r"\S*[0-9@]\S*")
+MARKED = re.compile(r"[0-9@]\S*")
 SPELLED = re.compile(r"[(\[]\s*(?:at|dot)\s*[)\]]", re.I)
 #: Tokens; a spelled-out sign is in one, with the spaces within its brackets.
 WHOLE = re.compile(rf"(?:{SPELLED.pattern}|\S)+", re.I)
@@ -37,13 +38,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(part: str) -> bool:
+    """At most 255, whatever its length."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by the exact rules, in order of kind, then start; failing matches are dropped, not retried."""
     found = []
     if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text) if m[1]]
     if DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -139,15 +146,18 @@ def labelled_table(rows: int = 400, seed: int = 11) -> list[list[tuple[str, str]
     return out
 
 
-@lru_cache(200_000)
 def shape(token: str) -> tuple[str, ...]:
-    """Word-shape features of a token."""
+    """Word-shape features of a token; those of short ones are kept."""
+    return short_shape(token) if len(token) <= 64 else token_shape(token)
+
+
+def token_shape(token: str) -> tuple[str, ...]:
     core = token.strip(".,;:!?\"'")
     long = re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", core)))
     runs = re.sub(r"(.)\1+", r"\1", long)
     n = sum(c in "0123456789" for c in core)
     return (
-        f"runs={runs[:24]}",
+        f"runs={runs}",
         f"long={long}" if len(long) <= 20 and not core.isalpha() else "long=word",
         f"digits={n if n < 20 else 20}",
         f"size={min(len(core), 20) if n else 'w'}",
@@ -158,6 +168,9 @@ def shape(token: str) -> tuple[str, ...]:
     )
 
 
+short_shape = lru_cache(100_000)(token_shape)
+
+
 def feature_ids(tokens: list[str]) -> list[list[int]]:
     """Hashed features of each token: its own shape, and its neighbours'."""
     import zlib
@@ -216,6 +229,12 @@ def train_crf(table=None, epochs: int = 25, rate: float = 0.4, l2: float = 1e-4)
     return weights, moves
 
 
+@lru_cache(1)
+def trained_crf():
+    """The model of the labelled table above, trained once a process (it depends on nothing else)."""
+    return train_crf()
+
+
 def viterbi(model, sequences: list[list[str]]) -> list[list[int]]:
     """Best labels of a batch of token sequences: one numpy step per place over all sequences that reach it."""
     import numpy as np
@@ -318,20 +337,25 @@ def redacted(text: str, spans) -> str:
     return "".join([*out, text[upto:]])
 
 
-def finder(model, redact: bool):
+def finder(model, at: int, n: int, redact: bool):
+    """A mapInArrow function: the first ``n`` columns, and what is found in the text in column ``at``."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = all_spans(model.value, texts)
-            counts = [pa.array([sum(k == j for k, *_ in base) for base, _ in found], pa.int64()) for j in range(4)]
-            columns = [*counts, pa.array([joined_spans(b) for b, _ in found], pa.string()), pa.array([joined_spans(a) for _, a in found], pa.string())]
-            names = list(OUT)
-            if redact:
-                columns.append(pa.array([None if t is None else redacted(t, a) for t, (_, a) in zip(batch.column(batch.num_columns - 1).to_pylist(), found, strict=True)], pa.string()))
-                names.append("redacted")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
+            for start, stop in chunks(batch.column(at), 250_000):
+                part = batch.slice(start, stop - start)
+                given = part.column(at).to_pylist()
+                found = all_spans(model.value, [t or "" for t in given])
+                counts = [pa.array([sum(k == j for k, *_ in base) for base, _ in found], pa.int64()) for j in range(4)]
+                lists = [pa.array([joined_spans(x[c]) for x in found], pa.string()) for c in (0, 1)]
+                columns, names = [*part.columns[:n], *counts, *lists], [*part.schema.names[:n], *OUT]
+                if redact:
+                    new = (None if t is None else redacted(t, spans) for t, (_, spans) in zip(given, found, strict=True))
+                    columns.append(pa.array(new, pa.string()))
+                    names.append("redacted")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -347,10 +371,10 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, *, redact: bool = F
     """
     docs = without(docs, [*OUT, *(["redacted"] if redact else [])])
     names = docs.columns if keep is None else keep
-    model = spark.sparkContext.broadcast(train_crf())
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{c} long" for c in OUT[:4]), "base_spans string", "spans string"]
-    return rows.mapInArrow(finder(model, redact), ", ".join(fields + ["redacted string"] * redact))
+    model = spark.sparkContext.broadcast(trained_crf())
+    rows, at, schema = text_rows(docs, names, text_col)
+    schema += "".join([*(f", {c} long" for c in OUT[:4]), ", base_spans string, spans string", ", redacted string" * redact])
+    return rows.mapInArrow(finder(model, at, len(names), redact), schema)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
