@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,9 +130,13 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.doc = np.searchsorted(self.at, self.start, side="right") - 1
 
+    @cached_property
+    def spans(self):
+        return Spans(self.data)
+
     @cached_property
     def hash(self):
-        return span_hashes(self.data, self.start, self.end)
+        return self.spans.hashes(self.start, self.end)
 
     @staticmethod
     def letters():
@@ -168,22 +172,42 @@ class Words:
         return doc, h
 
 
-def span_hashes(raw, start, end):
-    """64-bit hashes of the byte spans [start, end), by prefix sums of a polynomial in an odd base."""
+def powers(n: int):
+    """(powers of an odd base, powers of its inverse) modulo 2**64, ``n`` of each at least."""
+    size = max(1 << 12, 1 << (n - 1).bit_length())
+    return kept_powers(size) if size <= 1 << 20 else made_powers(size)
+
+
+def made_powers(n: int):
     import numpy as np
 
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        base = np.uint64(0x5851F42D4C957F2D)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        powers = np.full(len(raw), base)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(codes[raw] * powers, out=sums[1:])
-        undo = np.full(len(raw), inverse)
-        undo[0] = 1
-        undo = np.multiply.accumulate(undo)
-        return mix64((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64))
+    base = 0x5851F42D4C957F2D
+    both = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        run = np.full(n, np.uint64(x))
+        run[0] = 1
+        both.append(np.multiply.accumulate(run))
+    return both
+
+
+kept_powers = lru_cache(4)(made_powers)
+
+
+class Spans:
+    """64-bit hashes of byte spans of an array, by prefix sums of a polynomial in an odd base."""
+
+    def __init__(self, raw) -> None:
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            up, self.undo = powers(len(raw) + 1)
+            self.sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(codes[raw] * up[: len(raw)], out=self.sums[1:])
+
+    def hashes(self, start, end):
+        """Hashes of the spans [start, end)."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))

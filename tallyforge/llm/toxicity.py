@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, chunks, held_in, joined, span_hashes, table, text_rows, without
+from tallyforge.llm.common import Words, chunks, held_in, joined, mix64, table, text_rows, without
 
 OUT = ("score", "predicted")
 #: What a sign may stand for, besides itself.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: Tokens with more than one path through the lattice. A disguised word holds a letter and a sign, or is spelled out
-#: with separators, or repeats a letter three times or more.
+#: with separators, or repeats a letter three times or more. Patterns begin where a run of their characters does, so
+#: that a long run is read once.
 SPACED = r"(?<![^\W_])(?:[a-z0-9@$!|+](?:[ ._\-*]{1,2})){2,}[a-z0-9@$!|+](?![^\W_])"
-SIGNED = r"(?:[a-z]+[0-9@$!|+(€*]+|[0-9@$!|+(€]+)[a-z][a-z0-9@$!|+(€*]*|[a-z]+[0-9@$!|+(€*]+"
-REPEATED = r"[^\W\d_]*([a-z])\1\1[^\W\d_]*"
+SIGNED = r"(?<![a-z])[a-z]++[0-9@$!|+(€*]++(?:[a-z][a-z0-9@$!|+(€*]*+)?|(?<![0-9@$!|+(€])[0-9@$!|+(€]++[a-z][a-z0-9@$!|+(€*]*+"
+REPEATED = r"(?<![^\W\d_])(?=[^\W\d_]*?([a-z])\1\1)[^\W\d_]++"
 DISGUISED = re.compile(f"{SPACED}|{SIGNED}|{REPEATED}")
 ENDS = "0123456789@$!|+(€*"
 ALPHABET = 30  # 0: anything but letters; 1-26: a-z; 27: letters beyond ASCII; 28: digits
@@ -88,13 +90,14 @@ class Decoder:
     def __call__(self, token: str) -> str:
         got = self.seen.get(token)
         if got is None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
             if re.fullmatch(SPACED, token):
                 got = " ".join(self.decode(x, True) for x in self.words(token))
             else:
                 got = self.decode(token, False)
-            self.seen[token] = got
+            if len(token) <= 64:  # what is kept is bounded in bytes; longer tokens are decoded each time
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                self.seen[token] = got
         return got
 
     @staticmethod
@@ -103,6 +106,7 @@ class Decoder:
         return token.split("  ") if re.search(r"[^\W_][ ._\-*][^\W_]", token) else [token]
 
     @staticmethod
+    @lru_cache(4096)
     def symbol(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 28 if c.isdigit() else 27 if c.isalpha() else 0
 
@@ -211,15 +215,15 @@ def word_buckets(texts):
     import pyarrow as pa
 
     words = Words(pa.array(texts, pa.large_string()), letters=True)
-    order = np.lexsort((words.hash, words.doc))
-    doc, h = words.doc[order], words.hash[order]
-    at = order[np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))] if len(order) else order
+    with np.errstate(over="ignore"):
+        key = mix64(words.hash + words.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, at = np.unique(key, return_index=True)
     start, end = words.start[at], words.end[at]
     size = end - start
     buckets = np.full((len(at), len(PREFIXES)), -1, np.int64)
     for j, n in enumerate(PREFIXES):
         on = size >= n if n < PREFIXES[-1] else np.ones(len(size), bool)
-        h = span_hashes(words.data, start[on], np.minimum(start[on] + n, end[on]))
+        h = words.spans.hashes(start[on], np.minimum(start[on] + n, end[on]))
         buckets[on, j] = (h % np.uint64(BUCKETS)).astype(np.int64)
     return words.n, words.doc[at], buckets
 

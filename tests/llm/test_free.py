@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,14 @@ def test_long_and_sign_ended_words_are_restored(text, word):
     assert word in toxicity.restored(decoder(), pa.array([text]))[0].split()
 
 
+@pytest.mark.parametrize("text", ["ab" * 100_000 + " 1d10t", "a1" * 50_000, "12" * 200_000 + "x", "é" * 200_000 + "aaa", "a b " * 100_000, "!" * 200_000 + "a"])
+def test_long_tokens_take_linear_time(text):
+    d = decoder()
+    begin = time.monotonic()
+    toxicity.restored(d, pa.array([text]))
+    assert time.monotonic() - begin < 15
+
+
 def test_plain_texts_stay():
     texts = ["Nothing to see, 42 times.", "", None, "a b", "é ünïcode"]
     assert toxicity.restored(decoder(), pa.array(texts)) == [(t or "").lower() for t in texts]
@@ -134,6 +143,20 @@ def test_spelled_out_addresses_are_redacted_whole(address):
     assert pii.redacted(text, spans) == "please write to <EMAIL> today"
 
 
+@pytest.mark.parametrize("text", ["1" * 5000 + ".1.1.1 " + "9" * 6000, "a" * 1_000_000 + " x@y.z", "1" * 1_000_000, "一" * 1_000_000 + "1", "1.1." * 200_000, "x@" * 300_000, "+1" * 200_000, "( " * 300_000])
+def test_long_runs_take_linear_time(text):
+    model = pii.trained_crf()
+    begin = time.monotonic()
+    ((base, _),) = pii.all_spans(model, [text])
+    assert time.monotonic() - begin < 10
+    assert len(base) == (1 if "x@y.z" in text else 100_000 if text.startswith("1.1.") else 0)
+
+
+def test_addresses_side_by_side():
+    for text in ("a@b.c_d@e.f", "x..y@a.b.c@d.e", "@a.b %@a-.b a@b a@b. a@b.c.", "1@2.3.4.5@6.7"):
+        assert [f"email:{s}:{e}" for k, s, e in pii.base_spans(text) if k == 0] == [x for x in brute_spans(text) if x[0] == "e"]
+
+
 def test_runs_have_whole_tokens():
     text = "x" * 90 + " 1 " + "y" * 90
     assert pii.windows(text) == [[(0, 90), (91, 92), (93, 183)]]
