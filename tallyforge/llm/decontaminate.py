@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import joined, table, without
 
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z counts as a-z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[\p{Alnum}\P{ASCII}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -29,17 +31,8 @@ def pairwise(a: Column, by: int, op) -> Column:
     return F.zip_with(whole, shifted(a, by), op)
 
 
-def kgrams(df: DataFrame, src: str, out: str, k: int) -> DataFrame:
-    """Adds hashes of all runs of k entries of an array of hashes, by doubling: each pass joins two shorter runs."""
-    return spans(df, src, out, k, lambda a, b: F.xxhash64(a, b))
-
-
-def window_min(df: DataFrame, src: str, out: str, w: int) -> DataFrame:
-    """Adds the minimum of each run of w entries, by doubling."""
-    return spans(df, src, out, w, lambda a, b: F.least(a, b))
-
-
 def spans(df: DataFrame, src: str, out: str, n: int, op) -> DataFrame:
+    """Adds op over each run of n entries of an array, by doubling: each pass joins two shorter runs."""
     df, have = df.withColumn(out, F.col(src)), 1
     while have < n:
         by = min(have, n - have)
@@ -47,21 +40,38 @@ def spans(df: DataFrame, src: str, out: str, n: int, op) -> DataFrame:
     return df
 
 
-def runs_of(df: DataFrame, n: int) -> DataFrame:
-    """Adds ``g``: the hash of each run of n words; none where there are fewer words.
+def hashed_runs(df: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Adds ``g<n>`` for each n: the hashes of all runs of n entries of the array ``words`` (in lower case).
 
-    Words are hashed in lower case (every letter), so more of them are equal than in the exact comparison, never fewer.
+    Runs of powers of two are shared between lengths; a run of another length joins two that overlap. Every letter is
+    in lower case here, so more words are equal than in the exact comparison, never fewer.
     """
-    hashed = df.withColumn("__h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    return kgrams(hashed, "__h", "g", n).drop("__h")
+    df, have = df.withColumn("__p1", F.transform("words", lambda w: F.xxhash64(w))), 1
+    together = lambda a, b: F.xxhash64(a, b)
+    made = ["__p1"]
+    while 2 * have <= max(lengths, default=1):
+        df, have = df.withColumn(f"__p{2 * have}", pairwise(F.col(f"__p{have}"), have, together)), 2 * have
+        made.append(f"__p{have}")
+    for n in lengths:
+        power = 1 << (n.bit_length() - 1)
+        df = df.withColumn(f"g{n}", pairwise(F.col(f"__p{power}"), n - power, together) if n > power else F.col(f"__p{n}"))
+    return df.drop(*made)
+
 
+def keyed(hashes: Column, n: int) -> Column:
+    """Hashes of runs as keys that also tell which length they are for."""
+    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(n)))
 
-def fingerprints(df: DataFrame, k: int, span: int) -> DataFrame:
-    """Adds ``fp``: the winnowed hashes of the array ``words``, the least k-gram of each run of span - k + 1.
+
+def prints(df: DataFrame, k: int, span: int, short: Sequence[int]) -> DataFrame:
+    """Adds ``prints``: keys of the winnowed k-grams (the least of each run of span - k + 1) and of all runs of short lengths.
 
     Two texts that share ``span`` words in a row share the fingerprint of that run.
     """
-    return window_min(runs_of(df, k), "g", "__m", span - k + 1).withColumn("fp", F.array_distinct("__m")).drop("g", "__m")
+    runs = hashed_runs(df, sorted({k, *short}))
+    runs = spans(runs, f"g{k}", "__m", span - k + 1, lambda a, b: F.least(a, b))
+    found = [keyed(F.array_distinct("__m"), span), *(keyed(F.array_distinct(f"g{n}"), n) for n in short)]
+    return runs.withColumn("prints", F.concat(*found))
 
 
 def overlap(
@@ -82,10 +92,10 @@ def overlap(
     A window is ``span`` consecutive words of an item, or all words of an item that has fewer; a document word inside
     an occurrence of a window is hit; a document is contaminated if share * n_hit >= n_words > 0 and n_hit > 0.
 
-    1. Fingerprints of the items (winnowed k-grams) pick the places of documents that may begin a shared window; for
-       each length below ``span`` that some item has (at most span - 1 lengths), whole runs of that length are compared.
-    2. Around those places alone, document windows are written out and joined with the item windows on their full
-       text, so hash collisions never count.
+    1. Keys of the items (winnowed k-grams, and whole runs of the lengths below ``span`` that items have) are joined
+       with those of the documents, made in one pass over each text; this tells which documents may be hit.
+    2. In these documents the places of all keys are joined with the items' once more. Windows that a place may lie in
+       are written out there alone, and joined with the item windows on their full text, so collisions never count.
     3. Windows that occur are united per document.
 
     Work on a document grows with its length and with its hits, never with the number of other documents or copies.
@@ -104,61 +114,53 @@ def overlap(
     windows = table(spark, windows, "windows")
     short = sorted(r[0] for r in windows.filter(F.col("len") < span).select("len").distinct().collect())  # at most span - 1 numbers
     me = F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")
-    parsed = docs.select(*me, words(F.col(text_col)).alias("words"))
-
-    def matches(of_docs: DataFrame, of_items: DataFrame, hashes: str, n: int) -> DataFrame:
-        # explode() would have Catalyst filter on the array first, which repeats all of its passes; so the outer form
-        known = table(spark, of_items.select(F.explode_outer(hashes).alias("hash")).filter("hash is not null").distinct(), "prints")
-        at = of_docs.select("__id", "__text", F.explode_outer(hashes).alias("hash")).filter("hash is not null")
-        return joined(spark, at, known, "hash", "left_semi").select("__id", "__text", F.struct(F.lit(n).alias("len"), "hash").alias("m"))
-
-    found = matches(fingerprints(parsed, k, span), fingerprints(items, k, span), "fp", span)
-    for n in short:
-        found = found.unionByName(matches(runs_of(parsed, n), runs_of(items.filter(F.size("words") == n), n), "g", n))
-    spots = table(spark, found.groupBy("__id", "__text").agg(F.collect_set("m").alias("spots")), "spots")
+    low = lambda text: words(F.lower(text))
+    item_prints = prints(items.withColumn("words", F.transform("words", lambda w: F.lower(w))), k, span, short)
+    # explode() would have Catalyst filter on the array first, which repeats all of its passes; so the outer form
+    known = table(spark, item_prints.select(F.explode_outer("prints").alias("print")).filter("print is not null").distinct(), "prints")
+    found = prints(docs.select(*me, low(F.col(text_col)).alias("words")), k, span, short).select("__id", "__text", F.explode_outer("prints").alias("print"))
+    found = joined(spark, found.filter("print is not null"), known, "print", "left_semi", 16)
+    spots = table(spark, found.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext")).distinct(), "spots")
 
     same = (F.col("__id").eqNullSafe(F.col("__sid"))) & (F.col("__text").eqNullSafe(F.col("__stext")))
-    keyed = spots.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext"), "spots")
-    candidates = joined(spark, docs.select(*me, F.col(text_col).alias("__t")), keyed, same, "inner").dropDuplicates(["__id", "__text"])
-    candidates = candidates.withColumn("words", words(F.col("__t")))
-    places = [
-        runs_of(candidates, k if n == span else n)
-        .withColumn("hashes", F.transform(F.filter("spots", lambda x: x["len"] == n), lambda x: x["hash"]))
-        .withColumn("place", F.filter(F.transform("g", lambda h, i: F.when(F.array_contains("hashes", h), i)), lambda i: i.isNotNull()))
-        .select("__id", "__text", "__t", F.lit(n).alias("len"), "place")
-        for n in [span, *short]
-    ]
-    placed = places[0]
-    for more in places[1:]:
-        placed = placed.unionByName(more)
-
+    candidates = joined(spark, docs.select(*me, F.col(text_col).alias("__t")), spots, same, "left_semi").dropDuplicates(["__id", "__text"])
+    candidates = table(spark, candidates, "candidates")
+    runs = hashed_runs(candidates.select("__id", "__text", low(F.col("__t")).alias("words")), sorted({k, *short}))
+    of_length = lambda n: lambda h, i: F.struct(F.lit(n).alias("len"), i.alias("at"), h.alias("print"))
+    placed = F.concat(*(F.transform(keyed(F.col(f"g{k if n == span else n}"), n), of_length(n)) for n in [span, *short]))
+    places = runs.select("__id", "__text", F.explode_outer(placed).alias("p")).select("__id", "__text", "p.len", "p.at", "p.print")
+    places = joined(spark, places, known, "print", "left_semi", 16)
     # a place lies inside every window that begins up to span - k words before it
     back = F.when(F.col("len") == span, F.lit(span - k)).otherwise(F.lit(0))
-    begins = F.array_distinct(F.flatten(F.transform("place", lambda p: F.sequence(F.greatest(p - back, F.lit(0)), p))))
-    tried = (
-        placed.withColumn("words", words(F.translate("__t", UPPER, LOWER)))
-        .select("__id", "__text", "len", "words", F.explode_outer(begins).alias("start"))
-        .filter(F.col("start") + F.col("len") <= F.size("words"))
-        .select("__id", "__text", "len", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ").alias("window"))
-    )
-    hits = joined(spark, tried, windows, ["len", "window"], "inner").select("__id", "__text", "len", "start", "item")
-    spans_of = hits.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("stop")))).alias("s"), F.array_sort(F.collect_set("item")).alias("i"))
+    begins = places.select("__id", "__text", "len", F.explode(F.sequence(F.greatest(F.col("at") - back, F.lit(0)), "at")).alias("start"))
+    begins = begins.groupBy(F.col("__id").alias("__sid"), F.col("__text").alias("__stext")).agg(F.collect_set(F.struct("len", "start")).alias("begins"))
+    begins = table(spark, begins, "begins")
+    exact = candidates.select("__id", "__text", words(F.translate("__t", UPPER, LOWER)).alias("words")).join(begins, same)
+    fits = F.filter("begins", lambda x: x["start"] + x["len"] <= F.size("words"))
+    window = F.transform(fits, lambda x: F.struct(x["len"].alias("len"), x["start"].alias("start"), F.array_join(F.slice("words", x["start"] + 1, x["len"]), " ").alias("window")))
+    tried = exact.select("__id", "__text", F.explode_outer(window).alias("w")).select("__id", "__text", "w.len", "w.start", "w.window")
+    hits = joined(spark, tried, windows, ["len", "window"], "inner", 160).select("__id", "__text", "len", "start", "item")
+    stretch = F.struct("start", (F.col("start") + F.col("len")).alias("stop"))
+    spans_of = hits.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(stretch)).alias("s"), F.array_sort(F.collect_set("item")).alias("i"))
     covered = F.aggregate(
         "s",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")),
         lambda a: a["n"],
     )
-    result = table(spark, spans_of.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext"), covered.cast("long").alias("hit"), F.size("i").cast("long").alias("items"), F.sha2(F.array_join("i", ","), 256).alias("sha")), "hits")
-    base = docs.select(*docs.columns, *me, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return joined(spark, base, result, same, "left").select(
+    sha = F.sha2(F.array_join("i", ","), 256)
+    result = spans_of.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext"), covered.cast("long").alias("hit"), F.size("i").cast("long").alias("items"), sha.alias("sha"))
+    counted = candidates.select("__id", "__text", F.regexp_count("__t", F.lit(WORD)).cast("long").alias("of"))
+    result = result.join(counted, same).select("__sid", "__stext", "hit", "items", "sha", (F.col("hit") * share >= F.col("of")).alias("enough"))
+    result = table(spark, result, "hits")
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return joined(spark, docs.select(*docs.columns, *me, n_words.alias("n_words")), result, same, "left", 160).select(
         *docs.columns,
         "n_words",
-        n_hit.alias("n_hit"),
+        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("enough", F.lit(False)).alias("contaminated"),
     )
 
 
