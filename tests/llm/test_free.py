@@ -274,38 +274,80 @@ def test_hosts_paths_and_rules(spark):
     assert url_filter.judge_urls(spark, pages.limit(0)).isEmpty()
 
 
-def brute_templates(urls, depth=4, branches=12):
-    """Templates by a plain tree walk over (host, path)."""
-    state = {i: ("", [p for p in path.split("/") if p]) for i, (_, path) in enumerate(urls)}
+def brute_verdicts(rows, depth=12, branches=12, smooth=5.0, alike=2.0, cut=0.5):
+    """(template, purity, verdict) of each row (host, path, rule's verdict or None), by a plain tree walk."""
+    urls = [(h, [p for p in path.split("/") if p]) for h, path, _ in rows]
+    state = [[] for _ in rows]
     for level in range(depth):
         nodes = {}
-        for i, (prefix, parts) in state.items():
+        for (h, parts), prefix in zip(urls, state, strict=True):
             if level < len(parts):
-                nodes.setdefault((urls[i][0], prefix), []).append(parts[level])
-        for i, (prefix, parts) in list(state.items()):
+                nodes.setdefault((h, tuple(prefix)), []).append(parts[level])
+        new = []
+        for (h, parts), prefix in zip(urls, state, strict=True):
             if level < len(parts):
-                seen = nodes[urls[i][0], prefix]
+                seen = nodes[h, tuple(prefix)]
                 varies = len(set(seen)) > branches or 2 * sum(bool(re.search(url_filter.VARIABLE, s)) for s in seen) >= len(seen)
-                state[i] = (prefix + ("/*" if varies else "/" + parts[level]), parts)
-    return [state[i][0] + ("/**" if len(state[i][1]) > depth else "") for i in range(len(urls))]
+                prefix = [*prefix, "*" if varies else parts[level]]
+            new.append(prefix)
+        state = new
+    tails = [["*" if re.search(url_filter.VARIABLE, s) else s for s in parts[depth:]] for _, parts in urls]
+    template = ["".join(f"/{s}" for s in [*p, *t]) for p, t in zip(state, tails, strict=True)]
+    ways = [[""] + ["".join(f"/{s}" for s in p[: i + 1]) for i in range(len(p))] + ([t] if tail else []) for p, t, tail in zip(state, template, tails, strict=True)]
+    sums, total = {}, [0, 0]
+    for (h, _, says), way, t in zip(rows, ways, template, strict=True):
+        if says:
+            total = [total[0] + 1, total[1] + (says == "block")]
+            for key in [(h, x) for x in way] + [t]:
+                n, bad = sums.get(key, (0, 0))
+                sums[key] = (n + 1, bad + (says == "block"))
+    group, merged = [], {}
+    for (h, _, says), way in zip(rows, ways, strict=True):
+        at = ""
+        for up, node in zip(way, way[1:], strict=False):
+            n, bad = sums.get((h, node), (0, 0))
+            pooled = sums[h, up][1] / sums[h, up][0] if n else 0
+            if n and abs(bad / n - pooled) > alike * (pooled * (1 - pooled) / n) ** 0.5:
+                at = node
+        group.append((h, at))
+        if says:
+            n, bad = merged.get((h, at), (0, 0))
+            merged[h, at] = (n + 1, bad + (says == "block"))
+    overall, out = total[1] / total[0] if total[0] else 0, []
+    for (_, _, says), t, g in zip(rows, template, group, strict=True):
+        n, bad = sums.get(t, (0, 0))
+        own, own_bad = merged.get(g, (0, 0))
+        purity = (own_bad + smooth * (bad + smooth * overall) / (n + smooth)) / (own + smooth)
+        out.append((t, purity, says or ("block" if purity >= cut else "allow")))
+    return out
 
 
-def test_templates_against_brute_force(spark, sf):
-    got = registry.QUERIES["op4_url_filter"](spark, sf).collect()
-    assert [r["template"] for r in got] == brute_templates([(r["host"], r["path"]) for r in got])
-    counts = {}
-    for r in got:
-        if r["rule"]:
-            n, bad = counts.get(r["template"], (0, 0))
-            counts[r["template"]] = (n + 1, bad + (r["verdict"] == "block"))
-    total, bad = map(sum, zip(*counts.values(), strict=True))
-    for r in got:
-        if not r["rule"]:
-            n, b = counts.get(r["template"], (0, 0))
-            prior = (b + 5 * bad / total) / (n + 5)
-            own = [x for x in got if x["rule"] and x["host"] == r["host"]]
-            assert r["verdict"] == ("block" if r["purity"] >= 0.5 else "allow")
-            assert own or r["purity"] == pytest.approx(prior)
+def test_verdicts_against_brute_force(spark, sf, monkeypatch):
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(1500):  # labelled and unlabelled rows of the same hosts, deep paths, hot urls, branches that differ
+        host = ["a.org", "b.com", "c.net", "www.c.net"][rng.integers(4)]
+        head = ["fr", "de", "es", "news", "x"][rng.integers(5)]
+        tail = "/".join(str(rng.choice(["p", "q", f"id{i}", f"{i}", "2024", "y"])) for _ in range(rng.integers(0, 4)))
+        made.append(f"https://{host}/{head}/{tail}")
+    made += ["https://c.net/hot/page"] * 1200 + [None, "nothing", "http://c.net", "http://c.net//a//b/"] + ["https://c.net/" + "/".join(["d", "77777"] * 20)] * 3
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    labels = F.when(F.col("path").startswith("/news"), 1).when(F.col("path").startswith("/x") & (F.length("path") % 3 != 0), F.length("path") % 2)
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+        for df, how in ((given, None), (pages, None), (pages, labels)):
+            got = [r for r in url_filter.judge_urls(spark, df, labels=how).withColumn("label", how if how is not None else F.lit(None)).collect()]
+            says = [r["verdict"] if r["rule"] and how is None else None if how is None or r["label"] is None else ["allow", "block"][r["label"]] for r in got]
+            want = brute_verdicts([(r["host"], r["path"], x) for r, x in zip(got, says, strict=True)])
+            assert len(got) == df.count()
+            for r, (template, purity, verdict) in zip(got, want, strict=True):
+                assert (r["template"], round(r["purity"], 9)) == (template, round(purity, 9))
+                if how is None:
+                    assert r["verdict"] == verdict
+                elif not r["rule"]:
+                    assert r["verdict"] == ("block" if purity >= 0.5 else "allow")
 
 
 # ---- pipeline
