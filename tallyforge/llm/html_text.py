@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyforge.llm.common import without
+from tallyforge.llm.common import chunks, text_rows, without
 
 OUT = ("rendered", "n_blocks")
 
 # Fixed values of the HTML standard: kinds of elements and the end tags that a start tag implies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed svg math audio video canvas select datalist title meta link noframes noembed".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed svg math audio video canvas datalist title meta link noframes noembed".split())
+#: Inputs whose value is shown.
+SHOWN_INPUT = frozenset("text search tel url email number date month week time datetime-local submit button reset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre section summary table ul".split()
 )
@@ -53,15 +55,21 @@ P_SCOPE = frozenset(("td", "th", "caption", "table", "button", "body", "object")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+STYLE = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+#: Elements that are open at once, at most; deeper ones become siblings, as in browsers.
+DEEPEST = 512
+#: A wider cell doesn't set the width of its column, so that one long cell doesn't pad every row.
+WIDEST = 200
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "display", "tag", "visibility")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.display = self.visibility = None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -155,15 +163,117 @@ def build(source: str) -> Node:
                 body = html.unescape(body)
             node.children.append(body)
             at = end.end() if end else size
-        elif tag not in VOID and len(stack) < 400:
+        elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
     return root
 
 
+def declared(text: str) -> list[tuple[str, str, bool]]:
+    """The display and visibility declarations of a style: (name, value, important)."""
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in STYLE.finditer(text)]
+
+
+def sheet_rules(css: str) -> list[tuple]:
+    """(compounds, declarations) of a sheet's rules about display or visibility.
+
+    Compounds of tag, classes and id are known, alone or below each other; rules with other selectors and blocks for
+    other media than the screen are left out.
+    """
+    css, rules, at = re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.S), [], 0
+    while (begin := css.find("{", at)) >= 0:
+        prelude = re.split("[;}]", css[at:begin])[-1].strip()
+        if prelude.startswith("@"):
+            if re.fullmatch(r"@media\s+(?:only\s+)?(?:screen|all)", prelude, re.I):
+                at = begin + 1
+                continue
+            depth, at = 1, begin + 1
+            while depth and (m := re.compile("[{}]").search(css, at)):
+                depth, at = depth + (1 if m[0] == "{" else -1), m.end()
+            if depth:
+                break
+            continue
+        end = css.find("}", begin)
+        end = len(css) if end < 0 else end
+        if found := declared(css[begin + 1 : end]):
+            for selector in prelude.split(","):
+                parts = [COMPOUND.match(x) for x in selector.split()]
+                if parts and all(parts):
+                    compounds = [((m[1] or "*").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), frozenset(re.findall(r"#([\w-]+)", m[2]))) for m in parts]
+                    rules.append((compounds, found))
+        at = end + 1
+    return rules
+
+
+def fits(node: Node, compound: tuple) -> bool:
+    tag, classes, ids = compound
+    return tag in ("*", node.tag) and (not classes or classes <= set(node.attrs.get("class", "").split())) and (not ids or ids == {node.attrs.get("id", "")})
+
+
+def styled(root: Node) -> None:
+    """Gives nodes the display and visibility that sheets and inline styles declare for them; of several the strongest."""
+    rules, stack = [], [(root, ())]
+    while stack:  # sheets first, wherever they stand
+        node, _ = stack.pop()
+        if node.tag == "style":
+            rules += sheet_rules("".join(c for c in node.children if isinstance(c, str)))
+        stack += [(c, ()) for c in reversed(node.children) if isinstance(c, Node)]
+    stack = [(root, None)]
+    while stack:
+        node, above = stack.pop()
+        best: dict[str, tuple] = {}
+        for order, (compounds, found) in enumerate(rules):
+            if fits(node, compounds[-1]):
+                up, need = above, len(compounds) - 2
+                while need >= 0 and up is not None:
+                    need -= fits(up[0], compounds[need])
+                    up = up[1]
+                if need < 0:
+                    weight = tuple(sum(len(c[i]) for c in compounds) for i in (2, 1)) + (sum(c[0] != "*" for c in compounds), order)
+                    for name, value, important in found:
+                        best[name] = max(best.get(name, ((),)), ((important, 0, *weight), value))
+        for name, value, important in declared(node.attrs.get("style", "")):
+            best[name] = max(best.get(name, ((),)), ((important, 1), value))
+        if "display" in best:
+            node.display = best["display"][1]
+        if "visibility" in best:
+            node.visibility = best["visibility"][1]
+        chain = (node, above) if rules else None
+        stack += [(c, chain) for c in node.children if isinstance(c, Node)]
+
+
 def hidden(node: Node) -> bool:
-    """Not shown: hidden kinds of elements, the hidden attribute, hidden inputs and inline styles that hide."""
-    a = node.attrs
-    return node.tag in HIDDEN or bool(a) and ("hidden" in a or a.get("aria-hidden", "") == "true" or bool(UNSEEN.search(a.get("style", ""))) or (node.tag == "dialog" and "open" not in a))
+    """No box: elements of kinds without one, display none, the hidden attribute or a closed dialog unless a style shows it."""
+    if node.tag in HIDDEN or node.display == "none":
+        return True
+    return node.display is None and ("hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs)
+
+
+def seen(node: Node, shown: bool) -> bool:
+    """Whether the node's own text is seen; visibility is inherited, and may be set again below a hidden element."""
+    return shown if node.visibility in (None, "inherit") else node.visibility not in ("hidden", "collapse")
+
+
+def select_text(node: Node, out: Lines, shown: bool) -> None:
+    """What a closed list shows, the selected option or the first; an open one (multiple, or of some size) shows all."""
+    options: list[Node] = []
+
+    def walk(n: Node) -> None:
+        for c in n.children:
+            if isinstance(c, Node) and not hidden(c):
+                if c.tag == "option":
+                    options.append(c)
+                else:
+                    walk(c)
+
+    walk(node)
+    size = node.attrs.get("size", "")
+    if "multiple" not in node.attrs and not (size.isascii() and size.isdigit() and size.strip("0") not in ("", "1")):
+        options = [o for o in options if "selected" in o.attrs][-1:] or options[:1]
+    for o in options:
+        out.text(" ")
+        for c in o.children:
+            render(c, out, seen(o, shown))
+        out.text(" ")
 
 
 def width(text: str) -> int:
@@ -224,48 +334,61 @@ class Lines:
             self.flush()
 
 
-def render_table(node: Node, out: Lines) -> None:
-    """Rows of cells padded to the width of their column; spanned columns stay empty, cell text is on one line."""
+def render_table(node: Node, out: Lines, shown: bool) -> None:
+    """Rows of cells padded to the width of their column; spanned columns stay empty, cell text is on one line.
+
+    A column is as wide as its widest cell of at most ``WIDEST``; columns without text take no room.
+    """
     rows: list[list[str]] = []
-    caption: list[Node] = []
+    caption: list[tuple[Node, bool]] = []
 
-    def walk(n: Node) -> None:
+    def walk(n: Node, shown: bool) -> None:
         for c in n.children:
             if isinstance(c, str) or hidden(c):
                 continue
+            own = seen(c, shown)
             if c.tag == "tr":
                 cells: list[str] = []
                 for cell in c.children:
                     if isinstance(cell, Node) and not hidden(cell):
                         inner = Lines()
                         for x in cell.children if cell.tag in ("td", "th") else [cell]:
-                            render(x, inner)
+                            render(x, inner, seen(cell, own))
                         inner.flush()
                         span = cell.attrs.get("colspan", "1")
-                        cells += [" ".join(x for x in inner.done if x)] + [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() and int(span) else 0)
+                        more = min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and len(span) < 9 and int(span) else 0
+                        cells += [" ".join(x for x in inner.done if x)] + [""] * more
                 rows.append(cells)
             elif c.tag == "caption":
-                caption.append(c)
+                caption.append((c, shown))
             else:
-                walk(c)
+                walk(c, own)
 
-    walk(node)
+    walk(node, shown)
     out.gap(2)
-    for c in caption:
-        render(c, out, as_block=True)
+    for c, own in caption:
+        render(c, out, own, as_block=True)
     columns = max((len(r) for r in rows), default=0)
-    widths = [max((width(r[j]) for r in rows if j < len(r)), default=0) for j in range(columns)]
-    out.whole(["  ".join(c + " " * (widths[j] - width(c)) for j, c in enumerate(r)).rstrip() for r in rows if any(r)])
+    widths = [-1] * columns
+    for r in rows:
+        for j, c in enumerate(r):
+            if c:
+                n = width(c)
+                widths[j] = max(widths[j], n if n <= WIDEST else 0)
+    filled = [j for j in range(columns) if widths[j] >= 0]
+    lines = ("  ".join(r[j] + " " * (widths[j] - width(r[j])) for j in filled if j < len(r)).rstrip() for r in rows if any(r))
+    out.whole(list(lines))
     out.gap(2)
 
 
-def render(node, out: Lines, as_block: bool = False, marker: str | None = None) -> None:
+def render(node, out: Lines, shown: bool = True, as_block: bool = False, marker: str | None = None) -> None:
     if isinstance(node, str):
-        out.text(node)
+        if shown:
+            out.text(node)
         return
     if hidden(node):
         return
-    tag = node.tag
+    tag, shown = node.tag, seen(node, shown)
     if tag == "br":
         if out.line:
             out.flush()
@@ -278,15 +401,18 @@ def render(node, out: Lines, as_block: bool = False, marker: str | None = None)
     if tag == "img":
         return
     if tag == "input":
-        if node.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
+        if shown and node.attrs.get("type", "text").lower() in SHOWN_INPUT:
             out.text(node.attrs.get("value", ""))
         return
+    if tag == "select":
+        select_text(node, out, shown)
+        return
     if tag == "table":
-        render_table(node, out)
+        render_table(node, out, shown)
         return
     if tag == "pre":
         out.gap(2)
-        text = "".join(plain(c) for c in node.children)
+        text = "".join(plain(c, shown) for c in node.children)
         out.whole(text.removeprefix("\n").rstrip("\n").replace("\r\n", "\n").split("\n"))
         out.gap(2)
         return
@@ -296,7 +422,7 @@ def render(node, out: Lines, as_block: bool = False, marker: str | None = None)
         out.prefix.append(" " * len(mark))
         out.first = mark
         for c in node.children:
-            render(c, out)
+            render(c, out, shown)
         out.flush()
         out.prefix.pop()
         out.first = None
@@ -311,64 +437,82 @@ def render(node, out: Lines, as_block: bool = False, marker: str | None = None)
                 value = c.attrs.get("value", "")
                 n = int(value) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", value) else n
                 if not hidden(c):
-                    render(c, out, marker=f"{n}. " if tag == "ol" else "- ")
+                    render(c, out, shown, marker=f"{n}. " if tag == "ol" else "- ")
                 n += 1
             else:
-                render(c, out)
+                render(c, out, shown)
         out.gap(1 if nested else 2)
         return
+    children = node.children
+    if tag == "details" and "open" not in node.attrs:  # closed: its first summary alone
+        children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
     block = as_block or tag in BLOCK
     space = 2 if tag in SPACED else 1
     if block:
         out.gap(space)
     if tag in ("blockquote", "dd"):
         out.prefix.append("  ")
-    for c in node.children:
-        render(c, out)
+    for c in children:
+        render(c, out, shown)
     if block:
         out.gap(space)
     if tag in ("blockquote", "dd"):
         out.prefix.pop()
 
 
-def plain(node) -> str:
+def plain(node, shown: bool = True) -> str:
     if isinstance(node, str):
-        return node
-    return "" if hidden(node) else "\n" if node.tag == "br" else "".join(plain(c) for c in node.children)
+        return node if shown else ""
+    if hidden(node):
+        return ""
+    return "\n" if node.tag == "br" else "".join(plain(c, seen(node, shown)) for c in node.children)
 
 
 def page_text(source: str | None) -> tuple[str, int]:
     """(text, number of its lines that aren't blank) of a page."""
     if not source:
         return "", 0
-    out = Lines()
-    render(build(source.replace("\0", "")), out)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEEPEST))
+    out, root = Lines(), build(source.replace("\0", ""))
+    styled(root)
+    render(root, out)
     out.flush()
     return "\n".join(out.done), out.blocks
 
 
-def renderer(batches):
-    import pyarrow as pa
+def renderer(at: int, n: int):
+    """A mapInArrow function: the first ``n`` columns, and the rendered page of column ``at``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, stop in chunks(batch.column(at)):
+                part = batch.slice(start, stop - start)
+                got = [page_text(x.as_py()) for x in part.column(at)]
+                columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns], [*part.schema.names[:n], *OUT])
 
-    for batch in batches:
-        got = [page_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], [*batch.schema.names[:-1], *OUT])
+    return run
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` with rendered, all visible text in its layout, and n_blocks, the number of its lines.
 
-    A tree is built with the end tags that start tags imply; hidden elements (by kind, attribute or inline style) give
-    nothing. Blocks stand on lines of their own, with a blank line around paragraphs, headings, lists and tables; list
-    items have marks or numbers and hanging indents; table cells are padded to the width of their column; preformatted
-    text keeps its lines. A null or empty page gives an empty text. Pages are independent of each other, so ties,
-    repeated rows and empty tables need no care. Input columns named like an output column are replaced. ``keep`` names
-    the columns to return besides (default: all).
+    A tree is built with the end tags that start tags imply. Hidden elements give nothing: by kind, by the hidden
+    attribute, by inline styles or style sheets (rules on tags, classes and ids), closed details but for their summary;
+    an element that is visible again below one of hidden visibility is shown. Fields show their value, lists their
+    selected option. Blocks stand on lines of their own, with a blank line around paragraphs, headings, lists and tables;
+    list items have marks or numbers and hanging indents; preformatted text keeps its lines. Table cells are padded to
+    the width of their column, which cells beyond ``WIDEST`` don't set, so the output grows with the page. Elements more
+    than ``DEEPEST`` deep become siblings; their text stays. A null or empty page gives an empty text. Pages are
+    independent of each other, so ties, repeated rows and empty tables need no care. Input columns named like an output
+    column are replaced. ``keep`` names the columns to return besides (default: all).
     """
     pages = without(pages, [c for c in OUT if c != html_col])
-    rows = pages.select(*(pages.columns if keep is None else keep), F.col(html_col).alias("__html"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(renderer, ", ".join([*fields, "rendered string", "n_blocks long"]))
+    names = pages.columns if keep is None else keep
+    rows, at, schema = text_rows(pages, names, html_col)
+    return rows.mapInArrow(renderer(at, len(names)), f"{schema}, rendered string, n_blocks long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,68 @@ def test_tags_that_a_page_leaves_out(page, text):
     assert H.page_text(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<b aria-hidden=true>b</b>", "ab"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+        ("<style>.a{display:none} p.b, #c { visibility : hidden }</style><i class='x a'>no</i><p class=b>no</p><p id=c>no<p>yes", "yes"),
+        ("<style>@media print{p{display:none}} @import 'x'; div .k{display:none}</style><p>yes</p><div><i><b class=k>no</b></i></div><b class=k>k</b>", "yes\n\nk"),
+        ("<style>.a{display:none}.a.b{display:block}</style><i class='a'>no</i><i class='b a'>yes</i>", "yes"),
+        ("<p hidden>no</p><p hidden style='display:block'>yes</p>", "yes"),
+        ("<details><summary>head</summary>body</details><details open><summary>two</summary>shown</details>", "head\ntwo\nshown"),
+        ("<select><option>one<option selected>two<option>three</select>", "two"),
+        ("<select multiple><option>one<option>two</select>", "one two"),
+        ("a <input value=typed> <input type=password value=no> <input type=hidden value=no>", "a typed"),
+        ("<table><tr><td colspan=1000>x<td>y<tr><td>z</table>", "x  y\nz"),
+    ],
+)
+def test_what_is_visible(page, text):
+    assert H.page_text(page)[0] == text
+
+
+def test_a_long_cell_pads_no_other_row():
+    page = "<table><tr><td>" + "w" * 20_000 + "<td>k" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(H.page_text(page)[0]) < 2 * len(page)
+
+
+def test_visible_words_of_random_pages():
+    """Pages are written from random trees along with the words that a reader sees, in order."""
+    rng = np.random.default_rng(9)
+    pick = lambda *x: x[rng.integers(len(x))]
+
+    def tree(depth, shown, seen):
+        html, n = "", int(rng.integers(1, 4))
+        for _ in range(n):
+            kind = pick("text", "text", "p", "div", "b", "ul", "table", "gone", "class", "veil", "pre") if depth < 5 else "text"
+            if kind == "text":
+                word = f"w{rng.integers(10**6)}"
+                seen += [word] * shown
+                html += f" {word} "
+            elif kind == "ul":
+                items = [tree(depth + 1, shown, seen) for _ in range(2)]
+                html += "<ul><li>" + pick("<li>", "</li><li>").join(items) + "</ul>"
+            elif kind == "table":
+                cells = [tree(depth + 9, shown, seen) for _ in range(4)]
+                html += f"<table><tr><td>{cells[0]}<td>{cells[1]}{pick('', '</tr>')}<tr><th>{cells[2]}</th><td>{cells[3]}</table>"
+            elif kind == "gone":
+                html += f"<div {pick('hidden', 'style=display:none')}>{tree(depth + 1, False, [])}</div>"
+            elif kind == "class":
+                html += f'<span class="q {pick("gone", "gone")}">{tree(depth + 9, False, [])}</span>'
+            elif kind == "veil":
+                html += f'<div style="visibility:hidden">{tree(depth + 9, False, [])}<div style="visibility:visible">{tree(depth + 9, True, seen)}</div></div>' if shown else ""
+            elif kind == "p":
+                html += f"<p>{tree(depth + 9, shown, seen)}</p>"
+            else:
+                html += f"<{kind}>{tree(depth + 9 if kind in ('b', 'pre') else depth + 1, shown, seen)}</{kind}>"
+        return html
+
+    for _ in range(300):
+        seen = []
+        page = "<head><style>.gone{display:none}</style></head><body>" + tree(0, True, seen)
+        assert [w for w in re.findall(r"w[0-9]+", H.page_text(page)[0])] == seen, page
+
+
 def test_pages_as_a_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("rendered", F.lit("clash"))
     got = H.extract_text(pages).collect()
