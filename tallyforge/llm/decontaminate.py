@@ -149,18 +149,18 @@ def overlap(
         lambda a: a["n"],
     )
     sha = F.sha2(F.array_join("i", ","), 256)
-    result = spans_of.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext"), covered.cast("long").alias("hit"), F.size("i").cast("long").alias("items"), sha.alias("sha"))
-    counted = candidates.select("__id", "__text", F.regexp_count("__t", F.lit(WORD)).cast("long").alias("of"))
-    result = result.join(counted, same).select("__sid", "__stext", "hit", "items", "sha", (F.col("hit") * share >= F.col("of")).alias("enough"))
-    result = table(spark, result, "hits")
+    result = spans_of.select(F.col("__id").alias("__sid"), F.col("__text").alias("__stext"), covered.cast("long").alias("__hit"), F.size("i").cast("long").alias("__items"), sha.alias("__sha"))
+    counted = candidates.select("__id", "__text", F.regexp_count("__t", F.lit(WORD)).cast("long").alias("__of"))
+    enough = (F.col("__hit") * share >= F.col("__of")).alias("__enough")
+    result = table(spark, result.join(counted, same).select("__sid", "__stext", "__hit", "__items", "__sha", enough), "hits")
     n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     return joined(spark, docs.select(*docs.columns, *me, n_words.alias("n_words")), result, same, "left", 160).select(
         *docs.columns,
         "n_words",
-        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        F.coalesce("enough", F.lit(False)).alias("contaminated"),
+        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("__sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.coalesce("__enough", F.lit(False)).alias("contaminated"),
     )
 
 

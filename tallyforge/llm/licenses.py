@@ -172,14 +172,14 @@ def scan_licenses(
     share = F.size(F.array_intersect("tset", "own")) / F.size("tset")
     verified = joined(spark, tried, known.drop("span"), "t", "inner", 2000).withColumn("containment", share).filter(F.col("containment") >= threshold)
     match = F.struct("name", "first", "containment")
-    found = verified.groupBy("__sid", "__stext").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set(match)).alias("matches"))
+    found = verified.groupBy("__sid", "__stext").agg(F.array_sort(F.collect_set("name")).alias("__names"), F.array_sort(F.collect_set(match)).alias("__matches"))
     found = table(spark, found, "licenses")
     every = joined(spark, docs.select(*docs.columns, *me), found, same, "left", 200)
     return every.select(
         *docs.columns,
-        F.when(F.col("names").isNull(), F.lit(0)).otherwise(F.size("names")).cast("long").alias("n_licenses"),
-        F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"),
-        F.coalesce("matches", F.array().cast("array<struct<name:string,first:int,containment:double>>")).alias("matches"),
+        F.when(F.col("__names").isNull(), F.lit(0)).otherwise(F.size("__names")).cast("long").alias("n_licenses"),
+        F.coalesce(F.array_join("__names", ","), F.lit("")).alias("licenses"),
+        F.coalesce("__matches", F.array().cast("array<struct<name:string,first:int,containment:double>>")).alias("matches"),
     )
 
 

@@ -510,9 +510,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     first = linked.groupBy("class_key").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("v"))).alias("first"))
     gone = joined(spark, linked, table(spark, first, "first"), "class_key", "inner").select("v", "rep", (F.col("v") == F.col("first")).alias("stays"))
     copied = classes.filter("not linked and copies > 1").select("v", "rep", F.lit(True).alias("stays"))
-    listed = table(spark, gone.unionByName(copied).withColumnRenamed("v", "__v"), "listed")
+    listed = table(spark, gone.unionByName(copied).toDF("__v", "__rep", "__stays"), "listed")
     marked = joined(spark, docs.withColumn("__v", vertex_of(id_col, text_col)), listed, "__v", "left")
-    kept = marked.filter(F.col("stays").isNull() | (F.col("stays") & F.col(id_col).eqNullSafe(F.col("rep"))))
+    kept = marked.filter(F.col("__stays").isNull() | (F.col("__stays") & F.col(id_col).eqNullSafe(F.col("__rep"))))
     often = table(spark, docs.groupBy(F.col(id_col).alias("__often")).count().filter("count > 1").select("__often"), "repeated")
     if not often.isEmpty():
         same = F.col(id_col).eqNullSafe(F.col("__often"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tallyforge.llm import decontaminate, html_text, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

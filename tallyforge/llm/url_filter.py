@@ -160,10 +160,11 @@ def judge_urls(
 
     often = table(spark, judged.filter(F.col("n") > MANY), "often")
     if often.isEmpty():
-        full = rows.join(judged, ["host", "path"])
+        full = rows.join(judged.drop("n"), ["host", "path"])
     else:
         rare = joined(spark, rows, often.select("host", "path"), ["host", "path"], "left_anti", 200)
-        full = rare.join(judged.filter(F.col("n") <= MANY), ["host", "path"]).unionByName(joined(spark, rows, often, ["host", "path"], "inner", 300))
+        rare = rare.join(judged.filter(F.col("n") <= MANY).drop("n"), ["host", "path"])
+        full = rare.unionByName(joined(spark, rows, often.drop("n"), ["host", "path"], "inner", 300))
     verdict = F.coalesce("__says", F.when(F.col("purity") >= cut, F.lit("block")).otherwise(F.lit("allow")))
     return full.select(*pages.columns, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

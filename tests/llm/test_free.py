@@ -430,6 +430,35 @@ def test_pipeline_stages(spark, sf):
     assert last.filter("taken <= 0 or taken > 3 * size").isEmpty() and last.count() <= kept.count()
 
 
+def test_pipeline_stages_with_odd_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, ids that tie, clashing names, an empty table."""
+    rows = [(i, f"some words of text number {i} that are plain", "en", "a", 10, "s", 1) for i in range(30)]
+    rows += [(None, None, None, None, None, None, None), (31, None, "en", "a", None, "s", 2), (32, "", "en", None, 0, None, 3), (33, "", "en", "a", 0, "s", 3)]
+    rows += [(34, "long words here " * 60_000, None, "b", 5, "s", 1), (35, "x" * 1_000_000, "en", "b", 5, "s", 1), (36, "mail me@mail.org or +1 555 123 4567", "en", "b", 5, "s", 1)]
+    rows += [rows[3], rows[3], (4, "another text that has an id which occurs twice", "en", "a", 1, "s", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words long"
+    docs = spark.createDataFrame(rows, names).withColumn("spans", F.lit("mine")).withColumn("class_id", F.lit("mine")).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).isEmpty(), name
+        got = out.collect()
+        assert {r["class_id"] for r in got} <= {"mine"} and {r["spans"] for r in got} <= {"mine"} and {r["score"] for r in got} <= {"s", None}
+        given = sorted((r[0] or 0, r[1] or "") for r in rows)
+        if name == "near_duplicates":
+            texts = [r["text"] for r in got]
+            assert len(got) == len({r[1] for r in rows if r[1] is not None}) + 2 and len(set(texts)) == len(texts) - 1
+        elif name == "decontamination":
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == given
+        elif name == "personal_data":
+            assert len(got) == len(rows) and {r["text"] for r in got if r["doc_id"] == 36} == {"mail <EMAIL> or <PHONE>"}
+            assert [r["n_chars"] for r in got if r["text"] is None] == [None, None]
+        else:
+            blank = [r for r in got if not r["text"]]
+            assert len(blank) in (0, 4) and sum(r["doc_id"] == 3 for r in got) in (0, 3)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.filter("text is null or text = ''").isEmpty() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).isEmpty()
+
+
 def test_run_gives_the_mixed_documents(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "text", "lang", "source", "n_chars", "taken"} <= set(out.columns) and out.count() > 50

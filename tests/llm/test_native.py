@@ -77,6 +77,19 @@ def test_overlap_edges(spark):
     assert decontaminate.overlap(spark, docs.limit(0), items).isEmpty()
 
 
+def test_columns_named_like_inner_ones(spark):
+    """Columns that an operator uses within come back as they were given."""
+    from tallyforge.llm import near_dedup, url_filter
+
+    inner = ("v", "rep", "stays", "hit", "items", "sha", "names", "n", "text_a", "bucket", "t", "of", "host2", "seen")
+    docs = spark.createDataFrame([(1, LONG, "http://a.b/c"), (2, LONG, "http://a.b/d"), (3, None, None)], "doc_id long, text string, url string")
+    docs = docs.select("*", *[F.lit(f"given {c}").alias(c) for c in inner])
+    items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    for out in (decontaminate.overlap(spark, docs, items), licenses.scan_licenses(spark, docs), near_dedup.near_duplicates(spark, docs), near_dedup.one_of_each(spark, docs), url_filter.judge_urls(spark, docs)):
+        got = out.collect()
+        assert got and all(r[c] == f"given {c}" for r in got for c in inner)
+
+
 def brute_licenses(text, k=5, threshold=0.8):
     words = re.findall("[a-z0-9]+", (text or "").lower())
     grams = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
