@@ -1 +1 @@
-"""Ledger reconciliation and data preparation as Spark DataFrame operators."""
+"""Ledger matching and data preparation as Spark DataFrame operators."""

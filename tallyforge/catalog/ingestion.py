@@ -55,7 +55,7 @@ LEGS = "SELECT 'W' || order_key AS reco_id, po_id, amount, order_key, part_key F
 
 def three_legs(v):
     p = v.payment.select(F.expr("'W' || order_key").alias("reco_id"), "po_id", "amount", "order_key", "part_key")
-    return G.three_leg_reconciliation(G.three_leg_entries(p.filter("order_key % 3 <> 0"), p.filter("part_key % 50 <> 0"), p.filter("order_key % 3 = 0 AND order_key % 2 = 0"), 7), "run")
+    return G.three_leg_matching(G.three_leg_entries(p.filter("order_key % 3 <> 0"), p.filter("part_key % 50 <> 0"), p.filter("order_key % 3 = 0 AND order_key % 2 = 0"), 7), "run")
 
 
 query(
@@ -68,8 +68,8 @@ query(
 
 def split_ledger(v):
     live = v.member.groupBy("source_hash").agg(F.max(F.struct("amount", "parent_hash")).alias("x")).select("source_hash", "x.amount", "x.parent_hash")
-    parents = v.member.filter("parent_hash IN ('P4', 'P9')").select(c("parent_hash").alias("source_hash")).distinct()
-    slices = live.filter("parent_hash IN ('P4', 'P9') AND length(source_hash) % 2 = 0").withColumn("amount", (c("amount") * 2).cast(MONEY))
+    parents = v.member.filter("parent_hash is not null").select(c("parent_hash").alias("source_hash")).distinct()
+    slices = live.filter("parent_hash is not null AND length(source_hash) % 2 = 0").withColumn("amount", (c("amount") * 2).cast(MONEY))
     return G.apply_split(live, parents, slices).select("source_hash", "amount", "change")
 
 
@@ -77,7 +77,7 @@ query(
     "plan_apply_split",
     "member",
     f""", l AS (SELECT source_hash, arg_max(amount, (amount, parent_hash)) AS amount, arg_max(parent_hash, (amount, parent_hash)) AS parent_hash FROM (SELECT source_hash, amount, coalesce(parent_hash, '') AS parent_hash FROM member) GROUP BY 1)
-      SELECT source_hash, CAST(CASE WHEN parent_hash IN ('P4', 'P9') THEN amount * 2 ELSE amount END AS {DEC}) AS amount, CASE WHEN parent_hash IN ('P4', 'P9') THEN 'UPDATED' ELSE 'KEPT' END AS change FROM l WHERE parent_hash NOT IN ('P4', 'P9') OR length(source_hash) % 2 = 0""",
+      SELECT source_hash, CAST(CASE WHEN parent_hash <> '' THEN amount * 2 ELSE amount END AS {DEC}) AS amount, CASE WHEN parent_hash <> '' THEN 'UPDATED' ELSE 'KEPT' END AS change FROM l WHERE parent_hash = '' OR length(source_hash) % 2 = 0""",
 )(split_ledger)
 
 
@@ -101,8 +101,9 @@ query(
       y AS (SELECT reco_id, upper(trim(remarks_1)) AS pacs, upper(sl[2]) AS msg, CASE WHEN contains(particulars, '##') THEN sh[len(sh)] WHEN ref_no IS NOT NULL THEN ref_no ELSE nullif(trim(sl[4]), '') END AS po, upper(trim(s[1])) AS f, coalesce(upper(trim(s[2])), '') AS g FROM x),
       z AS (SELECT *, CASE WHEN f = 'NDRT' THEN 'RETURN' WHEN f = 'NDRJ' THEN 'REJECT' WHEN f = 'NDGB' THEN 'BULK_MESSAGE' WHEN f IN ('SWIFT', 'SCRT1', 'BKRTP', 'REV SCRT1') THEN 'INSTANT' WHEN f IN ('SCTXB', 'SDDXB', 'SDXBB') AND g IN ('I', 'O') THEN 'BULK' WHEN g IN ('RCC', 'RCP') THEN 'RETURN' WHEN g IN ('NCC', 'NCP', 'RRS') THEN 'SINGLE' ELSE 'UNKNOWN' END AS fam FROM y),
       n AS (SELECT z.reco_id, r.original_po AS po_id FROM z JOIN payment_return r ON r.return_po = z.po WHERE fam = 'RETURN' UNION ALL SELECT reco_id, po FROM z WHERE fam IN ('REJECT', 'SINGLE', 'INSTANT') AND po IS NOT NULL)
-      SELECT reco_id, po_id, max(status) AS status FROM (SELECT z.reco_id, p.po_id, p.status FROM z JOIN payment p ON upper(p.pacs008) = z.pacs WHERE fam = 'BULK' UNION ALL SELECT z.reco_id, p.po_id, p.status FROM z JOIN payment p ON upper(p.message_id) = z.msg WHERE fam = 'BULK_MESSAGE'
-      UNION ALL SELECT n.reco_id, n.po_id, p.status FROM n LEFT JOIN payment p ON p.po_id = n.po_id) GROUP BY 1, 2""",
+      SELECT reco_id, status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT z.reco_id, p.status, p.n FROM z JOIN (SELECT upper(pacs008) AS k, status, count(*) AS n FROM payment GROUP BY 1, 2) p ON p.k = z.pacs WHERE fam = 'BULK'
+      UNION ALL SELECT z.reco_id, p.status, p.n FROM z JOIN (SELECT upper(message_id) AS k, status, count(*) AS n FROM payment GROUP BY 1, 2) p ON p.k = z.msg WHERE fam = 'BULK_MESSAGE'
+      UNION ALL SELECT n.reco_id, p.status, 1 FROM n LEFT JOIN payment p ON p.po_id = n.po_id) GROUP BY 1, 2""",
 )(lambda v: G.status_sync(keyed(v), v.payment, v.payment_return))
 query("plan_run_state", "ingestion_run", "SELECT run_id, source, CASE WHEN e > 0 AND rows_ok % 5 = 0 THEN 'FAILED' WHEN e > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS state FROM (SELECT *, rows_ok % 2 AS e FROM ingestion_run)")(
     lambda v: v.ingestion_run.withColumn("e", c("rows_ok") % 2).select("run_id", "source", G.run_state(F.when(c("rows_ok") % 5 == 0, 0).otherwise(c("rows_ok")), c("e")).alias("state"))

@@ -8,6 +8,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.operators import joins as J
 from tallyforge.queries import query
 
+c = F.col
 DEC = "DECIMAL(20,4)"
 
 query("join_key_lookup", "payment movement", "SELECT p.po_id, upper(p.pacs008) AS lookup_key, p.amount, p.part_key FROM payment p JOIN (SELECT DISTINCT upper(remarks_1) AS k FROM movement) m ON upper(p.pacs008) = m.k")(
@@ -29,21 +30,22 @@ query(
 query(
     "join_range_fanout",
     "payment movement",
-    f"""SELECT p.message_id, count(*) AS n, CAST(sum(p.amount) AS {DEC}) AS total FROM payment p JOIN
-      (SELECT 'Msg' || (movement_id % 20) AS message_id, min(CAST(value_date AS DATE)) - 15 AS lo, max(CAST(value_date AS DATE)) + 6 AS hi FROM movement WHERE movement_id % 10 = 1 AND year(value_date) = 1995 GROUP BY 1) w
-      ON w.message_id = p.message_id AND CAST(p.created_on AS DATE) >= lo AND CAST(p.created_on AS DATE) < hi GROUP BY 1""",
+    f"""SELECT p.transaction_ref, count(*) AS n, CAST(sum(p.amount) AS {DEC}) AS total FROM payment p JOIN
+      (SELECT ref_no AS transaction_ref, min(CAST(value_date AS DATE)) - 15 AS lo, max(CAST(value_date AS DATE)) + 6 AS hi FROM movement WHERE ref_no IS NOT NULL GROUP BY 1) w
+      ON w.transaction_ref = p.transaction_ref AND CAST(p.created_on AS DATE) >= lo AND CAST(p.created_on AS DATE) < hi GROUP BY 1""",
 )(
-    lambda v: J.windowed_lookup(
-        A.key_windows(v.movement.filter("movement_id % 10 = 1 AND year(value_date) = 1995").withColumn("message_id", F.expr("'Msg' || (movement_id % 20)")), "message_id", "value_date", 15, 5), v.payment, "message_id", "created_on"
-    )
-    .groupBy("message_id")
+    lambda v: J.windowed_lookup(A.key_windows(v.movement.filter("ref_no is not null").withColumnRenamed("ref_no", "transaction_ref"), "transaction_ref", "value_date", 15, 5), v.payment, "transaction_ref", "created_on")
+    .groupBy("transaction_ref")
     .agg(A.rows().alias("n"), A.total().alias("total"))
 )
-query("join_pacs_payments", "payment movement", "SELECT DISTINCT m.movement_id, p.po_id FROM movement m JOIN payment p ON upper(p.pacs008) = upper(m.remarks_1) AND m.movement_id % 97 = 0")(
-    lambda v: v.movement.filter("movement_id % 97 = 0").select("movement_id", F.upper("remarks_1").alias("k")).join(v.payment.select("po_id", F.upper("pacs008").alias("k")), "k").select("movement_id", "po_id").distinct()
-)
-query("join_status_lookups", "payment movement", "SELECT m.movement_id, p.status, count(*) AS n FROM movement m JOIN payment p ON p.po_id = m.movement_id || '-1' GROUP BY 1, 2")(
-    lambda v: v.movement.withColumn("po_id", F.concat(F.col("movement_id").cast("string"), F.lit("-1"))).join(v.payment.select("po_id", "status"), "po_id").groupBy("movement_id", "status").agg(A.rows().alias("n"))
+query(
+    "join_pacs_payments",
+    "payment movement",
+    f"SELECT movement_id, n, total FROM movement JOIN (SELECT upper(pacs008) AS k, count(*) AS n, CAST(sum(amount) AS {DEC}) AS total FROM payment GROUP BY 1) p ON p.k = upper(remarks_1)",
+)(lambda v: J.payments_behind(v.movement, v.payment, "remarks_1", "pacs008").select("movement_id", "n", "total"))
+STATUSES = "SELECT movement_id, '{0}' AS field, status, n FROM (SELECT movement_id, {1} AS k FROM movement) m JOIN (SELECT upper({0}) AS k, status, count(*) AS n FROM payment GROUP BY 1, 2) p USING (k)"
+query("join_status_lookups", "payment movement", " UNION ALL ".join(STATUSES.format(f, k) for f, k in (("po_id", "movement_id || '-1'"), ("pacs008", "upper(remarks_1)"), ("message_id", "upper('Msg' || movement_id % 20)"))))(
+    lambda v: J.status_lookups(v.movement.select("movement_id", F.expr("movement_id || '-1'").alias("po_id"), c("remarks_1").alias("pacs008"), F.expr("'Msg' || movement_id % 20").alias("message_id")), v.payment, ["po_id", "pacs008", "message_id"])
 )
 query(
     "join_first_hit",
@@ -114,7 +116,7 @@ query(
     "movement",
     """WITH k AS (SELECT DISTINCT 'PACS' || i AS key FROM range(30) t(i) UNION SELECT 'MSG' || i FROM range(20) t(i) UNION SELECT 'PLAIN'),
       e AS (SELECT key, movement_id AS id, 'EXACT' AS stage FROM movement JOIN k ON upper(remarks_1) = key)
-      SELECT key AS lookup_key, id, stage FROM e UNION ALL SELECT DISTINCT key, id, 'TEXT' FROM (SELECT movement_id AS id, unnest(regexp_split_to_array(upper(particulars), '[^A-Z0-9-]+')) AS w FROM movement) JOIN k ON w = key WHERE key NOT IN (SELECT key FROM e)""".replace("WITH k", ", k"),
+      SELECT key AS lookup_key, id, stage FROM e UNION ALL SELECT DISTINCT key, id, 'TEXT' FROM (SELECT movement_id AS id, upper(particulars) AS w FROM movement) JOIN k ON contains(w, key) WHERE key NOT IN (SELECT key FROM e)""".replace("WITH k", ", k"),
 )(
     lambda v: J.text_lookup(
         v.spark.range(30).select(F.concat(F.lit("PACS"), F.col("id").cast("string")).alias("lookup_key")).unionByName(v.spark.range(20).select(F.concat(F.lit("MSG"), F.col("id").cast("string")).alias("lookup_key"))).unionByName(v.spark.range(1).select(F.lit("PLAIN").alias("lookup_key"))),

@@ -133,7 +133,12 @@ query(
 query("map_bucket_identity", "payment", "SELECT DISTINCT upper(pacs008) || '|' || upper(message_id) || '|' AS name, sha1(upper(pacs008) || '|' || upper(message_id) || '|') AS digest FROM payment")(
     lambda v: v.payment.select(I.bucket_name(c("pacs008"), c("message_id"), F.lit(None)).alias("name")).distinct().withColumn("digest", F.sha1("name"))
 )
-query("map_bucket_uuid", "payment", None)(lambda v: v.payment.select(I.bucket_name(c("pacs008"), c("message_id")).alias("name")).distinct().withColumn("bucket_id", I.uuid5(c("name"))))
+query(
+    "map_bucket_uuid",
+    "payment",
+    f"""SELECT name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (('0x' || substr(h, 17, 2))::INT & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS bucket_id
+      FROM (SELECT name, sha1(from_hex('{I.NAMESPACE}') || encode(name)) AS h FROM (SELECT DISTINCT concat_ws('|', upper(coalesce(pacs008, '')), upper(coalesce(message_id, ''))) AS name FROM payment))""",
+)(lambda v: v.payment.select(I.bucket_name(c("pacs008"), c("message_id")).alias("name")).distinct().withColumn("bucket_id", I.uuid5(c("name"))))
 query("map_slice_reference", "slice", "SELECT source_hash, 'KEY:' || left(parent_hash, 88) || '~' || left(sha1(parent_hash), 8) || '~' || left(sha1(bucket_id), 10) AS ref FROM slice")(lambda v: v.slice.select("source_hash", I.slice_reference(c("parent_hash"), c("bucket_id")).alias("ref")))
 query("map_payload_json", "change_log", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM change_log")(lambda v: v.change_log.select("event_id", F.get_json_object("props", "$.k").alias("k")))
 query(
@@ -145,6 +150,6 @@ query(
     .unionByName(v.payment.filter("init_module = 'MULTI'").select(c("po_id").alias("external_ref"), (-c("amount")).cast(N.MONEY).alias("amount"), F.lit("DEBIT").alias("direction")))
     .unionByName(v.payment_return.select(F.concat("original_po", F.lit("#RET")).alias("external_ref"), c("amount").cast(N.MONEY).alias("amount"), F.lit("CREDIT").alias("direction")))
 )
-query("map_extract_key", "movement", "SELECT movement_id, strftime(value_date, '%Y%m%d') || '-' || transaction_id || '-' || lpad(movement_id::VARCHAR, 6, '0') AS reco_id FROM movement WHERE movement_id < 1000000")(
-    lambda v: v.movement.filter("movement_id < 1000000").select("movement_id", F.concat_ws("-", F.date_format("value_date", "yyyyMMdd"), "transaction_id", F.lpad(c("movement_id").cast("string"), 6, "0")).alias("reco_id"))
+query("map_extract_key", "movement", "SELECT movement_id, strftime(value_date, '%Y%m%d') || '-' || transaction_id || '-' || CASE WHEN movement_id < 100000 THEN lpad(movement_id::VARCHAR, 6, '0') ELSE movement_id::VARCHAR END AS reco_id FROM movement")(
+    lambda v: v.movement.select("movement_id", N.extract_key(c("value_date"), c("transaction_id"), c("movement_id")).alias("reco_id"))
 )

@@ -29,8 +29,8 @@ FORCED = "id IN (100, 101, 102, 103, 104, 105, 106, 107)"
 query(
     "plan_force_match",
     "live",
-    f"""SELECT id, amount, CASE WHEN {FORCED} AND (SELECT count(*) > 0 AND count(DISTINCT flow_id) = 1 AND count(DISTINCT currency) = 1 AND sum(amount) = 0 FROM live WHERE {FORCED}) THEN 'FORCED' ELSE status END AS status FROM live WHERE order_key < 50""",
-)(lambda v: M.force_match(v.live, list(range(100, 108))).filter("order_key < 50").select("id", "amount", "status"))
+    f"""SELECT id, amount, CASE WHEN {FORCED} AND (SELECT count(*) > 0 AND count(DISTINCT flow_id) = 1 AND count(DISTINCT currency) = 1 AND sum(amount) = 0 FROM live WHERE {FORCED}) THEN 'FORCED' ELSE status END AS status FROM live""",
+)(lambda v: M.force_match(v.live, list(range(100, 108))).select("id", "amount", "status"))
 query("plan_exclude", "live settled exclusion", "SELECT id, amount, CASE WHEN status = 'PENDING' THEN 'EXCLUDED' ELSE status END AS status FROM (SELECT * FROM settled UNION ALL SELECT * FROM live WHERE id IN (SELECT entry_id FROM exclusion WHERE cancelled_at IS NULL))")(
     lambda v: M.exclude(v.live, v.settled, v.exclusion)[1].select("id", "amount", "status")
 )
@@ -64,7 +64,7 @@ query("plan_merge_chains", "", "SELECT o_orderkey AS node, CAST(min(o_orderkey)
 SEG = "CASE WHEN contains(particulars, '##') THEN string_split(particulars, '##') ELSE string_split(particulars, '/') END"
 BULKMAP = "SELECT transaction_ref AS k, min(message_id) AS v FROM payment WHERE order_key % 2 = 0 GROUP BY 1"
 query(
-    "plan_reconciliation_keys",
+    "plan_settlement_keys",
     "movement payment payment_return",
     f""", s AS (SELECT *, {SEG} AS seg FROM movement), t AS (SELECT *, upper(trim(seg[1])) AS f, coalesce(upper(trim(seg[2])), '') AS g, len(seg) AS n, nullif(trim(seg[4]), '') AS p4, CASE WHEN contains(particulars, '##') THEN nullif(trim(seg[len(seg)]), '') ELSE nullif(trim(seg[4]), '') END AS rpo, nullif(trim(ref_no), '') AS ref FROM s),
       j AS (SELECT t.*, r.v AS vr, p.v AS vp, x.v AS vx, b.v AS vb FROM t LEFT JOIN (SELECT return_po AS k, min(original_po) AS v FROM payment_return GROUP BY 1) r ON r.k = rpo LEFT JOIN (SELECT po_id AS k, min(reco_id) AS v FROM payment GROUP BY 1) p ON p.k = p4
@@ -75,7 +75,7 @@ query(
       WHEN f IN ('SCTXB', 'SDDXB', 'SDXBB') AND g IN ('I', 'O') THEN 'bulk' WHEN f IN ('SCTXB', 'SDDXB', 'SDXBB') AND g IN ('RCC', 'RCP') THEN 'bulk_return' WHEN f IN ('SCTXB', 'SDDXB', 'SDXBB') AND g IN ('NCC', 'NCP', 'RRS') AND n >= 4 THEN 'bulk_single' WHEN f IN ('SCTXB', 'SDDXB', 'SDXBB') THEN 'bulk_other'
       WHEN g IN ('RCC', 'RCP') THEN 'other_return' WHEN g IN ('NCC', 'NCP', 'RRS') AND n >= 4 THEN 'other_single' ELSE 'other' END AS rule FROM j)""",
 )(
-    lambda v: K.reconciliation_keys(
+    lambda v: K.settlement_keys(
         v.movement,
         v.payment.groupBy("po_id").agg(F.min("reco_id")),
         v.payment.groupBy(F.expr("'X' || order_key")).agg(F.min("reco_id")),
@@ -85,14 +85,14 @@ query(
 )
 
 # ---- buckets
-RESOLVED = "SELECT order_key % 500 AS movement_id, po_id, CASE WHEN supp_key % 9 = 0 THEN '' ELSE pacs008 END AS pacs008, CASE WHEN part_key % 11 = 0 THEN NULL ELSE message_id END AS message_id, amount FROM payment WHERE order_key % 4 = 1"
-PARTS = f"""SELECT movement_id, kind, bucket, CAST(sum(amount) AS {DEC}) AS amount, string_agg(po_id, ',' ORDER BY po_id) AS payments, count(*) AS n FROM (SELECT *, CASE WHEN p IS NOT NULL AND m IS NOT NULL THEN 'PAIR' WHEN p IS NOT NULL THEN 'PACS_ONLY' ELSE 'PO' END AS kind,
+RESOLVED = "SELECT order_key AS movement_id, po_id, CASE WHEN supp_key % 9 = 0 THEN '' ELSE pacs008 END AS pacs008, CASE WHEN part_key % 11 = 0 THEN NULL ELSE message_id END AS message_id, amount FROM payment"
+PARTS = f"""SELECT movement_id, kind, bucket, CAST(sum(amount) AS {DEC}) AS amount, count(*) AS n FROM (SELECT *, CASE WHEN p IS NOT NULL AND m IS NOT NULL THEN 'PAIR' WHEN p IS NOT NULL THEN 'PACS_ONLY' ELSE 'PO' END AS kind,
   CASE WHEN p IS NOT NULL AND m IS NOT NULL THEN p || '/' || m WHEN p IS NOT NULL THEN p ELSE upper(po_id) END AS bucket FROM (SELECT *, nullif(upper(pacs008), '') AS p, upper(message_id) AS m FROM ({RESOLVED}))) GROUP BY ALL"""
 
 
 def resolved(v):
-    return v.payment.filter("order_key % 4 = 1").select(
-        F.expr("order_key % 500").alias("movement_id"), "po_id", F.expr("CASE WHEN supp_key % 9 = 0 THEN '' ELSE pacs008 END").alias("pacs008"), F.expr("CASE WHEN part_key % 11 = 0 THEN NULL ELSE message_id END").alias("message_id"), "amount"
+    return v.payment.select(
+        c("order_key").alias("movement_id"), "po_id", F.expr("CASE WHEN supp_key % 9 = 0 THEN '' ELSE pacs008 END").alias("pacs008"), F.expr("CASE WHEN part_key % 11 = 0 THEN NULL ELSE message_id END").alias("message_id"), "amount"
     )
 
 
@@ -112,11 +112,11 @@ query(
       FROM ({CLAIMS}) g JOIN ({ANCHOR}) a USING (source_id, claim_type, claim_value) JOIN (SELECT upper(message_id) AS claim_value, pacs008 AS bucket, sum(amount) AS s FROM payment GROUP BY 1, 2 HAVING sum(amount) <> 0) p ON p.claim_value = g.claim_value""",
 )(lambda v: B.claim_slices(v.parent, v.payment.groupBy(F.upper("message_id").alias("claim_value"), c("pacs008").alias("bucket")).agg(A.total().alias("amount"))))
 query(
-    "plan_second_reconciliation",
+    "plan_second_matching",
     "parent slice member",
     f"""SELECT bucket_id, bool_or(coalesce(differs, FALSE)) AS parent_mismatch FROM (SELECT bucket_id, parent_hash FROM member) m LEFT JOIN (SELECT anchor, parent_total <> coalesce(t, 0) AS differs FROM ({CLAIMS}) JOIN ({ANCHOR}) USING (source_id, claim_type, claim_value)
       LEFT JOIN (SELECT parent_hash, sum(amount) AS t FROM slice GROUP BY 1) s ON s.parent_hash = anchor) d ON d.anchor = m.parent_hash GROUP BY 1""",
-)(lambda v: B.second_reconciliation(v.parent, v.slice, v.member))
+)(lambda v: B.second_matching(v.parent, v.slice, v.member))
 query(
     "plan_split_detail",
     "parent slice",
@@ -138,29 +138,52 @@ query(
     "payment",
     f"SELECT message_id AS pmsgid, pacs008 AS target, CAST(sum(amount) AS {DEC}) AS amount, count(DISTINCT po_id) AS payments, CASE WHEN count(DISTINCT po_id) <= 50 THEN string_agg(DISTINCT po_id, ',' ORDER BY po_id) END AS po_list FROM payment GROUP BY 1, 2",
 )(lambda v: R.group_slices(v.payment.select(c("message_id").alias("pmsgid"), c("pacs008").alias("target"), "po_id", "amount")))
-MS = "SELECT 'MSG' || (order_key % 400) AS pmsgid, status, order_key FROM entries WHERE direction = 'DEBIT'"
+HIT = "'MSG' || CASE WHEN order_key % 8 < 2 THEN order_key - order_key % 2 ELSE order_key END"
+MS = f"SELECT {HIT} AS pmsgid, status, order_key FROM entries WHERE direction = 'DEBIT'"
 query(
     "plan_proposal_status",
     "link dump entries",
-    f""", m AS ({MS}), h AS (SELECT pmsgid, count(*) AS n, bool_and(status = 'PENDING') AS p FROM m WHERE status = 'PENDING' AND order_key % 7 = 1 AND order_key < 4000 GROUP BY 1)
+    f""", m AS ({MS}), h AS (SELECT pmsgid, count(*) AS n, bool_and(status = 'PENDING') AS p FROM m WHERE status IN ('PENDING', 'MATCHED') GROUP BY 1)
       SELECT c.link_id, c.verdict, CASE WHEN found = 0 THEN 'NO_DUMP_ROWS' WHEN h.n > 1 THEN 'ENTRY_AMBIGUOUS' WHEN h.n IS NULL AND s THEN 'EMARGED' WHEN h.n IS NULL AND k AND NOT t THEN 'ALREADY_COMMITTED' WHEN h.n IS NULL AND k THEN 'TO_REPLAY' WHEN h.n IS NULL THEN 'ENTRY_NOT_FOUND'
-      WHEN NOT h.p THEN 'ENTRY_NOT_PENDING' WHEN NOT t THEN 'NO_TARGET' WHEN k THEN 'TO_RECOMMIT' ELSE 'PROPOSED' END AS status FROM (SELECT *, pmsgid IN (SELECT pmsgid FROM m WHERE status = 'FORCED' AND order_key % 5 = 0) AS s, pmsgid IN (SELECT pmsgid FROM link WHERE link_id % 2 = 0) AS k, pmsgid IN (SELECT pmsgid FROM dump WHERE dump_id % 3 = 0) AS t FROM ({CONTROL})) c LEFT JOIN h USING (pmsgid)""",
+      WHEN NOT h.p THEN 'ENTRY_NOT_PENDING' WHEN NOT t THEN 'NO_TARGET' WHEN k THEN 'TO_RECOMMIT' ELSE 'PROPOSED' END AS status FROM (SELECT *, pmsgid IN (SELECT pmsgid FROM m WHERE status = 'FORCED') AS s, pmsgid IN (SELECT pmsgid FROM link WHERE link_id % 2 = 0) AS k, pmsgid IN (SELECT pmsgid FROM dump WHERE dump_id % 3 = 0) AS t FROM ({CONTROL})) c LEFT JOIN h USING (pmsgid)""",
 )(
     lambda v: (
         lambda m: R.proposal_status(
-            R.conservation_control(v.link, v.dump), m.filter("status = 'PENDING' AND order_key % 7 = 1 AND order_key < 4000"), m.filter("status = 'FORCED' AND order_key % 5 = 0"), v.link.filter("link_id % 2 = 0"), v.dump.filter("dump_id % 3 = 0")
+            R.conservation_control(v.link, v.dump), m.filter("status in ('PENDING', 'MATCHED')"), m.filter("status = 'FORCED'"), v.link.filter("link_id % 2 = 0"), v.dump.filter("dump_id % 3 = 0")
         )
-    )(v.entries.filter("direction = 'DEBIT'").select(F.expr("'MSG' || (order_key % 400)").alias("pmsgid"), "status", "order_key")).select("link_id", "verdict", "status")
+    )(v.entries.filter("direction = 'DEBIT'").select(F.expr(HIT).alias("pmsgid"), "status", "order_key")).select("link_id", "verdict", "status")
 )
-query("plan_slice_guard", "link dump", f"SELECT link_id, b.pmsgid, booked, sliced, NOT z AND abs(sliced) <= abs(booked) AS may_commit FROM link b JOIN (SELECT pmsgid, CAST(sum(amount) AS {DEC}) AS sliced, bool_or(amount = 0) AS z FROM dump GROUP BY 1) s ON s.pmsgid = b.pmsgid".replace("link_id, ", ""))(
-    lambda v: R.slice_guard(v.dump, v.link)
-)
-query("plan_orphans", "movement entries", None)(
-    lambda v: R.orphans(
-        v.movement.withColumn("particulars", F.concat_ws(" ", "particulars", F.when(c("movement_id") % 6 == 0, F.concat(F.lit("ref 9"), F.lpad(c("movement_id").cast("string"), 7, "0"))), F.when(c("movement_id") % 12 == 0, F.lit("PF1234567")))).withColumn("ref_no", F.when(c("movement_id") % 5 == 0, F.concat(F.lit("A##ORD"), c("movement_id").cast("string")))),
-        v.entries.filter("reco_id is not null").select(c("reco_id").alias("key")),
+MIXED = "SELECT pmsgid, CASE WHEN dump_id % 3 = 0 THEN -amount WHEN dump_id % 101 = 0 THEN 0 ELSE amount END AS amount FROM dump"
+BOOKED = "CASE WHEN link_id % 2 = 0 THEN -booked ELSE booked END * (link_id % 9)"
+query(
+    "plan_slice_guard",
+    "link dump",
+    f"""SELECT link_id, pmsgid, booked, sign, sliced, refusal, refusal IS NULL AS may_commit FROM (SELECT link_id, l.pmsgid, booked, CASE WHEN booked < 0 THEN -1 ELSE 1 END AS sign, CAST(coalesce(s, 0) AS {DEC}) AS sliced,
+      CASE WHEN s IS NULL THEN 'NO_SLICE' WHEN z THEN 'ZERO_SLICE' WHEN s > abs(booked) THEN 'EXCEEDS_BOOKING' END AS refusal
+      FROM (SELECT link_id, pmsgid, CAST({BOOKED} AS {DEC}) AS booked FROM link) l LEFT JOIN (SELECT pmsgid, sum(abs(amount)) AS s, bool_or(amount = 0) AS z FROM ({MIXED}) GROUP BY 1) d ON d.pmsgid = l.pmsgid)""",
+)(
+    lambda v: R.slice_guard(
+        v.dump.withColumn("amount", F.when(c("dump_id") % 3 == 0, -c("amount")).when(c("dump_id") % 101 == 0, 0).otherwise(c("amount")).cast(A.MONEY)), v.link.withColumn("booked", F.expr(BOOKED).cast(A.MONEY))
     )
 )
+PF = "concat_ws(' ', particulars, CASE WHEN movement_id % 6 = 0 THEN 'ref 9' || lpad(movement_id::VARCHAR, 7, '0') END, CASE WHEN movement_id % 12 = 0 THEN 'PF1234567' END)"
+query(
+    "plan_orphans",
+    "movement entries",
+    f""", m AS (SELECT movement_id, {PF} AS p, CASE WHEN movement_id % 5 = 0 THEN 'A##ORD' || movement_id END AS ref FROM movement),
+      r AS (SELECT movement_id, nullif(trim(string_split(ref, '##')[-1]), '') AS r1, nullif(regexp_extract(p, '^[^/]*/(?:NCC|NCP|RRS|RCC|RCP)/[IO]/([^/]{{4,}})', 1, 'i'), '') AS r2, list_distinct(regexp_extract_all(p, '\\b(?:PF|P|S)([0-9]{{6,}})\\b', 0)) AS r3, list_distinct(regexp_extract_all(p, '\\b[0-9]{{6,}}\\b', 0)) AS r4 FROM m),
+      k AS (SELECT movement_id, CASE WHEN r1 IS NOT NULL THEN [r1] WHEN r2 IS NOT NULL THEN [r2] WHEN len(r3) > 0 THEN r3 ELSE r4 END AS ks FROM r)
+      SELECT movement_id, array_to_string(list_sort(ks), ',') AS keys, CASE WHEN len(ks) = 0 THEN 'NO_KEY' WHEN len(ks) > 1 THEN 'KEY_AMBIGUOUS' WHEN ks[1] IN (SELECT reco_id FROM entries WHERE reco_id IS NOT NULL) THEN 'RESOLVED' ELSE 'KEY_UNKNOWN' END AS outcome FROM k""",
+)(lambda v: found_orphans(v).withColumn("keys", F.array_join(F.array_sort(F.split("keys", ",")), ",")))
+
+
+def found_orphans(v):
+    serial = F.concat(F.lit("ref 9"), F.lpad(c("movement_id").cast("string"), 7, "0"))
+    text = F.concat_ws(" ", "particulars", F.when(c("movement_id") % 6 == 0, serial), F.when(c("movement_id") % 12 == 0, F.lit("PF1234567")))
+    ref = F.when(c("movement_id") % 5 == 0, F.concat(F.lit("A##ORD"), c("movement_id").cast("string")))
+    return R.orphans(v.movement.withColumn("particulars", text).withColumn("ref_no", ref), v.entries.filter("reco_id is not null").select(c("reco_id").alias("key")))
+
+
 query(
     "plan_mine_patterns",
     "",

@@ -66,7 +66,7 @@ query("sink_settle", "live settled", "SELECT id, amount, external_ref FROM settl
     lambda v: G.settle(v.live, v.settled, c("flow_id") == 1, "external_ref")[1].select("id", "amount", "external_ref")
 )
 query("sink_unsettle", "settled live", f"SELECT id, amount, 'PENDING' AS status FROM settled WHERE status = 'EXCLUDED' UNION ALL SELECT id, amount, status FROM live")(
-    lambda v: (lambda out: out[1].select("id", "amount", F.when(c("status") == "EXCLUDED", "PENDING").otherwise(c("status")).alias("status")))(G.settle(v.settled, v.live, c("status") == "EXCLUDED", "id")).unionByName(v.live.limit(0).select("id", "amount", "status"))
+    lambda v: (lambda out: out[1].select("id", "amount", F.when(c("status") == "EXCLUDED", "PENDING").otherwise(c("status")).alias("status")))(G.settle(v.settled, v.live, c("status") == "EXCLUDED", "id"))
 )
 query("sink_reset_flow", "entries payment_status", "SELECT reco_id, po_id FROM payment_status WHERE reco_id IN (SELECT reco_id FROM entries WHERE flow_id <> 3)")(
     lambda v: G.reset({"entries": v.entries, "status": v.payment_status.select("reco_id", "po_id")}, 3, {"status": ("entries", "reco_id")})["status"]

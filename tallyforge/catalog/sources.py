@@ -132,7 +132,6 @@ def multi(v) -> str:
 
 
 query("source_multi_char", "", "SELECT p_partkey::VARCHAR AS k, p_name AS name, p_brand AS brand FROM part")(lambda v: v.spark.read.csv(multi(v), sep="~^~", quote="").toDF("k", "name", "brand"))
-query("source_link_services", "link", "SELECT service, count(*) AS n, service <> 'OTHER' AS kept FROM link GROUP BY 1")(lambda v: v.link.groupBy("service").agg(F.count("*").alias("n")).withColumn("kept", c("service") != "OTHER"))
 
 
 def discovered(v) -> DataFrame:
@@ -143,6 +142,8 @@ def discovered(v) -> DataFrame:
     for name in sorted(n for n in found if n.startswith("x_")):
         part = v.spark.table(name)
         out = part if out is None else out.unionByName(part)
+    for name in ("x_paymord_2024", "x_return_2024"):  # the plan is resolved, so the session's views can go
+        v.spark.catalog.dropTempView(name)
     return out.groupBy().agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("total"))
 
 
@@ -158,6 +159,12 @@ def merged_extract(v) -> DataFrame:
 
 
 # ---- streams
+def twice(v) -> DataFrame:
+    """Each event twice, as an overlap that is read again brings it."""
+    once = lambda: S.event_stream(v.spark, v.sf_dir).select("at", "event_id", "user_id", "event_type")
+    return once().unionByName(once())
+
+
 query("stream_next_since", "ingestion_run", "SELECT source, coalesce(max(started_at) FILTER (status IN ('SUCCESS', 'PARTIAL')) - INTERVAL 2 DAY, TIMESTAMP '1900-01-01') AS since FROM ingestion_run GROUP BY 1")(lambda v: S.next_since(v.ingestion_run))
 query("stream_tumbling_counts", "", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(
     lambda v: S.to_table(v.spark, S.tumbling_counts(S.event_stream(v.spark, v.sf_dir)), "complete").select("start", "event_type", "n")
@@ -167,7 +174,5 @@ query(
     "",
     """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""",
 )(lambda v: S.to_table(v.spark, S.sessions(S.event_stream(v.spark, v.sf_dir)), "complete"))
-query("stream_deduplicated", "", "SELECT DISTINCT user_id, event_type FROM events")(
-    lambda v: S.to_table(v.spark, S.deduplicated(S.event_stream(v.spark, v.sf_dir).select("at", "user_id", "event_type"), ["user_id", "event_type"]).select("user_id", "event_type"), "append").distinct()
-)
+query("stream_deduplicated", "", "SELECT event_id, user_id, event_type FROM events")(lambda v: S.to_table(v.spark, S.deduplicated(twice(v), ["event_id"]).select("event_id", "user_id", "event_type"), "append"))
 query("stream_ingest_once", "", "SELECT event_id, user_id FROM events")(lambda v: S.ingest_once(v.spark, S.event_stream(v.spark, v.sf_dir).select("event_id", "user_id"), "event_id").select("event_id", "user_id"))

@@ -1,4 +1,4 @@
-"""Views of the given tables as inputs of a reconciliation: SQL that Spark and an oracle both run.
+"""Views of the given tables as inputs of ledger matching: SQL that Spark and an oracle both run.
 
 Each view is a SELECT over ``{table}`` placeholders or over other views. Amounts are DECIMAL(20,4) before any
 arithmetic; timestamps have no time zone.

@@ -27,7 +27,7 @@ def file_hash(flow: Column, reco: Column, account: Column, currency: Column, amo
 
 
 def stable_hash(flow: Column, account: Column, currency: Column, amount: Column, value_date: Column, ref: Column) -> Column:
-    """The file hash without the reconciliation key, which may change."""
+    """The file hash without the settlement key, which may change."""
     return F.sha2(joined(flow, account, currency, amount, iso(value_date), ref), 256)
 
 

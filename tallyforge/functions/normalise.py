@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -170,3 +171,77 @@ def first_filled(*columns: Column) -> Column:
 
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def without_prefix(value: Column, prefix: str, fallback: Column) -> Column:
+    """A detail's key without its prefix; the whole of it where it lacks the prefix; else the fallback."""
+    bare = clean(value)
+    return F.coalesce(F.when(bare.startswith(prefix), F.substr(bare, F.lit(len(prefix) + 1))).otherwise(bare), clean(fallback))
+
+
+def operation_type(module: Column) -> Column:
+    """P2P or EMC by the initiating module; another module's own name; UNKNOWN without one."""
+    name = F.upper(clean(module))
+    return F.when(name == "WEROEMC", "EMC").when(name == "WERO", "P2P").otherwise(F.coalesce(name, F.lit("UNKNOWN")))
+
+
+def uuid_variants(key: Column) -> Column:
+    """The key, the key without dashes, and, of 32 hexadecimal digits, the key with dashes; each once."""
+    cut = lambda a, n: F.substring(key, a, n)
+    dashed = F.when(key.rlike("^[0-9A-Fa-f]{32}$"), F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)))
+    return F.array_distinct(F.array_compact(F.array(key, F.replace(key, F.lit("-"), F.lit("")), dashed)))
+
+
+def export_family(file_name: Column) -> Column:
+    """The table that a file is an export of: its stem in lower case, with the direction suffix o, 0 or i folded."""
+    stem = F.lower(F.regexp_replace(file_name, r"\.[^.]*$", ""))
+    base = F.regexp_extract(stem, "^(.+?)_([oi0])$", 1)
+    mark = F.when(F.regexp_extract(stem, "^(.+?)_([oi0])$", 2) == "i", "_i").otherwise("_o")
+    return F.when(base != "", F.concat(base, mark)).otherwise(stem)
+
+
+def coded_direction(code: Column, codes: Mapping[str, str], pending: Sequence[str], amount: Column) -> tuple[Column, Column, Column]:
+    """(direction, amount with that sign, whether the direction isn't known yet).
+
+    A pending code has the sign's direction for now and says so; an unknown one, or none, has the sign's.
+    """
+    unknown = F.coalesce(clean(code).isin(*pending), F.lit(False))
+    by_sign = F.when(amount < 0, "DEBIT").otherwise("CREDIT")
+    direction = F.when(unknown, by_sign).otherwise(direction_by_code(clean(code), codes, amount))
+    return direction, F.when(direction == "DEBIT", -F.abs(amount)).otherwise(F.abs(amount)).cast(MONEY), unknown
+
+
+def movement_type(particulars: Column) -> Column:
+    """The first segment of a movement's particulars in upper case, 16 characters at most; SCTXB without one."""
+    first = F.when(particulars.contains("##"), F.split(particulars, "##")[0]).otherwise(F.split(particulars, "/")[0])
+    return F.left(F.coalesce(F.upper(clean(first)), F.lit("SCTXB")), F.lit(16))
+
+
+def channel_of(raw: Column, payload: Column) -> Column:
+    """The channel in upper case, of the raw column or else of the stored payload."""
+    return F.upper(first_filled(raw, F.get_json_object(payload, "$.Initiating_channel")))
+
+
+def iso_moment(day: Column) -> Column:
+    """A day or time in ISO 8601 without an offset."""
+    return F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def feed_config(defaults: Mapping, given: Mapping, identifiers: Sequence[str], required: Sequence[str]) -> dict:
+    """Defaults with the given values of known names; identifiers must be bare names, with a schema or without."""
+    out = {**defaults, **{k: v for k, v in given.items() if k in defaults}}
+    for name in identifiers:
+        value = str(out[name]).strip() if out.get(name) not in (None, "") else None
+        if value is not None and not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", value):
+            raise ValueError(f"{name} is no identifier: {value!r}")
+        out[name] = value
+    for name in required:
+        if not out.get(name):
+            raise ValueError(f"{name} is missing")
+    return out
+
+
+def extract_key(day: Column, transaction: Column, serial: Column) -> Column:
+    """Day, transaction and serial number of an extract's row; a serial is filled up to six digits and never cut."""
+    text = serial.cast("string")
+    return F.concat_ws("-", F.date_format(day, "yyyyMMdd"), transaction, F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))

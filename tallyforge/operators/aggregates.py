@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A reconciliation key that stands for "none can be derived"; it never matches anything.
+#: A settlement key that stands for "none can be derived"; it never matches anything.
 NO_KEY = "Not Supported"
 MONEY = "decimal(20,4)"
 
@@ -100,8 +100,13 @@ def bucket_summary(members: DataFrame) -> DataFrame:
 
 
 def bucket_state(summary: DataFrame) -> DataFrame:
-    """Adds state and is_balanced: a bucket is matched once nothing is pending, balanced if every currency nets to zero."""
-    state = F.when((F.col("member_count") > 0) & (F.col("pending") == 0) & (F.col("matched") > 0), "matched").otherwise("pending")
+    """Adds state and is_balanced: a merged bucket stays so, others are matched once nothing is pending.
+
+    A column ``merged`` says which buckets are merged into another; without it none is. A bucket is balanced if every
+    currency nets to zero.
+    """
+    merged = F.coalesce("merged", F.lit(False)) if "merged" in summary.columns else F.lit(False)
+    state = F.when(merged, "merged").when((F.col("member_count") > 0) & (F.col("pending") == 0) & (F.col("matched") > 0), "matched").otherwise("pending")
     return summary.withColumn("state", state).withColumn("is_balanced", (F.col("member_count") > 0) & (F.col("unbalanced") == 0))
 
 

@@ -1,4 +1,4 @@
-"""Joins that reconcile feeds: lookups, fallbacks, ranges, semi and anti joins."""
+"""Joins between feeds: lookups, fallbacks, ranges, semi and anti joins."""
 
 from __future__ import annotations
 
@@ -122,17 +122,39 @@ def active_at(entries: DataFrame, exclusions: DataFrame, cutoff: str) -> DataFra
     return entries.join(latest.select("id", F.col("x.created_at").alias("excluded_at"), F.col("x.user_id").alias("excluded_by"), F.col("x.reason").alias("reason")), "id", "left")
 
 
-def text_lookup(keys: DataFrame, entries: DataFrame, exact: str, words: str) -> DataFrame:
-    """Entries that name a key: by equality of ``exact`` first, then, for keys without such a hit, as a word of ``words``.
+def run_at(text: Column, n: int):
+    """The function of a place to the run of n characters from there."""
+    return lambda i: F.substr(text, i, F.lit(n))
 
-    A key found inside a text stands there as a word of its own, so the second step is an equi join on the words
-    instead of a comparison of every key with every text.
+
+def text_lookup(keys: DataFrame, entries: DataFrame, exact: str, text: str, gram: int = 4) -> DataFrame:
+    """Entries that name a key: by equality of ``exact`` first, then, for keys without such a hit, anywhere in ``text``.
+
+    The second step finds candidates by an equi join on runs of ``gram`` characters, a key's last one with all of a
+    text's (a shorter key's whole with all runs of its length), and keeps those whose text contains the key. So no text
+    is compared with keys that share nothing with it.
     """
-    wanted = keys.select(F.upper("lookup_key").alias("lookup_key")).distinct()
+    wanted = keys.select(F.upper("lookup_key").alias("lookup_key")).filter("lookup_key <> ''").distinct()
     equal = entries.select("id", F.upper(exact).alias("lookup_key")).join(wanted, "lookup_key").select("lookup_key", "id", F.lit("EXACT").alias("stage"))
-    rest = wanted.join(equal.select("lookup_key").distinct(), "lookup_key", "left_anti")
-    split = entries.select("id", F.explode(F.array_distinct(F.split(F.upper(words), "[^A-Z0-9-]+"))).alias("lookup_key"))
-    return equal.unionByName(split.join(rest, "lookup_key").select("lookup_key", "id", F.lit("TEXT").alias("stage")))
+    rest = wanted.join(equal.select("lookup_key").distinct(), "lookup_key", "left_anti").withColumn("gram", F.right("lookup_key", F.lit(gram)))
+    lengths = sorted(r[0] for r in wanted.select(F.least(F.length("lookup_key"), F.lit(gram))).distinct().collect())  # at most ``gram`` numbers
+    body = F.upper(text)
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - n + 1, F.lit(1))), run_at(body, n)) for n in lengths]
+    split = entries.select("id", body.alias("body"), F.explode(F.array_distinct(F.concat(*runs))).alias("gram")) if runs else entries.select("id", body.alias("body"), body.alias("gram")).limit(0)
+    found = split.join(rest, "gram").filter(F.contains("body", "lookup_key"))
+    return equal.unionByName(found.select("lookup_key", "id", F.lit("TEXT").alias("stage")))
+
+
+def payments_behind(movements: DataFrame, payments: DataFrame, own: str, other: str) -> DataFrame:
+    """Movements with the number and sum of the payments that carry their key, in upper case; payments are summed first."""
+    sums = payments.groupBy(F.upper(other).alias("k")).agg(F.count("*").cast("long").alias("n"), F.sum("amount").cast("decimal(20,4)").alias("total"))
+    return movements.withColumn("k", F.upper(own)).join(sums, "k").drop("k")
+
+
+def status_lookups(movements: DataFrame, payments: DataFrame, fields: list[str]) -> DataFrame:
+    """(movement_id, field, status, n): payments by status behind each movement by each of the fields, counted by key first."""
+    one = lambda f: movements.select("movement_id", F.upper(f).alias("k")).join(payments.groupBy(F.upper(f).alias("k"), "status").agg(F.count("*").cast("long").alias("n")), "k").select("movement_id", F.lit(f).alias("field"), "status", "n")
+    return reduce(lambda a, b: a.unionByName(b), map(one, fields))
 
 
 def base_reference(movements: DataFrame, entries: DataFrame) -> DataFrame:

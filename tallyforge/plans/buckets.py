@@ -1,4 +1,4 @@
-"""Decomposition of batch movements into buckets and slices, and the second, group-level reconciliation."""
+"""Decomposition of batch movements into buckets and slices, and the second, group-level matching."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tallyforge.operators.windows import canonical_parent
 
 
 def partition_payments(resolved: DataFrame) -> DataFrame:
-    """Sums and payment lists per movement and bucket, from (movement_id, po_id, pacs008, message_id, amount).
+    """Sums per movement and bucket, from (movement_id, po_id, pacs008, message_id, amount).
 
     A payment's bucket is of its pacs008 and message, of either alone, or of itself.
     """
@@ -19,7 +19,7 @@ def partition_payments(resolved: DataFrame) -> DataFrame:
     kind = F.when(pacs.isNotNull() & msg.isNotNull(), "PAIR").when(pacs.isNotNull(), "PACS_ONLY").when(F.col("po_id").isNotNull(), "PO").otherwise("MSGID_ONLY")
     name = F.when(pacs.isNotNull() & msg.isNotNull(), F.concat_ws("/", pacs, msg)).when(pacs.isNotNull(), pacs).when(F.col("po_id").isNotNull(), F.upper("po_id")).otherwise(msg)
     keyed = resolved.withColumn("kind", kind).withColumn("bucket", name)
-    return keyed.groupBy("movement_id", "kind", "bucket").agg(total().alias("amount"), F.array_join(F.array_sort(F.collect_list("po_id")), ",").alias("payments"), rows().alias("n"))
+    return keyed.groupBy("movement_id", "kind", "bucket").agg(total().alias("amount"), rows().alias("n"))
 
 
 def plan_movements(movements: DataFrame, parts: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def claim_slices(parents: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def second_reconciliation(parents: DataFrame, slices: DataFrame, members: DataFrame) -> DataFrame:
+def second_matching(parents: DataFrame, slices: DataFrame, members: DataFrame) -> DataFrame:
     """Per bucket with slices whether any of its claim groups has parents that don't sum to their slices.
 
     Slices hang off the first parent of a group; both ledgers' slices count.

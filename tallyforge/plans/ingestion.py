@@ -47,7 +47,7 @@ def three_leg_entries(scheme: DataFrame, payments: DataFrame, returns: DataFrame
     return leg(scheme, F.col("po_id"), amount, "SCHEME").unionByName(leg(payments, F.col("po_id"), -amount, "PAYMENT")).unionByName(leg(returns, F.concat("po_id", F.lit("#RET")), amount, "RETURN"))
 
 
-def three_leg_reconciliation(entries: DataFrame, run: str) -> DataFrame:
+def three_leg_matching(entries: DataFrame, run: str) -> DataFrame:
     """Matched and pending rows and sums per kind of leg after an automatic match."""
     marked = auto_match(entries, run)[1]
     return marked.groupBy("event_type", "status").agg(rows().alias("n"), total().alias("net"))
@@ -75,19 +75,22 @@ def apply_buckets(buckets: DataFrame, members: DataFrame, known_members: DataFra
 
 
 def status_sync(movements: DataFrame, payments: DataFrame, returns: DataFrame) -> DataFrame:
-    """(reco_id, po_id, status) of the payments behind each movement, by its family; one row per pair.
+    """(reco_id, status, n): how many payments of each status stand behind each movement, by its family.
+
+    Payments are counted by key and status before they meet movements, so the output grows with the movements and not
+    with the pairs; who belongs to a movement is its key, which payments carry.
 
     Bulks go by pacs008, bulk messages by message, rejects, singles and instants by payment order, returns by the
-    original payment of the return. A payment order that no payment has keeps its row with a null status.
+    original payment of the return. A payment order that no payment has counts under a null status.
     """
     real = movements.filter(F.col("reco_id").isNotNull() & (F.col("reco_id") != NO_KEY))
     own = real.select("reco_id", family(F.col("particulars")).alias("family"), payment_order(F.col("particulars"), F.col("ref_no")).alias("po"), F.upper(F.trim("remarks_1")).alias("pacs"), F.upper(F.try_element_at(F.split("particulars", "/"), F.lit(2))).alias("msg"))
-    by = lambda kind, key, column: own.filter(F.col("family").isin(*kind)).select("reco_id", F.col(key).alias("k")).join(payments.select(F.upper(column).alias("k"), "po_id", "status"), "k").select("reco_id", "po_id", "status")
+    by = lambda kind, key, column: own.filter(F.col("family").isin(*kind)).select("reco_id", F.col(key).alias("k")).join(payments.groupBy(F.upper(column).alias("k"), "status").agg(rows().alias("n")), "k").select("reco_id", "status", "n")
     origin = own.filter("family = 'RETURN'").join(returns.select(F.col("return_po").alias("po"), "original_po"), "po").select("reco_id", F.col("original_po").alias("po_id"))
     single = own.filter(F.col("family").isin("REJECT", "SINGLE", "INSTANT") & F.col("po").isNotNull()).select("reco_id", F.col("po").alias("po_id"))
-    named = origin.unionByName(single).join(payments.select("po_id", "status"), "po_id", "left").select("reco_id", "po_id", "status")
+    named = origin.unionByName(single).join(payments.select("po_id", "status"), "po_id", "left").select("reco_id", "status", F.lit(1).cast("long").alias("n"))
     every = by(["BULK"], "pacs", "pacs008").unionByName(by(["BULK_MESSAGE"], "msg", "message_id")).unionByName(named)
-    return every.groupBy("reco_id", "po_id").agg(F.max("status").alias("status"))
+    return every.groupBy("reco_id", "status").agg(F.sum("n").cast("long").alias("n"))
 
 
 def run_state(inserted: Column, errors: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Derivation of reconciliation keys from movements: one cascade of conditions over four lookups."""
+"""Derivation of settlement keys from movements: one cascade of conditions over four lookups."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def lookup(df: DataFrame, table: DataFrame, key: Column, name: str) -> DataFrame
     return df.join(t, key == F.col("__key"), "left").drop("__key")
 
 
-def reconciliation_keys(movements: DataFrame, payments: DataFrame, reversals: DataFrame, returns: DataFrame, bulks: DataFrame) -> DataFrame:
+def settlement_keys(movements: DataFrame, payments: DataFrame, reversals: DataFrame, returns: DataFrame, bulks: DataFrame) -> DataFrame:
     """Movements with reco_id and rule (which branch decided); null keys are retried, ``Not Supported`` never.
 
     The four tables are (key, value) with unique keys: payment order to key, reversed reference to key, return to key,

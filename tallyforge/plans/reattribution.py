@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.normalise import segment_shape
-from tallyforge.operators.aggregates import MONEY, rows, total
+from tallyforge.operators.aggregates import MONEY, NO_KEY, rows, total
 
 
 def conservation_control(links: DataFrame, dumps: DataFrame) -> DataFrame:
@@ -58,10 +58,31 @@ def proposal_status(control: DataFrame, live: DataFrame, settled: DataFrame, com
 
 
 def slice_guard(slices: DataFrame, booked: DataFrame) -> DataFrame:
-    """Whether slices may be committed: no more than booked in all, none zero, all of the booking's sign."""
-    sums = slices.groupBy("pmsgid").agg(total().alias("sliced"), F.bool_or(F.col("amount") == 0).alias("any_zero"))
-    on = booked.join(sums, "pmsgid")
-    return on.select("pmsgid", "booked", "sliced", (~F.col("any_zero") & (F.abs("sliced") <= F.abs("booked"))).alias("may_commit"))
+    """Whether a booking's slices may be committed, and why not: none there, one of zero, or more than was booked.
+
+    Slices count by their magnitude, whatever sign they come with; they may fall short of the booking. ``sign`` is the
+    booking's, and all of its slices take it (``signed_slices``).
+    """
+    size = F.abs("amount")
+    sums = slices.groupBy("pmsgid").agg(total(size).alias("sliced"), F.bool_or(F.col("amount") == 0).alias("any_zero"))
+    on = booked.join(sums, "pmsgid", "left").withColumn("sliced", F.coalesce("sliced", F.lit(0)).cast(MONEY))
+    refusal = F.when(F.col("any_zero").isNull(), "NO_SLICE").when(F.col("any_zero"), "ZERO_SLICE").when(F.col("sliced") > F.abs("booked"), "EXCEEDS_BOOKING")
+    sign = F.when(F.col("booked") < 0, -1).otherwise(1)
+    return on.select("link_id", "pmsgid", "booked", sign.alias("sign"), "sliced", refusal.alias("refusal"), refusal.isNull().alias("may_commit"))
+
+
+def signed_slices(slices: DataFrame, guard: DataFrame) -> DataFrame:
+    """The slices of bookings that may be committed, with the booking's sign."""
+    on = slices.join(guard.filter("may_commit").select("link_id", "pmsgid", "sign"), "pmsgid")
+    return on.withColumn("amount", (F.col("sign") * F.abs("amount")).cast(MONEY)).drop("sign")
+
+
+def committed_orphans(live: DataFrame, found: DataFrame) -> DataFrame:
+    """The live ledger after orphans that one key resolves have got it: pending rows without a key alone change."""
+    key = found.filter("outcome = 'RESOLVED'").select("movement_id", F.col("keys").alias("found_key"))
+    on = live.join(key, "movement_id", "left")
+    open_ = F.col("found_key").isNotNull() & (F.col("status") == "PENDING") & (F.col("reco_id").isNull() | (F.col("reco_id") == NO_KEY))
+    return on.withColumn("change", F.when(open_, "RESOLVED").otherwise("KEPT")).withColumn("reco_id", F.when(open_, F.col("found_key")).otherwise(F.col("reco_id"))).drop("found_key")
 
 
 def orphan_keys(ref_no: Column, particulars: Column) -> Column:

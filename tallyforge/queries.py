@@ -1,4 +1,4 @@
-"""Registry of the reconciliation queries and their SQL oracles."""
+"""Registry of the ledger queries and their SQL oracles."""
 
 from __future__ import annotations
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import MONEY, clean
+from tallyforge.functions.normalise import MONEY, clean, tolerant_decimal
 from tallyforge.operators.filters import not_dropped
 
 CASH = {"delimiter": ";", "drop": ["InDoubt"], "zero": "Reverse"}
@@ -53,3 +53,42 @@ def unwrapped(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.col(column)
     inner = F.when(text.rlike('^".*"$'), F.replace(F.substr(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(text)
     return lines.filter(text != "?column?").withColumn(column, inner)
+
+
+def rejoined(files: DataFrame, text: str = "value") -> DataFrame:
+    """Records of wrapped exports, one row a file in ``text``: a record goes on over lines until its quotes close.
+
+    Only a file whose first line is the fake header is unwrapped; of each record one layer of quotes goes and doubled
+    ones become single. Records come with their place. A file is one row, so this is for exports of the size of a task.
+    """
+    lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
+    wrapped = F.trim(F.replace(lines[0], F.lit('"'), F.lit(""))) == "?column?"
+    body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    found = F.regexp_extract_all(body, F.lit('(?m)^\\s*"(?:[^"]++|""|"(?!\\s*$))*+"\\s*$|^[^"\n][^\n]*$'), F.lit(0))
+    record = F.transform(found, lambda r: F.trim(r))
+    inner = F.transform(record, lambda r: F.when(r.startswith('"'), F.replace(F.substr(r, F.lit(2), F.length(r) - 2), F.lit('""'), F.lit('"'))).otherwise(r))
+    plain = F.filter(lines, lambda x: x != "")
+    return files.select(*[c for c in files.columns if c != text], F.posexplode(F.when(wrapped, inner).otherwise(plain)).alias("place", text))
+
+
+#: Service types of a link workbook that may be attributed anew, and the names its columns go by.
+LINK_SERVICES = ("RCP", "RCC", "RRS", "WCC")
+LINK_FIELDS = {"pmsgid": ("pmsgid", "msgid"), "service": ("serviceid", "service"), "announced": ("num_records", "numrecords"), "booked": ("settlement_amount", "settlementamt")}
+
+
+def link_rows(sheet: DataFrame, services: Sequence[str] = LINK_SERVICES) -> tuple[DataFrame, DataFrame]:
+    """(rows to attribute, rows per service) of a link sheet: fields under any of their names, blank rows skipped.
+
+    Every service is counted, kept or not; a row without one counts under ``?``. An unreadable count or amount is zero.
+    """
+    named = sheet.toDF(*[c.strip().lower() for c in sheet.columns])
+    picked = {name: first_existing(named, names) for name, names in LINK_FIELDS.items()}
+    if picked["pmsgid"] is None:
+        raise ValueError("no msgid column")
+    text = lambda name: clean(picked[name].cast("string")) if picked[name] is not None else F.lit(None).cast("string")
+    rows_ = named.select(text("pmsgid").alias("pmsgid"), F.coalesce(F.upper(text("service")), F.lit("?")).alias("service"), text("announced").alias("announced"), text("booked").alias("booked")).filter("pmsgid is not null")
+    kept = F.col("service").isin(*services)
+    counts = rows_.groupBy("service").agg(F.count("*").cast("long").alias("n")).withColumn("kept", kept)
+    count, amount = F.col("announced").try_cast("long"), tolerant_decimal(F.col("booked"))
+    out = rows_.filter(kept).select("pmsgid", "service", F.coalesce(count, F.lit(0)).alias("announced"), F.coalesce(amount, F.lit(0)).cast(MONEY).alias("booked"))
+    return out, counts

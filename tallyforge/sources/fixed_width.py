@@ -28,3 +28,9 @@ def fixed_width_rows(lines: DataFrame, negative: str = "WITHDRAW") -> DataFrame:
     day = F.try_to_timestamp(F.col("day"), F.lit("yyyyMMdd")).cast("date")
     error = F.when(F.length("line") < LEAST, "short").when(value.isNull(), "amount").when(day.isNull(), "date")
     return cut.select("counter", "event", day.alias("day"), "currency", F.when(F.upper("event") == negative, -F.abs(value)).otherwise(value).cast(MONEY).alias("amount"), "ref", error.alias("_error"))
+
+
+def slab_rows(files: DataFrame, length: int = 3269, negative: str = "WITHDRAW", text: str = "value") -> DataFrame:
+    """Fields of records that follow each other without line ends, ``length`` characters each; ``files`` has one row a file."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(length))
+    return fixed_width_rows(files.select(F.explode(F.transform(starts, lambda a: F.substr(F.col(text), a, F.lit(length)))).alias("value")), negative)

@@ -32,7 +32,9 @@ def statement_rows(messages: DataFrame) -> DataFrame:
     tags = tags.select("message_id", "place", F.regexp_extract("field", r"^:(\d{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace("field", r"^:\d{2}[A-Z]?:", "").alias("value"))
     w = Window.partitionBy("message_id").orderBy("place")
     head = Window.partitionBy("message_id")
-    balance = F.max(F.when(F.col("tag").isin("60F", "60M"), F.substring("value", 8, 3))).over(head)
+    coded = F.nullif(F.regexp_extract("value", "^[DC][0-9]{6}([A-Z]{3})", 1), F.lit(""))
+    # the first balance tag that names a currency, in this order
+    balance = F.coalesce(*[F.max(F.when(F.col("tag") == t, coded)).over(head) for t in ("60F", "60M", "62F", "62M")])
     paired = tags.select("message_id", "place", "tag", "value", F.when(F.lead("tag").over(w) == "86", F.lead("value").over(w)).otherwise("").alias("detail"), F.max(F.when(F.col("tag") == "25", F.trim("value"))).over(head).alias("account"), balance.alias("currency"))
     part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
     day = short_date(part(1))

@@ -101,7 +101,7 @@ def test_one_row_per_branch_of_the_key_cascade(spark):
     ]
     df = spark.createDataFrame([(r, p, ref, m, ch) for r, p, ref, m, ch, _ in cases], "want string, particulars string, ref_no string, remarks_1 string, channel string")
     table = lambda k, v: spark.createDataFrame([(k, v)], "k string, v string")
-    got = {r["want"]: (r["rule"], r["reco_id"]) for r in K.reconciliation_keys(df, table("PO1", "via payment"), table("REF1", "via reversal"), table("RT1", "via return"), table("R1", "bulk of R1")).collect()}
+    got = {r["want"]: (r["rule"], r["reco_id"]) for r in K.settlement_keys(df, table("PO1", "via payment"), table("REF1", "via reversal"), table("RT1", "via return"), table("R1", "bulk of R1")).collect()}
     assert got == {r: (r, want) for r, *_, want in cases}
 
 
@@ -162,3 +162,35 @@ def test_unknown_reader():
 def test_merge_chains_with_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 4), (9, 5)], "old long, new long")
     assert rows(M.merge_chains(spark, links)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4)]
+
+
+def test_slices_count_by_magnitude(spark):
+    """Slices of +100 and -90 don't fit a booking of 10, and what may be committed has the booking's sign."""
+    from tallyforge.plans import reattribution as R
+
+    money = "decimal(20,4)"
+    slices = spark.createDataFrame([("a", "100"), ("a", "-90"), ("b", "4"), ("b", "5"), ("c", "0"), ("d", "-3")], "pmsgid string, amount string").withColumn("amount", F.col("amount").cast(money))
+    booked = spark.createDataFrame([(1, "a", "10"), (2, "b", "-9"), (3, "c", "5"), (4, "d", "3"), (5, "e", "1")], "link_id int, pmsgid string, booked string").withColumn("booked", F.col("booked").cast(money))
+    guard = R.slice_guard(slices, booked)
+    assert {r["pmsgid"]: (r["refusal"], r["may_commit"]) for r in guard.collect()} == {"a": ("EXCEEDS_BOOKING", False), "b": (None, True), "c": ("ZERO_SLICE", False), "d": (None, True), "e": ("NO_SLICE", False)}
+    assert sorted((r["pmsgid"], int(r["amount"])) for r in R.signed_slices(slices, guard).collect()) == [("b", -5), ("b", -4), ("d", 3)]
+
+
+def test_keys_inside_words_are_found(spark):
+    """Substrings count, glued to letters or with signs of their own; a key with an exact hit isn't sought in texts."""
+    from tallyforge.operators import joins as J
+
+    keys = spark.createDataFrame([("MSG12",), ("a_b/c.d",), ("x",), ("known",), ("",)], "lookup_key string")
+    rows = spark.createDataFrame([(1, "q", "refmsg12end"), (2, "KNOWN", "nothing"), (3, "q", "see A_B/C.D now known"), (4, None, None), (5, "q", "")], "id int, e string, t string")
+    got = sorted((r["lookup_key"], r["id"], r["stage"]) for r in J.text_lookup(keys, rows, "e", "t").collect())
+    assert got == [("A_B/C.D", 3, "TEXT"), ("KNOWN", 2, "EXACT"), ("MSG12", 1, "TEXT")]
+
+
+def test_feed_config_refuses_what_is_no_name():
+    from tallyforge.functions.normalise import feed_config
+
+    defaults = {"table": "std.Feed", "column": None, "limit": 3}
+    assert feed_config(defaults, {"column": " ref ", "other": 1}, ["table", "column"], ["table"]) == {"table": "std.Feed", "column": "ref", "limit": 3}
+    for bad in ({"table": "x; drop"}, {"table": ""}, {"column": "a.b.c"}):
+        with pytest.raises(ValueError):
+            feed_config(defaults, bad, ["table", "column"], ["table"])
