@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, chunks, held_in, joined, mix64, table, text_rows, without
+from tallyforge.llm.common import Spans, Words, chunks, held_in, joined, mix64, table, text_rows, without
 
 OUT = ("score", "predicted")
 #: What a sign may stand for, besides itself.

@@ -462,3 +462,80 @@ def test_pipeline_stages_with_odd_rows(spark, sf):
 def test_run_gives_the_mixed_documents(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "text", "lang", "source", "n_chars", "taken"} <= set(out.columns) and out.count() > 50
+
+
+# ---- scorers against plain loops
+ODD = ["one two two three", "", None, "é à é  x\ny", "a", "word " * 300, "x" * 5000, "\t a b c ", "good good good", "1d10t you l o s e r!!", "UPPER lower 42-fold ne'er"]
+
+
+def test_quality_scores_against_a_plain_loop():
+    """Features of each text are listed one by one, as byte strings; weights are those of their buckets."""
+    rng = np.random.default_rng(1)
+    weights, bias = rng.normal(size=quality.BUCKETS).astype(np.float32), 0.3
+    code = quality.mix64(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
+
+    def gram(b):
+        h = 0
+        for x in b:
+            h = (h * 0x9E3779B1 + int(code[x])) % 2**32
+        return (h ^ (h >> 15)) % quality.BUCKETS
+
+    def word_hash(w):
+        return int(quality.Words(pa.array([w])).hash[0])
+
+    def mixed(x):
+        return int(quality.mix64(np.array([x % 2**64], np.uint64))[0])
+
+    class Model:
+        value = (weights, bias)
+
+    batch = pa.record_batch([pa.array(range(len(ODD))), pa.array(ODD)], ["id", "text"])
+    (out,) = quality.scorer(Model, 1, 1)([batch])
+    for text, got in zip(ODD, out.column(1).to_pylist(), strict=True):
+        raw = (text or "").encode()
+        words = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+        hashes = [word_hash(w.decode(errors="surrogateescape")) for w in words]
+        found = [h % quality.BUCKETS for h in hashes]
+        found += [(77 if a == b else mixed(3 * a + b)) % quality.BUCKETS for a, b in zip(hashes, hashes[1:], strict=False)]
+        space = lambda x: x == 32 or 9 <= x <= 13
+        found += [gram(raw[i : i + n]) for n in quality.CHARS for i in range(len(raw) - n + 1) if not any(map(space, raw[i + 1 : i + n - 1]))]
+        want = 1 / (1 + np.exp(-(sum(float(weights[f]) for f in found) / max(len(found), 1) + bias)))
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_evidence_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    weights, d = rng.normal(size=toxicity.BUCKETS).astype(np.float32) * 2, decoder()
+    got = toxicity.evidence(weights, d, pa.array(ODD))
+    for text, row in zip(toxicity.restored(d, pa.array(ODD)), got, strict=True):
+        words = {w for w in re.split(rb"[^0-9A-Za-z\x80-\xff]+", text.encode()) if w}
+        of = lambda b: float(weights[int(toxicity.Spans(np.frombuffer(b, np.uint8)).hashes(np.array([0]), np.array([len(b)]))[0]) % toxicity.BUCKETS])
+        best = sorted((max(of(w[:n]) for n in toxicity.PREFIXES if len(w) >= n or n == toxicity.PREFIXES[-1]) for w in words), reverse=True)
+        want = [min(max(x, 0), 6) for x in (best + [0, 0, 0])[:3]] + [np.log1p(sum(x > a for x in best)) for a in (1, 2, 3)] + [np.log1p(len(words))]
+        assert row.tolist() == pytest.approx(want, abs=1e-5)
+
+
+def test_repeated_and_tied_labels_do_not_change_scores(spark):
+    """An id that is labelled twice counts once, as 1 if either label is; a row that occurs many times is learned once."""
+    docs = spark.createDataFrame([(i, f"good fine words {i}" if i % 2 else f"bad poor text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    again = labels.unionByName(labels.withColumn("quality", F.lit(0)).withColumn("toxic", F.lit(0)))
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        one = {r["doc_id"]: r["score"] for r in score(spark, docs, labels).collect()}
+        assert one == {r["doc_id"]: r["score"] for r in score(spark, docs, again.repartition(3)).collect()}
+    many = docs.unionByName(docs.filter("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    assert {r["doc_id"]: r["score"] for r in quality.score_quality(spark, many, labels).collect()} == {r["doc_id"]: r["score"] for r in quality.score_quality(spark, docs, labels).collect()}
+
+
+def test_media_query_against_brute_force(spark, sf):
+    """Every column that the query reads back, computed anew from the texts."""
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in registry.QUERIES["op8_media_columns"](spark, sf).collect():
+        raw = text[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.to_png(payload)
+        share = np.array([n for n in np.bincount(list(payload), minlength=256) if n]) / len(payload)
+        feature = f"png:64x{len(payload) // 64}:8:mean={sum(payload) / len(payload):.4f}:bits={-(share @ np.log2(share)) + 0.0:.4f}:zero={payload.count(0)}"
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"], r["width"], r["height"]) == (len(stored), hashlib.sha256(stored).hexdigest(), feature, 64, len(payload) // 64)
+        assert media.from_png(stored) == payload
