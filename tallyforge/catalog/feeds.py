@@ -58,9 +58,9 @@ def slabs(v) -> DataFrame:
 query(
     "source_slabs",
     "",
-    f"""SELECT o_orderkey::VARCHAR AS counter, CAST(CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(20,2)) AS {DEC}) AS amount, 'R' || o_orderkey AS ref, i
+    f"""SELECT o_orderkey::VARCHAR AS counter, CAST(CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(20,2)) AS {DEC}) AS amount, 'R' || o_orderkey AS ref
       FROM orders, (SELECT unnest([1, 2]) AS i)""",
-)(lambda v: fixed_width.slab_rows(slabs(v)).filter("_error is null").select("counter", "amount", "ref").withColumn("i", F.explode(F.array(F.lit(0)))).groupBy("counter", "amount", "ref").agg(F.count("*").alias("k")).select("counter", "amount", "ref", F.explode(F.sequence(F.lit(1), c("k").cast("int"))).alias("i")))
+)(lambda v: fixed_width.slab_rows(slabs(v)).filter("_error is null").select("counter", "amount", "ref"))
 query("map_prefixed_key", "movement", "SELECT movement_id, CASE WHEN movement_id % 10 = 0 THEN nullif(trim(ref_no), '') WHEN movement_id % 3 = 0 THEN 'K' || movement_id ELSE 'X' || movement_id END AS reco_id FROM movement")(
     lambda v: v.movement.select("movement_id", N.without_prefix(F.expr("CASE WHEN movement_id % 10 = 0 THEN ' ' WHEN movement_id % 3 = 0 THEN 'SCRTK' || movement_id ELSE 'X' || movement_id END"), "SCRT", c("ref_no")).alias("reco_id"))
 )

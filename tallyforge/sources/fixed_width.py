@@ -33,4 +33,7 @@ def fixed_width_rows(lines: DataFrame, negative: str = "WITHDRAW") -> DataFrame:
 def slab_rows(files: DataFrame, length: int = 3269, negative: str = "WITHDRAW", text: str = "value") -> DataFrame:
     """Fields of records that follow each other without line ends, ``length`` characters each; ``files`` has one row a file."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(length))
-    return fixed_width_rows(files.select(F.explode(F.transform(starts, lambda a: F.substr(F.col(text), a, F.lit(length)))).alias("value")), negative)
+    slabs = files.select(F.explode(F.transform(starts, lambda a: F.substr(F.col(text), a, F.lit(length)))).alias("slab"))
+    # what fills a slab up is left out before its fields are read; a cut-off last one stays as short as it is
+    filled = F.when(F.length("slab") >= LEAST, F.rpad(F.rtrim("slab"), WIDTH, " ")).otherwise(F.col("slab"))
+    return fixed_width_rows(slabs.select(filled.alias("value")), negative)
