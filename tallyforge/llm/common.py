@@ -85,7 +85,7 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(column, most_bytes: int = 1_000_000):
+def chunks(column, most_bytes: int = 250_000):
     """Slices (start, stop) of an Arrow string column of about ``most_bytes`` of text each; a longer text is alone."""
     import pyarrow.compute as pc
 
