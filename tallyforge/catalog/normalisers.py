@@ -28,14 +28,17 @@ query("filter_status_drop", "payment_status", "SELECT reco_id, po_id, amount, st
 )
 query("filter_text_search", "", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%00000012%' OR c_mktsegment ILIKE 'auto%'")(lambda v: v.customer.filter(c("c_name").ilike("%00000012%") | c("c_mktsegment").ilike("auto%")).select("c_custkey", "c_name"))
 query("scan_incremental", "movement", "SELECT movement_id, amount, value_date FROM movement WHERE flow_id IN (1, 3) AND value_date >= TIMESTAMP '1996-01-01'")(
-    lambda v: v.movement.filter(c("flow_id").isin(1, 3) & (c("value_date") >= F.lit("1996-01-01").cast("timestamp_ntz"))).select("movement_id", "amount", "value_date")
+    lambda v: X.since(v.movement, "value_date", "1996-01-01", flow_id=[1, 3]).select("movement_id", "amount", "value_date")
 )
 query("scan_weighted_text", "entries", "SELECT event_type AS tp, count(*) AS weight FROM entries GROUP BY 1")(lambda v: v.live.unionByName(v.settled).groupBy(c("event_type").alias("tp")).agg(F.count("*").alias("weight")))
 query("scan_semi_join_extract", "movement", "SELECT m.movement_id, c.c_name, m.amount FROM movement m LEFT JOIN customer c ON c.c_custkey = m.cust_key AND c.c_acctbal > 0 WHERE m.flow_id IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA') AND m.value_date > TIMESTAMP '1995-06-01'")(
-    lambda v: v.movement.filter(c("value_date") > F.lit("1995-06-01").cast("timestamp_ntz"))
-    .join(v.region.filter("r_name <> 'ASIA'").select(c("r_regionkey").cast("int").alias("flow_id")), "flow_id", "left_semi")
-    .join(v.customer.filter("c_acctbal > 0").select(c("c_custkey").alias("cust_key"), "c_name"), "cust_key", "left")
-    .select("movement_id", "c_name", "amount")
+    lambda v: X.extract_for(
+        v.movement.filter(c("value_date") > F.lit("1995-06-01").cast("timestamp_ntz")),
+        v.region.filter("r_name <> 'ASIA'").select(c("r_regionkey").cast("int").alias("flow_id")),
+        "flow_id",
+        v.customer.filter("c_acctbal > 0").select(c("c_custkey").alias("cust_key"), "c_name"),
+        "cust_key",
+    ).select("movement_id", "c_name", "amount")
 )
 
 query("map_zero_on_match", "entries", f"SELECT id, external_ref, CAST(CASE WHEN lower(event_type) LIKE '%return%' THEN 0 ELSE amount END AS {DEC}) AS amount FROM entries")(lambda v: v.entries.select("id", "external_ref", N.zero_if(c("amount"), c("event_type"), "Return").alias("amount")))

@@ -184,13 +184,21 @@ def found_orphans(v):
     return R.orphans(v.movement.withColumn("particulars", text).withColumn("ref_no", ref), v.entries.filter("reco_id is not null").select(c("reco_id").alias("key")))
 
 
+SEGMENTED = """WITH u AS (SELECT url, count(*) AS weight FROM pages GROUP BY 1), s AS (SELECT url, weight, string_split(url, '/') AS seg FROM u), p AS (SELECT url, weight, len(seg) AS n, unnest(range(len(seg))) AS place, unnest(seg) AS value FROM s),
+      d AS (SELECT n, place, count(DISTINCT value) AS k FROM p GROUP BY 1, 2), t AS (SELECT url, any_value(weight) AS weight, string_agg(CASE WHEN k <= 25 OR (n > 1 AND place = 0) THEN CASE WHEN value = '' THEN '∅' ELSE value END ELSE '<' || CASE WHEN trim(value) = '' THEN 'EMPTY' WHEN regexp_full_match(value, '[0-9]+') THEN 'NUM' WHEN regexp_full_match(value, '[A-Za-z0-9]+') AND regexp_matches(value, '[0-9]') THEN 'ALNUM' ELSE 'TEXT' END || '>' END, ' / ' ORDER BY place) AS pattern
+      FROM p JOIN d USING (n, place) GROUP BY url)"""
 query(
     "plan_mine_patterns",
     "",
-    """WITH u AS (SELECT url, count(*) AS weight FROM pages GROUP BY 1), s AS (SELECT url, weight, string_split(url, '/') AS seg FROM u), p AS (SELECT url, weight, len(seg) AS n, unnest(range(len(seg))) AS place, unnest(seg) AS value FROM s),
-      d AS (SELECT n, place, count(DISTINCT value) AS k FROM p GROUP BY 1, 2), t AS (SELECT url, any_value(weight) AS weight, string_agg(CASE WHEN k <= 25 OR (n > 1 AND place = 0) THEN CASE WHEN value = '' THEN '∅' ELSE value END ELSE '<' || CASE WHEN trim(value) = '' THEN 'EMPTY' WHEN regexp_full_match(value, '[0-9]+') THEN 'NUM' WHEN regexp_full_match(value, '[A-Za-z0-9]+') AND regexp_matches(value, '[0-9]') THEN 'ALNUM' ELSE 'TEXT' END || '>' END, ' / ' ORDER BY place) AS pattern
-      FROM p JOIN d USING (n, place) GROUP BY url) SELECT pattern, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS texts, min(url) AS example FROM t GROUP BY 1""",
+    f"""{SEGMENTED} SELECT pattern, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS texts, min(url) AS example FROM t GROUP BY 1""",
 )(lambda v: R.mine_patterns(v.pages.groupBy("url").agg(A.rows().alias("weight")), "url", "weight"))
+query(
+    "plan_place_values",
+    "",
+    f"""{SEGMENTED}, v AS (SELECT pattern, place, value, sum(p.weight) AS w FROM p JOIN d USING (n, place) JOIN t USING (url) WHERE NOT (k <= 25 OR (n > 1 AND place = 0)) GROUP BY 1, 2, 3)
+      SELECT pattern, CAST(place AS INT) AS place, count(*) AS "values", string_agg(value, ' | ' ORDER BY r) FILTER (r <= 3) AS samples
+      FROM (SELECT *, row_number() OVER (PARTITION BY pattern, place ORDER BY w DESC, value) AS r FROM v) GROUP BY 1, 2""",
+)(lambda v: R.place_values(v.pages.groupBy("url").agg(A.rows().alias("weight")), "url", "weight", top=3))
 query(
     "plan_operational_list",
     "live payment_status",

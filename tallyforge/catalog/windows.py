@@ -73,3 +73,17 @@ query("page_change_log", "change_log", "SELECT event_id, ts, user_id, action FRO
 query("top_key_values", "member_key", "SELECT key_type, key_value, n FROM (SELECT key_type, key_value, count(*) AS n FROM member_key GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY key_type ORDER BY n DESC, key_value) <= 5")(
     lambda v: W.ranked(v.member_key.groupBy("key_type", "key_value").agg(A.rows().alias("n")), ["key_type"], [F.col("n").desc(), F.col("key_value")], 5)
 )
+query(
+    "window_once_across_files",
+    "export_rows",
+    """SELECT arg_min(file_no, o) AS file_no, arg_min(line_no, o) AS line_no, arg_min(amount, o) AS amount, count(*) - 1 AS duplicates
+      FROM (SELECT *, (file_no, line_no, amount) AS o, CASE WHEN line_no % 5 = 0 THEN '' ELSE srl END AS k FROM export_rows)
+      GROUP BY nullif(k, ''), CASE WHEN k = '' THEN (pmsgid, reason, amount) END""",
+)(
+    lambda v: W.once_across_files(
+        v.export_rows.withColumn("k", F.when(F.col("line_no") % 5 == 0, "").otherwise(F.col("srl"))),
+        "k",
+        ["pmsgid", "reason", "amount"],
+        ["file_no", "line_no", "amount"],
+    ).select("file_no", "line_no", "amount", "duplicates")
+)

@@ -60,3 +60,16 @@ def stores_for(live: DataFrame, settled: DataFrame, status: str | None) -> DataF
 def not_dropped(status: Column, drop: Sequence[str]) -> Column:
     """Statuses outside the set, whatever their case; no status stays."""
     return status.isNull() | ~F.lower(F.trim(status)).isin([d.lower() for d in drop])
+
+
+def since(rows: DataFrame, at: str, start: str, **allowed: list) -> DataFrame:
+    """Rows from a moment on whose columns have one of the allowed values: plain predicates that reach the scan."""
+    out = rows.filter(F.col(at) >= F.lit(start).cast("timestamp_ntz"))
+    for column, values in allowed.items():
+        out = out.filter(F.col(column).isin(*values))
+    return out
+
+
+def extract_for(rows: DataFrame, kept: DataFrame, key: str, named: DataFrame, by: str) -> DataFrame:
+    """Rows whose ``key`` is among ``kept``, with what ``named`` knows by ``by``; of a repeated name the rows repeat."""
+    return rows.join(kept.select(key).distinct(), key, "left_semi").join(named, by, "left")

@@ -63,3 +63,16 @@ def heaviest(rows: DataFrame, by: str, amount: str, label: str) -> DataFrame:
 def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
     """A page in an order that callers make total."""
     return df.orderBy(*order).offset(skip).limit(limit)
+
+
+def once_across_files(rows: DataFrame, natural: str, content: list[str], order: list[str]) -> DataFrame:
+    """Rows of overlapping files once, the first in ``order``, with the number of duplicates that each stands for.
+
+    A row is known by its natural key, or where that is null or empty by its content. An aggregate keeps the least row,
+    so copies are met before the shuffle.
+    """
+    key = F.nullif(F.col(natural), F.lit(""))
+    body = F.when(key.isNull(), F.struct(*content))
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    one = rows.groupBy(key.alias("__key"), body.alias("__content")).agg(first.alias("r"), (F.count("*") - 1).cast("long").alias("duplicates"))
+    return one.select("r.*", "duplicates")

@@ -109,15 +109,46 @@ def orphans(movements: DataFrame, known: DataFrame) -> DataFrame:
     return one.select("movement_id", F.array_join("keys", ",").alias("keys"), outcome.alias("outcome"))
 
 
-def mine_patterns(texts: DataFrame, column: str, weight: str, literal_most: int = 25, separator: str = "/") -> DataFrame:
-    """Patterns of segmented texts: a place with few values (or the first of several) stays literal, others show their shape.
+def segments(texts: DataFrame, column: str, weight: str, literal_most: int, separator: str) -> DataFrame:
+    """(text, weight, n, place, value, literal, token) of each segment of segmented texts.
 
-    Only distinct values per place are counted, after a map-side distinct; texts meet the places' verdicts once.
+    A place with few values (or the first of several) is literal, others show their shape. Only distinct values per
+    place are counted, after a map-side distinct; texts meet the places' verdicts once.
     """
     split = texts.select(column, weight, F.split(column, separator, -1).alias("seg")).withColumn("n", F.size("seg"))
     places = split.select(column, weight, "n", F.posexplode("seg").alias("place", "value"))
     verdicts = places.select("n", "place", "value").distinct().groupBy("n", "place").agg(rows().alias("values"))
     literal = (F.col("values") <= literal_most) | ((F.col("n") > 1) & (F.col("place") == 0))
-    token = F.when(literal, F.when(F.col("value") == "", "∅").otherwise(F.col("value"))).otherwise(F.concat(F.lit("<"), segment_shape(F.col("value")), F.lit(">")))
-    tokens = places.join(verdicts, ["n", "place"]).groupBy(column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", token.alias("t")))), lambda x: x["t"]), " / ").alias("pattern"), F.first(weight).alias("weight"))
-    return tokens.groupBy("pattern").agg(F.sum("weight").cast("long").alias("weight"), rows().alias("texts"), F.min(column).alias("example"))
+    shown = F.when(F.col("value") == "", "∅").otherwise(F.col("value"))
+    token = F.when(literal, shown).otherwise(F.concat(F.lit("<"), segment_shape(F.col("value")), F.lit(">")))
+    return places.join(verdicts, ["n", "place"]).select(column, weight, "n", "place", "value", literal.alias("literal"), token.alias("token"))
+
+
+def pattern_of(tokens: DataFrame, column: str, weight: str) -> DataFrame:
+    """(text, pattern, weight): the tokens of each text in their order."""
+    listed = F.array_sort(F.collect_list(F.struct("place", "token")))
+    pattern = F.array_join(F.transform(listed, lambda x: x["token"]), " / ")
+    return tokens.groupBy(column).agg(pattern.alias("pattern"), F.first(weight).alias("weight"))
+
+
+def mine_patterns(texts: DataFrame, column: str, weight: str, literal_most: int = 25, separator: str = "/") -> DataFrame:
+    """Patterns of segmented texts with their weight, their number of texts and the least text as an example."""
+    tokens = segments(texts, column, weight, literal_most, separator)
+    patterns = pattern_of(tokens, column, weight)
+    return patterns.groupBy("pattern").agg(F.sum("weight").cast("long").alias("weight"), rows().alias("texts"), F.min(column).alias("example"))
+
+
+def place_values(texts: DataFrame, column: str, weight: str, top: int = 5, literal_most: int = 25, separator: str = "/") -> DataFrame:
+    """Per pattern and variable place: how many values it has, and the ``top`` heaviest, ties by value.
+
+    Values are counted before they are ranked, and the rank's limit is applied before the shuffle as well, so a place
+    with very many values sends few of them.
+    """
+    tokens = segments(texts, column, weight, literal_most, separator)
+    patterns = pattern_of(tokens, column, weight).select(column, "pattern")
+    held = tokens.filter(~F.col("literal")).join(patterns, column).groupBy("pattern", "place", "value").agg(F.sum(weight).alias("w"))
+    w = Window.partitionBy("pattern", "place").orderBy(F.desc("w"), "value")
+    first = held.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"])
+    samples = first.groupBy("pattern", "place").agg(F.array_join(listed, " | ").alias("samples"))
+    return held.groupBy("pattern", "place").agg(rows().alias("values")).join(samples, ["pattern", "place"])
