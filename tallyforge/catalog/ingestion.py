@@ -94,6 +94,25 @@ query(
       SELECT 'buckets' AS what, count(DISTINCT bucket_id) AS n FROM m WHERE bucket_id NOT IN (SELECT bucket_id FROM member WHERE kind <> 'MULTI') UNION ALL SELECT 'members', count(*) FROM m WHERE length(source_hash) % 3 = 0
       UNION ALL SELECT 'updated', count(*) FROM m WHERE length(source_hash) % 3 = 1 UNION ALL SELECT 'keys', count(*) FROM (SELECT DISTINCT * FROM member_key WHERE key_type = 'PO')""",
 )(pushed)
+
+
+def rolled_up(v):
+    first = lambda name: F.max(name).alias(name)
+    members = v.member.groupBy("source_hash").agg(*map(first, ("bucket_id", "amount", "currency", "status", "value_date")))
+    old = members.filter("length(source_hash) % 3 <> 0").withColumn("amount", (c("amount") + 1).cast(MONEY))
+    rollups = G.pushed_buckets(members.filter("length(bucket_id) % 4 <> 0"), old)[1]
+    return rollups.select("bucket_id", "member_count", "net", "pending", "state", "is_balanced")
+
+
+query(
+    "plan_bucket_rollups",
+    "member",
+    f""", h AS (SELECT source_hash, max(bucket_id) AS bucket_id, max(amount) AS amount, max(currency) AS currency, max(status) AS status, length(max(bucket_id)) % 4 <> 0 AS staged FROM member GROUP BY 1),
+      n AS (SELECT bucket_id, currency, sum(CASE WHEN staged THEN amount ELSE amount + 1 END) AS net, count(*) AS n, count(*) FILTER (status = 'PENDING') AS p, count(*) FILTER (status = 'MATCHED') AS m
+      FROM h WHERE staged OR length(source_hash) % 3 <> 0 GROUP BY 1, 2)
+      SELECT bucket_id, CAST(sum(n) AS BIGINT) AS member_count, CAST(sum(net) AS {DEC}) AS net, CAST(sum(p) AS BIGINT) AS pending, CASE WHEN sum(p) = 0 AND sum(m) > 0 THEN 'matched' ELSE 'pending' END AS state,
+      bool_and(net = 0) AS is_balanced FROM n GROUP BY 1""",
+)(rolled_up)
 query(
     "plan_status_sync",
     "movement payment payment_return",

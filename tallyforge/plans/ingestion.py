@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import identity as I
 from tallyforge.functions.normalise import family, payment_order, signed
-from tallyforge.operators.aggregates import MONEY, NO_KEY, rows, total
+from tallyforge.operators.aggregates import MONEY, NO_KEY, bucket_state, bucket_summary, rows, total
 from tallyforge.operators.joins import first_hit
 from tallyforge.operators.merge import insert_new, upsert
 from tallyforge.plans.matching import auto_match
@@ -74,6 +74,15 @@ def apply_buckets(buckets: DataFrame, members: DataFrame, known_members: DataFra
     return one(new_buckets, "buckets").unionByName(one(merged.filter("change = 'INSERTED'"), "members")).unionByName(one(merged.filter("change = 'UPDATED'"), "updated")).unionByName(one(new_keys, "keys"))
 
 
+def pushed_buckets(members: DataFrame, known_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, rollups) after a push: who is where stays, amounts follow, and each bucket is summed up again.
+
+    Rollups have sums, dates and status counts per bucket, its state and whether each of its currencies nets to zero.
+    """
+    merged = upsert(known_members, members, "source_hash", {"amount": "new"}, [F.col("amount")])
+    return merged, bucket_state(bucket_summary(merged))
+
+
 def status_sync(movements: DataFrame, payments: DataFrame, returns: DataFrame) -> DataFrame:
     """(reco_id, status, n): how many payments of each status stand behind each movement, by its family.
 
