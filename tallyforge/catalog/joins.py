@@ -14,19 +14,19 @@ DEC = "DECIMAL(20,4)"
 query("join_key_lookup", "payment movement", "SELECT p.po_id, upper(p.pacs008) AS lookup_key, p.amount, p.part_key FROM payment p JOIN (SELECT DISTINCT upper(remarks_1) AS k FROM movement) m ON upper(p.pacs008) = m.k")(
     lambda v: J.key_lookup(v.movement, v.payment, "remarks_1", "pacs008").select("po_id", "lookup_key", "amount", "part_key")
 )
-RESOLVED = "SELECT {k}, min(coalesce(nullif(trim({a}), ''), nullif(trim({b}), ''))) AS resolved FROM payment WHERE {k} IN (SELECT {k} FROM payment WHERE order_key % 3 = 0) GROUP BY 1"
-query("join_po_to_pacs", "payment", RESOLVED.format(k="po_id", a="pacs008", b="message_id"))(lambda v: J.reference_of_payment(v.payment.filter("order_key % 3 = 0"), v.payment, "po_id", "pacs008", "message_id"))
+RESOLVED = "SELECT {k}, min(coalesce(nullif(trim({a}), ''), nullif(trim({b}), ''))) AS resolved FROM payment GROUP BY 1"
+query("join_po_to_pacs", "payment", RESOLVED.format(k="po_id", a="pacs008", b="message_id"))(lambda v: J.reference_of_payment(v.payment, v.payment, "po_id", "pacs008", "message_id"))
 query("join_reference_to_message", "payment", RESOLVED.format(k="transaction_ref", a="message_id", b="pacs008"))(
-    lambda v: J.reference_of_payment(v.payment.filter("order_key % 3 = 0").filter(F.length("transaction_ref") <= 64), v.payment, "transaction_ref", "message_id", "pacs008")
+    lambda v: J.reference_of_payment(v.payment, v.payment, "transaction_ref", "message_id", "pacs008")
 )
 HOPS = "SELECT return_po, r.original_po, pacs008, message_id FROM payment_return r {how} JOIN {p} p ON p.po_id = r.original_po"
 query("join_two_hops", "payment payment_return", HOPS.format(how="", p="payment"))(lambda v: J.return_to_payment(v.payment_return, v.payment))
-query("join_return_left", "payment payment_return", HOPS.format(how="LEFT", p="(SELECT * FROM payment WHERE order_key % 2 = 0)"))(lambda v: J.return_to_payment(v.payment_return, v.payment.filter("order_key % 2 = 0"), "left"))
+query("join_return_left", "payment payment_return", HOPS.format(how="LEFT", p="(SELECT * FROM payment WHERE init_module = 'SINGLE')"))(lambda v: J.return_to_payment(v.payment_return, v.payment.filter("init_module = 'SINGLE'"), "left"))
 query(
     "join_fan_out",
-    "payment",
-    "SELECT po_id, message_id, amount, supp_key FROM payment WHERE message_id IN (SELECT message_id FROM payment WHERE po_id IN (SELECT po_id FROM payment WHERE part_key % 20 = 3 AND order_key % 50 = 1))",
-)(lambda v: J.fan_out(v.payment, v.payment.filter("part_key % 20 = 3 AND order_key % 50 = 1")).select("po_id", "message_id", "amount", "supp_key"))
+    "payment payment_return",
+    "SELECT po_id, message_id, amount, supp_key FROM payment WHERE message_id IN (SELECT message_id FROM payment WHERE po_id IN (SELECT original_po FROM payment_return))",
+)(lambda v: J.fan_out(v.payment, v.payment_return.withColumnRenamed("original_po", "po_id")).select("po_id", "message_id", "amount", "supp_key"))
 query(
     "join_range_fanout",
     "payment movement",
@@ -51,11 +51,11 @@ query(
     "join_first_hit",
     "payment movement",
     """SELECT movement_id, coalesce(a.v, b.v) AS resolved, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 END AS tier FROM movement m
-      LEFT JOIN (SELECT transaction_ref AS k, min(message_id) AS v FROM payment WHERE order_key % 2 = 0 GROUP BY 1) a ON a.k = m.ref_no LEFT JOIN (SELECT pacs008 AS k, min(message_id) AS v FROM payment GROUP BY 1) b ON b.k = m.remarks_1""",
+      LEFT JOIN (SELECT transaction_ref AS k, min(message_id) AS v FROM payment WHERE init_module = 'SINGLE' GROUP BY 1) a ON a.k = m.ref_no LEFT JOIN (SELECT pacs008 AS k, min(message_id) AS v FROM payment GROUP BY 1) b ON b.k = m.remarks_1""",
 )(
     lambda v: J.first_hit(
         v.movement.select("movement_id", "ref_no", "remarks_1"),
-        [("ref_no", v.payment.filter("order_key % 2 = 0").groupBy("transaction_ref").agg(F.min("message_id"))), ("remarks_1", v.payment.groupBy("pacs008").agg(F.min("message_id")))],
+        [("ref_no", v.payment.filter("init_module = 'SINGLE'").groupBy("transaction_ref").agg(F.min("message_id"))), ("remarks_1", v.payment.groupBy("pacs008").agg(F.min("message_id")))],
         "resolved",
     ).select("movement_id", "resolved", "tier")
 )
@@ -73,10 +73,10 @@ query(
     "join_two_feeds",
     "payment payment_return",
     f"""SELECT coalesce(a.po_id, b.po_id) AS po_id, a.amount AS amount_1, b.amount AS amount_2, CASE WHEN a.po_id IS NOT NULL AND b.po_id IS NOT NULL THEN 'Y' ELSE 'N' END AS matched, CAST(coalesce(a.amount, 0) - coalesce(b.amount, 0) AS {DEC}) AS delta
-      FROM (SELECT po_id, CAST(sum(amount) AS {DEC}) AS amount FROM payment WHERE order_key % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT original_po AS po_id, CAST(sum(amount) AS {DEC}) AS amount FROM payment_return GROUP BY 1) b ON a.po_id = b.po_id""",
+      FROM (SELECT po_id, CAST(sum(amount) AS {DEC}) AS amount FROM payment WHERE init_module <> 'WEB' GROUP BY 1) a FULL JOIN (SELECT original_po AS po_id, CAST(sum(amount) AS {DEC}) AS amount FROM payment_return GROUP BY 1) b ON a.po_id = b.po_id""",
 )(
     lambda v: J.two_feeds(
-        v.payment.filter("order_key % 3 <> 0").groupBy("po_id").agg(A.total().alias("amount")), v.payment_return.withColumnRenamed("original_po", "po_id").groupBy("po_id").agg(A.total().alias("amount")), "po_id"
+        v.payment.filter("init_module <> 'WEB'").groupBy("po_id").agg(A.total().alias("amount")), v.payment_return.withColumnRenamed("original_po", "po_id").groupBy("po_id").agg(A.total().alias("amount")), "po_id"
     )
 )
 query(
@@ -93,8 +93,8 @@ query(
 query("join_status_semi", "entries payment_status", "SELECT id, reco_id, amount FROM entries WHERE reco_id IN (SELECT reco_id FROM payment_status WHERE status IN ('RJCT') OR status IS NULL)")(
     lambda v: J.with_status_in(v.entries, v.payment_status, ["RJCT", "?"]).select("id", "reco_id", "amount")
 )
-query("join_anti_known", "export_rows payment", "SELECT file_no, srl, amount FROM export_rows WHERE srl NOT IN (SELECT po_id FROM payment WHERE order_key % 2 = 0 UNION ALL SELECT po_id FROM payment WHERE order_key % 3 = 0)")(
-    lambda v: J.not_yet_known(v.export_rows, [v.payment.filter("order_key % 2 = 0").withColumnRenamed("po_id", "srl"), v.payment.filter("order_key % 3 = 0").withColumnRenamed("po_id", "srl")], "srl").select("file_no", "srl", "amount")
+query("join_anti_known", "export_rows payment", "SELECT file_no, srl, amount FROM export_rows WHERE srl NOT IN (SELECT po_id FROM payment WHERE init_module = 'MULTI' UNION ALL SELECT po_id FROM payment WHERE init_module = 'WEB')")(
+    lambda v: J.not_yet_known(v.export_rows, [v.payment.filter(c("init_module") == module).withColumnRenamed("po_id", "srl") for module in ("MULTI", "WEB")], "srl").select("file_no", "srl", "amount")
 )
 query(
     "join_reingestion_guard",
@@ -102,8 +102,8 @@ query(
     """SELECT source_hash, amount FROM (SELECT *, CASE WHEN claim_value = '' THEN source_hash ELSE source_id || '|' || claim_type || '|' || claim_value END AS g FROM parent) p
       WHERE g IN (SELECT CASE WHEN claim_value = '' THEN source_hash ELSE source_id || '|' || claim_type || '|' || claim_value END FROM parent WHERE source_hash IN (SELECT parent_hash FROM slice WHERE amount > 50000))""",
 )(lambda v: J.still_replaced(v.parent, v.slice.filter("amount > 50000")).select("source_hash", "amount"))
-query("join_tuple_in", "member payment", "SELECT m.bucket_id, m.source_hash FROM member m WHERE (upper(m.pacs008), upper(m.message_id)) IN (SELECT (upper(pacs008), upper(message_id)) FROM payment WHERE init_module = 'MULTI' AND order_key % 5 = 0)")(
-    lambda v: v.member.join(v.payment.filter("init_module = 'MULTI' AND order_key % 5 = 0").select("pacs008", "message_id").distinct(), ["pacs008", "message_id"], "left_semi").select("bucket_id", "source_hash")
+query("join_tuple_in", "member payment", "SELECT m.bucket_id, m.source_hash FROM member m WHERE (upper(m.pacs008), upper(m.message_id)) IN (SELECT (upper(pacs008), upper(message_id)) FROM payment WHERE init_module = 'MULTI')")(
+    lambda v: v.member.join(v.payment.filter("init_module = 'MULTI'").select("pacs008", "message_id").distinct(), ["pacs008", "message_id"], "left_semi").select("bucket_id", "source_hash")
 )
 query(
     "join_active_exclusion",
@@ -125,19 +125,19 @@ query(
         "particulars",
     )
 )
-query("join_base_reference", "entries movement", "SELECT id, split_part(external_ref, '#', 1) AS transaction_id, external_ref, amount FROM entries WHERE split_part(external_ref, '#', 1) IN (SELECT 'TX' || movement_id FROM movement WHERE movement_id % 4 = 1)")(
-    lambda v: J.base_reference(v.movement.filter("movement_id % 4 = 1").withColumn("transaction_id", F.expr("'TX' || movement_id")), v.entries)
+query("join_base_reference", "entries movement", "SELECT id, split_part(external_ref, '#', 1) AS transaction_id, external_ref, amount FROM entries WHERE split_part(external_ref, '#', 1) IN (SELECT 'TX' || movement_id FROM movement)")(
+    lambda v: J.base_reference(v.movement.withColumn("transaction_id", F.expr("'TX' || movement_id")), v.entries)
 )
 query(
     "join_resolve_target",
     "movement payment member",
-    """, k AS (SELECT DISTINCT movement_id || '-1' AS lookup_key FROM movement), a AS (SELECT po_id AS lookup_key, count(DISTINCT bucket_id) AS n, min(bucket_id) AS t FROM member WHERE order_key % 3 = 0 GROUP BY 1),
-      b AS (SELECT po_id AS lookup_key, count(DISTINCT reco_id) AS n, min(reco_id) AS t FROM payment WHERE order_key % 3 = 1 GROUP BY 1)
+    """, k AS (SELECT DISTINCT movement_id || '-1' AS lookup_key FROM movement), a AS (SELECT po_id AS lookup_key, count(DISTINCT bucket_id) AS n, min(bucket_id) AS t FROM member GROUP BY 1),
+      b AS (SELECT po_id AS lookup_key, count(DISTINCT reco_id) AS n, min(reco_id) AS t FROM payment GROUP BY 1)
       SELECT lookup_key, CASE WHEN a.n > 0 THEN 1 WHEN b.n > 0 THEN 2 END AS tier, CASE WHEN a.n = 1 THEN a.t WHEN a.n IS NULL AND b.n = 1 THEN b.t END AS target,
       CASE WHEN coalesce(a.n, b.n) IS NULL THEN 'NONE' WHEN coalesce(a.n, b.n) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS outcome FROM k LEFT JOIN a USING (lookup_key) LEFT JOIN b USING (lookup_key)""",
 )(
     lambda v: J.resolve_target(
-        v.movement.select(F.expr("movement_id || '-1'").alias("lookup_key")), [v.member.filter("order_key % 3 = 0").select("po_id", "bucket_id"), v.payment.filter("order_key % 3 = 1").select("po_id", "reco_id")]
+        v.movement.select(F.expr("movement_id || '-1'").alias("lookup_key")), [v.member.select("po_id", "bucket_id"), v.payment.select("po_id", "reco_id")]
     )
 )
 query(
@@ -162,8 +162,8 @@ query("join_known_keys", "movement entries", "SELECT DISTINCT 'ORD' || movement_
 query("set_union_all", "live settled", f"SELECT flow_id, count(*) AS n, CAST(sum(amount) AS {DEC}) AS total FROM (SELECT * FROM live UNION ALL SELECT * FROM settled) GROUP BY 1")(
     lambda v: v.live.unionByName(v.settled).groupBy("flow_id").agg(A.rows().alias("n"), A.total().alias("total"))
 )
-query("set_union_distinct", "payment", "SELECT message_id FROM payment WHERE order_key % 9 = 0 UNION SELECT message_id FROM payment WHERE init_module = 'MULTI'")(
-    lambda v: v.payment.filter("order_key % 9 = 0").select("message_id").union(v.payment.filter("init_module = 'MULTI'").select("message_id")).distinct()
+query("set_union_distinct", "payment", "SELECT message_id FROM payment WHERE init_module = 'WEB' UNION SELECT message_id FROM payment WHERE init_module = 'MULTI'")(
+    lambda v: v.payment.filter("init_module = 'WEB'").select("message_id").union(v.payment.filter("init_module = 'MULTI'").select("message_id")).distinct()
 )
 query("set_difference", "slice parent", "SELECT parent_hash FROM slice EXCEPT SELECT source_hash FROM parent WHERE amount > 100000")(lambda v: v.slice.select("parent_hash").subtract(v.parent.filter("amount > 100000").select("source_hash")))
 query("set_distinct", "entries", "SELECT DISTINCT account, currency FROM entries")(lambda v: v.entries.select("account", "currency").distinct())
