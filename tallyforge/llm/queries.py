@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, html_text, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_filter
+from tallyforge.llm import (
+    decontaminate,
+    html_text,
+    importance,
+    licenses,
+    media,
+    mixing,
+    near_dedup,
+    periodic,
+    pii,
+    quality,
+    token_output,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,9 +29,13 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_importance": importance.op11_importance,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_token_output": token_output.op13_token_output,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
 }
