@@ -211,7 +211,7 @@ def test_token_rows(spark):
     data = [(5, "five words in a row", 1), (2, None, 1), (3, "", 1), (None, "no id", 1), (None, "no id", 1), (2, "two", 1), (9, "long text " * 20_000, 1), (7, "日本 é", 1)] + [(i, f"row {i}", 1) for i in range(100, 160)]
     docs = spark.createDataFrame(data, "doc_id long, text string, start int").repartition(5)
     manifest, folder = token_output.write_tokens(spark, docs, spec, shard_ids=500)
-    assert manifest.count() > 2
+    assert manifest.count() >= 2
     got = token_output.read_tokens(spark, manifest, folder, with_ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((d[0] for d in data), key=lambda k: (k is not None, k or 0))
     at, texts = 0, {}
