@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.sources.delimited import read_cash_feed
-from tallyforge.sources.fixed_width import read_fixed_width
+from tallyforge.sources.delimited import read_cash_feed, read_delimited, read_wrapped
+from tallyforge.sources.fixed_width import read_fixed_width, read_slabs
 from tallyforge.sources.statement import read_statements
 from tallyforge.sources.workbook import read_workbooks
 from tallyforge.sources.xml_feed import read_xml
 
 Reader = Callable[[SparkSession, str, dict], DataFrame]
 
-READERS: dict[str, Reader] = {"csv": read_cash_feed, "excel": read_workbooks, "xml": read_xml, "fixed_width": read_fixed_width, "mt940": read_statements}
+READERS: dict[str, Reader] = {
+    "csv": read_cash_feed,
+    "delimited": read_delimited,
+    "wrapped": read_wrapped,
+    "excel": read_workbooks,
+    "xml": read_xml,
+    "fixed_width": read_fixed_width,
+    "slabs": read_slabs,
+    "mt940": read_statements,
+}
 
 
 def reader(kind: str) -> Reader:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.normalise import MONEY, clean, tolerant_decimal
 from tallyforge.operators.filters import not_dropped
+from tallyforge.sources.records import split_records
 
 CASH = {"delimiter": ";", "drop": ["InDoubt"], "zero": "Reverse"}
 
@@ -32,6 +33,104 @@ def cash_rows(raw: DataFrame, drop: Sequence[str], zero: str) -> DataFrame:
     return kept.select(clean(F.col("TxnId")).alias("external_ref"), clean(F.col("Reference")).alias("reco_id"), clean(F.col("CCPAccount")).alias("account"), amount.alias("amount"), at.alias("value_date"), error.alias("_error"))
 
 
+#: Date directives of feed configurations and the pattern letters that read the same digits.
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "f": "SSSSSS"}
+
+
+def date_pattern(fmt: str) -> str:
+    """A format of % directives as a datetime pattern; one digit is enough where another sign follows."""
+    out, at = "", 0
+    while at < len(fmt):
+        if fmt[at] == "%":
+            letters = DIRECTIVES[fmt[at + 1]]
+            alone = len(letters) == 2 and letters != "yy" and fmt[at + 2 : at + 3] != "%" and fmt[at - 1 : at] != fmt[at + 1 : at + 2] and (at < 2 or fmt[at - 2] != "%")
+            out, at = out + (letters[0] if alone else letters), at + 2
+        else:
+            out, at = out + (f"'{fmt[at]}'" if fmt[at].isalpha() else "''" if fmt[at] == "'" else fmt[at]), at + 1
+    return out
+
+
+def read_moment(text: Column, fmt: str) -> Column:
+    """A time by a format of % directives, null if it doesn't fit; months by name go by their first three letters."""
+    named = F.regexp_replace(text, "([A-Za-z]{3})[A-Za-z]+", "$1") if "%b" in fmt else text
+    return F.try_to_timestamp(named, F.lit(date_pattern(fmt))).cast("timestamp_ntz")
+
+
+#: Canonical fields that a configuration's column_map may name; amount and dates are read besides.
+ENTRY_TEXTS = ("reco_id", "account", "currency", "event_type", "external_ref", "transaction_particulars", "ref_no", "remarks_1")
+
+
+def read_delimited(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
+    """Entries of delimited files as a feed's configuration says; neither a bad row nor a bad file stops the others.
+
+    Columns: file, no (the record's number in its file: with a header the first row is 2, else 1), the canonical texts,
+    amount, direction, value_date, operation_date and ``_error`` (what is wrong with a row, or with a whole file, which
+    is one row then). Records with line ends in quotes stay whole, and one file is read by several tasks.
+
+    Configuration: delimiter, encoding, has_header, decimal_separator, default_currency, column_map, date_format,
+    operation_date_format, datetime_fields and datetime_format, amount_in_cents, direction (field, keywords,
+    reversal_keyword, default), skip_status (field, values), zero_amount_when (field, contains).
+    """
+    mapped = config.get("column_map", {})
+    direction, skip, zero = config.get("direction") or {}, config.get("skip_status") or {}, config.get("zero_amount_when") or {}
+    used = [*mapped.values(), *config.get("datetime_fields", ()), *(x["field"] for x in (direction, skip, zero) if x)]
+    options = {k: config[k] for k in ("encoding", "glob", "range_bytes") if k in config}
+    raw = split_records(spark, path, "quoted", columns=list(dict.fromkeys(used)), delimiter=config.get("delimiter", ","), header=config.get("has_header", True), **options)
+    if skip:
+        raw = raw.filter(F.col("_error").isNotNull() | ~F.lower(F.trim(F.coalesce(F.col(f"`{skip['field']}`"), F.lit("")))).isin(*[v.strip().lower() for v in skip["values"]]))
+    return delimited_entries(raw, config)
+
+
+def delimited_entries(raw: DataFrame, config: Mapping) -> DataFrame:
+    """Canonical entries of parsed records; see ``read_delimited``."""
+    mapped = config.get("column_map", {})
+    field = lambda name: F.col(f"`{name}`")
+    get = lambda key: clean(field(mapped[key])) if mapped.get(key) else F.lit(None).cast("string")
+    number = F.replace(get("amount"), F.lit(config.get("decimal_separator", ".")), F.lit(".")).try_cast(MONEY)
+    if config.get("amount_in_cents"):
+        number = (number / 100).cast("decimal(20,2)").cast(MONEY)
+    turn = config.get("direction") or {}
+    if turn:
+        low = F.lower(F.coalesce(field(turn["field"]), F.lit("")))
+        sense = F.coalesce(*[F.when(low.contains(word.lower()), F.lit(to)) for word, to in turn["keywords"].items()], F.lit(None))
+        if turn.get("reversal_keyword"):  # turns round what a keyword says, never the default
+            sense = F.when(low.contains(turn["reversal_keyword"].lower()), F.when(sense == "debit", "credit").when(sense.isNotNull(), "debit")).otherwise(sense)
+        sense = F.coalesce(sense, F.lit(turn.get("default")))
+    else:
+        sense = F.when(number >= 0, "credit").otherwise("debit")
+    fields, plain = config.get("datetime_fields"), config.get("date_format", "%Y-%m-%d")
+    if fields:
+        text = clean(F.array_join(F.filter(F.array(*[F.coalesce(F.trim(field(f)), F.lit("")) for f in fields]), lambda x: x != ""), " "))
+        moment = read_moment(text, config.get("datetime_format", "%Y-%m-%d %H:%M:%S"))
+    else:
+        text = get("value_date")
+        moment = read_moment(text, plain)
+    # step by step, so that no expression is repeated in the next one
+    step = raw.select("file", "no", "_error", *[get(k).alias(k) for k in ENTRY_TEXTS], get("amount").alias("__raw"), number.alias("__number"), sense.alias("__sense"), text.alias("__text"), moment.alias("value_date"), read_moment(get("operation_date"), config.get("operation_date_format", plain)).alias("__operation"), *([field(config["zero_amount_when"]["field"]).alias("__zero")] if config.get("zero_amount_when") else []))
+    amount = F.when(F.col("__sense") == "debit", -F.abs("__number")).otherwise(F.abs("__number")) if turn else F.col("__number")
+    if config.get("zero_amount_when"):
+        amount = F.when(F.lower(F.coalesce("__zero", F.lit(""))).contains(config["zero_amount_when"]["contains"].lower()), F.lit(0)).otherwise(amount)
+    error = (
+        F.when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("__raw").isNull(), "missing amount")
+        .when(F.col("__number").isNull(), "invalid amount")
+        .when(F.col("__sense").isNull(), "unmapped direction")
+        .when(F.col("__text").isNull(), "missing value date")
+        .when(F.col("value_date").isNull(), "invalid value date")
+    )
+    texts = [F.coalesce(k, F.lit(config.get("default_currency", "EUR"))).alias(k) if k == "currency" else F.col(k) for k in ENTRY_TEXTS]
+    return step.select("file", "no", *texts, amount.cast(MONEY).alias("amount"), F.col("__sense").alias("direction"), "value_date", F.coalesce("__operation", "value_date").alias("operation_date"), error.alias("_error"))
+
+
+def read_wrapped(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
+    """(file, no, value, _error): records of exports, unwrapped where their first line is the fake header.
+
+    Records go on over line ends until their quotes close; a large file is read by several tasks.
+    """
+    options = {k: config[k] for k in ("encoding", "glob", "range_bytes") if k in config}
+    return split_records(spark, path, "wrapped", **options).select("file", "no", "value", "_error")
+
+
 def first_existing(df: DataFrame, names: Sequence[str]) -> Column | None:
     """The first of the names that the file has as a column: a choice of the plan, not of each row."""
     have = {c.lower(): c for c in df.columns}

@@ -7,25 +7,33 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import MONEY, detail_line, entry_date, short_date, signed, subfield_map, subfield_pairs
+from tallyforge.functions.normalise import MONEY, clean, detail_line, entry_date, short_date, signed, subfield_map, subfield_pairs
+from tallyforge.sources.records import split_records
 
 #: Fixed value of the format: date, entry date, mark, funds code, amount, type, owner's reference, bank's reference.
 LINE = r"^(\d{6})(\d{4})?(RC|RD|C|D)([A-Z])?(\d+,\d*)([A-Z][A-Z0-9]{3})((?:(?!//)[^\n])*)(?://([^\n]*))?"
 
 
 def read_statements(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
-    """Entries of statement files; a file is read whole, its messages are cut apart before anything else."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    parts = files.select("file", F.posexplode(F.split("value", r"(?=\{1:F01)")).alias("message", "text")).filter(F.contains("text", F.lit(":61:")))
-    return statement_rows(parts.withColumn("message_id", F.concat_ws("#", "file", F.col("message").cast("string"))))
+    """Entries of statement files, cut into messages where these begin: a large file is read by several tasks.
+
+    A file that can't be read or decoded is one row whose ``_error`` says so; a line that can't be read is one, too.
+    """
+    options = {k: config[k] for k in ("encoding", "glob", "range_bytes") if k in config}
+    parts = split_records(spark, path, "separator", separator="{1:F01", **options)
+    parts = parts.withColumn("message_id", F.concat_ws("#", "file", (F.col("no") - 1).cast("string"))).withColumnRenamed("value", "text")
+    bad = parts.filter("_error is not null").select(F.col("file").alias("message_id"), "_error")
+    return statement_rows(parts.filter(F.contains("text", F.lit(":61:")))).unionByName(bad, allowMissingColumns=True)
 
 
 def statement_rows(messages: DataFrame) -> DataFrame:
     """Entries of messages (message_id, text): each ``:61:`` with the ``:86:`` right after it, or with none.
 
-    Lines without a tag continue the tag above them. Tags are paired within their message only.
+    Lines without a tag continue the tag above them. Tags are paired within their message only; an unfinished message
+    goes on to its end. A row keeps both candidates for its reference: what follows the ``:61:`` line, or else the
+    detail's +00, as ``transaction_ref``, and the detail's +21 as ``ref_21``.
     """
-    body = F.regexp_extract("text", r"(?s)\{4:\s*(.*?)\n?-\}", 1)
+    body = F.regexp_extract("text", r"(?s)\{4:\s*(.*?)(?:\n?-\}|\z)", 1)
     body = F.when(F.contains("text", F.lit("{4:")), body).otherwise(F.col("text"))
     cut = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace(body, "\r", "")), r"\n(?=:\d{2}[A-Z]?:)"), lambda x: x.startswith(":"))
     tags = messages.select("message_id", F.posexplode(cut).alias("place", "field"))
@@ -35,12 +43,14 @@ def statement_rows(messages: DataFrame) -> DataFrame:
     coded = F.nullif(F.regexp_extract("value", "^[DC][0-9]{6}([A-Z]{3})", 1), F.lit(""))
     # the first balance tag that names a currency, in this order
     balance = F.coalesce(*[F.max(F.when(F.col("tag") == t, coded)).over(head) for t in ("60F", "60M", "62F", "62M")])
-    paired = tags.select("message_id", "place", "tag", "value", F.when(F.lead("tag").over(w) == "86", F.lead("value").over(w)).otherwise("").alias("detail"), F.max(F.when(F.col("tag") == "25", F.trim("value"))).over(head).alias("account"), balance.alias("currency"))
+    paired = tags.select("message_id", "place", "tag", "value", F.when(F.lead("tag").over(w) == "86", F.lead("value").over(w)).otherwise("").alias("detail"), F.max(F.when(F.col("tag") == "25", F.trim("value"))).over(head).alias("account"), balance.alias("currency"), F.max(F.when(F.col("tag") == "20", F.trim("value"))).over(head).alias("statement_ref"))
     part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
     day = short_date(part(1))
     # column by column, so that no step is repeated in the next one's expression
     cut_up = paired.filter("tag = '61'").withColumn("__line", detail_line(F.col("detail"))).withColumn("__pairs", subfield_pairs(F.col("__line"))).withColumn("__sub", subfield_map(F.col("__line"), F.col("__pairs")))
     sub = F.col("__sub")
+    of = lambda code: clean(F.try_element_at(sub, F.lit(code)))
+    customer = clean(F.regexp_extract("value", r"(?s)\n(.*)", 1))
     return cut_up.select(
         "message_id",
         "place",
@@ -53,5 +63,9 @@ def statement_rows(messages: DataFrame) -> DataFrame:
         F.trim(part(8)).alias("bank_ref"),
         F.try_element_at(sub, F.lit("20")).alias("sub_20"),
         F.try_element_at(sub, F.lit("_gvc")).alias("gvc"),
+        "statement_ref",
+        customer.alias("customer_ref"),
+        F.coalesce(customer, of("00")).alias("transaction_ref"),
+        of("21").alias("ref_21"),
         F.when(part(1).isNull(), "line").alias("_error"),
     )
