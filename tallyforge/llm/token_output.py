@@ -388,7 +388,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, key_type:
 
     ``start`` counts the ids of all documents before; ``ids_crc32`` is of the ids as little-endian 32-bit integers.
     """
-    rows = manifest.select("shard", "base").repartition("shard")
+    spread = min(max(1, manifest.count()), 4 * spark.sparkContext.defaultParallelism)
+    rows = manifest.select("shard", "base").repartition(spread, "shard")
     read = rows.mapInArrow(reader(folder, with_ids), f"key {key_type}, start long, n_tokens long, ids_crc32 long{', ids array<int>' if with_ids else ''}")
     return read.withColumnRenamed("key", id_col)
 
