@@ -16,7 +16,7 @@ OUT = ("rendered", "n_blocks")
 # Fixed values of the HTML standard: kinds of elements and the end tags that a start tag implies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed svg math audio video canvas datalist title meta link noframes noembed".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed svg math audio video canvas datalist title meta link noframes noembed rp".split())
 #: Inputs whose value is shown.
 SHOWN_INPUT = frozenset("text search tel url email number date month week time datetime-local submit button reset".split())
 BLOCK = frozenset(
@@ -53,8 +53,9 @@ PART_OF |= {"th": PART_OF["td"], **dict.fromkeys(("thead", "tbody", "tfoot", "ca
 IN_HEAD = frozenset("title meta link style script noscript base template basefont bgsound noframes".split())
 P_SCOPE = frozenset(("td", "th", "caption", "table", "button", "body", "object"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: A quote opens a value right after the sign of equality alone; in names and in values without quotes it is a character.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?)*+)(?:>|$)", re.S)
+ATTR = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)))?")
 STYLE = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 #: Elements that are open at once, at most; deeper ones become siblings, as in browsers.
@@ -65,11 +66,11 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "display", "tag", "visibility")
+    __slots__ = ("attrs", "children", "display", "outer", "tag", "visibility")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.display = self.visibility = None
+        self.display = self.visibility = self.outer = None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,6 +86,7 @@ def build(source: str) -> Node:
     A head ends at what can't stand in it, a cell outside a row gets one, and what can't stand in a table goes before it.
     """
     root = Node("body", {})
+    root.outer = Node("html", {})
     stack = [root]
 
     def close(tags: tuple[str, ...], scope: frozenset[str]) -> None:
@@ -136,6 +138,9 @@ def build(source: str) -> Node:
             continue
         if tag == "body":
             close(("head",), frozenset())
+        if tag in ("html", "body"):
+            own = root if tag == "body" else root.outer
+            own.attrs = attributes(m[3]) | own.attrs  # the first start tag's attributes count
         if tag in ("html", "body") or tag == "head" and (len(stack) > 1 or any(not isinstance(c, str) or c.strip() for c in root.children)):
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
@@ -176,8 +181,9 @@ def declared(text: str) -> list[tuple[str, str, bool]]:
 def sheet_rules(css: str) -> list[tuple]:
     """(compounds, declarations) of a sheet's rules about display or visibility.
 
-    Compounds of tag, classes and id are known, alone or below each other; rules with other selectors and blocks for
-    other media than the screen are left out.
+    Compounds of tag, classes and id are known, alone, below each other or right below (``>``); rules with other
+    selectors and blocks for other media than the screen are left out. Compounds come as (tag, classes, ids, whether
+    the one before must stand right above).
     """
     css, rules, at = re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.S), [], 0
     while (begin := css.find("{", at)) >= 0:
@@ -196,19 +202,36 @@ def sheet_rules(css: str) -> list[tuple]:
         end = len(css) if end < 0 else end
         if found := declared(css[begin + 1 : end]):
             for selector in prelude.split(","):
-                parts = [COMPOUND.match(x) for x in selector.split()]
-                if parts and all(parts):
-                    compounds = [((m[1] or "*").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), frozenset(re.findall(r"#([\w-]+)", m[2]))) for m in parts]
+                words = selector.replace(">", " > ").split()
+                parts = [(COMPOUND.match(x), i > 0 and words[i - 1] == ">") for i, x in enumerate(words) if x != ">"]
+                if parts and all(m for m, _ in parts) and words[0] != ">" and words[-1] != ">":
+                    compounds = [((m[1] or "*").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), frozenset(re.findall(r"#([\w-]+)", m[2])), right) for m, right in parts]
                     rules.append((compounds, found))
         at = end + 1
     return rules
 
 
 def fits(node: Node, compound: tuple) -> bool:
-    tag, classes, ids = compound
+    tag, classes, ids, _ = compound
     return tag in ("*", node.tag) and (not classes or classes <= set(node.attrs.get("class", "").split())) and (not ids or ids == {node.attrs.get("id", "")})
 
 
+def stands(above: tuple | None, compounds: list[tuple], last: int) -> bool:
+    """Whether the compounds before ``last`` fit elements above: some for each, or the one right above where it says so."""
+    if last == 0:
+        return True
+    if compounds[last][3]:
+        return above is not None and fits(above[0], compounds[last - 1]) and stands(above[1], compounds, last - 1)
+    while above is not None:
+        if fits(above[0], compounds[last - 1]):
+            if stands(above[1], compounds, last - 1):
+                return True
+            if not any(c[3] for c in compounds[:last]):  # the nearest fit leaves the others most to choose from
+                return False
+        above = above[1]
+    return False
+
+
 def styled(root: Node) -> None:
     """Gives nodes the display and visibility that sheets and inline styles declare for them; of several the strongest."""
     rules, stack = [], [(root, ())]
@@ -217,20 +240,21 @@ def styled(root: Node) -> None:
         if node.tag == "style":
             rules += sheet_rules("".join(c for c in node.children if isinstance(c, str)))
         stack += [(c, ()) for c in reversed(node.children) if isinstance(c, Node)]
-    stack = [(root, None)]
+    by: dict[tuple[str, str], list[tuple]] = {}  # rules by an id, a class or the tag that the last compound asks for
+    for order, (compounds, found) in enumerate(rules):
+        tag, classes, ids, _ = compounds[-1]
+        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+        by.setdefault(key, []).append((order, compounds, found))
+    stack = [(root.outer, None)] if root.outer else [(root, None)]
     while stack:
         node, above = stack.pop()
         best: dict[str, tuple] = {}
-        for order, (compounds, found) in enumerate(rules):
-            if fits(node, compounds[-1]):
-                up, need = above, len(compounds) - 2
-                while need >= 0 and up is not None:
-                    need -= fits(up[0], compounds[need])
-                    up = up[1]
-                if need < 0:
-                    weight = tuple(sum(len(c[i]) for c in compounds) for i in (2, 1)) + (sum(c[0] != "*" for c in compounds), order)
-                    for name, value, important in found:
-                        best[name] = max(best.get(name, ((),)), ((important, 0, *weight), value))
+        named = [("#", node.attrs.get("id", "")), ("", node.tag), ("", "*"), *((".", x) for x in set(node.attrs.get("class", "").split()))]
+        for order, compounds, found in (rule for key in named for rule in by.get(key, ())) if by else ():
+            if fits(node, compounds[-1]) and stands(above, compounds, len(compounds) - 1):
+                weight = tuple(sum(len(c[i]) for c in compounds) for i in (2, 1)) + (sum(c[0] != "*" for c in compounds), order)
+                for name, value, important in found:
+                    best[name] = max(best.get(name, ((),)), ((important, 0, *weight), value))
         for name, value, important in declared(node.attrs.get("style", "")):
             best[name] = max(best.get(name, ((),)), ((important, 1), value))
         if "display" in best:
@@ -238,7 +262,13 @@ def styled(root: Node) -> None:
         if "visibility" in best:
             node.visibility = best["visibility"][1]
         chain = (node, above) if rules else None
+        if node is root.outer:
+            stack.append((root, chain))
         stack += [(c, chain) for c in node.children if isinstance(c, Node)]
+    if root.outer and hidden(root.outer):
+        root.display = "none"
+    if root.outer and root.visibility in (None, "inherit"):
+        root.visibility = root.outer.visibility
 
 
 def hidden(node: Node) -> bool:
@@ -335,14 +365,20 @@ class Lines:
 
 
 def render_table(node: Node, out: Lines, shown: bool) -> None:
-    """Rows of cells padded to the width of their column; spanned columns stay empty, cell text is on one line.
+    """Rows of cells padded to the width of their column; spanned columns and rows stay empty, cell text is on one line.
 
     A column is as wide as its widest cell of at most ``WIDEST``; columns without text take no room.
     """
     rows: list[list[str]] = []
     caption: list[tuple[Node, bool]] = []
+    below: dict[int, int] = {}  # columns that cells from above still take, and for how many rows
+
+    def number(cell: Node, name: str) -> int:
+        n = cell.attrs.get(name, "1")
+        return int(n) if n.isascii() and n.isdigit() and len(n) < 9 else 1
 
     def walk(n: Node, shown: bool) -> None:
+        below.clear()  # no cell reaches out of its section
         for c in n.children:
             if isinstance(c, str) or hidden(c):
                 continue
@@ -355,9 +391,16 @@ def render_table(node: Node, out: Lines, shown: bool) -> None:
                         for x in cell.children if cell.tag in ("td", "th") else [cell]:
                             render(x, inner, seen(cell, own))
                         inner.flush()
-                        span = cell.attrs.get("colspan", "1")
-                        more = min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and len(span) < 9 and int(span) else 0
-                        cells += [" ".join(x for x in inner.done if x)] + [""] * more
+                        while below.get(len(cells), 0):
+                            cells.append("")
+                        at, wide, high = len(cells), min(max(1, number(cell, "colspan")), 1000), number(cell, "rowspan") or 1 << 30
+                        cells += [" ".join(x for x in inner.done if x)] + [""] * (wide - 1)
+                        if high > 1:
+                            below.update(dict.fromkeys(range(at, at + wide), high))
+                for j in [*below]:
+                    below[j] -= 1
+                    if not below[j]:
+                        del below[j]
                 rows.append(cells)
             elif c.tag == "caption":
                 caption.append((c, shown))
