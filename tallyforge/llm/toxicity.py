@@ -24,7 +24,10 @@ DISGUISED = re.compile(f"{SPACED}|{SIGNED}|{REPEATED}")
 ENDS = "0123456789@$!|+(€*"
 ALPHABET = 30  # 0: anything but letters; 1-26: a-z; 27: letters beyond ASCII; 28: digits
 BUCKETS = 1 << 18
-PREFIXES = (3, 4, 5, 6, 64)
+#: Bytes of a word's prefixes; the last is the whole word, however long.
+PREFIXES = (3, 4, 5, 6, 1 << 40)
+#: Runs in scripts that put no spaces between words: they are cut into runs of three characters that overlap.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{4,}")
 FEATURES = 7
 #: Bytes of text that are worked on at once, about; a longer text is alone.
 CHUNK = 500_000
@@ -206,6 +209,13 @@ def restored(decoder: Decoder, texts) -> list[str]:
     return out
 
 
+def in_threes(text: str) -> str:
+    """The text with each long run in a script without spaces as its runs of three characters."""
+    if text.isascii():
+        return text
+    return UNSPACED.sub(lambda m: " ".join(m[0][i : i + 3] for i in range(len(m[0]) - 2)), text)
+
+
 def word_buckets(texts):
     """(rows, doc, buckets): the row of each distinct word of each text of a chunk, and buckets of its prefixes.
 
@@ -214,7 +224,7 @@ def word_buckets(texts):
     import numpy as np
     import pyarrow as pa
 
-    words = Words(pa.array(texts, pa.large_string()), letters=True)
+    words = Words(pa.array([in_threes(t) for t in texts], pa.large_string()), letters=True)
     with np.errstate(over="ignore"):
         key = mix64(words.hash + words.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, at = np.unique(key, return_index=True)
