@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ WHOLE = re.compile(rf"(?:{SPELLED.pattern}|\S)+", re.I)
 TOKEN = re.compile(r"\S+")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 DIM = 1 << 12
+#: A card's number has so many digits at least; shorter runs of groups that look like one are phones.
+CARD_DIGITS = 13
 OUT = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans")
 
 
@@ -305,7 +308,9 @@ def decoded_spans(model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
                 start, end = run[begin][0], run[t - 1][1]
                 core = texts[i][start:end]
                 start, end = start + len(core) - len(core.lstrip("\"'<,;")), end - len(core) + len(core.rstrip(".,;:!?\"'>"))
-                if start < end:
+                if KINDS[kind] == "card" and (digits := sum(c.isdigit() for c in texts[i][start:end])) < CARD_DIGITS:
+                    kind = KINDS.index("phone") if digits >= 8 else None  # no card is so short
+                if kind is not None and start < end:
                     found[i].append((kind, start, end))
                 open_at = None
             if name[0] == "B":
@@ -313,13 +318,20 @@ def decoded_spans(model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return found
 
 
+def merged(base: list, more: list) -> list:
+    """Base spans with those of ``more`` that overlap none of them, sorted; each once."""
+    starts = sorted((s, e) for _, s, e in base)
+    reach = list(accumulate((e for _, e in starts), max))  # how far the spans up to each one go
+    added = [x for x in more if not (i := bisect_left(starts, (x[2],))) or reach[i - 1] <= x[1]]
+    return sorted({*base, *added})
+
+
 def all_spans(model, texts: list[str]) -> list[tuple[list, list]]:
     """Of each text its base spans, and those with the spans that the random field adds where no base span lies."""
     out = []
     for text, more in zip(texts, decoded_spans(model, texts), strict=True):
         base = base_spans(text)
-        added = [x for x in more if not any(x[1] < e and s < x[2] for _, s, e in base)]
-        out.append((base, sorted(set(base) | set(added))))
+        out.append((base, merged(base, more)))
     return out
 
 
