@@ -8,6 +8,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.queries import query
 
 DEC = "DECIMAL(20,4)"
+c = F.col
 MATCHABLE = "status = 'PENDING' AND reco_id IS NOT NULL AND reco_id <> 'Not Supported'"
 GROUPS = f"SELECT flow_id, reco_id, currency, CAST(sum(amount) AS {DEC}) AS total, count(*) AS n FROM entries WHERE {MATCHABLE} GROUP BY ALL"
 KPIS = f"""SELECT flow_id, status, count(*) AS n, CAST(sum(amount) AS {DEC}) AS net, CAST(coalesce(sum(amount) FILTER (amount > 0), 0) AS {DEC}) AS credit,
@@ -87,12 +88,30 @@ query(
     "payment payment_return",
     "SELECT status, count(DISTINCT po_id) AS keys, count(DISTINCT CASE WHEN h IS NOT NULL THEN po_id END) AS matched, round(100.0::DOUBLE * count(DISTINCT CASE WHEN h IS NOT NULL THEN po_id END) / nullif(count(DISTINCT po_id), 0), 2) AS pct FROM payment LEFT JOIN (SELECT DISTINCT original_po AS h FROM payment_return) ON h = po_id GROUP BY 1",
 )(lambda v: A.match_rates(v.payment, v.payment_return.withColumnRenamed("original_po", "po_id"), "po_id", "status"))
-BASKET = "id IN (100, 101, 102, 103, 104, 105, 106, 107)"
-query(
-    "agg_basket_check",
-    "entries",
-    f"SELECT *, n > 0 AND flows = 1 AND currencies = 1 AND total = 0 AS may_match FROM (SELECT count(*) AS n, count(DISTINCT flow_id) AS flows, count(DISTINCT currency) AS currencies, CAST(coalesce(sum(amount), 0) AS {DEC}) AS total FROM entries WHERE {BASKET})",
-)(lambda v: A.basket_check(v.entries, list(range(100, 108))))
+#: A basket for every order: its legs; of every seventh with an id that is nowhere, of every ninth with the next order's
+#: booking as well, of every eleventh with ids twice.
+BASKETS = """SELECT order_key AS basket_id, id FROM entries UNION ALL SELECT o_orderkey, o_orderkey * 100 + 99 FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT o_orderkey, (o_orderkey + 1) * 100 FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT order_key, id FROM entries WHERE order_key % 11 = 0"""
+BASKET_SQL = f""", b AS (SELECT DISTINCT basket_id, id FROM ({BASKETS})),
+  j AS (SELECT basket_id, count(*) AS n, count(live.id) AS found, count(DISTINCT flow_id) AS flows, count(DISTINCT currency) AS currencies, CAST(coalesce(sum(amount), 0) AS {DEC}) AS total,
+        coalesce(string_agg(b.id::VARCHAR, ',' ORDER BY b.id) FILTER (live.id IS NULL), '') AS missing, CASE WHEN min(reco_id) = max(reco_id) THEN min(reco_id) END AS reco_id
+        FROM b LEFT JOIN live ON live.id = b.id GROUP BY 1),
+  r AS (SELECT *, CASE WHEN found < n THEN 'NOT_FOUND' WHEN flows <> 1 THEN 'FLOWS' WHEN currencies <> 1 THEN 'CURRENCIES' WHEN total <> 0 THEN 'NOT_BALANCED' END AS why FROM j),
+  f AS (SELECT b.id, min(basket_id) AS first FROM b JOIN r USING (basket_id) WHERE why IS NULL GROUP BY 1),
+  q AS (SELECT r.*, coalesce(why, CASE WHEN basket_id IN (SELECT basket_id FROM b JOIN f USING (id) WHERE basket_id <> first) THEN 'TAKEN' END) AS refusal FROM r)"""
+
+
+def baskets(v):
+    legs = v.entries.select(c("order_key").alias("basket_id"), "id")
+    key = c("o_orderkey")
+    lost = v.orders.filter(key % 7 == 0).select(key, key * 100 + 99)
+    foreign = v.orders.filter(key % 9 == 0).select(key, (key + 1) * 100)
+    return legs.union(lost).union(foreign).union(legs.filter("basket_id % 11 = 0"))
+
+
+query("agg_basket_check", "entries live", BASKET_SQL + " SELECT basket_id, n, flows, currencies, total, missing, reco_id, refusal, refusal IS NULL AS may_match FROM q")(
+    lambda v: A.basket_check(v.live, baskets(v)).select("basket_id", "n", "flows", "currencies", "total", "missing", "reco_id", "refusal", "may_match")
+)
 query("agg_snapshot_counts", "entries", "SELECT status, count(*) AS n FROM entries GROUP BY 1")(lambda v: v.entries.groupBy("status").agg(A.rows().alias("n")))
 query("agg_search_groups", "entries", f"SELECT reco_id, currency, CAST(sum(amount) AS {DEC}) AS total, count(*) AS n, sum(amount) = 0 AS is_balanced FROM entries WHERE reco_id LIKE 'ORD1%' GROUP BY 1, 2")(
     lambda v: v.entries.filter(F.col("reco_id").startswith("ORD1")).groupBy("reco_id", "currency").agg(A.total().alias("total"), A.rows().alias("n")).withColumn("is_balanced", F.col("total") == 0)

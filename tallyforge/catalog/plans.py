@@ -9,6 +9,7 @@ from tallyforge.plans import buckets as B
 from tallyforge.plans import keys as K
 from tallyforge.plans import matching as M
 from tallyforge.plans import reattribution as R
+from tallyforge.catalog.aggregates import BASKET_SQL, baskets
 from tallyforge.queries import query
 
 DEC = "DECIMAL(20,4)"
@@ -25,12 +26,11 @@ query(
     "live",
     f"""SELECT (SELECT count(*) FROM ({GROUPS})) AS groups, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT hit) AS pending, CAST(coalesce(sum(amount) FILTER (hit), 0) AS {DEC}) AS matched_net FROM (SELECT amount, coalesce((flow_id, reco_id, currency) IN ({GROUPS}), FALSE) AS hit FROM live)""",
 )(lambda v: M.run_counters(v.live))
-FORCED = "id IN (100, 101, 102, 103, 104, 105, 106, 107)"
 query(
     "plan_force_match",
-    "live",
-    f"""SELECT id, amount, CASE WHEN {FORCED} AND (SELECT count(*) > 0 AND count(DISTINCT flow_id) = 1 AND count(DISTINCT currency) = 1 AND sum(amount) = 0 FROM live WHERE {FORCED}) THEN 'FORCED' ELSE status END AS status FROM live""",
-)(lambda v: M.force_match(v.live, list(range(100, 108))).select("id", "amount", "status"))
+    "entries live",
+    BASKET_SQL + " SELECT id, amount, CASE WHEN id IN (SELECT b.id FROM b JOIN q USING (basket_id) WHERE refusal IS NULL) THEN 'FORCED' ELSE status END AS status FROM live",
+)(lambda v: M.force_match(v.live, baskets(v))[1].select("id", "amount", "status"))
 query("plan_exclude", "live settled exclusion", "SELECT id, amount, CASE WHEN status = 'PENDING' THEN 'EXCLUDED' ELSE status END AS status FROM (SELECT * FROM settled UNION ALL SELECT * FROM live WHERE id IN (SELECT entry_id FROM exclusion WHERE cancelled_at IS NULL))")(
     lambda v: M.exclude(v.live, v.settled, v.exclusion)[1].select("id", "amount", "status")
 )

@@ -203,8 +203,41 @@ def match_rates(left: DataFrame, hits: DataFrame, key: str, by: str) -> DataFram
     ).withColumn("pct", F.round(F.lit(100.0) * F.col("matched") / F.nullif(F.col("keys"), F.lit(0)), 2))
 
 
-def basket_check(entries: DataFrame, ids: list[int]) -> DataFrame:
-    """One row that says whether a working set may be matched by force: one flow, one currency, sum zero."""
-    return entries.filter(F.col("id").isin(ids)).agg(
-        rows().alias("n"), F.count_distinct("flow_id").cast("long").alias("flows"), F.count_distinct("currency").cast("long").alias("currencies"), total().alias("total")
-    ).withColumn("may_match", (F.col("n") > 0) & (F.col("flows") == 1) & (F.col("currencies") == 1) & (F.col("total") == 0))
+def basket_check(live: DataFrame, baskets: DataFrame) -> DataFrame:
+    """A row for each basket of (basket_id, id): what it holds, whether it may be matched by force, and else why not.
+
+    An id that is asked for twice counts once. A basket is refused if an id isn't in the live ledger (it never was, or is
+    settled), if a row isn't pending, if flows or currencies differ, or if the sum isn't zero; the first of these is the
+    refusal, and ``missing`` and ``not_pending`` list all bad ids. An id that several acceptable baskets ask for goes to
+    the least of them, the others are refused as TAKEN. ``reco_id`` is the rows' key if they have one alone.
+    """
+    asked = baskets.select("basket_id", "id").distinct()
+    on = asked.join(live.select("id", F.lit(True).alias("here"), "flow_id", "currency", "amount", "status", "reco_id"), "id", "left")
+    away, busy = F.col("here").isNull(), F.col("here") & (F.col("status") != "PENDING")
+    listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("id")))).cast("array<string>"), ",")
+    sums = on.groupBy("basket_id").agg(
+        rows().alias("n"),
+        F.count_if(F.col("here")).cast("long").alias("found"),
+        F.count_if(busy).cast("long").alias("busy"),
+        F.count_distinct("flow_id").cast("long").alias("flows"),
+        F.count_distinct("currency").cast("long").alias("currencies"),
+        total().alias("total"),
+        listed(away).alias("missing"),
+        listed(busy).alias("not_pending"),
+        F.min("flow_id").alias("flow_id"),
+        F.min("currency").alias("currency"),
+        F.when(F.min("reco_id") == F.max("reco_id"), F.min("reco_id")).alias("reco_id"),
+    )
+    refusal = (
+        F.when(F.col("found") < F.col("n"), "NOT_FOUND")
+        .when(F.col("busy") > 0, "NOT_PENDING")
+        .when(F.col("flows") != 1, "FLOWS")
+        .when(F.col("currencies") != 1, "CURRENCIES")
+        .when(F.col("total") != 0, "NOT_BALANCED")
+    )
+    judged = sums.withColumn("refusal", refusal)
+    fit = asked.join(judged.filter("refusal is null").select("basket_id"), "basket_id", "left_semi")
+    first = fit.groupBy("id").agg(F.min("basket_id").alias("first"))
+    taken = fit.join(first, "id").filter("basket_id <> first").select("basket_id").distinct().withColumn("taken", F.lit("TAKEN"))
+    judged = judged.join(taken, "basket_id", "left").withColumn("refusal", F.coalesce("refusal", "taken")).drop("taken", "found", "busy")
+    return judged.withColumn("may_match", F.col("refusal").isNull())

@@ -36,12 +36,17 @@ def run_counters(live: DataFrame) -> DataFrame:
     )
 
 
-def force_match(live: DataFrame, ids: list[int]) -> DataFrame:
-    """Live rows with the basket set to FORCED if the basket may match as a whole; else as they were."""
-    check = basket_check(live, ids).select("may_match")
-    may = check.first()[0]
-    hit = F.col("id").isin(ids) & (F.col("status") == "PENDING") & F.lit(bool(may))
-    return live.withColumn("status", F.when(hit, "FORCED").otherwise(F.col("status")))
+def force_match(live: DataFrame, baskets: DataFrame, run: str = "forced") -> tuple[DataFrame, DataFrame]:
+    """(groups, live rows with match_group): baskets of (basket_id, id) that may match as a whole are FORCED, all others stay.
+
+    Groups are the judged baskets with the reason of a refusal (``basket_check``); an accepted one has a match_group.
+    Nothing is read to the driver, so any number of baskets goes at once.
+    """
+    own = F.sha2(F.concat_ws("|", F.lit(run), F.col("basket_id").cast("string")), 256)
+    groups = basket_check(live, baskets).withColumn("match_group", F.when(F.col("may_match"), own))
+    hit = baskets.select("basket_id", "id").distinct().join(groups.filter("may_match").select("basket_id", "match_group"), "basket_id").select("id", "match_group")
+    marked = live.join(hit, "id", "left").select(*live.columns, "match_group")
+    return groups, marked.withColumn("status", F.when(F.col("match_group").isNotNull(), "FORCED").otherwise(F.col("status")))
 
 
 def exclude(live: DataFrame, settled: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
