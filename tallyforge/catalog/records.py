@@ -8,7 +8,7 @@ from tallyforge.catalog.feeds import slabs
 from tallyforge.catalog.sources import messages
 from tallyforge.queries import query
 from tallyforge.session import shared_folder
-from tallyforge.sources import reader
+from tallyforge.sources import reader, workbook
 
 DEC = "DECIMAL(20,4)"
 c = F.col
@@ -113,3 +113,47 @@ query(
     """SELECT row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey::VARCHAR) + 1 AS no,
       o_orderkey || ';"ORD' || o_orderkey || '";' || CASE WHEN o_orderkey % 3 = 0 THEN 'two' || chr(10) || 'lines' ELSE 'one line' END AS value FROM orders""",
 )(lambda v: reader("wrapped")(v.spark, wrapped_file(v), {}).select("no", "value"))
+
+
+def typed(v):
+    """Orders in workbooks whose second sheet has numbers, times and, in the column of amounts, some texts."""
+    sheet = v.orders.select("o_orderkey", "o_totalprice", "o_orderdate", F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")).alias("status"), F.when(c("o_orderkey") % 9 == 0, "n/a").when(c("o_orderkey") % 9 == 1, "1 234,5").alias("note"))
+    columns = {"o_orderkey": "long", "o_totalprice": "double", "o_orderdate": "timestamp", "status": "string", "note": "decimal", "absent": "string"}
+    return workbook.typed_rows(workbook.to_workbooks(sheet, sheet="orders"), columns, {"sheet": "orders", "decimal_separator": ","}).drop("row_no")
+
+
+query(
+    "source_typed_workbook",
+    "",
+    f"""SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderstatus AS status, CASE WHEN o_orderkey % 9 = 1 THEN CAST(1234.5 AS {DEC}) END AS note,
+      NULL::VARCHAR AS absent, CASE WHEN o_orderkey % 9 = 0 THEN 'not of its type: note' END AS _error FROM orders""",
+)(typed)
+
+PATHS = {
+    "record_xpath": "//Stmt/Ntry",
+    "field_xpaths": {"amount": "Amt", "currency": ["Amt/@Ccy", "Cur"], "external_ref": "@id", "reco_id": ["./Dtls/Tx/Ref", "Alt/text()"], "value_date": "ValDt/Dt", "account": "Acct/Id"},
+    "decimal_separator": ",",
+}
+
+
+def xml_records(v) -> str:
+    """Records of a statement, one a line: nested, repeated, empty and missing elements, and a namespace's prefix."""
+    folder = shared_folder(v.spark, "records")
+    key = c("o_orderkey")
+    k = key.cast("string")
+    amount = F.when(key % 20 == 3, "").otherwise(F.replace(c("o_totalprice").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")))
+    currency = F.when(key % 2 == 0, ' Ccy="USD"').otherwise("")
+    refs = F.when(key % 3 == 0, F.concat(F.lit("<Dtls><Tx/><Tx><Ref> R"), k, F.lit(" </Ref><Ref>second</Ref></Tx></Dtls>"))).when(key % 3 == 1, F.concat(F.lit("<Dtls><Tx><Ref></Ref></Tx></Dtls><Alt>A"), k, F.lit("</Alt>"))).otherwise("")
+    day = F.when(key % 20 == 7, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    v.orders.select(F.concat(F.lit('<n:Ntry id="'), k, F.lit('"><n:Amt'), currency, F.lit(">"), amount, F.lit("</n:Amt><Cur>CHF</Cur>"), refs, F.lit("<ValDt><Dt>"), day, F.lit("</Dt></ValDt></n:Ntry>")).alias("value")).write.text(folder)
+    return folder
+
+
+query(
+    "source_xml_paths",
+    "",
+    f"""WITH o AS (SELECT *, o_orderkey AS k, CASE WHEN o_orderkey % 20 <> 3 THEN CAST(o_totalprice AS DECIMAL(20,2)) END AS n FROM orders)
+    SELECT k::VARCHAR AS external_ref, CASE k % 3 WHEN 0 THEN 'R' || k WHEN 1 THEN 'A' || k END AS reco_id, CASE WHEN k % 2 = 0 THEN 'USD' ELSE 'CHF' END AS currency, CAST(n AS {DEC}) AS amount,
+      NULL::VARCHAR AS account, CASE WHEN n >= 0 THEN 'credit' ELSE 'debit' END AS direction, CASE WHEN k % 20 <> 7 THEN CAST(o_orderdate AS TIMESTAMP) END AS value_date,
+      CASE WHEN k % 20 = 3 THEN 'missing amount' WHEN k % 20 = 7 THEN 'invalid value date' END AS _error FROM o""",
+)(lambda v: reader("xml_paths")(v.spark, xml_records(v), {**PATHS, "record_xpath": "//Stmt/n:Ntry"}).select("external_ref", "reco_id", "currency", "amount", "account", "direction", "value_date", "_error"))

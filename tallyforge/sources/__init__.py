@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.sources.delimited import read_cash_feed, read_delimited, read_wrapped
 from tallyforge.sources.fixed_width import read_fixed_width, read_slabs
 from tallyforge.sources.statement import read_statements
-from tallyforge.sources.workbook import read_workbooks
-from tallyforge.sources.xml_feed import read_xml
+from tallyforge.sources.workbook import read_typed_workbooks, read_workbooks
+from tallyforge.sources.xml_feed import read_xml, read_xml_entries
 
 Reader = Callable[[SparkSession, str, dict], DataFrame]
 
@@ -19,7 +19,9 @@ READERS: dict[str, Reader] = {
     "delimited": read_delimited,
     "wrapped": read_wrapped,
     "excel": read_workbooks,
+    "workbook": read_typed_workbooks,
     "xml": read_xml,
+    "xml_paths": read_xml_entries,
     "fixed_width": read_fixed_width,
     "slabs": read_slabs,
     "mt940": read_statements,

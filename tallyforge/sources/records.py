@@ -68,6 +68,19 @@ class Bytes:
             start += len(block)
 
 
+def tail(raw: bytes) -> int:
+    """How many bytes at the begin go on with the character before."""
+    return len(raw) - len(raw.lstrip(bytes(range(0x80, 0xC0))))
+
+
+def whole_text(file: Bytes, start: int, stop: int, encoding: str) -> str:
+    """The characters that begin in a range."""
+    own, after = file.read(start, stop), file.read(stop, stop + 3)
+    if is_utf8(encoding):
+        own = own[tail(own) if start else 0 :] + after[: tail(after)]
+    return own.decode(encoding)
+
+
 class Cut:
     """How records follow from lines: the state is 1 within a record that goes on, else 0."""
 
@@ -205,6 +218,67 @@ class Separated:
             yield before, file.read(before, end).decode(self.encoding)
 
 
+class Elements:
+    """XML elements of a name, prefixes aside, wherever they stand; one within another is a record, too.
+
+    The state is 1 within a comment or a section of plain characters, where nothing is an element.
+    """
+
+    def __init__(self, encoding: str, tag: str) -> None:
+        name = rb"(?:[\w.-]+:)?" + re.escape(tag.encode(encoding))
+        self.encoding = encoding
+        self.open = re.compile(rb"<!--|<!\[CDATA\[|<" + name + rb"(?=[\s/>])")
+        self.close = re.compile(rb"-->|\]\]>")
+        attributes = rb"(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+"
+        self.mark = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<" + name + rb"(?=[\s/>])" + attributes + rb"(/?)>|</" + name + rb"\s*>", re.S)
+
+    def places(self, file: Bytes, start: int, stop: int, state: int):
+        """Positions of elements that begin in the range; at last the state in which it ends, as a negative number."""
+        data, at, size = file.read(start, stop + 512), 0, stop - start
+        while True:
+            m = (self.close if state else self.open).search(data, at)
+            if m is None or m.start() >= size:
+                yield -1 - state
+                return
+            if state:
+                state = 0
+            elif m[0].startswith(b"<!"):
+                state = 1
+            else:
+                yield start + m.start()
+            at = m.end()
+
+    def scan(self, file: Bytes, start: int, stop: int, head: str | None) -> tuple:
+        counts, ends = [], []
+        for state in (0, 1):
+            found = list(self.places(file, start, stop, state))
+            counts.append(len(found) - 1)
+            ends.append(-1 - found[-1])
+        whole_text(file, start, stop, self.encoding)
+        return (*counts, *ends)
+
+    def records(self, file: Bytes, start: int, stop: int, state: int, head: str | None) -> Iterator[tuple[int, str]]:
+        data, upto = file.read(start, stop), stop
+        for place in self.places(file, start, stop, state):
+            if place < 0:
+                return
+            depth, at = 0, place - start
+            while True:
+                m = self.mark.search(data, at)
+                if m is None:
+                    if upto >= file.size:
+                        break  # an element without an end goes on to the end of the file
+                    data += file.read(upto, upto + BLOCK)
+                    upto += BLOCK
+                    continue
+                at = m.end()
+                if not m[0].startswith(b"<!"):
+                    depth += -1 if m[0].startswith(b"</") else 0 if m[1] else 1
+                    if depth <= 0:
+                        break
+            yield place, data[place - start : at if m else len(data)].decode(self.encoding)
+
+
 class Slabs:
     """Records of a fixed number of characters without any ends; the last may be shorter. The state is a character count."""
 
@@ -212,20 +286,12 @@ class Slabs:
         self.encoding, self.length = encoding, length
 
     def scan(self, file: Bytes, start: int, stop: int, head: str | None) -> tuple:
-        own, after = file.read(start, stop), file.read(stop, stop + 3)
-        if is_utf8(self.encoding):  # a character across a range's end belongs to the range that it begins in
-            own = own[self.tail(own) if start else 0 :] + after[: self.tail(after)]
-        n = len(own.decode(self.encoding))
+        n = len(whole_text(file, start, stop, self.encoding))
         return n, n, 0, 0
 
-    @staticmethod
-    def tail(raw: bytes) -> int:
-        """How many bytes at the begin go on with the character before."""
-        return len(raw) - len(raw.lstrip(bytes(range(0x80, 0xC0))))
-
     def records(self, file: Bytes, start: int, stop: int, state: int, head: str | None) -> Iterator[tuple[int, str]]:
         raw = file.read(start, stop + 4 * self.length + 4)
-        skip = self.tail(raw) if is_utf8(self.encoding) and start else 0
+        skip = tail(raw) if is_utf8(self.encoding) and start else 0
         text = raw[skip:].decode(self.encoding, "ignore" if is_utf8(self.encoding) and stop + 4 * self.length + 4 < file.size else "strict")
         width = (lambda s: len(s.encode(self.encoding))) if is_utf8(self.encoding) else len
         first = -state % self.length
@@ -254,6 +320,8 @@ class RecordReader(DataSourceReader):
 
     def cut(self, head: str | None):
         kind, encoding = self.o["cut"], self.encoding
+        if kind == "element":
+            return Elements(encoding, self.o["tag"])
         if kind == "separator":
             return Separated(encoding, self.o["separator"])
         if kind == "fixed":
@@ -375,7 +443,7 @@ def split_records(spark: SparkSession, path: str, cut: str, *, columns: list[str
     """(file, start, no, value, _error): the records of the files below a path, each file read by several tasks.
 
     ``cut`` is ``lines``, ``quoted`` (delimited records, with ``delimiter``, ``quote``, ``header``), ``wrapped``,
-    ``separator`` (with ``separator``) or ``fixed`` (with ``length``); ``encoding`` and ``glob`` go with all. ``no``
+    ``separator`` (with ``separator``), ``element`` (of XML, with ``tag``) or ``fixed`` (with ``length``); ``encoding`` and ``glob`` go with all. ``no``
     numbers a file's records from 1, the header included; ``start`` is a record's first byte. With ``columns`` quoted
     records are parsed into these, by the names in the file's header or, without one, by place.
 

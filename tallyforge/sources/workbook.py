@@ -6,6 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Mapping
+from datetime import datetime, timedelta
+from decimal import Decimal, InvalidOperation
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -38,35 +40,246 @@ def sheet_rows(content: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
                     yield cells
 
 
-def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
-    """A workbook of one sheet with inline texts and numbers."""
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-    def lettered(i: int, xml: str, row: int) -> str:
-        name, n = "", i + 1
-        while n:
-            n, rest = divmod(n - 1, 26)
-            name = chr(65 + rest) + name
-        return xml.replace("<c", f'<c r="{name}{row}"', 1)
-
-    lines = [f'<row r="{r}">' + "".join(lettered(i, cell(v), r) for i, v in enumerate(values)) + "</row>" for r, values in enumerate([header, *rows], 1)]
+#: Numbers of built-in formats that show a date or time, and the day from which serial numbers count.
+DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Rows of a sheet that leave a task at once.
+ROWS = 10_000
+
+
+def part(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
+
+
+def sheet_path(z: zipfile.ZipFile, sheet: int | str) -> tuple[str, datetime]:
+    """The part that holds a sheet, by its place from 0 or by its name, and the day that its dates count from."""
+    book, relations = part(z, "xl/workbook.xml"), part(z, "xl/_rels/workbook.xml.rels")
+    sheets = book.findall(f"{MAIN}sheets/{MAIN}sheet")
+    found = sheets[sheet] if isinstance(sheet, int) else next((x for x in sheets if x.get("name") == sheet), None)
+    if found is None:
+        raise KeyError(f"no sheet {sheet!r}")
+    target = next(r.get("Target") for r in relations if r.get("Id") == found.get(RELATION))
+    base = book.find(f"{MAIN}workbookPr")
+    early = base is not None and base.get("date1904", "0") in ("1", "true")
+    return (target.lstrip("/") if target.startswith("/") else f"xl/{target}"), EPOCH_1904 if early else EPOCH
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles whose format shows a date or time."""
+    styles = part(z, "xl/styles.xml")
+    if styles is None:
+        return set()
+    own = {}
+    for f in styles.iter(f"{MAIN}numFmt"):
+        bare = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", f.get("formatCode", "").lower())
+        own[int(f.get("numFmtId"))] = bool(re.search("[dmyhs]", bare.split(";")[0])) and "general" not in bare
+    cells = styles.find(f"{MAIN}cellXfs")
+    formats = [int(x.get("numFmtId", "0")) for x in cells] if cells is not None else []
+    return {i for i, n in enumerate(formats) if own.get(n, n in DATE_FORMATS)}
+
+
+def typed_value(cell: ElementTree.Element, shared: list[str], dates: set[int], epoch: datetime):
+    """A cell's value: text, whole number, fraction, truth value or time; null if it is empty or an error."""
+    kind, value = cell.get("t", "n"), cell.find(f"{MAIN}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{MAIN}t")) or None
+    if value is None or not value.text or kind == "e":
+        return None
+    if kind == "s":
+        return shared[int(value.text)] or None
+    if kind == "str":
+        return value.text
+    if kind == "b":
+        return value.text == "1"
+    if kind == "d":
+        return datetime.fromisoformat(value.text.rstrip("Z"))
+    number = float(value.text)
+    if int(cell.get("s", "0")) in dates:
+        return epoch + timedelta(milliseconds=round(number * 86_400_000))
+    return int(value.text) if re.fullmatch(r"-?\d+", value.text) else number
+
+
+def typed_cells(content: bytes, sheet: int | str = 0) -> Iterator[tuple[int, list]]:
+    """(row number, values) of a sheet, row by row as the file is read; gaps are null, rows of nulls are left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        path, epoch = sheet_path(z, sheet)
+        texts, dates = part(z, "xl/sharedStrings.xml"), date_styles(z)
+        shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in texts] if texts is not None else []
+        with z.open(path) as f:
+            above, number = [], 0
+            for event, e in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    above.append(e)
+                    continue
+                above.pop()
+                if e.tag != f"{MAIN}row":
+                    continue
+                number = int(e.get("r", number + 1))
+                cells: list = []
+                for c in e.iter(f"{MAIN}c"):
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = 0
+                    for x in letters:
+                        at = at * 26 + ord(x) - 64
+                    cells += [None] * (at - 1 - len(cells)) + [typed_value(c, shared, dates, epoch)]
+                above[-1].remove(e)  # what has been read is dropped, so a long sheet isn't held
+                if any(x is not None for x in cells):
+                    yield number, cells
+
+
+def as_type(value, kind: str, options: Mapping):
+    """A cell as string, long, double, decimal or timestamp; a value that isn't one raises ValueError. Null stays null.
+
+    Texts lose outer spaces, and an empty one is null; numbers in texts may have spaces and another decimal separator.
+    A timestamp is read from a date cell, else by ``date_format``: ``int_yyyymmdd`` or a format of % directives.
+    """
+    text = str(value).strip() if value is not None else ""
+    if not text:
+        return None
+    if kind == "string":
+        return text
+    if kind == "timestamp":
+        if isinstance(value, datetime):
+            return value
+        form = options.get("date_format", "int_yyyymmdd")
+        return datetime.strptime(str(int(float(text))), "%Y%m%d") if form in ("int_yyyymmdd", "excel_date") else datetime.strptime(text, form)
+    if isinstance(value, (bool, datetime)):
+        raise ValueError(f"no number: {text}")
+    bare = text if isinstance(value, (int, float)) else text.replace(" ", "").replace(options.get("decimal_separator", "."), ".")
+    try:
+        number = Decimal(bare)
+    except InvalidOperation:
+        raise ValueError(f"no number: {text}") from None
+    if kind == "long":
+        if number != number.to_integral_value():
+            raise ValueError(f"no whole number: {text}")
+        return int(number)
+    return float(number) if kind == "double" else number.quantize(Decimal("0.0001"))
+
+
+#: Types of columns by what a configuration calls them.
+CELL_TYPES = {"string": "string", "long": "bigint", "double": "double", "decimal": "decimal(20,4)", "timestamp": "timestamp_ntz"}
+
+
+def typed_rows(files: DataFrame, columns: Mapping[str, str], config: Mapping) -> DataFrame:
+    """(row_no, columns, _error) of workbooks (column ``content``); ``columns`` maps header names to kinds of values.
+
+    ``sheet`` is a place from 0 or a name; the first row is the header unless ``has_header`` says otherwise (columns are
+    then places, as text); ``skip_rows`` rows after it are left out, as are rows without any value. A column that the
+    sheet lacks is null; a value of another kind is null, and ``_error`` names its column. A file that can't be read, or
+    has no such sheet, is one row with its error. Rows leave a task in portions, as the sheet is read.
+    """
+    schema = ", ".join(["row_no bigint", *(f"`{c}` {CELL_TYPES[k]}" for c, k in columns.items()), "_error string"])
+    sheet, header, skip = config.get("sheet", 0), config.get("has_header", True), int(config.get("skip_rows", 0))
+
+    def read(content: bytes):
+        place: dict[str, int] = {}
+        first = True
+        for number, cells in typed_cells(content, sheet):
+            if first and header:
+                place = {str(v).strip(): i for i, v in enumerate(cells) if v is not None}
+                top, first = number, False
+                continue
+            if first:
+                top, first = 0, False
+            if number <= top + skip:
+                continue
+            out, bad = [number], []
+            for c, kind in columns.items():
+                at = place.get(c) if header else int(c)
+                try:
+                    out.append(as_type(cells[at], kind, config) if at is not None and at < len(cells) else None)
+                except ValueError:
+                    out.append(None)
+                    bad.append(c)
+            yield (*out, f"not of its type: {', '.join(bad)}" if bad else None)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "decimal(20,4)": pa.decimal128(20, 4), "timestamp_ntz": pa.timestamp("us")}
+        types = [pa.int64(), *(kinds[CELL_TYPES[k]] for k in columns.values()), pa.string()]
+        names = ["row_no", *columns, "_error"]
+
+        def portion(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        for batch in batches:
+            for content in batch.column(0):
+                held = []
+                try:
+                    for row in read(content.as_py()):
+                        held.append(row)
+                        if len(held) == ROWS:
+                            yield portion(held)
+                            held = []
+                except (zipfile.BadZipFile, KeyError, IndexError, AttributeError, ElementTree.ParseError) as e:
+                    held.append((None, *(None for _ in columns), f"unreadable: {type(e).__name__}"))
+                if held:
+                    yield portion(held)
+
+    return files.select("content").mapInArrow(run, schema)
+
+
+def read_typed_workbooks(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
+    """Typed rows of the workbooks below a path; each file is one task's, as its bytes can't be split."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", config.get("glob", "*.xlsx")).load(path)
+    return typed_rows(files, config["columns"], config)
+
+
+def cell_xml(value, name: str) -> str:
+    """A cell of a text, number, truth value or time (style 1)."""
+    if value is None:
+        return f'<c r="{name}"/>'
+    if isinstance(value, bool):
+        return f'<c r="{name}" t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, datetime):
+        return f'<c r="{name}" s="1"><v>{(value.replace(tzinfo=None) - EPOCH) / timedelta(days=1)!r}</v></c>'
+    if isinstance(value, (int, float, Decimal)):
+        return f'<c r="{name}"><v>{value}</v></c>'
+    return f'<c r="{name}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+
+def column_name(i: int) -> str:
+    name, n = "", i + 1
+    while n:
+        n, rest = divmod(n - 1, 26)
+        name = chr(65 + rest) + name
+    return name
+
+
+def book_bytes(sheets: Mapping[str, tuple[list[str], list[list]]]) -> bytes:
+    """A workbook of sheets by name, each (header, rows)."""
+    package, office = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    numbers = range(1, len(sheets) + 1)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="rows" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in numbers)
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        related = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers)
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{related}<Relationship Id="r{len(sheets) + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{MAIN[1:-1]}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        for i, (header, rows) in enumerate(sheets.values(), 1):
+            lines = (f'<row r="{r}">' + "".join(cell_xml(v, f"{column_name(j)}{r}") for j, v in enumerate(values)) + "</row>" for r, values in enumerate([header, *rows], 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
     return out.getvalue()
 
 
-def to_workbooks(df: DataFrame, most: int = 50_000) -> DataFrame:
-    """(content, rows): workbooks of at most ``most`` rows each, made where the rows are."""
+def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
+    """A workbook of one sheet."""
+    return book_bytes({"rows": (header, rows)})
+
+
+def to_workbooks(df: DataFrame, most: int = 50_000, sheet: str = "rows") -> DataFrame:
+    """(content, rows): workbooks of at most ``most`` rows each, made where the rows are, in a sheet of that name.
+
+    A sheet ``info`` with the number of rows comes before one of another name than ``rows``.
+    """
     names = df.columns
 
     def run(frames):
@@ -74,7 +287,8 @@ def to_workbooks(df: DataFrame, most: int = 50_000) -> DataFrame:
             for at in range(0, len(pdf), most):
                 part = pdf.iloc[at : at + most].astype(object)
                 values = part.where(part.notna(), None).values.tolist()
-                yield pdf.__class__({"content": [workbook_bytes(names, values)], "rows": [len(values)]})
+                sheets = {"info": (["rows"], [[len(values)]])} if sheet != "rows" else {}
+                yield pdf.__class__({"content": [book_bytes({**sheets, sheet: (names, values)})], "rows": [len(values)]})
 
     return df.mapInPandas(run, "content binary, rows long")
 
