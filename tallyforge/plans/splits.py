@@ -50,11 +50,11 @@ def split_groups(parents: DataFrame, staged_parents: DataFrame, live: DataFrame,
     return {"parents": flagged, "live": rest, "anchors": anchors, "counts": counts}
 
 
-def search_expansion(hits: DataFrame, merges: DataFrame, members: DataFrame, entries: DataFrame, statuses: DataFrame, most_payments: int = 1000) -> dict[str, DataFrame]:
+def search_expansion(hits: DataFrame, merges: DataFrame, members: DataFrame, entries: DataFrame, statuses: DataFrame, most_payments: int | None = None) -> dict[str, DataFrame]:
     """What hangs on found settlement keys and buckets, (reco_id, bucket_id) with a null for either.
 
     ``merges`` is (node, root) of merged buckets: a bucket brings all of its chain. A bucket is the key of its entries.
-    Buckets come with sums, keys with the sums of their groups, payments in a fixed order up to a limit.
+    Buckets come with sums, keys with the sums of their groups, payments in a fixed order, all of them unless a limit is given (``plans.search.payment_page`` gives them by pages).
     """
     buckets = hits.select("bucket_id").unionByName(hits.select(F.col("reco_id").alias("bucket_id"))).filter("bucket_id is not null")
     buckets = buckets.join(members.select("bucket_id").distinct(), "bucket_id", "left_semi").distinct()
@@ -64,5 +64,7 @@ def search_expansion(hits: DataFrame, merges: DataFrame, members: DataFrame, ent
     keys = hits.select("reco_id").filter("reco_id is not null").unionByName(buckets.select(F.col("bucket_id").alias("reco_id"))).distinct()
     of_buckets = members.join(buckets, "bucket_id", "left_semi").groupBy("bucket_id").agg(rows().alias("members"), total().alias("net"))
     groups = entries.join(keys, "reco_id", "left_semi").groupBy("flow_id", "reco_id", "currency").agg(rows().alias("n"), total().alias("net"))
-    payments = statuses.join(keys, "reco_id", "left_semi").orderBy("reco_id", "po_id", "status_at", "amount").limit(most_payments)
+    payments = statuses.join(keys, "reco_id", "left_semi")
+    if most_payments is not None:
+        payments = payments.orderBy("reco_id", "po_id", "status_at", "amount").limit(most_payments)
     return {"buckets": of_buckets, "groups": groups, "payments": payments}
