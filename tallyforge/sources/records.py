@@ -346,17 +346,19 @@ class RecordReader(DataSourceReader):
             return [Range(*p) for p in json.loads(self.o["plan"])] or [Range("", 0, 0)]
         import pyarrow.fs
 
-        path = self.o["path"]
-        fs, own = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-        base = path.removesuffix(own) if path.endswith(own) else ""
-        info = fs.get_file_info(own)
-        if info.type == pyarrow.fs.FileType.NotFound:
-            raise FileNotFoundError(path)
-        found = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(own, recursive=True))
         size = int(self.o.get("range_bytes", RANGE_BYTES)) if CUTTABLE.fullmatch(self.encoding) else 1 << 62
         out = []
-        for f in sorted((f for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.o.get("glob", "*")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
-            out += [Range(base + f.path, a, min(a + size, f.size)) for a in range(0, max(f.size, 1), size)]
+        for path in json.loads(self.o["paths"]):
+            if path.startswith("file:/") and not path.startswith("file://"):  # as Hadoop writes local paths
+                path = path.replace("file:", "file://", 1)
+            fs, own = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+            base = path.removesuffix(own) if path.endswith(own) else ""
+            info = fs.get_file_info(own)
+            if info.type == pyarrow.fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            found = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(own, recursive=True))
+            for f in sorted((f for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.o.get("glob", "*")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+                out += [Range(base + f.path, a, min(a + size, f.size)) for a in range(0, max(f.size, 1), size)]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range):
@@ -403,7 +405,7 @@ class RecordReader(DataSourceReader):
 
 
 class RecordSource(DataSource):
-    """Options: phase, cut, path and those of the cut; use ``split_records``."""
+    """Options: phase, cut, paths and those of the cut; use ``split_records``."""
 
     @classmethod
     def name(cls) -> str:
@@ -439,8 +441,8 @@ def planned(ranges: list) -> list[list]:
     return plan
 
 
-def split_records(spark: SparkSession, path: str, cut: str, *, columns: list[str] | None = None, range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
-    """(file, start, no, value, _error): the records of the files below a path, each file read by several tasks.
+def split_records(spark: SparkSession, path: str | list[str], cut: str, *, columns: list[str] | None = None, range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
+    """(file, start, no, value, _error): the records of files, or of those below folders, each read by several tasks.
 
     ``cut`` is ``lines``, ``quoted`` (delimited records, with ``delimiter``, ``quote``, ``header``), ``wrapped``,
     ``separator`` (with ``separator``), ``element`` (of XML, with ``tag``) or ``fixed`` (with ``length``); ``encoding`` and ``glob`` go with all. ``no``
@@ -452,7 +454,7 @@ def split_records(spark: SparkSession, path: str, cut: str, *, columns: list[str
     a few numbers per range, as it holds a table's list of files.
     """
     spark.dataSource.register(RecordSource)
-    given = {"cut": cut, "path": path, "range_bytes": str(range_bytes), **{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}}
+    given = {"cut": cut, "paths": json.dumps([path] if isinstance(path, str) else path), "range_bytes": str(range_bytes), **{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}}
     source = lambda phase: spark.read.format("record_ranges").options(phase=phase, **given)
     ranges = [{**r.asDict(), "fixed": int(options["length"]) if cut == "fixed" else 0} for r in source("scan").load().collect()]
     read = source("read").option("plan", json.dumps(planned(ranges)))
