@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(20,4)"
@@ -185,6 +185,42 @@ def operation_type(module: Column) -> Column:
     return F.when(name == "WEROEMC", "EMC").when(name == "WERO", "P2P").otherwise(F.coalesce(name, F.lit("UNKNOWN")))
 
 
+def operation_type_of(module: Column, source: Column, payment_type: Column, vop: Column) -> Column:
+    """P2P or EMC by the first that tells: the initiating module, the source's name, the payment's type, a payee check.
+
+    A source with NCP in its name is P2P, with NCC is EMC; a type EMC, or any result of a payee check, is EMC. Cells count
+    in upper case, and an empty one says nothing; if none tells, UNKNOWN.
+    """
+    up = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    return (
+        F.when(up(module) == "WERO", "P2P")
+        .when(up(module) == "WEROEMC", "EMC")
+        .when(up(source).contains("NCP"), "P2P")
+        .when(up(source).contains("NCC"), "EMC")
+        .when((up(payment_type) == "EMC") | (up(vop) != ""), "EMC")
+        .otherwise("UNKNOWN")
+    )
+
+
+def original_amount(field: Column) -> Column:
+    """The original amount, with its currency before it, that a detail's +26 names after /OCMT/."""
+    return F.nullif(F.regexp_extract(field, "/OCMT/([A-Z]{3}[0-9,]+)", 1), F.lit(""))
+
+
+def payload_json(df: DataFrame, names: Sequence[str]) -> Column:
+    """Columns of a row as JSON that any reader takes: decimals as text, days and times in ISO 8601, nulls kept."""
+
+    def safe(name: str) -> Column:
+        kind = df.schema[name].dataType.simpleString()
+        if kind.startswith("decimal"):
+            return F.col(name).cast("string").alias(name)
+        if kind in ("timestamp", "timestamp_ntz"):
+            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss").alias(name)
+        return (F.col(name).cast("string") if kind == "date" else F.col(name)).alias(name)
+
+    return F.to_json(F.struct(*[safe(n) for n in names]), {"ignoreNullFields": "false"})
+
+
 def uuid_variants(key: Column) -> Column:
     """The key, the key without dashes, and, of 32 hexadecimal digits, the key with dashes; each once."""
     cut = lambda a, n: F.substring(key, a, n)

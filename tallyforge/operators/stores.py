@@ -49,9 +49,9 @@ def traced_rewrites(live: DataFrame, staged: DataFrame, key: str) -> DataFrame:
 
 
 def entries_of_keys(live: DataFrame, settled: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of both stores with one of the settlement keys, and the store that each is in."""
+    """Rows of both stores with one of the settlement keys, and the store that each is in, by value date and id."""
     both = live.withColumn("store", F.lit("live")).unionByName(settled.withColumn("store", F.lit("settled")))
-    return both.join(keys.select("reco_id").distinct(), "reco_id", "left_semi")
+    return both.join(keys.select("reco_id").distinct(), "reco_id", "left_semi").orderBy("value_date", "id")
 
 
 def movements_to_sync(live: DataFrame, settled: DataFrame, scope: str) -> DataFrame:
@@ -85,6 +85,27 @@ def run_summary(runs: DataFrame, actionable: list[str]) -> DataFrame:
     )
 
 
+def kept_runs(runs: DataFrame, most: int = 50) -> DataFrame:
+    """The last runs by start, ties by number: what a store of runs keeps when it is pruned."""
+    return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(most)
+
+
+def listed(rows_: DataFrame, wanted: Mapping[str, object], newest: str, tie: str, skip: int = 0, limit: int = 100) -> DataFrame:
+    """A page of a list, the newest first, ties by the greater ``tie``; only rows that have each wanted value that isn't null."""
+    for name, value in wanted.items():
+        if value is not None:
+            rows_ = rows_.filter(F.col(name) == F.lit(value))
+    return rows_.orderBy(F.col(newest).desc(), F.col(tie).desc()).offset(skip).limit(limit)
+
+
+def write_by_family(rows_: DataFrame, folder: str, key: str, sep: str = ";") -> DataFrame:
+    """Writes merged extracts, a folder for each ``family``, the canonical key as last column; gives how many rows each has."""
+    names = [c for c in rows_.columns if c not in ("family", key)]
+    rows_.select("family", *names, key).write.partitionBy("family").option("header", True).option("escape", '"').csv(folder, sep=sep)
+    back = rows_.sparkSession.read.option("header", True).option("escape", '"').option("multiLine", True).csv(folder, sep=sep)
+    return back.groupBy("family").agg(rows().alias("rows"), F.count_distinct(key).cast("long").alias("keys"))
+
+
 def bucket_report(members: DataFrame, keys: DataFrame, top: int = 3) -> DataFrame:
     """Per bucket: members, sums, its spread of amounts, and its ``top`` key values by members, ties by value."""
     sums = members.groupBy("bucket_id").agg(

@@ -86,3 +86,19 @@ def bucket_graph(members: DataFrame) -> DataFrame:
     """Edges between kinds and statuses within each bucket, with a width that grows with the logarithm of the count."""
     edges = members.groupBy("bucket_id", "kind", "status").agg(rows().alias("n"))
     return edges.withColumn("width", F.round(F.least(F.lit(7.0), F.lit(1.5) + F.log10("n") * 1.2), 6))
+
+
+def graph_parts(members: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key nodes, member nodes, triples) of every bucket's graph, however many members it has.
+
+    ``members`` is (bucket_id, source_hash, kind, amount, status), ``keys`` (source_hash, key_type, key_value). A key node
+    tells how many values of its type the bucket has and how many members carry them; a member node sums the members of a
+    kind and direction, by status; a triple (kind, direction, key type) is an edge between them.
+    """
+    direction = F.when(F.col("amount") < 0, "debit").otherwise("credit").alias("direction")
+    own = members.select("bucket_id", "source_hash", "kind", direction, "amount", "status")
+    on = own.join(keys, "source_hash")
+    of_keys = on.groupBy("bucket_id", "key_type").agg(F.count_distinct("key_value").cast("long").alias("values"), F.count_distinct("source_hash").cast("long").alias("members"))
+    count = lambda s: F.count_if(F.col("status") == s).cast("long")
+    of_members = own.groupBy("bucket_id", "kind", "direction").agg(rows().alias("members"), total().alias("net"), count("PENDING").alias("pending"), count("MATCHED").alias("matched"), count("EXCLUDED").alias("excluded"))
+    return of_keys, of_members, on.select("bucket_id", "kind", "direction", "key_type").distinct()

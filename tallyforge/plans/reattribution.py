@@ -36,17 +36,22 @@ def group_slices(rows_: DataFrame, most: int = 50) -> DataFrame:
     return one.groupBy("pmsgid", "target").agg(total().alias("amount"), rows().alias("payments"), F.when(F.count("*") <= most, listed).alias("po_list"))
 
 
-def proposal_status(control: DataFrame, live: DataFrame, settled: DataFrame, committed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Status of each message's proposal; tables are (pmsgid, ...) and the first condition that holds decides."""
+def proposal_status(control: DataFrame, live: DataFrame, settled: DataFrame, committed: DataFrame, targets: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
+    """Status of each message's proposal; tables are (pmsgid, ...) and the first condition that holds decides.
+
+    ``unsupported`` lists messages whose movement comes from a source of a kind that can't be attributed anew.
+    """
     hits = live.groupBy("pmsgid").agg(rows().alias("live_hits"), F.bool_and(F.col("status") == "PENDING").alias("pending"))
     flag = lambda df, name: df.select("pmsgid").distinct().withColumn(name, F.lit(True))
     on = control.join(hits, "pmsgid", "left").join(flag(settled, "settled"), "pmsgid", "left").join(flag(committed, "committed"), "pmsgid", "left").join(flag(targets, "target"), "pmsgid", "left")
+    on = on.join(flag(unsupported, "unsupported"), "pmsgid", "left") if unsupported is not None else on.withColumn("unsupported", F.lit(False))
     n, yes = F.coalesce("live_hits", F.lit(0)), lambda c: F.coalesce(c, F.lit(False))
     status = (
         F.when(F.col("found") == 0, "NO_DUMP_ROWS")
         .when(n > 1, "ENTRY_AMBIGUOUS")
         .when((n == 0) & yes("settled"), "EMARGED")
         .when((n == 0) & yes("committed") & ~yes("target"), "ALREADY_COMMITTED")
+        .when(((n > 0) | yes("committed")) & yes("unsupported"), "FLOW_UNSUPPORTED")
         .when((n == 0) & yes("committed"), "TO_REPLAY")
         .when(n == 0, "ENTRY_NOT_FOUND")
         .when(~yes("pending"), "ENTRY_NOT_PENDING")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import MONEY, clean, detail_line, entry_date, short_date, signed, subfield_map, subfield_pairs
+from tallyforge.functions.normalise import MONEY, clean, detail_line, entry_date, original_amount, short_date, signed, subfield_map, subfield_pairs
 from tallyforge.sources.records import split_records
 
 #: Fixed value of the format: date, entry date, mark, funds code, amount, type, owner's reference, bank's reference.
@@ -67,5 +67,6 @@ def statement_rows(messages: DataFrame) -> DataFrame:
         customer.alias("customer_ref"),
         F.coalesce(customer, of("00")).alias("transaction_ref"),
         of("21").alias("ref_21"),
+        original_amount(F.try_element_at(sub, F.lit("26"))).alias("ocmt"),
         F.when(part(1).isNull(), "line").alias("_error"),
     )
