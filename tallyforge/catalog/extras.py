@@ -33,15 +33,16 @@ query("map_operation_chain", "payment", f"SELECT po_id, part_key, {TYPED} AS kin
 
 
 def feeds(v):
-    left = v.payment.filter("order_key % 3 <> 0").groupBy("order_key").agg(F.sum("amount").cast("decimal(20,4)").alias("amount"))
-    right = facts(v).filter("order_key % 5 <> 0").groupBy("order_key").agg(F.sum("amount").cast("decimal(20,4)").alias("amount"), *[F.max(x).alias(x) for x in ("module", "source", "payment_type", "vop")])
+    alone = lambda n, far: F.when(c("order_key") % n == 0, -c("order_key") - far).otherwise(c("order_key")).alias("order_key")
+    left = v.payment.groupBy(alone(3, 0)).agg(F.sum("amount").cast("decimal(20,4)").alias("amount"))
+    right = facts(v).groupBy(alone(5, 1_000_000_000)).agg(F.sum("amount").cast("decimal(20,4)").alias("amount"), *[F.max(x).alias(x) for x in ("module", "source", "payment_type", "vop")])
     return G.marked_feeds(left, right, "order_key", F.lit("2024-01-05"), F.lit("10:00"))
 
 
 query(
     "join_marked_feeds",
     "payment",
-    f""", l AS (SELECT order_key AS k, sum(amount) AS a FROM payment WHERE order_key % 3 <> 0 GROUP BY 1), r AS (SELECT order_key AS k, sum(amount) AS b, max(module) AS module, max(source) AS source, max(payment_type) AS payment_type, max(vop) AS vop FROM (SELECT *, {FACTS} FROM payment) WHERE order_key % 5 <> 0 GROUP BY 1)
+    f""", l AS (SELECT CASE WHEN order_key % 3 = 0 THEN -order_key ELSE order_key END AS k, sum(amount) AS a FROM payment GROUP BY 1), r AS (SELECT CASE WHEN order_key % 5 = 0 THEN -order_key - 1000000000 ELSE order_key END AS k, sum(amount) AS b, max(module) AS module, max(source) AS source, max(payment_type) AS payment_type, max(vop) AS vop FROM (SELECT *, {FACTS} FROM payment) GROUP BY 1)
       SELECT coalesce(l.k, r.k) AS order_key, CASE WHEN l.k = r.k THEN 'Y' ELSE 'N' END AS matched, CAST(coalesce(a, 0) - coalesce(b, 0) AS {DEC}) AS delta, CASE WHEN l.k = r.k THEN '2024-01-05' END AS mark_off_day, CASE WHEN l.k = r.k THEN '10:00' END AS mark_off_time, {TYPED} AS operation_type FROM l FULL JOIN r ON l.k = r.k""",
 )(lambda v: feeds(v).select("order_key", "matched", "delta", "mark_off_day", "mark_off_time", "operation_type"))
 
@@ -52,7 +53,7 @@ SINCE = "1995-06-01"
 
 def configured(v):
     p = v.payment.withColumn("e2e", F.concat(F.lit("w-"), c("order_key").cast("string")))
-    scheme = p.filter("order_key % 3 <> 0").select(c("e2e").alias("ref"), c("amount").alias("paid"), F.lower("status").alias("state"), c("created_on").alias("day"))
+    scheme = p.select(c("e2e").alias("ref"), c("amount").alias("paid"), F.lower("status").alias("state"), c("created_on").alias("day"))
     return G.configured_entries(scheme, p, v.payment_return, SCHEME, F.lit(SINCE).cast("timestamp_ntz"), 7)
 
 
@@ -60,7 +61,7 @@ query(
     "plan_configured_legs",
     "payment payment_return",
     f""", p AS (SELECT *, 'W-' || order_key AS k FROM payment)
-      SELECT k AS reco_id, 'w-' || order_key AS external_ref, abs(amount) AS amount, 'SCHEME' AS event_type FROM p WHERE order_key % 3 <> 0 AND status IN ('ACCC', 'PDNG') AND created_on >= TIMESTAMP '{SINCE}'
+      SELECT k AS reco_id, 'w-' || order_key AS external_ref, abs(amount) AS amount, 'SCHEME' AS event_type FROM p WHERE status IN ('ACCC', 'PDNG') AND created_on >= TIMESTAMP '{SINCE}'
       UNION ALL SELECT k, po_id, -abs(amount), 'PAYMENT' FROM p WHERE init_module IN ('MULTI', 'WEB') AND created_on >= TIMESTAMP '{SINCE}'
       UNION ALL SELECT k, return_po || '#RET', abs(r.amount), 'RETURN' FROM payment_return r JOIN p ON p.po_id = r.original_po WHERE init_module IN ('MULTI', 'WEB') AND p.created_on >= TIMESTAMP '{SINCE}'""",
 )(lambda v: configured(v).select("reco_id", "external_ref", "amount", "event_type"))

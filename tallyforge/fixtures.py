@@ -98,10 +98,10 @@ VIEWS = {
         UNION ALL SELECT 2, l_orderkey || '-' || l_linenumber, CAST(l_extendedprice AS DECIMAL(20,4)), CASE WHEN l_partkey % 2 = 0 THEN 'R' || (l_partkey % 4) ELSE '' END, 'MSG' || (l_partkey % 20), l_partkey * 1000 + l_suppkey FROM {lineitem} WHERE l_quantity < 35
         UNION ALL SELECT 3, l_orderkey || '-' || l_linenumber, CAST(l_extendedprice AS DECIMAL(20,4)), '', CASE WHEN l_partkey % 100 = 0 THEN 'OTHER' ELSE 'MSG' || (l_partkey % 20) END, l_partkey * 1000 + l_suppkey FROM {lineitem}""",
     "link": """
-        SELECT 'MSG' || (o_orderkey % 400) AS pmsgid, CASE o_orderkey % 5 WHEN 0 THEN 'SCT' WHEN 1 THEN 'SDD' WHEN 2 THEN 'INST' WHEN 3 THEN 'RET' ELSE 'OTHER' END AS service, CAST(o_orderkey % 4 AS BIGINT) AS announced,
-               CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS DECIMAL(20,4)) ELSE CAST(o_totalprice AS DECIMAL(20,4)) END AS booked, o_orderkey AS link_id FROM {orders} WHERE o_orderkey % 3 = 0""",
+        SELECT 'MSG' || CASE WHEN o_orderkey % 3 = 0 THEN '' || (o_orderkey % 400) ELSE 'X' || o_orderkey END AS pmsgid, CASE o_orderkey % 5 WHEN 0 THEN 'SCT' WHEN 1 THEN 'SDD' WHEN 2 THEN 'INST' WHEN 3 THEN 'RET' ELSE 'OTHER' END AS service, CAST(o_orderkey % 4 AS BIGINT) AS announced,
+               CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS DECIMAL(20,4)) ELSE CAST(o_totalprice AS DECIMAL(20,4)) END AS booked, o_orderkey AS link_id FROM {orders}""",
     "dump": """
-        SELECT 'MSG' || (o_orderkey % 400) AS pmsgid, 'S' || o_orderkey AS srl, CAST(o_totalprice AS DECIMAL(20,4)) AS amount, o_orderkey AS dump_id FROM {orders} WHERE o_orderkey % 7 < 4""",
+        SELECT 'MSG' || CASE WHEN o_orderkey % 7 < 4 THEN '' || (o_orderkey % 400) WHEN o_orderkey % 7 < 6 THEN 'X' || o_orderkey ELSE 'Y' || o_orderkey END AS pmsgid, 'S' || o_orderkey AS srl, CAST(o_totalprice AS DECIMAL(20,4)) AS amount, o_orderkey AS dump_id FROM {orders}""",
     "particulars": "SELECT particulars, CAST(count(*) AS BIGINT) AS weight FROM movement GROUP BY particulars",
     "turns": "SELECT conv_id, turn, role, text FROM {conversations}",
 }
