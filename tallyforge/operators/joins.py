@@ -140,9 +140,13 @@ def text_lookup(keys: DataFrame, entries: DataFrame, exact: str, text: str, gram
     lengths = sorted(r[0] for r in wanted.select(F.least(F.length("lookup_key"), F.lit(gram))).distinct().collect())  # at most ``gram`` numbers
     body = F.upper(text)
     runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - n + 1, F.lit(1))), run_at(body, n)) for n in lengths]
-    split = entries.select("id", body.alias("body"), F.explode(F.array_distinct(F.concat(*runs))).alias("gram")) if runs else entries.select("id", body.alias("body"), body.alias("gram")).limit(0)
-    found = split.join(rest, "gram").filter(F.contains("body", "lookup_key"))
-    return equal.unionByName(found.select("lookup_key", "id", F.lit("TEXT").alias("stage")))
+    if not runs:
+        return equal
+    # texts aren't carried along with their runs: candidates are (id, key), and meet the text once
+    split = entries.select("id", F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
+    pairs = split.join(rest, "gram").select("id", "lookup_key").distinct()
+    found = pairs.join(entries.select("id", body.alias("body")), "id").filter(F.contains("body", "lookup_key"))
+    return equal.unionByName(found.select("lookup_key", "id", F.lit("TEXT").alias("stage")).distinct())
 
 
 def payments_behind(movements: DataFrame, payments: DataFrame, own: str, other: str) -> DataFrame:

@@ -63,24 +63,47 @@ def apply_split(live: DataFrame, parents: DataFrame, slices: DataFrame) -> DataF
     return upsert(kept.join(stale.select("source_hash"), "source_hash", "left_anti"), slices, "source_hash", {"amount": "new"}, [F.col("amount")])
 
 
-def apply_buckets(buckets: DataFrame, members: DataFrame, known_members: DataFrame, keys: DataFrame, known_keys: DataFrame) -> DataFrame:
-    """What a push of members adds: buckets, members and keys that weren't there, and members whose amount changed."""
-    wanted = members.select("bucket_id").distinct()
-    new_buckets = wanted.join(buckets, "bucket_id", "left_anti")
+def bucket_push(buckets: DataFrame, members: DataFrame, known_members: DataFrame, keys: DataFrame, known_keys: DataFrame) -> dict[str, DataFrame]:
+    """All tables after a push of members, from one upsert: {members, buckets, keys, rollups, counts}.
+
+    Buckets that members name and that weren't there are made; who is where stays, amounts follow; keys that weren't
+    there come in, each once. ``rollups`` sums up every bucket again (sums, dates and status counts, its state, whether
+    each of its currencies nets to zero), ``counts`` says how much is new and how many members' amounts changed.
+    """
     merged = upsert(known_members, members, "source_hash", {"amount": "new"}, [F.col("amount")])
+    new_buckets = members.select("bucket_id").distinct().join(buckets, "bucket_id", "left_anti")
     triple = ["source_hash", "key_type", "key_value"]
     new_keys = keys.dropDuplicates(triple).join(known_keys, triple, "left_anti")
+    changed = merged.agg(F.count_if(F.col("change") == "INSERTED").cast("long").alias("a"), F.count_if(F.col("change") == "UPDATED").cast("long").alias("b"))
+    of_members = changed.select(F.inline(F.array(F.struct(F.lit("members").alias("what"), F.col("a").alias("n")), F.struct(F.lit("updated").alias("what"), F.col("b").alias("n")))))
     one = lambda df, what: df.agg(rows().alias("n")).select(F.lit(what).alias("what"), "n")
-    return one(new_buckets, "buckets").unionByName(one(merged.filter("change = 'INSERTED'"), "members")).unionByName(one(merged.filter("change = 'UPDATED'"), "updated")).unionByName(one(new_keys, "keys"))
+    counts = one(new_buckets, "buckets").unionByName(of_members).unionByName(one(new_keys, "keys"))
+    columns = [c for c in ("currency", "status", "value_date") if c in merged.columns]
+    rollups = bucket_state(bucket_summary(merged)) if len(columns) == 3 else None
+    return {"members": merged, "buckets": buckets.select("bucket_id").unionByName(new_buckets), "keys": known_keys.select(*triple).unionByName(new_keys.select(*triple)), "rollups": rollups, "counts": counts}
 
 
-def pushed_buckets(members: DataFrame, known_members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, rollups) after a push: who is where stays, amounts follow, and each bucket is summed up again.
+def canonical_slices(members: DataFrame, flow_id: int) -> DataFrame:
+    """Members that are slices (have a parent and a reference) under the hash that their ledger rows have, others as they are.
 
-    Rollups have sums, dates and status counts per bucket, its state and whether each of its currencies nets to zero.
+    The hash of a push may come from another spelling of the identity; a slice's ledger row has that of its flow,
+    reference, account and dates, so member and row meet under it.
     """
-    merged = upsert(known_members, members, "source_hash", {"amount": "new"}, [F.col("amount")])
-    return merged, bucket_state(bucket_summary(merged))
+    slice_ = F.col("parent_hash").isNotNull() & F.col("external_ref").isNotNull()
+    own = I.ledger_hash(F.lit(flow_id), F.col("external_ref"), F.col("account"), F.col("value_date"), F.col("value_date"))
+    return members.withColumn("source_hash", F.when(slice_, own).otherwise(F.col("source_hash")))
+
+
+def apply_buckets(buckets: DataFrame, members: DataFrame, known_members: DataFrame, keys: DataFrame, known_keys: DataFrame) -> DataFrame:
+    """What a push of members adds (``bucket_push``): buckets, members and keys that weren't there, amounts that changed."""
+    return bucket_push(buckets, members, known_members, keys, known_keys)["counts"]
+
+
+def pushed_buckets(members: DataFrame, known_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, rollups) after a push of members alone (``bucket_push``)."""
+    none = members.sparkSession.createDataFrame([], "bucket_id string"), members.sparkSession.createDataFrame([], "source_hash string, key_type string, key_value string")
+    out = bucket_push(none[0], members, known_members, none[1], none[1])
+    return out["members"], out["rollups"]
 
 
 def status_sync(movements: DataFrame, payments: DataFrame, returns: DataFrame) -> DataFrame:

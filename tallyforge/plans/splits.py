@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.aggregates import rows, total
@@ -33,20 +33,16 @@ def split_groups(parents: DataFrame, staged_parents: DataFrame, live: DataFrame,
     entries = upsert_slices(kept, hung.select(*live.columns), settled, [F.col("amount")])
     stale = entries.join(anchors.select("parent_hash"), "parent_hash", "left_semi").join(hung.select("source_hash"), "source_hash", "left_anti")
     rest = entries.join(stale.select("source_hash"), "source_hash", "left_anti")
-    one = lambda df, what: df.agg(rows().alias("n")).select(F.lit(what).alias("what"), "n")
-    done = [
-        (merged.filter("change = 'INSERTED'"), "parents_inserted"),
-        (merged.filter("change = 'UPDATED'"), "parents_updated"),
-        (entries.filter("change = 'INSERTED'"), "slices_inserted"),
-        (entries.filter("change = 'UPDATED'"), "slices_updated"),
-        (hung.join(settled, "source_hash", "left_semi"), "slices_skipped"),
-        (gone, "movements_withdrawn"),
-        (late, "parents_settled"),
-        (stale, "slices_reaped"),
-    ]
-    counts = one(*done[0])
-    for df, what in done[1:]:
-        counts = counts.unionByName(one(df, what))
+    def counted(df: DataFrame, **named: Column) -> DataFrame:
+        """(what, n): how many rows meet each condition, in one pass over them."""
+        sums = df.agg(*[F.count_if(cond).cast("long").alias(what) for what, cond in named.items()])
+        return sums.select(F.inline(F.array(*[F.struct(F.lit(what).alias("what"), F.col(what).alias("n")) for what in named])))
+
+    all_, change = F.lit(True), F.col("change")
+    counts = counted(merged, parents_inserted=change == "INSERTED", parents_updated=change == "UPDATED")
+    counts = counts.unionByName(counted(entries, slices_inserted=change == "INSERTED", slices_updated=change == "UPDATED"))
+    counts = counts.unionByName(counted(hung.join(settled, "source_hash", "left_semi"), slices_skipped=all_))
+    counts = counts.unionByName(counted(gone, movements_withdrawn=all_)).unionByName(counted(late, parents_settled=all_)).unionByName(counted(stale, slices_reaped=all_))
     return {"parents": flagged, "live": rest, "anchors": anchors, "counts": counts}
 
 
