@@ -90,16 +90,19 @@ def train(labels, buckets, shares, *, dim: int = 8, epochs: int = 8, batch: int
             sizes = np.array([len(buckets[r]) for r in rows])
             row = np.repeat(np.arange(len(rows)), sizes)
             hidden = np.zeros((len(rows), dim), np.float32)
-            np.add.at(hidden, row, vectors[ids] * weight)
+            filled = np.flatnonzero(sizes)
+            if len(filled):  # a document's features stand together, so its sum is one of a slice
+                hidden[filled] = np.add.reduceat(vectors[ids] * weight, (np.cumsum(sizes) - sizes)[filled], axis=0)
             logit = hidden @ top + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), labels[rows]] -= 1
             p /= len(rows)
             back = p @ top.T
-            uniq, inverse = np.unique(ids, return_inverse=True)
-            grad = np.zeros((len(uniq), dim), np.float32)
-            np.add.at(grad, inverse, back[row] * weight)
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[by], prepend=-1))  # where each bucket's features begin
+            uniq = ids[by[first]]
+            grad = np.add.reduceat((back[row] * weight)[by], first, axis=0) if len(first) else np.zeros((0, dim), np.float32)
             g_top, g_bias = hidden.T @ p, p.sum(axis=0)
             seen[uniq] += (grad**2).mean(axis=1, keepdims=True)
             vectors[uniq] -= rate * grad / np.sqrt(seen[uniq])
