@@ -50,18 +50,23 @@ query(
         9,
     ).agg(A.rows().alias("n"), F.count("reco_id").cast("long").alias("resolved"), A.total().alias("total"))
 )
-LEGS = "SELECT 'W' || order_key AS reco_id, po_id, amount, order_key, part_key FROM payment"
+#: Legs of all lines; a leg that its order lacks has a key of its own, so that it stays pending.
+LEG_KEYS = {
+    "SCHEME": "CASE WHEN order_key % 3 <> 0 THEN 'W' || order_key ELSE 'S' || po_id END",
+    "PAYMENT": "CASE WHEN part_key % 50 <> 0 THEN 'W' || order_key ELSE 'P' || po_id END",
+    "RETURN": "CASE WHEN order_key % 6 = 0 THEN 'W' || order_key ELSE 'R' || po_id END",
+}
 
 
 def three_legs(v):
-    p = v.payment.select(F.expr("'W' || order_key").alias("reco_id"), "po_id", "amount", "order_key", "part_key")
-    return G.three_leg_matching(G.three_leg_entries(p.filter("order_key % 3 <> 0"), p.filter("part_key % 50 <> 0"), p.filter("order_key % 3 = 0 AND order_key % 2 = 0"), 7), "run")
+    leg = {kind: v.payment.select(F.expr(key).alias("reco_id"), "po_id", "amount") for kind, key in LEG_KEYS.items()}
+    return G.three_leg_matching(G.three_leg_entries(leg["SCHEME"], leg["PAYMENT"], leg["RETURN"], 7), "run")
 
 
 query(
     "plan_three_legs",
     "payment",
-    f""", e AS (SELECT reco_id, 'SCHEME' AS event_type, amount FROM ({LEGS}) WHERE order_key % 3 <> 0 UNION ALL SELECT reco_id, 'PAYMENT', -amount FROM ({LEGS}) WHERE part_key % 50 <> 0 UNION ALL SELECT reco_id, 'RETURN', amount FROM ({LEGS}) WHERE order_key % 3 = 0 AND order_key % 2 = 0)
+    f""", e AS (SELECT {LEG_KEYS["SCHEME"]} AS reco_id, 'SCHEME' AS event_type, amount FROM payment UNION ALL SELECT {LEG_KEYS["PAYMENT"]}, 'PAYMENT', -amount FROM payment UNION ALL SELECT {LEG_KEYS["RETURN"]}, 'RETURN', amount FROM payment)
       SELECT event_type, CASE WHEN reco_id IN (SELECT reco_id FROM e GROUP BY 1 HAVING sum(amount) = 0) THEN 'MATCHED' ELSE 'PENDING' END AS status, count(*) AS n, CAST(sum(amount) AS {DEC}) AS net FROM e GROUP BY 1, 2""",
 )(three_legs)
 

@@ -42,8 +42,8 @@ query(
       SELECT *, CASE WHEN id IN (SELECT entry_id FROM exclusion WHERE created_at <= {T} AND (cancelled_at IS NULL OR cancelled_at > {T})) THEN 'EXCLUDED' ELSE 'PENDING' END AS state FROM live WHERE created_at <= {T}
       UNION ALL SELECT *, CASE WHEN settled_at <= {T} THEN status ELSE 'PENDING' END FROM settled WHERE created_at <= {T})""",
 )(lambda v: M.snapshot(v.live, v.settled, v.exclusion, "1996-01-01"))
-query("plan_daily_activity", "change_log", "SELECT l.user_id, u.user_name, action, count(*) AS n FROM change_log l LEFT JOIN (SELECT 'U' || c_custkey AS user_id, c_name AS user_name FROM customer WHERE c_custkey % 2 = 0) u USING (user_id) WHERE CAST(ts AS DATE) = DATE '2024-01-05' GROUP BY ALL")(
-    lambda v: M.daily_activity(v.change_log, v.customer.filter("c_custkey % 2 = 0").select(F.expr("'U' || c_custkey").alias("user_id"), c("c_name").alias("user_name")), "2024-01-05")
+query("plan_daily_activity", "change_log", "SELECT l.user_id, u.user_name, action, count(*) AS n FROM change_log l LEFT JOIN (SELECT 'U' || (2 * c_custkey) AS user_id, c_name AS user_name FROM customer) u USING (user_id) WHERE CAST(ts AS DATE) = DATE '2024-01-05' GROUP BY ALL")(
+    lambda v: M.daily_activity(v.change_log, v.customer.select(F.expr("'U' || (2 * c_custkey)").alias("user_id"), c("c_name").alias("user_name")), "2024-01-05")
 )
 query("plan_identifier_index", "entries member", """SELECT DISTINCT reco_id, field, upper(value) AS value FROM (SELECT reco_id, 'reco_id' AS field, reco_id AS value FROM entries UNION ALL SELECT reco_id, 'external_ref', external_ref FROM entries UNION ALL SELECT reco_id, 'ref_no', ref_no FROM entries UNION ALL SELECT reco_id, 'remarks_1', remarks_1 FROM entries
       UNION ALL SELECT 'ORD' || order_key, 'po_id', po_id FROM member UNION ALL SELECT 'ORD' || order_key, 'bucket_id', bucket_id FROM member) WHERE value IS NOT NULL AND reco_id IS NOT NULL""")(lambda v: M.identifier_index(v.entries, v.member))
@@ -62,7 +62,7 @@ query("plan_merge_chains", "", "SELECT o_orderkey AS node, CAST(min(o_orderkey)
 
 # ---- keys of movements
 SEG = "CASE WHEN contains(particulars, '##') THEN string_split(particulars, '##') ELSE string_split(particulars, '/') END"
-BULKMAP = "SELECT transaction_ref AS k, min(message_id) AS v FROM payment WHERE order_key % 2 = 0 GROUP BY 1"
+BULKMAP = "SELECT CASE WHEN order_key % 2 = 0 THEN transaction_ref ELSE 'no ' || transaction_ref END AS k, min(message_id) AS v FROM payment GROUP BY 1"
 query(
     "plan_settlement_keys",
     "movement payment payment_return",
@@ -80,7 +80,7 @@ query(
         v.payment.groupBy("po_id").agg(F.min("reco_id")),
         v.payment.groupBy(F.expr("'X' || order_key")).agg(F.min("reco_id")),
         v.payment_return.groupBy("return_po").agg(F.min("original_po")),
-        v.payment.filter("order_key % 2 = 0").groupBy("transaction_ref").agg(F.min("message_id")),
+        v.payment.groupBy(F.expr("CASE WHEN order_key % 2 = 0 THEN transaction_ref ELSE 'no ' || transaction_ref END")).agg(F.min("message_id")),
     ).select("movement_id", "reco_id", "rule")
 )
 
