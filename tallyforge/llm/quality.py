@@ -119,6 +119,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     Without labelled rows every score is that of an empty text, 0.5; with one label alone the bias learns it.
     """
     import numpy as np
+    import pyarrow as pa
 
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid"))
     known = known.agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
@@ -135,8 +136,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str,
     parts = [[f[offsets[i] : offsets[i + 1]] for i in range(got.num_rows)] for f in flat]
     # in an order of their own, since rows arrive in any
     order = sorted(range(got.num_rows), key=lambda i: (parts[0][i].tobytes(), parts[1][i].tobytes()))
-    label = np.asarray(got.column(0))
-    return train([int(label[i]) for i in order], [parts[0][i] for i in order], [parts[1][i] for i in order])
+    label = got.column(0).to_pylist()
+    model = train([label[i] for i in order], [parts[0][i] for i in order], [parts[1][i] for i in order])
+    del got, lists, flat, parts  # what the driver received goes back at once
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(model, at: int, n: int):
