@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.aggregates import MONEY, rows, total
+from tallyforge.session import shared_folder
 
 #: Letters of a run by which substrings are looked up, and folders of an index.
 GRAM, BUCKETS = 3, 64
@@ -21,11 +23,11 @@ def bucket_of(c: Column | str) -> Column:
 
 
 def grams(value: Column) -> Column:
-    """The distinct runs of ``GRAM`` letters of a text in upper case; none for a shorter one."""
+    """The runs of ``GRAM`` letters of a text in upper case, one for each place; none for a shorter one."""
     up = F.upper(value)
     starts = F.sequence(F.lit(1), F.length(up) - (GRAM - 1))
     runs = F.transform(starts, lambda i: F.substr(up, i, F.lit(GRAM)))
-    return F.when(F.length(up) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(up) >= GRAM, runs).otherwise(F.array().cast("array<string>"))
 
 
 def identifiers(entries: Mapping[str, DataFrame], statuses: DataFrame, keys: DataFrame, bulks: DataFrame, lots: DataFrame, fields: Sequence[str] = ENTRY_FIELDS) -> DataFrame:
@@ -42,22 +44,23 @@ def identifiers(entries: Mapping[str, DataFrame], statuses: DataFrame, keys: Dat
     out = out.unionByName(made(bulks, F.col("po_id"), "bulk_key", F.lit("po_id"), none, F.col("reco_id"), none))
     out = out.unionByName(made(lots, F.col("lot_id"), "lot", F.lit("id"), none, none, F.col("lot_id")))
     for name, df in entries.items():
-        held = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for i, f in enumerate(fields)])
-        once = df.select(F.col("id").cast("string").alias("row"), "reco_id", held.alias("h"))
-        once = once.select("row", "reco_id", F.explode(F.filter("h", lambda x: x["value"].isNotNull() & ~F.exists("h", lambda y: (y["place"] < x["place"]) & y["value"].eqNullSafe(x["value"])))).alias("x"))
+        held = [F.col(f).cast("string") for f in fields]
+        new = [reduce(lambda a, b: a & b, [~value.eqNullSafe(before) for before in held[:i]], value.isNotNull()) for i, value in enumerate(held)]
+        named = [F.when(new[i], F.struct(F.lit(i).alias("place"), F.lit(f).alias("field"), held[i].alias("value"))) for i, f in enumerate(fields)]
+        once = df.select(F.col("id").cast("string").alias("row"), "reco_id", F.explode(F.array(*named)).alias("x")).filter("x is not null")
         out = out.unionByName(once.select("x.value", F.lit(name).alias("source"), "x.field", "x.place", "row", "reco_id", none.alias("lot_id")))
     return out.filter("value is not null").distinct()
 
 
 def write_index(found: DataFrame, folder: str) -> None:
-    """Stores identifiers in folders by their value's hash, and their letters' runs in folders by the run's hash.
+    """Stores identifiers in folders by their value's hash, and their letters' runs with their places by the run's hash.
 
-    A search for a value reads one folder of the first, a search for a part of one the folders of its runs. Rows of a
+    A search for a value reads one folder of the first, a search for a part of one the folder of its first run. Rows of a
     value that many rows share are dealt over several tasks.
     """
     spread = F.pmod(F.xxhash64("row", "reco_id", "lot_id"), F.lit(16))
     found.withColumn("bucket", bucket_of("value")).repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{folder}/values")
-    runs = found.select("value").distinct().select("value", F.explode(grams(F.col("value"))).alias("gram"))
+    runs = found.select("value").distinct().select("value", F.posexplode(grams(F.col("value"))).alias("place", "gram"))
     runs.withColumn("bucket", bucket_of("gram")).repartition("bucket", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("bucket").parquet(f"{folder}/grams")
 
 
@@ -66,29 +69,50 @@ def search(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
 
     A text is trimmed and first looked for as it is, in all five places: payment statuses, keys of lots, bulks, lots,
     entries. Only if that finds nothing and the query is broad, entries that have a key and keys of lots are looked for
-    in which it is a part, whatever its case; an entry counts for the first field that holds it. Candidates have all runs
-    of three letters of the text, and are then compared; texts of fewer letters are compared with every value. Empty
-    texts find nothing. No result is cut.
+    in which it is a part, whatever its case; an entry counts for the first field that holds it. Values are cut where a
+    text's first run of three letters is, at the lengths of the texts that begin so, and the piece is the key of an equi
+    join (``parts``); texts of fewer letters are compared with every value. Empty texts find nothing. No result is cut.
     """
     values = spark.read.schema(f"{IDENTIFIER}, bucket int").parquet(f"{folder}/values")
     asked = queries.select(F.trim("text").alias("text"), "broad").filter("text <> ''").groupBy("text").agg(F.max("broad").alias("broad"))
     asked = asked.withColumn("at", bucket_of("text"))
     exact = asked.join(values, [asked["text"] == values["value"], asked["at"] == values["bucket"]])
-    exact = exact.select("text", "source", "field", "reco_id", "lot_id").distinct()
-    rest = asked.filter("broad").join(exact.select("text").distinct(), "text", "left_anti").select("text")
-    needed = rest.select("text", grams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
-    runs = spark.read.schema("value string, gram string, bucket int").parquet(f"{folder}/grams")
-    wanted = needed.filter("n > 0").select("text", "n", F.explode("g").alias("want")).withColumn("at", bucket_of("want"))
-    hits = wanted.join(runs, [wanted["want"] == runs["gram"], wanted["at"] == runs["bucket"]]).groupBy("text", "value").agg(rows().alias("found"), F.first("n").alias("n")).filter("found = n").select("text", "value")
-    part = F.contains(F.upper("value"), F.upper("text"))
-    short = needed.filter("n = 0").select("text").join(values.select("value").distinct(), part)
-    like = hits.filter(part).unionByName(short).withColumn("at", bucket_of("value")).withColumnRenamed("value", "like")
+    exact = stored(exact.select("text", "source", "field", "reco_id", "lot_id").distinct(), "exact")
+    rest = stored(asked.filter("broad").join(exact.select("text").distinct(), "text", "left_anti").select("text"), "rest")
+    runs = spark.read.schema("value string, gram string, place int, bucket int").parquet(f"{folder}/grams")
+    few = F.length(F.upper("text")) < GRAM
+    short = rest.filter(few).join(values.select("value"), F.contains(F.upper("value"), F.upper("text"))).distinct()
+    like = parts(rest.filter(~few), runs).unionByName(short).withColumn("at", bucket_of("value")).withColumnRenamed("value", "like")
     broad = like.join(values, [like["like"] == values["value"], like["at"] == values["bucket"]]).filter("source = 'lot_key' OR (row IS NOT NULL AND reco_id IS NOT NULL)")
     first = broad.groupBy("text", "source", "row", "reco_id", "lot_id", F.when(F.col("row").isNull(), F.col("field")).alias("of")).agg(F.min_by("field", "place").alias("field"))
     broad = first.select("text", "source", "field", "reco_id", "lot_id").distinct()
     return exact.withColumn("broad_used", F.lit(False)).unionByName(broad.withColumn("broad_used", F.lit(True)))
 
 
+def parts(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(text, value), each once: values of which a text of at least ``GRAM`` letters is a part, whatever its case.
+
+    A place of a value is looked at only if the run there is some text's first one, at the lengths of these texts, and if
+    a text of that length and both ends exists. So pieces grow with the index, not with texts times values, however
+    common the runs are that a text has.
+    """
+    up = texts.select("text", F.upper("text").alias("piece"))
+    ends = up.select(F.left("piece", F.lit(GRAM)).alias("gram"), F.length("piece").alias("n"), F.right("piece", F.lit(GRAM)).alias("last")).distinct()
+    starts = ends.groupBy("gram").agg(F.collect_set("n").alias("lengths")).withColumn("bucket", bucket_of("gram"))
+    here = runs.join(starts, ["gram", "bucket"])
+    tail = F.substr(F.upper("value"), F.col("place") + 1)
+    cut = here.select("value", "gram", tail.alias("tail"), F.explode("lengths").alias("n")).filter(F.length("tail") >= F.col("n"))
+    cut = cut.select("value", "gram", "n", F.left("tail", F.col("n")).alias("piece")).withColumn("last", F.right("piece", F.lit(GRAM)))
+    return cut.join(ends, ["gram", "n", "last"], "left_semi").select("value", "piece").join(up, "piece").select("text", "value").distinct()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: used twice but computed once, and of a size that is known."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def payment_page(statuses: DataFrame, keys: DataFrame, after: tuple[str, str] | None = None, size: int = 1000) -> DataFrame:
     """One page of the payments of some keys, by (reco_id, po_id): the ``size`` that follow ``after``.
 
@@ -102,7 +126,11 @@ def payment_page(statuses: DataFrame, keys: DataFrame, after: tuple[str, str] |
 
 
 def found_groups(entries: DataFrame, matches: DataFrame) -> DataFrame:
-    """Sums of the entries behind each query's keys and lots, by key and currency, over both stores."""
+    """Sums of the entries behind each query's keys and lots, by key and currency, over both stores.
+
+    Entries are summed up by key before they meet the queries, so a key that very many entries and queries share (that of
+    unresolved rows) doesn't pair them all.
+    """
     keys = matches.select("text", "reco_id").unionByName(matches.select("text", F.col("lot_id").alias("reco_id"))).filter("reco_id is not null").distinct()
-    on = entries.join(keys, "reco_id")
-    return on.groupBy("text", "reco_id", "currency").agg(rows().alias("n"), total().cast(MONEY).alias("net")).withColumn("is_balanced", F.col("net") == 0)
+    groups = entries.groupBy("reco_id", "currency").agg(rows().alias("n"), total().cast(MONEY).alias("net"))
+    return groups.join(keys, "reco_id").select("text", "reco_id", "currency", "n", "net", (F.col("net") == 0).alias("is_balanced"))

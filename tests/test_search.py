@@ -64,3 +64,25 @@ def test_pages_cover_all_payments(spark):
         seen += [tuple(r) for r in page]
         after = tuple(page[-1])
     assert seen == sorted(tuple(r) for r in statuses.select("reco_id", "po_id").collect()) and len(seen) == 2500
+
+
+def test_common_runs_do_not_pair_texts_with_values(spark, tmp_path):
+    folder = index(spark, tmp_path, [(i, f"K{i}", f"TX{100000 + i}#1", None, None) for i in range(2000)])
+    texts = [(f"tx{100000 + i}#2", True) for i in range(1000)] + [("X100007#", True)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    def stages():
+        listed = store.stageList(None, False, False, none, None)
+        return {listed.apply(i).stageId(): listed.apply(i).shuffleWriteRecords() for i in range(listed.size())}
+    before = set(stages())
+    assert look(spark, folder, *texts) == [("X100007#", "live", "external_ref", "K7", None, True)]
+    assert sum(n for stage, n in stages().items() if stage not in before) < 40000  # texts times values are 2,000,000
+
+
+def test_groups_are_summed_before_they_meet_the_texts(spark):
+    entries = spark.createDataFrame([("none", "EUR", 1), ("none", "EUR", -1), ("K", "USD", 2)], "reco_id string, currency string, amount int").withColumn("amount", F.col("amount").cast("decimal(20,4)"))
+    matches = spark.createDataFrame([("a", "none", None), ("b", "none", None), ("b", None, "K")], "text string, reco_id string, lot_id string")
+    found = X.found_groups(entries, matches)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sum(")  # the sum is below the join
+    assert sorted(map(tuple, found.select("text", "reco_id", "currency", "n", F.col("net").cast("int"), "is_balanced").collect())) == [("a", "none", "EUR", 2, 0, True), ("b", "K", "USD", 1, 2, False), ("b", "none", "EUR", 2, 0, True)]
