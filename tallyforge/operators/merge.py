@@ -12,8 +12,11 @@ from tallyforge.operators.windows import keep_in_batch
 
 
 def insert_new(target: DataFrame, staged: DataFrame, key: str, order: Sequence[Column], stores: Sequence[DataFrame] = ()) -> DataFrame:
-    """The rows to append: first of each key in the batch whose key is neither in the target nor in the other stores."""
-    known = reduce(lambda a, b: a.unionByName(b), [s.select(key) for s in (target, *stores)])
+    """The rows to append: first of each key in the batch whose key is neither in the target nor in the other stores.
+
+    Known keys count once: a key that is a constant leaves the join no key to hash by, and every row would meet all of them.
+    """
+    known = reduce(lambda a, b: a.unionByName(b), [s.select(key) for s in (target, *stores)]).distinct()
     return keep_in_batch(staged, key, list(order)).join(known, key, "left_anti")
 
 

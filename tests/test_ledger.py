@@ -53,3 +53,13 @@ def test_the_ledger_is_not_shuffled(spark, tmp_path):
             above = [x for j, x in enumerate(lines[:i]) if depth(x) < min(depth(y) for y in lines[j + 1 : i + 1])]
             assert not any("Exchange hashpartitioning" in x for x in above), plan
     assert any(f"{name}_1" in x and "reco_id" in x for x in lines)
+
+
+def test_known_keys_of_one_constant_meet_no_row_twice(spark):
+    from tallyforge.operators.merge import insert_new
+
+    known = spark.range(5000).select(F.lit("none").alias("k"))
+    staged = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id")
+    out = insert_new(known, staged, "k", [F.col("id")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti") :] and out.count() == 3000
