@@ -18,12 +18,20 @@ c = F.col
 BATCHES = 4
 
 
-def arriving(v, parts: DataFrame) -> DataFrame:
-    """A stream of the rows in the order of their column ``at``: one file, and so one batch, for each number."""
-    folder = shared_folder(v.spark, "arriving")
+def run(v, parts: DataFrame, waiting: U.Waiting, cut) -> int:
+    """A stream of the rows in the order of their column ``at``: a batch for each number; gives the last one's.
+
+    The rows are computed once. Those of a number arrive as files of several tasks and make one run of the stream, which
+    goes on where the run before it ended; so a batch is written, and read, by as many tasks as its rows need.
+    """
+    staged, folder = shared_folder(v.spark, "staged"), shared_folder(v.spark, "arriving")
+    parts.write.partitionBy("at").parquet(staged)
+    rows = v.spark.read.schema(parts.schema).parquet(staged)
+    last = -1
     for number in range(BATCHES):
-        parts.filter(c("at") == number).drop("at").coalesce(1).write.mode("append").parquet(folder)
-    return v.spark.readStream.schema(parts.drop("at").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(c("at") == number).drop("at").write.mode("append").parquet(folder)
+        last = U.run_stream(v.spark, v.spark.readStream.schema(parts.drop("at").schema).parquet(folder), waiting, cut)
+    return last
 
 
 #: Movements come in batch movement_id % 3, an eighth of them once more in batch 3; references become known in batch 2,
@@ -50,7 +58,7 @@ def split(batch: DataFrame):
 
 def ledger_run(v):
     waiting = U.waiting_table(v.spark, "transaction_id string, amount decimal(20,4)")
-    return waiting, U.run_stream(v.spark, arriving(v, movements(v)), waiting, split)
+    return waiting, run(v, movements(v), waiting, split)
 
 
 LATE = """, refs AS (SELECT DISTINCT transaction_ref AS k FROM payment), pacs AS (SELECT DISTINCT pacs008 AS k, CAST(substr(pacs008, 5) AS INT) AS n FROM payment WHERE CAST(substr(pacs008, 5) AS INT) % 7 <> 0),
@@ -97,7 +105,7 @@ def statement_split(batch: DataFrame):
 
 def statement_run(v) -> DataFrame:
     waiting = U.waiting_table(v.spark, "external_ref string, amount decimal(20,4)")
-    last = U.run_stream(v.spark, arriving(v, statements(v)), waiting, statement_split)
+    last = run(v, statements(v), waiting, statement_split)
     return waiting.entries(last).select(F.substring_index("external_ref", "#", 1).alias("message_id"), "amount", "reco_id", "tier", "resolved_in")
 
 

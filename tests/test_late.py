@@ -68,3 +68,20 @@ def test_many_rows_of_one_key(spark, waiting):
     many = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"), F.lit(1).alias("amount"), F.concat(F.lit("h"), "id").alias("source_hash"), F.array(U.key("A", F.lit(1))).alias("keys"), F.array(U.key("A", F.lit(1))).alias("retry_keys"), F.lit(None).cast("string").alias("_error"))
     assert waiting.step(0, many, lookups(spark))["unresolved"] == 3000
     assert waiting.step(1, many.limit(0), lookups(spark, ("A:1", "all")))["resolved_late"] == 3000
+
+
+def test_a_batch_arrives_in_several_files(spark, waiting):
+    from types import SimpleNamespace
+
+    from tallyforge.catalog import late
+
+    parts = rows(spark, *[(f"n{i}", i, ["A:1"]) for i in range(40)]).withColumn("at", F.col("amount") % 4).repartition(4)
+    files = []
+
+    def cut(batch):
+        files.append(batch.select(F.input_file_name()).distinct().count())
+        return batch, lookups(spark), None
+
+    assert late.run(SimpleNamespace(spark=spark), parts, waiting, cut) == 3
+    assert len(files) == 4 and min(files) > 1
+    assert [r["rows_in"] for r in waiting.counters().orderBy("batch").collect()] == [10, 10, 10, 10]
