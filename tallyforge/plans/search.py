@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.aggregates import MONEY, rows, total
-from tallyforge.session import shared_folder
+from tallyforge.session import stored
 
 #: Letters of a run by which substrings are looked up, and folders of an index.
 GRAM, BUCKETS = 3, 64
@@ -106,13 +106,6 @@ def parts(texts: DataFrame, runs: DataFrame) -> DataFrame:
     return cut.join(ends, ["gram", "n", "last"], "left_semi").select("value", "piece").join(up, "piece").select("text", "value").distinct()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: used twice but computed once, and of a size that is known."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def payment_page(statuses: DataFrame, keys: DataFrame, after: tuple[str, str] | None = None, size: int = 1000) -> DataFrame:
     """One page of the payments of some keys, by (reco_id, po_id): the ``size`` that follow ``after``.
 
