@@ -96,3 +96,42 @@ def test_elements_in_comments_are_none_and_broken_ones_say_so(spark, tmp_path):
         assert [x[1] for x in own if x[0] != 3] == ["1", None, None, "in"]
     entries = reader("xml_paths")(spark, str(tmp_path), {"record_xpath": "E", "field_xpaths": {"amount": "A"}, "glob": "a*"}).orderBy("no").collect()
     assert [r["_error"] for r in entries] == ["missing value date", "missing amount", "not well-formed", "missing amount", "invalid amount"]
+
+
+def test_only_the_asked_cells_are_parsed_and_rows_of_the_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(workbook, "PORTION", 300)
+    rows = [[i, f"<{i}>", None if i % 3 else "x"] for i in range(50)]
+    raw = workbook.book_bytes({"s": (["a", "b", "c"], rows)})
+    seen = []
+    real = workbook.typed_value
+    monkeypatch.setattr(workbook, "typed_value", lambda *a: seen.append(a[0].get("r")) or real(*a))
+    got = list(workbook.typed_cells(raw, 0, lambda first: {2}))[1:]
+    assert [n for n, _ in got] == list(range(2, 52)) and [v[2] if len(v) > 2 else None for _, v in got] == [r[2] for r in rows]
+    assert list(workbook.typed_cells(raw))[1:] == [(i, r) for i, r in enumerate(rows, 2)]
+    seen.clear()
+    assert len(list(workbook.typed_cells(raw, 0, lambda first: {0}))) == 51
+    assert not [r for r in seen[3:] if r[0] != "A" and int(r[1:]) > 20]  # cells that nobody asks for are cut out unparsed
+
+
+def test_comments_prefixes_and_faults_are_read_element_by_element():
+    main = workbook.MAIN[1:-1]
+    row = '<row r="{0}"><c r="A{0}"><v>{0}</v></c></row>'
+    for sheet in (
+        f'<worksheet xmlns="{main}"><sheetData>{row.format(1)}<!-- </row> -->{row.format(2)}</sheetData></worksheet>',
+        f'<x:worksheet xmlns:x="{main}"><x:sheetData>{row.format(1)}{row.format(2)}</x:sheetData></x:worksheet>'.replace("<", "<x:").replace("<x:/", "</x:").replace("x:x:", "x:"),
+        f'<?xml version="1.0"?>\n<worksheet xmlns="{main}"><cols/><sheetData>{row.format(1)}<row/>{row.format(2)}</sheetData><after/></worksheet>',
+    ):
+        assert list(workbook.typed_cells(with_files(book(), xl_worksheets_sheet1_xml=sheet))) == [(1, [1]), (2, [2])]
+    broken = workbook.typed_cells(with_files(book(), xl_worksheets_sheet1_xml=f'<worksheet xmlns="{main}"><sheetData>{row.format(1)}<row r="2"><c></row></sheetData></worksheet>'))
+    assert next(broken) == (1, [1])
+    with pytest.raises(workbook.ElementTree.ParseError):
+        next(broken)
+
+
+def test_workbooks_of_whole_columns_equal_those_of_single_cells():
+    import pyarrow as pa
+
+    columns = {"s": ["<a&b>", None, ""], "n": [1, None, -3], "f": [1.5, float("nan"), None], "b": [True, None, False], "t": [datetime.datetime(2024, 1, 2, 3), None, None]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    by_cell = ["".join(workbook.cell_xml(None if v != v else v, f"{workbook.column_name(j)}{i + 2}") for j, v in enumerate(c[i] for c in columns.values())) for i in range(3)]
+    assert workbook.rows_xml(batch) == by_cell
