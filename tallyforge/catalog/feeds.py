@@ -52,7 +52,8 @@ def slabs(v) -> DataFrame:
         F.lit("1"), pad(c("o_orderkey").cast("string"), 30), pad(F.lit("sent"), 30), pad(F.when(c("o_orderkey") % 4 == 0, "WITHDRAW").otherwise("DEPOSIT"), 8), pad(F.lit("P1"), 12), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("EUR"),
         F.lpad(F.replace(c("o_totalprice").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")), 27, " "), pad(F.concat(F.lit("R"), c("o_orderkey").cast("string")), 20), F.lit("Y"),
     )
-    return v.orders.select(F.concat(F.rpad(F.lit("0HEAD"), 3269, " "), F.rpad(record, 3269, " "), F.rpad(record, 3269, " "), F.lit("9END")).alias("value"))
+    filled = F.concat(record, F.lit(" " * (3269 - 140)))
+    return v.orders.select(F.concat(F.rpad(F.lit("0HEAD"), 3269, " "), filled, filled, F.lit("9END")).alias("value"))
 
 
 query(

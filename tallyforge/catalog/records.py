@@ -81,10 +81,13 @@ query(
 
 
 def slab_file(v) -> str:
-    """Records of 3,269 characters without line ends: the last filler of each is written as what ends a line."""
+    """Records of 3,269 characters without line ends: the last filler of each is written as what ends a line.
+
+    Nearly all of it is filler, so files are packed, of at most 100,000 records as each is one task's.
+    """
     folder = shared_folder(v.spark, "slabs")
     record = F.substring("value", 3270, 3268)
-    slabs(v).select(F.explode(F.array(F.rpad(F.lit("0HEAD"), 3268, " "), record, record)).alias("value")).write.option("lineSep", " ").text(folder)
+    slabs(v).select(F.explode(F.array(F.rpad(F.lit("0HEAD"), 3268, " "), record, record)).alias("value")).write.option("lineSep", " ").option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(folder)
     return folder
 
 

@@ -35,23 +35,22 @@ def fixed_width_rows(lines: DataFrame, negative: str = "WITHDRAW", keep: Sequenc
 
 
 def read_slabs(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
-    """Records of files without line ends, ``length`` characters each: a large file is read by several tasks.
+    """Records of files without line ends, ``length`` characters each: a large file is read by several tasks, a packed one by one.
 
     Columns are those of the records, their file and number, and ``_error``, also of a file that can't be decoded.
     """
     options = {k: config[k] for k in ("encoding", "glob", "range_bytes") if k in config}
-    slabs = split_records(spark, path, "fixed", length=config.get("length", 3269), **options)
+    slabs = split_records(spark, path, "fixed", length=config.get("length", 3269), least=LEAST, width=WIDTH, **options)
     bad = slabs.filter("_error is not null").select("file", "_error")
-    return fixed_width_rows(slabs.filter("_error is null").withColumn("value", without_filler("value")), config.get("negative", "WITHDRAW"), ["file", "no"]).unionByName(bad, allowMissingColumns=True)
-
-
-def without_filler(slab: str):
-    """A slab without what fills it up; a cut-off last one stays as short as it is."""
-    return F.when(F.length(slab) >= LEAST, F.rpad(F.rtrim(slab), WIDTH, " ")).otherwise(F.col(slab))
+    return fixed_width_rows(slabs.filter("_error is null"), config.get("negative", "WITHDRAW"), ["file", "no"]).unionByName(bad, allowMissingColumns=True)
 
 
 def slab_rows(files: DataFrame, length: int = 3269, negative: str = "WITHDRAW", text: str = "value") -> DataFrame:
-    """Fields of records that follow each other without line ends, ``length`` characters each; ``files`` has one row a file."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(length))
-    slabs = files.select(F.explode(F.transform(starts, lambda a: F.substr(F.col(text), a, F.lit(length)))).alias("slab"))
-    return fixed_width_rows(slabs.select(without_filler("slab").alias("value")), negative)
+    """Fields of records that follow each other without line ends, ``length`` characters each; ``files`` has one row a file.
+
+    A text is gone through once; of each record only the characters that have fields are taken, and a cut-off last one
+    stays as short as it is.
+    """
+    head = min(WIDTH, length)
+    slabs = files.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{head}}}).{{0,{length - head}}}"), F.lit(1))).alias("slab"))
+    return fixed_width_rows(slabs.select(F.when(F.length("slab") >= LEAST, F.rpad("slab", WIDTH, " ")).otherwise(F.col("slab")).alias("value")), negative)

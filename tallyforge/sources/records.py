@@ -7,6 +7,7 @@ second pass reads records by ranges. A range owns the records that begin in it a
 
 from __future__ import annotations
 
+import codecs
 import csv
 import fnmatch
 import io
@@ -68,6 +69,23 @@ class Bytes:
             start += len(block)
 
 
+class Packed:
+    """A compressed file, read from its begin to its end by one task."""
+
+    def __init__(self, path: str) -> None:
+        import pyarrow.fs
+
+        fs, own = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        self.file = fs.open_input_stream(own, compression="gzip")
+
+    def texts(self, encoding: str) -> Iterator[str]:
+        """Its characters, unpacked block by block."""
+        decoder = codecs.getincrementaldecoder(encoding)()
+        while block := self.file.read(BLOCK):
+            yield decoder.decode(block)
+        yield decoder.decode(b"", final=True)
+
+
 def tail(raw: bytes) -> int:
     """How many bytes at the begin go on with the character before."""
     return len(raw) - len(raw.lstrip(bytes(range(0x80, 0xC0))))
@@ -280,16 +298,39 @@ class Elements:
 
 
 class Slabs:
-    """Records of a fixed number of characters without any ends; the last may be shorter. The state is a character count."""
+    """Records of a fixed number of characters without any ends; the last may be shorter. The state is a character count.
 
-    def __init__(self, encoding: str, length: int) -> None:
-        self.encoding, self.length = encoding, length
+    Of records of at least ``least`` characters the first ``width`` leave, filled up with spaces.
+    """
 
-    def scan(self, file: Bytes, start: int, stop: int, head: str | None) -> tuple:
-        n = len(whole_text(file, start, stop, self.encoding))
+    def __init__(self, encoding: str, length: int, least: int | None = None, width: int = 0) -> None:
+        self.encoding, self.length, self.least, self.width = encoding, length, least, width
+
+    def text(self, slab: str) -> str:
+        return slab if self.least is None or len(slab) < self.least else slab[: self.width].ljust(self.width)
+
+    def scan(self, file: Bytes | Packed, start: int, stop: int, head: str | None) -> tuple:
+        n = sum(map(len, file.texts(self.encoding))) if isinstance(file, Packed) else len(whole_text(file, start, stop, self.encoding))
         return n, n, 0, 0
 
-    def records(self, file: Bytes, start: int, stop: int, state: int, head: str | None) -> Iterator[tuple[int, str]]:
+    def unpacked(self, file: Packed) -> Iterator[tuple[int, str]]:
+        at, held = 0, ""
+        width = (lambda s: len(s) if s.isascii() else len(s.encode(self.encoding))) if is_utf8(self.encoding) else len
+        for text in file.texts(self.encoding):
+            held += text
+            whole = len(held) - len(held) % self.length
+            for i in range(0, whole, self.length):
+                slab = held[i : i + self.length]
+                yield at, self.text(slab)
+                at += width(slab)
+            held = held[whole:]
+        if held:
+            yield at, self.text(held)
+
+    def records(self, file: Bytes | Packed, start: int, stop: int, state: int, head: str | None) -> Iterator[tuple[int, str]]:
+        if isinstance(file, Packed):
+            yield from self.unpacked(file)
+            return
         raw = file.read(start, stop + 4 * self.length + 4)
         skip = tail(raw) if is_utf8(self.encoding) and start else 0
         text = raw[skip:].decode(self.encoding, "ignore" if is_utf8(self.encoding) and stop + 4 * self.length + 4 < file.size else "strict")
@@ -300,7 +341,7 @@ class Slabs:
             if at >= stop:
                 break
             slab = text[i : i + self.length]
-            yield at, slab
+            yield at, self.text(slab)
             at += width(slab)
 
 
@@ -325,13 +366,20 @@ class RecordReader(DataSourceReader):
         if kind == "separator":
             return Separated(encoding, self.o["separator"])
         if kind == "fixed":
-            return Slabs(encoding, int(self.o["length"]))
+            return Slabs(encoding, int(self.o["length"]), int(self.o["least"]) if "least" in self.o else None, int(self.o.get("width", 0)))
         if kind == "quoted":
             return Quoted(encoding, self.o.get("delimiter", ","), self.o.get("quote", '"'), not self.header)
         if kind == "wrapped" and head is not None and head.strip().strip('"') == FAKE_HEADER:
             return Wrapped(encoding)
         return Cut(encoding)
 
+    def opened(self, path: str) -> Bytes | Packed:
+        return Packed(path) if self.packed(path) else Bytes(path)
+
+    def packed(self, path: str) -> bool:
+        """Whether a file is unpacked: only slabs are read as a stream."""
+        return self.o["cut"] == "fixed" and path.endswith(".gz")
+
     def head_of(self, file: Bytes) -> str | None:
         """The first record of a file whose cut needs it."""
         if self.o["cut"] == "wrapped":
@@ -358,7 +406,8 @@ class RecordReader(DataSourceReader):
                 raise FileNotFoundError(path)
             found = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(own, recursive=True))
             for f in sorted((f for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.o.get("glob", "*")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
-                out += [Range(base + f.path, a, min(a + size, f.size)) for a in range(0, max(f.size, 1), size)]
+                step = max(f.size, 1) if self.packed(f.path) else size
+                out += [Range(base + f.path, a, min(a + step, f.size)) for a in range(0, max(f.size, 1), step)]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range):
@@ -369,7 +418,7 @@ class RecordReader(DataSourceReader):
         head = error = None
         found = (0, 0, 0, 0)
         try:
-            file = Bytes(part.file)
+            file = self.opened(part.file)
             head = self.head_of(file)
             found = self.cut(head).scan(file, part.start, part.stop, head)
         except (OSError, UnicodeError, LookupError) as e:
@@ -382,7 +431,7 @@ class RecordReader(DataSourceReader):
         if part.error:
             yield (name, None, None, *empty, part.error)
             return
-        file = Bytes(part.file)
+        file = self.opened(part.file)
         # the header of delimited files and the fake one of wrapped files are records by number, but no rows
         no = part.no
         skip = 1 if self.header or (self.o["cut"] == "wrapped" and isinstance(self.cut(part.head), Wrapped)) else 0
@@ -445,7 +494,8 @@ def split_records(spark: SparkSession, path: str | list[str], cut: str, *, colum
     """(file, start, no, value, _error): the records of files, or of those below folders, each read by several tasks.
 
     ``cut`` is ``lines``, ``quoted`` (delimited records, with ``delimiter``, ``quote``, ``header``), ``wrapped``,
-    ``separator`` (with ``separator``), ``element`` (of XML, with ``tag``) or ``fixed`` (with ``length``); ``encoding`` and ``glob`` go with all. ``no``
+    ``separator`` (with ``separator``), ``element`` (of XML, with ``tag``) or ``fixed`` (with ``length``, and ``least`` and
+    ``width``: of records of ``least`` characters as many as ``width`` leave; each ``.gz`` file is unpacked by one task); ``encoding`` and ``glob`` go with all. ``no``
     numbers a file's records from 1, the header included; ``start`` is a record's first byte. With ``columns`` quoted
     records are parsed into these, by the names in the file's header or, without one, by place.
 
