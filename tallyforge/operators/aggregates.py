@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.session import stored
+
 #: A settlement key that stands for "none can be derived"; it never matches anything.
 NO_KEY = "Not Supported"
 MONEY = "decimal(20,4)"
@@ -211,33 +213,45 @@ def basket_check(live: DataFrame, baskets: DataFrame) -> DataFrame:
     refusal, and ``missing`` and ``not_pending`` list all bad ids. An id that several acceptable baskets ask for goes to
     the least of them, the others are refused as TAKEN. ``reco_id`` is the rows' key if they have one alone.
     """
-    asked = baskets.select("basket_id", "id").distinct()
-    on = asked.join(live.select("id", F.lit(True).alias("here"), "flow_id", "currency", "amount", "status", "reco_id"), "id", "left")
+    return judged_baskets(live, baskets)[0]
+
+
+def judged_baskets(live: DataFrame, baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``basket_check``, (basket_id, id) of the accepted baskets).
+
+    Rows are shuffled once by id, where they meet the ledger, and once by basket, and are stored with their basket's
+    refusal; after that only ids that several baskets ask for are compared.
+    """
+    asked = baskets.select("basket_id", "id").repartition("id").distinct().withColumn("shared", F.count("*").over(Window.partitionBy("id")) > 1)
+    found = asked.join(live.select("id", F.lit(True).alias("here"), "flow_id", "currency", "amount", "status", "reco_id"), "id", "left")
     away, busy = F.col("here").isNull(), F.col("here") & (F.col("status") != "PENDING")
+    w = Window.partitionBy("basket_id")
+    one = lambda c: F.coalesce(F.min(c).over(w) == F.max(c).over(w), F.lit(False))
+    refusal = (
+        F.when(F.bool_or(away).over(w), "NOT_FOUND")
+        .when(F.bool_or(busy).over(w), "NOT_PENDING")
+        .when(~one("flow_id"), "FLOWS")
+        .when(~one("currency"), "CURRENCIES")
+        .when(F.coalesce(F.sum("amount").over(w), F.lit(0)) != 0, "NOT_BALANCED")
+    )
+    on = stored(found.withColumn("refusal", refusal), "baskets")
     listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("id")))).cast("array<string>"), ",")
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
     sums = on.groupBy("basket_id").agg(
         rows().alias("n"),
-        F.count_if(F.col("here")).cast("long").alias("found"),
-        F.count_if(busy).cast("long").alias("busy"),
-        F.count_distinct("flow_id").cast("long").alias("flows"),
-        F.count_distinct("currency").cast("long").alias("currencies"),
+        distinct("flow_id").alias("flows"),
+        distinct("currency").alias("currencies"),
         total().alias("total"),
         listed(away).alias("missing"),
         listed(busy).alias("not_pending"),
         F.min("flow_id").alias("flow_id"),
         F.min("currency").alias("currency"),
         F.when(F.min("reco_id") == F.max("reco_id"), F.min("reco_id")).alias("reco_id"),
+        F.min("refusal").alias("refusal"),
     )
-    refusal = (
-        F.when(F.col("found") < F.col("n"), "NOT_FOUND")
-        .when(F.col("busy") > 0, "NOT_PENDING")
-        .when(F.col("flows") != 1, "FLOWS")
-        .when(F.col("currencies") != 1, "CURRENCIES")
-        .when(F.col("total") != 0, "NOT_BALANCED")
-    )
-    judged = sums.withColumn("refusal", refusal)
-    fit = asked.join(judged.filter("refusal is null").select("basket_id"), "basket_id", "left_semi")
-    first = fit.groupBy("id").agg(F.min("basket_id").alias("first"))
-    taken = fit.join(first, "id").filter("basket_id <> first").select("basket_id").distinct().withColumn("taken", F.lit("TAKEN"))
-    judged = judged.join(taken, "basket_id", "left").withColumn("refusal", F.coalesce("refusal", "taken")).drop("taken", "found", "busy")
-    return judged.withColumn("may_match", F.col("refusal").isNull())
+    fit = on.filter("refusal is null")
+    first = F.min("basket_id").over(Window.partitionBy("id"))
+    taken = stored(fit.filter("shared").select("basket_id", first.alias("first")).filter("basket_id <> first").select("basket_id").distinct(), "taken")
+    judged = sums.join(taken.withColumn("taken", F.lit("TAKEN")), "basket_id", "left").withColumn("refusal", F.coalesce("refusal", "taken")).drop("taken")
+    accepted = fit.select("basket_id", "id").join(taken, "basket_id", "left_anti").repartition("id").distinct()  # the ledger may have an id twice
+    return judged.withColumn("may_match", F.col("refusal").isNull()), accepted

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.aggregates import balanced_groups, basket_check, matchable, rows, total
+from tallyforge.operators.aggregates import balanced_groups, judged_baskets, matchable, rows, total
 from tallyforge.operators.merge import settle
 from tallyforge.session import shared_folder
 
@@ -43,9 +43,9 @@ def force_match(live: DataFrame, baskets: DataFrame, run: str = "forced") -> tup
     Nothing is read to the driver, so any number of baskets goes at once.
     """
     own = F.sha2(F.concat_ws("|", F.lit(run), F.col("basket_id").cast("string")), 256)
-    groups = basket_check(live, baskets).withColumn("match_group", F.when(F.col("may_match"), own))
-    hit = baskets.select("basket_id", "id").distinct().join(groups.filter("may_match").select("basket_id", "match_group"), "basket_id").select("id", "match_group")
-    marked = live.join(hit, "id", "left").select(*live.columns, "match_group")
+    judged, accepted = judged_baskets(live, baskets)
+    groups = judged.withColumn("match_group", F.when(F.col("may_match"), own))
+    marked = live.join(accepted, "id", "left").select(*live.columns, F.when(F.col("basket_id").isNotNull(), own).alias("match_group"))
     return groups, marked.withColumn("status", F.when(F.col("match_group").isNotNull(), "FORCED").otherwise(F.col("status")))
 
 

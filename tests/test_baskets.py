@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from tallyforge.plans.matching import force_match
 
 
@@ -21,3 +23,13 @@ def test_refusals(spark):
     assert {r["match_group"] for r in marked.filter("id IN (1, 2)").collect()} == {got["good"]["match_group"]}
     groups, marked = force_match(live, baskets.limit(0))
     assert groups.isEmpty() and marked.filter("status = 'FORCED'").isEmpty()
+
+
+def test_rows_of_baskets_are_computed_once(spark):
+    live = spark.range(20).select("id", F.lit(1).alias("flow_id"), F.lit("EUR").alias("currency"), F.lit(0).cast("decimal(20,4)").alias("amount"), F.lit("PENDING").alias("status"), F.lit("A").alias("reco_id"))
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda i: calls.add(1) or i, "long").asNondeterministic()
+    baskets = spark.range(10).select((F.col("id") % 3).alias("basket_id"), seen("id").alias("id"))
+    groups, marked = force_match(live, baskets)
+    assert groups.filter("may_match").count() == 3 and marked.filter("status = 'FORCED'").count() == 10
+    assert calls.value == 10
