@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.identity import slice_reference
@@ -98,7 +98,10 @@ def graph_parts(members: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFra
     direction = F.when(F.col("amount") < 0, "debit").otherwise("credit").alias("direction")
     own = members.select("bucket_id", "source_hash", "kind", direction, "amount", "status")
     on = own.join(keys, "source_hash")
-    of_keys = on.groupBy("bucket_id", "key_type").agg(F.count_distinct("key_value").cast("long").alias("values"), F.count_distinct("source_hash").cast("long").alias("members"))
+    # a member counts with the first of its values, found where it met its keys, so that its hash isn't shuffled again
+    first = F.row_number().over(Window.partitionBy("source_hash", "bucket_id", "key_type").orderBy("key_value")) == 1
+    of_value = on.select("bucket_id", "key_type", "key_value", first.alias("first")).repartition("bucket_id").groupBy("bucket_id", "key_type", "key_value").agg(F.count_if("first").alias("n"))
+    of_keys = of_value.groupBy("bucket_id", "key_type").agg(F.count("key_value").cast("long").alias("values"), F.sum("n").cast("long").alias("members"))
     count = lambda s: F.count_if(F.col("status") == s).cast("long")
     of_members = own.groupBy("bucket_id", "kind", "direction").agg(rows().alias("members"), total().alias("net"), count("PENDING").alias("pending"), count("MATCHED").alias("matched"), count("EXCLUDED").alias("excluded"))
     return of_keys, of_members, on.select("bucket_id", "kind", "direction", "key_type").distinct()

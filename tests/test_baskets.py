@@ -33,3 +33,24 @@ def test_rows_of_baskets_are_computed_once(spark):
     groups, marked = force_match(live, baskets)
     assert groups.filter("may_match").count() == 3 and marked.filter("status = 'FORCED'").count() == 10
     assert calls.value == 10
+
+
+def test_hashes_of_members_are_shuffled_once(spark, sf):
+    """Exchanges of the plans by what they are hashed by: a member's rows go by its hash once a side, then by their bucket."""
+    import re
+
+    from tallyforge import queries as registry
+
+    for name, most in (("plan_graph_keys", 3), ("agg_bucket_report", 5)):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bExchange\b", plan)) <= most, plan
+
+
+def test_hubs_of_null_and_single_members(spark):
+    from tallyforge.operators.aggregates import hub_signatures
+
+    members = spark.createDataFrame([("a", 1), ("b", 2), ("c", 4)], "source_hash string, n int").select("source_hash", F.col("n").cast("decimal(20,4)").alias("amount"))
+    keys = spark.createDataFrame([("a", "T", "x"), ("b", "T", "x"), ("c", "T", "y"), ("c", "T", "y"), (None, "T", "y"), ("a", "T", "z")], "source_hash string, key_type string, key_value string")
+    for least in (2, 1):
+        got = {r["signature"]: (r["members"], int(r["net"])) for r in hub_signatures(members, keys, least).collect()}
+        assert got == ({"T=x": (2, 3), "": (1, 4)} if least == 2 else {"T=x|T=z": (1, 1), "T=x": (1, 2), "T=y": (1, 4)})
