@@ -109,10 +109,11 @@ def write_by_family(rows_: DataFrame, folder: str, key: str, sep: str = ";") ->
 def bucket_report(members: DataFrame, keys: DataFrame, top: int = 3) -> DataFrame:
     """Per bucket: members, sums, its spread of amounts, and its ``top`` key values by members, ties by value."""
     sums = members.groupBy("bucket_id").agg(
-        rows().alias("members"), total().alias("net"), F.min("amount").alias("least"), F.max("amount").alias("greatest"), F.count_distinct("kind").cast("long").alias("kinds")
+        rows().alias("members"), total().alias("net"), F.min("amount").alias("least"), F.max("amount").alias("greatest"), F.size(F.collect_set("kind")).cast("long").alias("kinds")
     )
-    linked = members.select("bucket_id", "source_hash").distinct().join(keys.distinct(), "source_hash")
-    held = linked.groupBy("bucket_id", "key_type", "key_value").agg(rows().alias("n"))
+    by_hash = lambda df: df.repartition("source_hash").distinct()  # noqa: E731  (rows are distinct where they are joined)
+    linked = by_hash(members.select("bucket_id", "source_hash")).join(by_hash(keys), "source_hash")
+    held = linked.select("bucket_id", "key_type", "key_value").repartition("bucket_id").groupBy("bucket_id", "key_type", "key_value").agg(rows().alias("n"))
     w = Window.partitionBy("bucket_id").orderBy(F.desc("n"), "key_type", "key_value")
     first = held.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
     text = F.concat_ws(" ", F.concat_ws(":", "key_type", "key_value"), F.col("n").cast("string"))
