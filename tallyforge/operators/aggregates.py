@@ -150,7 +150,11 @@ def hub_keys(keys: DataFrame, least: int = 2) -> DataFrame:
 
 def hub_signatures(members: DataFrame, keys: DataFrame, least: int = 2) -> DataFrame:
     """Members grouped by the set of hubs that they hang on: one row per set, with members and their sum."""
-    on = keys.join(hub_keys(keys, least).select("key_type", "key_value"), ["key_type", "key_value"])
+    if least == 2:  # two extremes say as much as a count of distinct members, and are merged before they are shuffled
+        hubs = keys.groupBy("key_type", "key_value").agg(F.min("source_hash").alias("a"), F.max("source_hash").alias("b")).filter("a <> b")
+    else:
+        hubs = hub_keys(keys, least)
+    on = keys.join(stored(hubs.select("key_type", "key_value"), "hubs"), ["key_type", "key_value"])
     sets = on.groupBy("source_hash").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "key_type", "key_value"))), "|").alias("signature"))
     joined = members.join(sets, "source_hash", "left")
     return joined.groupBy(F.coalesce("signature", F.lit("")).alias("signature")).agg(rows().alias("members"), total().alias("net"))
