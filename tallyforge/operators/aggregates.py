@@ -203,10 +203,10 @@ def feed_statistics(rows_: DataFrame, file: str, key: str) -> DataFrame:
 def match_rates(left: DataFrame, hits: DataFrame, key: str, by: str) -> DataFrame:
     """Per group: distinct keys, those that have a hit, and their share in percent (null for none)."""
     marked = left.join(hits.select(F.col(key).alias("hit_key")).distinct(), F.col(key) == F.col("hit_key"), "left")
-    return marked.groupBy(by).agg(
-        F.count_distinct(key).cast("long").alias("keys"),
-        F.count_distinct(F.when(F.col("hit_key").isNotNull(), F.col(key))).cast("long").alias("matched"),
-    ).withColumn("pct", F.round(F.lit(100.0) * F.col("matched") / F.nullif(F.col("keys"), F.lit(0)), 2))
+    of_key = marked.groupBy(by, key).agg(F.bool_or(F.col("hit_key").isNotNull()).alias("hit"))
+    return of_key.groupBy(by).agg(F.count(key).cast("long").alias("keys"), F.count_if("hit").cast("long").alias("matched")).withColumn(
+        "pct", F.round(F.lit(100.0) * F.col("matched") / F.nullif(F.col("keys"), F.lit(0)), 2)
+    )
 
 
 def basket_check(live: DataFrame, baskets: DataFrame) -> DataFrame:

@@ -54,3 +54,12 @@ def test_hubs_of_null_and_single_members(spark):
     for least in (2, 1):
         got = {r["signature"]: (r["members"], int(r["net"])) for r in hub_signatures(members, keys, least).collect()}
         assert got == ({"T=x": (2, 3), "": (1, 4)} if least == 2 else {"T=x|T=z": (1, 1), "T=x": (1, 2), "T=y": (1, 4)})
+
+
+def test_rates_count_keys_without_expanding_rows(spark):
+    from tallyforge.operators.aggregates import match_rates
+
+    left = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("t", None), (None, "a")], "status string, k string")
+    df = match_rates(left, spark.createDataFrame([("a",), ("a",), (None,)], "k string"), "k", "status")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted([("s", 2, 1, 50.0), ("t", 0, 0, None), (None, 1, 1, 100.0)], key=repr)
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
