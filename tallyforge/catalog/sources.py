@@ -85,12 +85,19 @@ query("source_workbook", "", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CA
 
 def messages(v) -> DataFrame:
     """A statement message per order, with a line and a detail per order line; every fourth detail is missing."""
-    amount = F.replace(c("l_extendedprice").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
-    line = F.concat(F.lit(":61:"), F.date_format("l_shipdate", "yyMMdd"), F.date_format("l_shipdate", "MMdd"), F.when(c("l_partkey") % 2 == 0, "D").otherwise("C"), amount, F.lit("NTRF"), F.lit("OW/"), c("l_partkey").cast("string"), F.lit("//BK"), c("l_suppkey").cast("string"))
-    detail = F.when(c("l_partkey") % 4 == 3, ":62M:x").otherwise(F.concat(F.lit(":86:166+00TEXT+20SCRT"), c("l_partkey").cast("string"), F.lit("\ngoes on+32NAME")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat_ws("\n", line, detail).alias("t")))), lambda x: x["t"]), "\n")
-    grouped = v.lineitem.filter("l_shipdate >= timestamp_ntz'2000-01-01' OR true").groupBy("l_orderkey").agg(body.alias("body"))
-    text = F.concat(F.lit("{1:F01BANK}{4:\n:20:M\n:25:ACC"), (c("l_orderkey") % 7).cast("string"), F.lit("\n:60F:C200101EUR1,00\n"), "body", F.lit("\n:62F:C200101EUR1,00\n-}"))
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+    def text_of(x):
+        amount = F.replace(x["l_extendedprice"].cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
+        part, bank = x["l_partkey"].cast("string"), x["l_suppkey"].cast("string")
+        line = F.concat(F.lit(":61:"), F.date_format(x["l_shipdate"], "yyMMddMMdd"), F.when(x["l_partkey"] % 2 == 0, "D").otherwise("C"), amount, F.lit("NTRF"), F.lit("OW/"), part, F.lit("//BK"), bank)
+        detail = F.when(x["l_partkey"] % 4 == 3, ":62M:x").otherwise(F.concat(F.lit(":86:166+00TEXT+20SCRT"), part, F.lit("\ngoes on+32NAME")))
+        return F.struct(x["l_linenumber"], x["l_partkey"], x["l_suppkey"], F.concat_ws("\n", line, detail).alias("t"))
+
+    # lines are shuffled as their numbers and written out where they are gathered
+    grouped = v.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(*columns)).alias("lines"))
+    body = F.array_join(F.transform(F.sort_array(F.transform("lines", text_of)), lambda x: x["t"]), "\n")
+    text = F.concat(F.lit("{1:F01BANK}{4:\n:20:M\n:25:ACC"), (c("l_orderkey") % 7).cast("string"), F.lit("\n:60F:C200101EUR1,00\n"), body, F.lit("\n:62F:C200101EUR1,00\n-}"))
     return grouped.select(c("l_orderkey").cast("string").alias("message_id"), text.alias("text"))
 
 

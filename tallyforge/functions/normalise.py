@@ -149,7 +149,7 @@ def subfields(text: Column) -> Column:
 
 
 def detail_line(text: Column) -> Column:
-    return F.regexp_replace(text, "\r?\n", "")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("")), F.lit("\n"), F.lit(""))
 
 
 def subfield_pairs(line: Column) -> Column:
@@ -157,11 +157,19 @@ def subfield_pairs(line: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.left(x, F.lit(2)).alias("code"), F.substr(x, F.lit(3)).alias("value")))
 
 
+def subfield_of(pairs: Column, code: str) -> Column:
+    """The last value under a code; null without one."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["code"] == code), F.lit(-1))["value"]
+
+
+def subfield_head(line: Column) -> Column:
+    return F.regexp_extract(line, "^([^+]*(?:\\+(?![0-9]{2})[^+]*)*)", 1)
+
+
 def subfield_map(line: Column, pairs: Column) -> Column:
     codes = F.array_distinct(F.transform(pairs, lambda p: p["code"]))
     last = F.transform(codes, lambda c: F.struct(c.alias("key"), F.element_at(F.filter(pairs, lambda p: p["code"] == c), -1)["value"].alias("value")))
-    head = F.regexp_extract(line, "^([^+]*(?:\\+(?![0-9]{2})[^+]*)*)", 1)
-    lead = F.array(F.struct(F.when(F.size(pairs) == 0, "_raw").otherwise("_gvc").alias("key"), head.alias("value")))
+    lead = F.array(F.struct(F.when(F.size(pairs) == 0, "_raw").otherwise("_gvc").alias("key"), subfield_head(line).alias("value")))
     return F.map_from_entries(F.concat(lead, last))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import MONEY, clean, detail_line, entry_date, original_amount, short_date, signed, subfield_map, subfield_pairs
+from tallyforge.functions.normalise import MONEY, clean, detail_line, entry_date, original_amount, short_date, signed, subfield_head, subfield_of, subfield_pairs
 from tallyforge.sources.records import split_records
 
 #: Fixed value of the format: date, entry date, mark, funds code, amount, type, owner's reference, bank's reference.
 LINE = r"^(\d{6})(\d{4})?(RC|RD|C|D)([A-Z])?(\d+,\d*)([A-Z][A-Z0-9]{3})((?:(?!//)[^\n])*)(?://([^\n]*))?"
+#: The groups of a line that are read.
+PARTS = (1, 2, 3, 5, 7, 8)
 
 
 def read_statements(spark: SparkSession, path: str, config: Mapping) -> DataFrame:
@@ -33,23 +35,37 @@ def statement_rows(messages: DataFrame) -> DataFrame:
     goes on to its end. A row keeps both candidates for its reference: what follows the ``:61:`` line, or else the
     detail's +00, as ``transaction_ref``, and the detail's +21 as ``ref_21``.
     """
-    body = F.regexp_extract("text", r"(?s)\{4:\s*(.*?)(?:\n?-\}|\z)", 1)
+    # up to the first end, without the line end before it; the white space after the begin doesn't count
+    after = F.ltrim(F.substr("text", F.locate("{4:", "text") + 3), F.lit(" \t\n\x0b\f\r"))
+    upto = F.substring_index(after, "-}", 1)
+    body = F.when(F.contains(after, F.lit("-}")) & F.endswith(upto, F.lit("\n")), F.left(upto, F.length(upto) - 1)).otherwise(upto)
     body = F.when(F.contains("text", F.lit("{4:")), body).otherwise(F.col("text"))
-    cut = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace(body, "\r", "")), r"\n(?=:\d{2}[A-Z]?:)"), lambda x: x.startswith(":"))
-    tags = messages.select("message_id", F.posexplode(cut).alias("place", "field"))
-    tags = tags.select("message_id", "place", F.regexp_extract("field", r"^:(\d{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace("field", r"^:\d{2}[A-Z]?:", "").alias("value"))
-    w = Window.partitionBy("message_id").orderBy("place")
-    head = Window.partitionBy("message_id")
-    coded = F.nullif(F.regexp_extract("value", "^[DC][0-9]{6}([A-Z]{3})", 1), F.lit(""))
+    cut = F.filter(F.split(F.concat(F.lit("\n"), F.replace(body, F.lit("\r"), F.lit(""))), r"\n(?=:\d{2}[A-Z]?:)"), lambda x: x.startswith(":"))
+    # a message is a row, so its tags are paired where they are, without a shuffle
+    tags = messages.select("message_id", cut.alias("__tags"))
+    of_tag = lambda t: F.transform(F.filter("__tags", lambda x: x.startswith(f":{t}:")), lambda x: F.substr(x, F.lit(len(t) + 3)))
+    greatest = lambda t: F.array_max(F.transform(of_tag(t), lambda x: F.trim(x)))
+    coded = lambda x: F.nullif(F.regexp_extract(x, "^[DC][0-9]{6}([A-Z]{3})", 1), F.lit(""))
     # the first balance tag that names a currency, in this order
-    balance = F.coalesce(*[F.max(F.when(F.col("tag") == t, coded)).over(head) for t in ("60F", "60M", "62F", "62M")])
-    paired = tags.select("message_id", "place", "tag", "value", F.when(F.lead("tag").over(w) == "86", F.lead("value").over(w)).otherwise("").alias("detail"), F.max(F.when(F.col("tag") == "25", F.trim("value"))).over(head).alias("account"), balance.alias("currency"), F.max(F.when(F.col("tag") == "20", F.trim("value"))).over(head).alias("statement_ref"))
-    part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
+    balance = F.coalesce(*[F.array_max(F.transform(of_tag(t), coded)) for t in ("60F", "60M", "62F", "62M")])
+
+    def entry(x: Column, i: Column) -> Column:
+        after = F.try_element_at("__tags", i + 2)
+        detail = F.when(after.startswith(":86:"), F.substr(after, F.lit(5))).otherwise("")
+        return F.when(x.startswith(":61:"), F.struct(i.alias("place"), F.substr(x, F.lit(5)).alias("value"), detail.alias("detail")))
+
+    entries = F.filter(F.transform("__tags", entry), lambda x: x.isNotNull())
+    # what holds for a whole message is found once, before its entries become rows
+    heads = tags.select("message_id", greatest("25").alias("account"), balance.alias("currency"), greatest("20").alias("statement_ref"), entries.alias("__entries"))
+    paired = heads.withColumn("__entry", F.explode_outer("__entries")).filter(F.col("__entry").isNotNull()).select("*", "__entry.*").drop("__entries", "__entry")
+    # the line is matched once; none of its parts holds a line end
+    parts = F.split(F.regexp_replace("value", f"(?s)^(?:{LINE[1:]}.*|.*)$", "\n".join(f"${i}" for i in PARTS)), "\n")
+    part = lambda i: F.nullif(F.get("__parts", F.lit(PARTS.index(i))), F.lit(""))
     day = short_date(part(1))
     # column by column, so that no step is repeated in the next one's expression
-    cut_up = paired.filter("tag = '61'").withColumn("__line", detail_line(F.col("detail"))).withColumn("__pairs", subfield_pairs(F.col("__line"))).withColumn("__sub", subfield_map(F.col("__line"), F.col("__pairs")))
-    sub = F.col("__sub")
-    of = lambda code: clean(F.try_element_at(sub, F.lit(code)))
+    cut_up = paired.withColumn("__parts", parts).withColumn("__line", detail_line(F.col("detail"))).withColumn("__pairs", subfield_pairs(F.col("__line")))
+    sub = lambda code: subfield_of(F.col("__pairs"), code)
+    of = lambda code: clean(sub(code))
     customer = clean(F.regexp_extract("value", r"(?s)\n(.*)", 1))
     return cut_up.select(
         "message_id",
@@ -61,12 +77,12 @@ def statement_rows(messages: DataFrame) -> DataFrame:
         signed(F.replace(part(5), F.lit(","), F.lit(".")).try_cast(MONEY), part(3)).cast(MONEY).alias("amount"),
         F.trim(part(7)).alias("owner_ref"),
         F.trim(part(8)).alias("bank_ref"),
-        F.try_element_at(sub, F.lit("20")).alias("sub_20"),
-        F.try_element_at(sub, F.lit("_gvc")).alias("gvc"),
+        sub("20").alias("sub_20"),
+        F.when(F.size("__pairs") > 0, subfield_head(F.col("__line"))).alias("gvc"),
         "statement_ref",
         customer.alias("customer_ref"),
         F.coalesce(customer, of("00")).alias("transaction_ref"),
         of("21").alias("ref_21"),
-        original_amount(F.try_element_at(sub, F.lit("26"))).alias("ocmt"),
+        original_amount(sub("26")).alias("ocmt"),
         F.when(part(1).isNull(), "line").alias("_error"),
     )
