@@ -80,5 +80,6 @@ query(
 
 def export(v):
     from tallyforge.operators.aggregates import status_histogram
+    from tallyforge.operators.stores import joined_by_key
 
-    return v.live.join(status_histogram(v.payment_status).select("reco_id", "statuses"), "reco_id", "left").select("id", c("amount").cast("string").alias("amount"), F.date_format("value_date", "yyyy-MM-dd").alias("day"), F.coalesce("statuses", F.lit("")).alias("payments"))
+    return joined_by_key(v.live, status_histogram(v.payment_status).select("reco_id", "statuses")).select("id", c("amount").cast("string").alias("amount"), F.date_format("value_date", "yyyy-MM-dd").alias("day"), F.coalesce("statuses", F.lit("")).alias("payments"))

@@ -7,9 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.aggregates import MONEY, rows, status_histogram, total
+from tallyforge.operators.aggregates import MONEY, NO_KEY, rows, status_histogram, total
 from tallyforge.operators.merge import upsert
 
+#: Parts over which entries without a usable key are dealt.
+SALTS = 64
+
 
 def upsert_parents(parents: DataFrame, staged: DataFrame, order: list[Column]) -> DataFrame:
     """Parents by source_hash: every column follows the batch but parent_emarged, which is decided elsewhere."""
@@ -134,9 +137,21 @@ def key_sharing(keys: DataFrame) -> DataFrame:
     return sizes.groupBy("key_type", "members").agg(rows().alias("key_values"))
 
 
+def joined_by_key(entries: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Entries with what ``by_key`` has for their key, if anything; it has a key once.
+
+    Entries without a key, and those whose key can't be derived, are a fixed share of a ledger and would all meet in one
+    task: they are dealt over ``SALTS`` parts, and a row for the underivable key is there in each.
+    """
+    open_ = F.col("reco_id").isNull() | (F.col("reco_id") == NO_KEY)
+    dealt = entries.withColumn("__part", F.when(open_, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    parts = F.when(F.col("reco_id") == NO_KEY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(by_key.withColumn("__part", F.explode(parts)), ["reco_id", "__part"], "left").drop("__part")
+
+
 def export_table(entries: DataFrame, statuses: DataFrame, flows: DataFrame) -> DataFrame:
     """Entries as the 19 columns of their export: payments as counts by status, times as one moment or a span."""
-    on = entries.join(status_histogram(statuses), "reco_id", "left").join(flows, "flow_id", "left")
+    on = joined_by_key(entries, status_histogram(statuses)).join(flows, "flow_id", "left")
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     low, high = day("first_at"), day("last_at")
     span = F.when(low == high, low).when(low == "", high).when(high == "", low).otherwise(F.concat_ws(" → ", low, high))
