@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.identity import slice_reference
 from tallyforge.operators.aggregates import MONEY, rows, total
 from tallyforge.operators.windows import canonical_parent
+from tallyforge.session import stored
 
 
 def partition_payments(resolved: DataFrame) -> DataFrame:
@@ -59,9 +60,13 @@ def second_matching(parents: DataFrame, slices: DataFrame, members: DataFrame) -
     keys = ["source_id", "claim_type", "claim_value"]
     sums = claimed.groupBy(*keys).agg(total().alias("parent_total"))
     anchors = canonical_parent(claimed).select(*keys, F.col("source_hash").alias("parent_hash"))
-    of_slices = slices.groupBy("parent_hash").agg(total().alias("slice_total"))
-    state = sums.join(anchors, keys).join(of_slices, "parent_hash", "left").select("parent_hash", (F.col("parent_total") != F.coalesce("slice_total", F.lit(0))).alias("differs"))
-    return members.join(state, "parent_hash", "left").groupBy("bucket_id").agg(F.bool_or(F.coalesce("differs", F.lit(False))).alias("parent_mismatch"))
+    # both are stored: if they are few, they are broadcast, and neither slices nor members are shuffled to meet them
+    groups = stored(sums.join(anchors, keys).select("parent_hash", "parent_total"), "claims")
+    of_slices = slices.join(groups, "parent_hash", "left_semi").groupBy("parent_hash").agg(total().alias("slice_total"))
+    differing = stored(groups.join(of_slices, "parent_hash", "left").filter(F.col("parent_total") != F.coalesce("slice_total", F.lit(0))).select("parent_hash").distinct(), "differing")
+    # members without a parent aren't looked up, as all of them would meet in one task
+    hit = members.join(differing, "parent_hash", "left_semi").select("bucket_id", F.lit(True).alias("hit"))
+    return members.select("bucket_id", F.lit(False).alias("hit")).unionByName(hit).groupBy("bucket_id").agg(F.bool_or("hit").alias("parent_mismatch"))
 
 
 def split_detail(parents: DataFrame, slices: DataFrame) -> DataFrame:
