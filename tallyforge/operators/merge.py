@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.windows import keep_in_batch
 
+#: Least number of tasks over which moving rows meet the keys that are there.
+MOVE_TASKS = 200
+
 
 def insert_new(target: DataFrame, staged: DataFrame, key: str, order: Sequence[Column], stores: Sequence[DataFrame] = ()) -> DataFrame:
     """The rows to append: first of each key in the batch whose key is neither in the target nor in the other stores.
@@ -55,8 +58,10 @@ def changes(merged: DataFrame) -> DataFrame:
 
 def settle(live: DataFrame, settled: DataFrame, which: Column, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Moves live rows into the settled ledger: (live, settled, rows whose key had been settled before and so vanish)."""
+    # keys compress so well that few tasks would be left to sort them all: their number is kept
+    tasks = max(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOVE_TASKS)
     moving = live.filter(F.coalesce(which, F.lit(False)))
-    known = settled.select(key)
+    known = settled.select(key).repartition(tasks, key)
     return live.filter(~F.coalesce(which, F.lit(False))), settled.unionByName(moving.join(known, key, "left_anti")), moving.join(known, key, "left_semi")
 
 
