@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.aggregates import balanced_groups, judged_baskets, matchable, rows, total
+from tallyforge.operators.aggregates import NO_KEY, balanced_groups, judged_baskets, matchable, rows, total
 from tallyforge.operators.merge import settle
 from tallyforge.session import shared_folder
 
@@ -74,12 +75,37 @@ def daily_activity(log: DataFrame, users: DataFrame, day: str) -> DataFrame:
     return of_day.join(users, "user_id", "left").groupBy("user_id", "user_name", "action").agg(rows().alias("n"))
 
 
+#: Tasks that take rows apart by key: what they read is small, what they hold of it isn't.
+INDEX_TASKS = 600
+OF_ENTRIES, OF_MEMBERS = ("reco_id", "external_ref", "ref_no", "remarks_1"), ("po_id", "bucket_id")
+
+
+def named(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(reco_id, field, value) of the fields of each row that have a value, in upper case."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.upper(f).alias("value")) for f in fields])
+    return df.select("reco_id", F.explode(pairs).alias("x")).select("reco_id", "x.field", "x.value").filter("value is not null and reco_id is not null")
+
+
+def keyed_members(members: DataFrame) -> DataFrame:
+    return members.withColumn("reco_id", F.concat(F.lit("ORD"), F.col("order_key").cast("string")))
+
+
+def identifiers(entries: DataFrame, members: DataFrame) -> DataFrame:
+    """(reco_id, field, value) of every identifier by which an entry or a bucket can be found, as often as it is there."""
+    return named(entries, OF_ENTRIES).unionByName(named(keyed_members(members), OF_MEMBERS))
+
+
 def identifier_index(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """(value, field, reco_id) of every identifier by which an entry or a bucket can be found."""
-    fields = ["reco_id", "external_ref", "ref_no", "remarks_1"]
-    of_entries = entries.select("reco_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.upper(f).alias("value")) for f in fields])).alias("x")).select("reco_id", "x.field", "x.value")
-    of_members = members.select(F.concat(F.lit("ORD"), F.col("order_key").cast("string")).alias("reco_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.upper(f).alias("value")) for f in ("po_id", "bucket_id")])).alias("x")).select("reco_id", "x.field", "x.value")
-    return of_entries.unionByName(of_members).filter("value is not null and reco_id is not null").distinct()
+    """The identifiers once each.
+
+    Rows are shuffled by their key as they are, with all identifiers in one row, which are taken apart behind it. Only
+    rows whose key can't be derived, which would meet in one task, are taken apart before.
+    """
+    real = F.col("reco_id") != NO_KEY
+    by_key = lambda df, fields: named(df.filter(real).select("reco_id", *[f for f in fields if f != "reco_id"]).repartition(INDEX_TASKS, "reco_id"), fields).distinct()
+    members = keyed_members(members)
+    no_key = named(entries.filter(~real), OF_ENTRIES).unionByName(named(members.filter(~real), OF_MEMBERS)).distinct()
+    return by_key(entries, OF_ENTRIES).unionByName(by_key(members, OF_MEMBERS)).unionByName(no_key)
 
 
 def deep_search(index: DataFrame, entries: DataFrame, text: str, broad: bool = False, most: int = 2000) -> DataFrame:
@@ -114,4 +140,4 @@ def new_run() -> str:
     return uuid.uuid4().hex
 
 
-__all__ = ["auto_match", "daily_activity", "deep_search", "exclude", "force_match", "identifier_index", "matchable", "merge_chains", "new_run", "run_counters", "snapshot"]
+__all__ = ["auto_match", "daily_activity", "deep_search", "exclude", "force_match", "identifier_index", "identifiers", "matchable", "merge_chains", "new_run", "run_counters", "snapshot"]
