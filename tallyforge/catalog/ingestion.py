@@ -86,10 +86,17 @@ query(
 )(split_ledger)
 
 
+#: Keys of a member by type, as the view of single keys has them.
+MEMBER_KEYS = {"PACS008": "pacs008", "MSGID": "upper(message_id)", "PO": "po_id"}
+
+
 def pushed(v):
-    members = v.member.select("source_hash", "bucket_id", "amount").groupBy("source_hash").agg(F.max(F.struct("amount", "bucket_id")).alias("x")).select("source_hash", "x.bucket_id", "x.amount")
-    old = members.filter("length(source_hash) % 3 <> 0").withColumn("amount", F.when(F.length("source_hash") % 3 == 1, c("amount") + 1).otherwise(c("amount")).cast(MONEY))
-    return G.apply_buckets(v.member.filter("kind <> 'MULTI'").select("bucket_id").distinct(), members, old, v.member_key, v.member_key.filter("key_type <> 'PO'"))
+    """A push whose members carry their keys; the length is a part of what is gathered, so members and old ones are gathered once."""
+    best = F.max(F.struct("amount", "bucket_id", F.length("source_hash").alias("length"))).alias("x")
+    members = v.member.select("source_hash", "bucket_id", "amount").groupBy("source_hash").agg(best)
+    old = members.filter("x.length % 3 <> 0").select("source_hash", "x.bucket_id", F.when(c("x.length") % 3 == 1, c("x.amount") + 1).otherwise(c("x.amount")).cast(MONEY).alias("amount"))
+    carried = lambda *types: v.member.select("source_hash", F.array(*[F.struct(F.lit(t).alias("key_type"), F.expr(MEMBER_KEYS[t]).alias("key_value")) for t in types]).alias("keys"))
+    return G.apply_buckets(v.member.filter("kind <> 'MULTI'").select("bucket_id").distinct(), members.select("source_hash", "x.bucket_id", "x.amount"), old, carried(*MEMBER_KEYS), carried("PACS008", "MSGID"))
 
 
 query(

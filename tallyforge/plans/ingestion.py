@@ -9,7 +9,7 @@ from tallyforge.functions import identity as I
 from tallyforge.functions.normalise import family, payment_order, signed
 from tallyforge.operators.aggregates import MONEY, NO_KEY, bucket_state, bucket_summary, rows, total
 from tallyforge.operators.joins import first_hit
-from tallyforge.operators.merge import insert_new, upsert
+from tallyforge.operators.merge import MOVE_TASKS, insert_new, upsert
 from tallyforge.plans.matching import auto_match
 
 
@@ -63,24 +63,50 @@ def apply_split(live: DataFrame, parents: DataFrame, slices: DataFrame) -> DataF
     return upsert(kept.join(stale.select("source_hash"), "source_hash", "left_anti"), slices, "source_hash", {"amount": "new"}, [F.col("amount")])
 
 
+#: What makes a key of a member.
+TRIPLE = ("source_hash", "key_type", "key_value")
+
+
+def keys_of_members(keys: DataFrame) -> DataFrame:
+    """(source_hash, keys): rows of a member's keys, as a push carries them, or of single keys as lists of one."""
+    return keys.select("source_hash", "keys") if "keys" in keys.columns else keys.select("source_hash", F.array(F.struct(*TRIPLE[1:])).alias("keys"))
+
+
+def single_keys(members: DataFrame) -> DataFrame:
+    """(source_hash, key_type, key_value), a row per key."""
+    return members.select("source_hash", F.inline("keys")).select(*TRIPLE)
+
+
+def unknown_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """The keys that aren't known, each once; one that lacks its hash, type or value is never known.
+
+    Keys are shuffled by their member's hash as they come, those of a row together as lists of types and values, and are
+    taken apart behind it; they compress so well that the number of tasks is kept.
+    """
+    tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOVE_TASKS)
+    listed = lambda df, is_: keys_of_members(df).select("source_hash", "keys.key_type", "keys.key_value", F.lit(is_).alias("__known"))
+    both = listed(keys, False).unionByName(listed(known, True)).repartition(tasks, "source_hash")
+    apart = both.select("source_hash", F.inline(F.arrays_zip("key_type", "key_value")), "__known").filter(~F.col("__known") | F.concat(*TRIPLE).isNotNull())
+    return apart.groupBy(*TRIPLE).agg(F.bool_or("__known").alias("__known")).filter(~F.col("__known")).select(*TRIPLE)
+
+
 def bucket_push(buckets: DataFrame, members: DataFrame, known_members: DataFrame, keys: DataFrame, known_keys: DataFrame) -> dict[str, DataFrame]:
     """All tables after a push of members, from one upsert: {members, buckets, keys, rollups, counts}.
 
     Buckets that members name and that weren't there are made; who is where stays, amounts follow; keys that weren't
-    there come in, each once. ``rollups`` sums up every bucket again (sums, dates and status counts, its state, whether
+    there come in, each once. Keys are rows of their own, or lists of a member's (column ``keys`` of type and value). ``rollups`` sums up every bucket again (sums, dates and status counts, its state, whether
     each of its currencies nets to zero), ``counts`` says how much is new and how many members' amounts changed.
     """
     merged = upsert(known_members, members, "source_hash", {"amount": "new"}, [F.col("amount")])
     new_buckets = members.select("bucket_id").distinct().join(buckets, "bucket_id", "left_anti")
-    triple = ["source_hash", "key_type", "key_value"]
-    new_keys = keys.dropDuplicates(triple).join(known_keys, triple, "left_anti")
+    new_keys = unknown_keys(keys, known_keys)
     changed = merged.agg(F.count_if(F.col("change") == "INSERTED").cast("long").alias("a"), F.count_if(F.col("change") == "UPDATED").cast("long").alias("b"))
     of_members = changed.select(F.inline(F.array(F.struct(F.lit("members").alias("what"), F.col("a").alias("n")), F.struct(F.lit("updated").alias("what"), F.col("b").alias("n")))))
     one = lambda df, what: df.agg(rows().alias("n")).select(F.lit(what).alias("what"), "n")
     counts = one(new_buckets, "buckets").unionByName(of_members).unionByName(one(new_keys, "keys"))
     columns = [c for c in ("currency", "status", "value_date") if c in merged.columns]
     rollups = bucket_state(bucket_summary(merged)) if len(columns) == 3 else None
-    return {"members": merged, "buckets": buckets.select("bucket_id").unionByName(new_buckets), "keys": known_keys.select(*triple).unionByName(new_keys.select(*triple)), "rollups": rollups, "counts": counts}
+    return {"members": merged, "buckets": buckets.select("bucket_id").unionByName(new_buckets), "keys": single_keys(keys_of_members(known_keys)).unionByName(new_keys), "rollups": rollups, "counts": counts}
 
 
 def canonical_slices(members: DataFrame, flow_id: int) -> DataFrame:
