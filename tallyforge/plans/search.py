@@ -153,6 +153,7 @@ def found_groups(entries: DataFrame, matches: DataFrame) -> DataFrame:
     Entries are summed up by key before they meet the queries, so a key that very many entries and queries share (that of
     unresolved rows) doesn't pair them all.
     """
-    keys = matches.select("text", "reco_id").unionByName(matches.select("text", F.col("lot_id").alias("reco_id"))).filter("reco_id is not null").distinct()
+    keys = matches.select("text", "reco_id").unionByName(matches.select("text", F.col("lot_id").alias("reco_id"))).filter("reco_id is not null")
+    keys = keys.repartition("reco_id").distinct()  # made distinct where they are joined
     groups = entries.groupBy("reco_id", "currency").agg(rows().alias("n"), total().cast(MONEY).alias("net"))
     return groups.join(keys, "reco_id").select("text", "reco_id", "currency", "n", "net", (F.col("net") == 0).alias("is_balanced"))

@@ -50,3 +50,16 @@ def test_many_texts_leave_out_what_is_no_text(spark):
     asked = spark.range(0, 40000, 10).select(F.concat(F.lit("v"), "id").alias("text"))
     left = X.maybe(values, asked)
     assert left.filter("id % 10 = 0").count() == 4000 and left.count() < 4000 + 36000 / 8
+
+
+def test_keys_of_texts_are_shuffled_once(spark):
+    """What the texts name goes by key to where the sums are; it isn't made distinct by another shuffle before."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries = spark.createDataFrame([("K", "EUR", 1), ("K", "EUR", -1), ("L", "USD", 2)], "reco_id string, currency string, amount int").withColumn("amount", F.col("amount").cast("decimal(20,4)"))
+        found = X.found_groups(entries, spark.createDataFrame([("a", "K", None), ("a", "K", "L"), ("a", None, "K")], "text string, reco_id string, lot_id string"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(text#" in x]
+        assert sorted((r["text"], r["reco_id"], r["n"], r["is_balanced"]) for r in found.collect()) == [("a", "K", 2, True), ("a", "L", 1, False)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
