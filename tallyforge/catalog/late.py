@@ -25,11 +25,11 @@ def run(v, parts: DataFrame, waiting: U.Waiting, cut) -> int:
     goes on where the run before it ended; so a batch is written, and read, by as many tasks as its rows need.
     """
     staged, folder = shared_folder(v.spark, "staged"), shared_folder(v.spark, "arriving")
-    parts.write.partitionBy("at").parquet(staged)
+    parts.write.option("compression", "zstd").partitionBy("at").parquet(staged)
     rows = v.spark.read.schema(parts.schema).parquet(staged)
     last = -1
     for number in range(BATCHES):
-        rows.filter(c("at") == number).drop("at").write.mode("append").parquet(folder)
+        rows.filter(c("at") == number).drop("at").write.mode("append").option("compression", "zstd").parquet(folder)
         last = U.run_stream(v.spark, v.spark.readStream.schema(parts.drop("at").schema).parquet(folder), waiting, cut)
     return last
 
@@ -87,11 +87,9 @@ query(
 
 
 def statements(v):
-    """Statement rows: both candidates count in a row's own batch, the first alone when it is tried again."""
-    r = statement_rows(messages(v)).withColumn("n", F.regexp_extract("owner_ref", r"OW/(\d+)", 1).cast("int"))
-    primary, other = U.key("REF", c("sub_20")), U.key("REF", c("owner_ref"))
-    ident = I.stable_hash(F.lit(9), c("account"), c("currency"), c("amount"), c("value_date").cast("timestamp"), F.concat_ws("#", "message_id", c("place").cast("string")))
-    rows = r.select(F.lit("row").alias("what"), F.concat_ws("#", "message_id", c("place").cast("string")).alias("external_ref"), "amount", ident.alias("source_hash"), F.array(primary, other).alias("keys"), F.array(primary).alias("retry_keys"), F.when(c("n").isNull(), "line").alias("_error"), (c("n") % 2).alias("at"))
+    """Statement rows as they come, and lookups; identities and keys are made of them where a batch is cut (``statement_split``)."""
+    r = statement_rows(messages(v)).withColumn("n", owner_number())
+    rows = r.select(F.lit("row").alias("what"), "message_id", "place", "account", "currency", "amount", "value_date", "sub_20", "owner_ref", (c("n") % 2).alias("at"))
     n = c("p_partkey")
     first = v.part.filter("p_partkey % 8 IN (0, 1)").select(F.concat(F.lit("SCRT"), n.cast("string"), F.lit("goes on")).alias("value"), F.concat(F.lit("K"), n.cast("string")).alias("reco_id"), F.lit(2).alias("at"))
     second = v.part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("OW/"), n.cast("string")).alias("value"), F.concat(F.lit("O"), n.cast("string")).alias("reco_id"), F.lit(1).alias("at"))
@@ -99,8 +97,17 @@ def statements(v):
     return rows.unionByName(found, allowMissingColumns=True)
 
 
+def owner_number():
+    return F.regexp_extract("owner_ref", r"OW/(\d+)", 1).cast("int")
+
+
 def statement_split(batch: DataFrame):
-    return batch.filter("what = 'row'"), batch.filter("what = 'lookup'").select("kind", "value", "reco_id"), None
+    """Rows with their identity and keys: both candidates count in a row's own batch, the first alone when it is tried again."""
+    ref = F.concat_ws("#", "message_id", c("place").cast("string"))
+    primary, other = U.key("REF", c("sub_20")), U.key("REF", c("owner_ref"))
+    ident = I.stable_hash(F.lit(9), c("account"), c("currency"), c("amount"), c("value_date").cast("timestamp"), ref)
+    rows = batch.filter("what = 'row'").select(ref.alias("external_ref"), "amount", ident.alias("source_hash"), F.array(primary, other).alias("keys"), F.array(primary).alias("retry_keys"), F.when(owner_number().isNull(), "line").alias("_error"))
+    return rows, batch.filter("what = 'lookup'").select("kind", "value", "reco_id"), None
 
 
 def statement_run(v) -> DataFrame:
