@@ -84,4 +84,4 @@ def write_workbooks(df: DataFrame, folder: str, most: int = 50_000, sheet: str =
                     file.write(content.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], ["file", "rows"])
 
-    return to_workbooks(df, most, sheet).mapInArrow(run, "file string, rows long")
+    return to_workbooks(df, most, sheet, places=False).mapInArrow(run, "file string, rows long")
