@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from tallyforge.functions.normalise import MONEY
 from tallyforge.plans import commit as C
 from tallyforge.queries import query
-from tallyforge.session import shared_folder
+from tallyforge.session import stored
 
 DEC = "DECIMAL(20,4)"
 c = F.col
 
-def stored(v, df: DataFrame, name: str) -> DataFrame:
-    folder = shared_folder(v.spark, name)
-    df.write.parquet(folder)
-    return v.spark.read.schema(df.schema).parquet(folder)
-
 
 def bookings(v) -> DataFrame:
     """A booking for every order but some that aren't there, are busy, or no longer name their message."""
@@ -44,15 +39,15 @@ def committed(v) -> dict[str, DataFrame]:
     none = v.spark.createDataFrame([], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in live.schema.fields))
     log = none.withColumn("claim", F.lit(None).cast("string")).select("source_hash", "claim", *C.LEDGER[1:])
     targets = v.supplier.filter("s_suppkey % 7 <> 0").select(F.lit(1).alias("flow_id"), F.concat(F.lit("T"), c("s_suppkey").cast("string")).alias("target"))
-    asked = stored(v, items(v), "items")
+    asked = stored(items(v), "items")
     done, out = {"live": live, "log": log}, {}
     for step in ("first", "again", "replay"):
         after = C.commit(done["live"], none, done["log"], targets, asked)
-        done = {name: stored(v, after[name].drop("change"), f"{step}-{name}") for name in ("live", "log", "results")}
+        done = {name: stored(after[name].drop("change"), f"{step}-{name}") for name in ("live", "log", "results")}
         out[step] = done
         if step == "first":  # every second claim is taken back, then committed anew
             back = C.restore(done["live"], none, done["log"], asked.filter("int(substring(claim, 4)) % 2 = 0").select("claim"))
-            done = {name: stored(v, back[name], f"back-{name}") for name in ("live", "log")}
+            done = {name: stored(back[name], f"back-{name}") for name in ("live", "log")}
             out["back"] = done
     return out
 

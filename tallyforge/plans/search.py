@@ -100,20 +100,21 @@ def search(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
     return exact.withColumn("broad_used", F.lit(False)).unionByName(broad.withColumn("broad_used", F.lit(True)))
 
 
-def maybe(values: DataFrame, asked: DataFrame) -> DataFrame:
-    """The identifiers whose value is some text, and about one in 16 of the others, found without a shuffle.
+def maybe(values: DataFrame, asked: DataFrame, value: str = "value", text: str = "text") -> DataFrame:
+    """The identifiers whose value is some text, and a few of the others, found without a shuffle.
 
-    The texts' hashes set bits, 16 or more for a text but no more than ``MOST_BITS`` (32 MB) in all, which every task gets.
+    The texts' hashes set bits, 16 or more for a text but no more than ``MOST_BITS`` (32 MB) in all, which every task gets;
+    so about one in 16 of the others is left in, and more of them beyond 16 million texts.
     """
     bits = 1 << 15
     while bits < min(16 * asked.count(), MOST_BITS):
         bits *= 2
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    marks = asked.groupBy(F.bitmap_bucket_number(at("text")).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at("text"))).alias("set"))
-    place = F.bitmap_bit_position(at("value"))
+    marks = asked.groupBy(F.bitmap_bucket_number(at(text)).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(text))).alias("set"))
+    place = F.bitmap_bit_position(at(value))
     byte = F.conv(F.hex(F.substr("set", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
-    return values.join(F.broadcast(marks), F.bitmap_bucket_number(at("value")) == F.col("no")).filter(is_set).select(*values.columns)
+    return values.join(F.broadcast(marks), F.bitmap_bucket_number(at(value)) == F.col("no")).filter(is_set).select(*values.columns)
 
 
 def parts(texts: DataFrame, runs: DataFrame) -> DataFrame:

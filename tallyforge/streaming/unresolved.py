@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.identity import packed, unpacked
 from tallyforge.operators.windows import keep_in_batch
 from tallyforge.session import shared_folder
 
@@ -139,17 +140,6 @@ class Waiting:
         return both.join(bulks, F.col("reco_id") == F.col("member"), "left").withColumn("reco_id", F.coalesce("bulk", "reco_id")).drop("bulk", "member")
 
 
-def packed(c: str) -> Column:
-    """A text as bytes, after a byte that says whether they are the text's or, for pairs of hex digits, those it stands for."""
-    text = F.col(c)
-    return F.when(F.rlike(text, F.lit("^(?:[0-9a-f]{2})+$")), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), F.encode(text, "UTF-8")))
-
-
-def unpacked(c: str) -> Column:
-    rest = F.substr(F.col(c), F.lit(2))
-    return F.when(F.substr(F.col(c), F.lit(1), F.lit(1)) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
-
-
 def found(rows: DataFrame, lookups: DataFrame, places: int) -> DataFrame:
     """Adds reco_id and tier: the first of ``__keys``, at most ``places``, that the lookups know; tier counts it from 1.
 
