@@ -39,3 +39,14 @@ def test_settled_slices_and_others_of_a_booking(spark):
     assert {r["change"] for r in two["live"].collect()} == {"KEPT", "INSERTED"}
     want = [r[0] for r in spark.range(1).select(C.slice_hash(F.lit("m1"), F.lit("T3"))).collect()]
     assert [r["source_hash"] for r in two["live"].filter("reco_id = 'T3'").collect()] == want
+
+
+def test_only_what_is_read_again_is_stored(spark, sf, monkeypatch):
+    from tallyforge.catalog import commits
+    from tallyforge.fixtures import Views
+
+    names, kept = [], commits.stored
+    monkeypatch.setattr(commits, "stored", lambda *args: (names.append(args[-1]), kept(*args))[1])
+    out = commits.committed(Views(spark, sf))
+    assert sorted(names) == ["again-live", "again-log", "back-live", "back-log", "first-live", "first-log", "items"]
+    assert out["replay"]["live"].count() > 0 and out["first"]["results"].count() == out["replay"]["results"].count() > 0
